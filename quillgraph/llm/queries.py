@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, packing, substring, warc
+from . import chat, fingerprint, mixing, packing, substring, suffix, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_spans(table(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), vocabulary())
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_round_trip": op3_chat_round_trip,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
+    "op8_suffix_array": op8_suffix_array,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
