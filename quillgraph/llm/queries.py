@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, packing, substring, suffix, warc
+from . import chat, fingerprint, jaccard, mixing, packing, substring, suffix, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(table(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_round_trip": op3_chat_round_trip,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_suffix_array": op8_suffix_array,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -103,4 +108,27 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+        s AS (
+            SELECT *, string_agg(word, ' ') OVER f AS words, count(*) OVER f AS k
+            FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+        ),
+        g AS MATERIALIZED (SELECT DISTINCT doc_id, words FROM s WHERE k = 5 OR (n < 5 AND i = 0)),
+        z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        e AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM g a JOIN g b ON a.words = b.words AND a.doc_id <> b.doc_id
+            JOIN z za ON za.doc_id = a.doc_id JOIN z zb ON zb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, za.n, zb.n
+            HAVING 9 * count(*) >= 4 * (za.n + zb.n)
+        ),
+        r(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x
+        ),
+        c AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id),
+        l AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+        SELECT c.doc_id, c.class_id, coalesce(l.n, 0) AS n_links FROM c LEFT JOIN l ON l.x = c.doc_id""",
 }
