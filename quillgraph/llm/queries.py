@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, jaccard, langid, mixing, packing, substring, suffix, warc
+from . import chat, fingerprint, jaccard, langid, mixing, packing, perplexity, substring, suffix, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(turns.unionByName(hard)))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.dedup(table(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mix_sources": op2_mix_sources,
     "op3_chat_round_trip": op3_chat_round_trip,
+    "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
     "op7_jaccard_join": op7_jaccard_join,
