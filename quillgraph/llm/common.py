@@ -63,6 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(docs: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """The same columns in the same order; those that an operator does not need get names that cannot clash with its own."""
+    return docs.toDF(*[c if c in needed else f"in_{i}" for i, c in enumerate(docs.columns)])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U, arrow_type, doc_key, gram_hashes, mix, out_batch, prepare, shuffle_partitions, staged, utf8_of, word_hashes, words_of
+from .common import U, WORD, arrow_type, doc_key, gram_hashes, mix, out_batch, own_names, prepare, shuffle_partitions, staged, utf8_of, word_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
@@ -223,9 +223,10 @@ def _unit(table: pa.Table, threshold: Fraction, tolerance: float) -> pa.Table:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = 256, block_shingles: int = 250_000) -> DataFrame:
-    """A row per document: row_key, doc_id, class_id, n_links (other documents), n_text_links (other shingle sets).
+    """A row per document: row_key, doc_id, class_id, n_links (other documents), n_text_links (other shingle sets), first.
 
-    row_key is a hash of doc_id and text; with doc_id it names the row.
+    row_key is a hash of doc_id and text; with doc_id it names the row.  first tells the one document of each class that
+    has the smallest doc_id (and row_key).
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -262,19 +263,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     whole = found.where("whole").select("node", "root")
     across = components(found.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b")), "forests")
 
-    named = nodes.select("node", "id", "docs").join(whole.unionByName(across), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("class_id"))
+    named = nodes.select("node", "id", "key", "docs").join(whole.unionByName(across), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min(own).alias("first")).select("root", F.col("first.id").alias("class_id"), F.col("first.key").alias("class_key"))
     named = named.join(smallest, "root").join(counts, "node", "left")
-    named = named.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    named = named.select("node", "class_id", "class_key", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
     joined = rows.select("id", "key", "node").join(named, "node", "left")
     alone = F.col("node").isNull()
     return joined.select(
         F.col("key").alias("row_key"), F.col("id").alias("doc_id"),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
+        (alone | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))).alias("first"),
     )
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, class_id, n_links, n_text_links."""
-    return classes(docs, **options).drop("row_key")
+    return classes(docs, **options).drop("row_key", "first")
+
+
+def unique_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents, with the input's columns, one of each class; documents without words all stay."""
+    plain = own_names(docs, ("doc_id", "text"))
+    keyed = plain.select("*", doc_key("doc_id", "text").alias("key"))
+    first = classes(plain, **options).where("first").select(F.col("doc_id").alias("first_id"), F.col("row_key").alias("first_key"))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["first_id"]) & (keyed["key"] == first["first_key"]), "left_semi")
+    number = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("key"))
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return kept.withColumn("number", number).where((F.col("number") == 1) | wordless).select(*plain.columns).toDF(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, doc_key, out_batch, prepare, texts_of
+from .common import arrow_type, doc_key, out_batch, own_names, prepare, texts_of
 
 BITS, ORDERS = 15, 3
 FEATURES = 1 << BITS
@@ -211,6 +211,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang", doc_key("doc_id", "text").alias("key"))
 
 
+def accepted_documents(docs: DataFrame, least_score: float = 0.5, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The documents, with the input's columns, whose language is known with a score of at least `least_score`."""
+    plain = own_names(docs, ("doc_id", "text", "lang"))
+    got = predict(plain, train(training_rows(plain), per_language))
+    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).drop("lang_pred", "score").toDF(*docs.columns)
+
+
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score."""
     model = train(training_rows(docs), per_language)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, staged
+from .common import WORD, doc_key, own_names, staged
 
 WEIGHTS = (3, 1, 2)
 
@@ -127,11 +127,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: each row as often as it is taken, with the input's columns."""
-    names = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())).withColumn("__id", F.coalesce("doc_id", F.lit(0)))
-    sized = keyed.select("__id", "__key", "source", words(F.col("text")).alias("size"))
-    got = copies(sized, ["__id", "__key"], **options)
-    lists = got.groupBy("__id", "__key").agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
-    number = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.col("source").asc_nulls_last()))
-    joined = keyed.withColumn("__number", number).join(lists, ["__id", "__key"])
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.element_at("__copies", F.col("__number"))))).select(*names)
+    plain = own_names(docs, ("doc_id", "text", "source"))
+    keyed = plain.select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), doc_key("doc_id", "text").alias("key"))
+    sized = keyed.select("id", "key", "source", words(F.col("text")).alias("size"))
+    got = copies(sized, ["id", "key"], **options)
+    lists = got.groupBy("id", "key").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    number = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.col("source").asc_nulls_last()))
+    joined = keyed.withColumn("number", number).join(lists, ["id", "key"])
+    times = F.array_repeat(F.lit(1), F.element_at("copies", F.col("number")))
+    return joined.select(*plain.columns, F.explode(times).alias("one")).drop("one").toDF(*docs.columns)

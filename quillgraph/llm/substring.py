@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, anchors, arrow_type, doc_key, gram_hashes, mix, out_batch, prepare, shuffle_partitions, starts_inside, utf8_of, word_hashes, words_of
+from .common import U, anchors, arrow_type, doc_key, gram_hashes, mix, out_batch, own_names, prepare, shuffle_partitions, starts_inside, utf8_of, word_hashes, words_of
 
 WINDOW, GRAM = 35, 8
 MOST_BITS = 28
@@ -278,3 +278,15 @@ def removed(docs: DataFrame, carry: list[str], window: int = WINDOW, gram: int =
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by a space)."""
     return removed(docs, ["doc_id"], window)
+
+
+def cleaned_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents, with the input's columns, without repeated words; n_chars follows.
+
+    A text that loses nothing stays as it is; a document that loses all its words goes.
+    """
+    plain = own_names(docs, ("doc_id", "text", "n_chars"))
+    got = removed(plain, plain.columns, window).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return got.select(*[new[c].alias(c) if c in new else F.col(c) for c in plain.columns]).toDF(*docs.columns)
