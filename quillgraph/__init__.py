@@ -1,0 +1 @@
+"""A PySpark engine for document graphs, preference data and training-data preparation."""
