@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import squeeze, strip, text
@@ -141,11 +141,20 @@ def sequence_ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
         yield pd.Series([[SequenceMatcher(None, p or "", g or "").ratio() for g in ([] if gs is None else gs)] for p, gs in zip(predictions, truths)])
 
 
-def crossdoc_score(prediction: Column, truths: Column) -> Column:
+def with_crossdoc_score(rows: DataFrame, prediction: Column, truths: Column, name: str = "crossdoc") -> DataFrame:
+    """The rows with a struct of score and method; ratios are computed first, as lambdas cannot call Python."""
+    ratios = sequence_ratios(_folded(prediction), F.transform(truths, _folded))
+    return rows.withColumn(f"{name}_ratios", ratios).withColumn(name, crossdoc_score(prediction, truths, F.col(f"{name}_ratios"))).drop(f"{name}_ratios")
+
+
+def _folded(c: Column) -> Column:
+    return squeeze(F.lower(text(c)))
+
+
+def crossdoc_score(prediction: Column, truths: Column, ratios: Column) -> Column:
     """A struct of score and method over five comparisons, truth by truth; the first containment or equal numbers end it."""
-    p = squeeze(F.lower(text(prediction)))
-    golds = F.transform(truths, lambda t: squeeze(F.lower(text(t))))
-    ratios = sequence_ratios(p, golds)
+    p = _folded(prediction)
+    golds = F.transform(truths, _folded)
     pn, pk = numbers(p), keywords(p)
 
     def facts(g: Column, i: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +32,12 @@ def _mentions(nodes: DataFrame, found: Column) -> DataFrame:
     return texts.select("paper_id", F.col("node_id").alias("src_id"), "seq", F.posexplode(found).alias("at", "mention")).select("paper_id", "src_id", "seq", "at", "mention.kind", "mention.number")
 
 
-def _of_kinds(find) -> Column:
-    return F.concat(*[F.transform(find(k), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("number"))) for k in KINDS])
+def _named(numbers: Column, kind: str) -> Column:
+    return F.transform(numbers, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("number")))
+
+
+def _of_kinds(find: Callable[[str], Column]) -> Column:
+    return F.concat(*[_named(find(k), k) for k in KINDS])
 
 
 def reference_edges(nodes: DataFrame, korean: bool = False) -> DataFrame:

@@ -83,7 +83,7 @@ def similar_pairs(vectors: DataFrame, least: float, per_paper: bool, block: int
         unit = unit.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(max(1, -(-vectors.count() // block)))))
     fields = {"node_id": "ids", "paper_id": "papers", "seq": "seqs", "vector": "vectors"}
     packed = unit.withColumn("grp", group).groupBy("grp", "block").agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    packed = packed.select("grp", "block", *[F.transform("rows", lambda r, c=c: r[c]).alias(n) for c, n in fields.items()])
+    packed = packed.select("grp", "block", *[F.col(f"rows.{c}").alias(n) for c, n in fields.items()])
     other = packed.select("grp", F.col("block").alias("other_block"), *[F.col(n).alias(f"other_{n}") for n in fields.values()])
     # each block meets each: ordered pairs need both orders of two blocks, as do unordered pairs whose order is seq
     last = packed.groupBy("grp").agg(F.max("block").alias("last"))
