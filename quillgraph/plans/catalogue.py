@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import metrics, text
 from ..operators import enrichment, evaluation, graph, paths, references, similarity, structure, training
 from ..operators import pairs as pair_log
+from ..sources.scratch import staged
 from ..streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,7 +214,8 @@ def path_gold_and_context(spark, sf_dir):
 @query()
 def path_samples(spark, sf_dir):
     nodes, edges = structural(spark, sf_dir)
-    edges = graph.upsert_edges(nodes, edges, references.reference_edges(nodes))
+    nodes = staged(nodes, "nodes")
+    edges = staged(graph.upsert_edges(nodes, edges, references.reference_edges(nodes)), "edges")
     return paths.sample_paths(nodes, edges, 50).select("paper_id", F.array_join("path", " ").alias("path"), "difficulty", "question_type", "gold_answer")
 
 
