@@ -7,14 +7,14 @@ of a text and the words of its UTF-8 bytes are the same.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_path, staged  # noqa: F401  the operators' staging
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,35 +30,6 @@ def prepare(spark: SparkSession, records: int = 400) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only in local mode, where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Hadoop deletes it when the driver's JVM ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: work is done once and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
