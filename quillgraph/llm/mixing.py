@@ -6,9 +6,11 @@ the other, at random in the direction that keeps both expectations, until one of
 the next pair.  The words of a pair never change, so a block of documents keeps its words up to one residual document.
 Residuals of the blocks are combined level by level in a tree, until one document of a source is left and rounded.
 
-Documents are paired largest first, so that large ones settle against each other and the residual one is small.  A source's words miss its
-target by less than its largest document.  Blocks hold about `block` documents by a hash, so a source of any size is spread over many tasks, and the tree's
-random numbers are hashes too: reruns agree.  Repeated rows are told apart by their number among equal rows.
+Documents are paired largest first, so that large ones settle against each other and the residual one is small.  A
+source's words miss its target by less than its largest document.  Blocks hold about `block` documents by a hash, so a
+source of any size is spread over many tasks, and the tree's random numbers are hashes too: reruns agree.  Repeated rows
+are told apart by their number among equal rows.
+
 Defined results: a null text has size 0; null sources are one source, placed last; documents of size 0 take nothing; an
 empty table gives an empty result; other columns of the input are ignored.
 """
