@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import squeeze, strip, text
 
@@ -132,7 +133,7 @@ def numbers(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"(?U)\b\d+\.?\d*\b"), F.lit(0)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def sequence_ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The matching-blocks ratio of a text to each of an array of texts; no built-in function computes it."""
     from difflib import SequenceMatcher
