@@ -5,7 +5,8 @@ a graph.  Links are the pairs of nodes with a Jaccard similarity of at least the
 
 1. MinHash values in bands propose candidates.  A band's bucket of any size only adds a star (each node and the
    bucket's smallest), and the connected components of all stars hold every candidate pair.
-2. Components are cut into blocks of bounded size.  A unit of work is a pair of blocks, with the shingles of both.  In a
+2. Components are cut into blocks of about 256 sets by a hash; texts are read again, and only rows that a fixed-size bit map
+   of the members lets through are shuffled.  A unit of work is a pair of blocks, with the shingles of both.  In a
    unit MinHash values are compared a few at a time; after each step a pair is dropped if, with a uniform prior, the
    posterior probability that its similarity reaches the threshold is below the tolerance.  All others are verified
    exactly.  Units give link counts for each node and a spanning forest, never the pairs.
@@ -28,11 +29,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import U, WORD, arrow_type, doc_key, gram_hashes, mix, out_batch, own_names, prepare, shuffle_partitions, staged, utf8_of, word_hashes, words_of
+from .substring import MOST_BITS, SLICE_BITS, cells_of, marked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
@@ -41,7 +44,7 @@ _STEP = 28
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _A, _B = (_SEEDS[: BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[BANDS * ROWS :] >> U(32)).astype(np.uint32)
 NODES = "id long,key long,node long,size long"
-SHINGLES = "node long,cluster long,block int,blocks int,docs long,shingles binary"
+SHINGLES = "id long,key long,shingles binary"
 LINKS = "node long,root long,links long,texts long,whole boolean"
 
 
@@ -108,11 +111,51 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         now = staged(small.where("a <> b").distinct(), name)
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bit-map cells of row keys, by slice."""
+    schema = arrow_type("slice int,cells binary")
+    for batch in batches:
+        cells = np.unique(cells_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+        if len(cells):
+            parts = np.split(cells, np.flatnonzero(np.diff(cells >> np.uint32(SLICE_BITS))) + 1)
+            yield out_batch(schema, slice=[int(p[0]) >> SLICE_BITS for p in parts], cells=[p.tobytes() for p in parts])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A slice's cells (sorted by slice) as bits."""
+    schema = arrow_type("slice int,bits binary")
+    now, held = None, np.zeros(1 << SLICE_BITS, bool)
+    for batch in batches:
+        for number, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if number != now:
+                if now is not None:
+                    yield out_batch(schema, slice=[now], bits=[np.packbits(held).tobytes()])
+                now = number
+                held[:] = False
+            held[np.frombuffer(cells, np.uint32) & np.uint32((1 << SLICE_BITS) - 1)] = True
+    if now is not None:
+        yield out_batch(schema, slice=[now], bits=[np.packbits(held).tobytes()])
+
+
+def key_map(keys: DataFrame) -> Broadcast:
+    """A broadcast bit map of a column of row keys: 32 MB at any size; it lets through all of them and few others."""
+    cells = keys.mapInArrow(_cells_of_keys, "slice int, cells binary")
+    merged = cells.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(_slices, "slice int, bits binary")
+    bits = np.zeros(1 << (MOST_BITS - 3), np.uint8)
+    width = 1 << (SLICE_BITS - 3)
+    for number, data in merged.collect():
+        bits[number * width : (number + 1) * width] = np.frombuffer(data, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch], keys: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The shingles of the rows whose key the map lets through."""
     schema = arrow_type(SHINGLES)
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch.column(5))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], schema=schema)
+        batch = batch.filter(pa.array(marked(keys.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
+        if batch.num_rows:
+            sets = [s.tobytes() for s in shingle_sets(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], schema=schema)
 
 
 @lru_cache
@@ -175,15 +218,15 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
     used = np.unique(np.concatenate([left[i], right[j]]))
     _, numbers = np.unique(np.concatenate([sets[n] for n in used.tolist()]), return_inverse=True)
     local = dict(zip(used.tolist(), np.split(numbers, np.cumsum(sizes[used])[:-1])))
-    marked = np.zeros(int(numbers.max()) + 1, bool)
+    flags = np.zeros(int(numbers.max()) + 1, bool)
     cuts = np.flatnonzero(np.diff(i)) + 1
     for rows, others in zip(np.split(i, cuts), np.split(j, cuts)):
         own, others = int(left[rows[0]]), right[others]
-        marked[local[own]] = True
+        flags[local[own]] = True
         parts = [local[n] for n in others.tolist()]
         borders = np.concatenate(([0], np.cumsum(sizes[others])[:-1]))
-        both = np.add.reduceat(marked[np.concatenate(parts)], borders, dtype=np.int64)
-        marked[local[own]] = False
+        both = np.add.reduceat(flags[np.concatenate(parts)], borders, dtype=np.int64)
+        flags[local[own]] = False
         union = sizes[own] + sizes[others] - both
         hit = others[both * threshold.denominator >= union * threshold.numerator]
         if len(hit):
@@ -243,17 +286,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     stars = banded.join(shared, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     coarse = components(stars, "stars").select("node", F.col("root").alias("cluster"))
 
-    # blocks of at most block_docs sets and about block_shingles shingles
+    # blocks of about block_docs sets or block_shingles shingles, dealt out by a hash: no task orders a component
     weight = F.lit(1.0 / block_docs) + F.col("size") / F.lit(float(block_shingles))
-    so_far = Window.partitionBy("cluster").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     members = nodes.drop("bands").join(coarse, "node")
-    members = members.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(so_far), F.lit(0.0))).cast("int"))
-    last = members.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"))
-    members = staged(members.join(last, "cluster").select("node", "cluster", "block", "blocks", "docs", F.col("id").alias("own_id"), F.col("key").alias("own_key")), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(weight)).cast("int").alias("blocks"))
+    members = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = staged(members.select("node", "cluster", "block", "blocks", "docs", F.col("id").alias("own_id"), F.col("key").alias("own_key")), "members")
 
     same = (F.col("id").eqNullSafe(F.col("own_id"))) & (F.col("key") == F.col("own_key"))
-    texts = keyed.join(members, same).select("node", "cluster", "block", "blocks", "docs", "text")
-    sets = texts.mapInArrow(_shingle_rows, SHINGLES)
+    sets = keyed.mapInArrow(partial(_shingle_rows, keys=key_map(members.select("own_key"))), SHINGLES)
+    sets = sets.join(members, same).select("node", "cluster", "block", "blocks", "docs", "shingles")
     units = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"first": F.least("block", "with"), "second": F.greatest("block", "with")}).drop("with")
     few = 8 * shuffle_partitions(spark)
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(few))).otherwise(F.xxhash64("cluster", "first", "second"))

@@ -31,7 +31,7 @@ from .common import U, anchors, arrow_type, doc_key, gram_hashes, mix, out_batch
 
 WINDOW, GRAM = 35, 8
 MOST_BITS = 28
-_SLICE_BITS = 20
+SLICE_BITS = 20
 SKETCH = "slice int,words long,cells binary"
 BUCKET = "bucket int,settled boolean,entries binary"
 REPLY = "home int,entries binary"
@@ -86,7 +86,7 @@ class Windows:
         return mix(a), (mix(b) >> U(32)).astype(np.uint32)
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
+def cells_of(hashes: np.ndarray) -> np.ndarray:
     """Sketch cells; anchors are minima, so their hashes are mixed once more."""
     return (mix(hashes ^ U(0x5851F42D4C957F2D)) >> U(64 - MOST_BITS)).astype(np.uint32)
 
@@ -100,15 +100,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
     def out():
         cells, n = np.unique(np.concatenate(held), return_counts=True)
         cells = np.sort(np.concatenate([cells, cells[n > 1]]))
-        slices = cells >> np.uint32(_SLICE_BITS)
+        slices = cells >> np.uint32(SLICE_BITS)
         cuts = np.flatnonzero(np.diff(slices)) + 1
         parts = np.split(cells, cuts)
-        return out_batch(schema, slice=[int(p[0]) >> _SLICE_BITS for p in parts], words=[words, *[0] * (len(parts) - 1)], cells=[p.tobytes() for p in parts])
+        return out_batch(schema, slice=[int(p[0]) >> SLICE_BITS for p in parts], words=[words, *[0] * (len(parts) - 1)], cells=[p.tobytes() for p in parts])
 
     for batch in batches:
         got = Windows(batch.column(0), window, gram)
         words += int(got.counts[-1])
-        held.append(_cells(got.selected()))
+        held.append(cells_of(got.selected()))
         size += len(held[-1])
         if size > 1_000_000:
             yield out()
@@ -120,7 +120,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the slices of a partition (sorted by slice); gives the bits of cells counted twice or more, and as slice -1 the words."""
     schema = arrow_type("slice int,bits binary")
-    now, counts, words = None, np.zeros(1 << _SLICE_BITS, np.uint8), 0
+    now, counts, words = None, np.zeros(1 << SLICE_BITS, np.uint8), 0
     for batch in batches:
         words += sum(batch.column(1).to_pylist())
         for number, cells in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
@@ -129,7 +129,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out_batch(schema, slice=[now], bits=[np.packbits(counts > 1).tobytes()])
                 now = number
                 counts[:] = 0
-            cells, n = np.unique(np.frombuffer(cells, np.uint32) & np.uint32((1 << _SLICE_BITS) - 1), return_counts=True)
+            cells, n = np.unique(np.frombuffer(cells, np.uint32) & np.uint32((1 << SLICE_BITS) - 1), return_counts=True)
             counts[cells] = np.minimum(counts[cells] + n, 2)
     if now is not None:
         yield out_batch(schema, slice=[now, -1], bits=[np.packbits(counts > 1).tobytes(), words.to_bytes(8, "little")])
@@ -140,7 +140,7 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int) -> tuple[Broadcast
     cells = docs.select("text").mapInArrow(partial(_sketch, window=window, gram=gram), SKETCH)
     merged = cells.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(_merge, "slice int, bits binary")
     bits = np.zeros(1 << (MOST_BITS - 3), np.uint8)
-    width, words = 1 << (_SLICE_BITS - 3), 0
+    width, words = 1 << (SLICE_BITS - 3), 0
     for number, data in merged.collect():
         if number < 0:
             words += int.from_bytes(data, "little")
@@ -149,8 +149,8 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int) -> tuple[Broadcast
     return docs.sparkSession.sparkContext.broadcast(bits), words
 
 
-def _repeated(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cells = _cells(hashes)
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cells = cells_of(hashes)
     return (bits[cells >> np.uint32(3)] >> (np.uint8(7) - (cells & np.uint32(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
@@ -185,7 +185,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], sketch: Broadcast, window: in
         got = Windows(batch.column(2), window, gram)
         if not len(got.at):
             continue
-        at = got.at[_repeated(sketch.value, got.grams[got.anchor])]
+        at = got.at[marked(sketch.value, got.grams[got.anchor])]
         if not len(at):
             continue
         ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))

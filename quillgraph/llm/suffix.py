@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_type, doc_key, out_batch, prepare, shuffle_partitions, staged
-from .substring import Windows, _repeated, columns_of, from_columns, repeated_anchors
+from .substring import Windows, marked, columns_of, from_columns, repeated_anchors
 
 LEAST, GRAM = 50, 8
 NO_ID = -(1 << 63)
@@ -46,7 +46,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], sketch: Broadcast, least: int,
     for batch in batches:
         got = Windows(batch.column(2), least, gram)
         places = np.unique(got.anchor)
-        places = places[_repeated(sketch.value, got.grams[places])] if len(places) else places
+        places = places[marked(sketch.value, got.grams[places])] if len(places) else places
         if not len(places):
             continue
         doc = np.searchsorted(got.counts, places, "right") - 1
