@@ -58,7 +58,7 @@ def structural_graph(elements: DataFrame, least_confidence: float = 0.4) -> tupl
         has_image=F.when(kind == "fig", F.col("image_path").isNotNull()),
     )
     caption = node(caption_id, F.lit("TextBlock"), F.col("caption"), seq + 1, is_caption=F.lit(True))
-    nodes = numbered.select("paper_id", "page", F.explode(F.filter(F.array(own, F.when(captioned, caption)), lambda x: x.isNotNull())).alias("x")).select("x.node_id", "x.node_type", "paper_id", "page", "x.content", "x.image_path", "x.seq", "x.section_title", "x.depth", "x.is_section", "x.is_caption", "x.confidence", "x.has_image")
+    nodes = numbered.select("paper_id", "page", F.explode(F.when(captioned, F.array(own, caption)).otherwise(F.array(own))).alias("x")).select("x.node_id", "x.node_type", "paper_id", "page", "x.content", "x.image_path", "x.seq", "x.section_title", "x.depth", "x.is_section", "x.is_caption", "x.confidence", "x.has_image")
     papers = elements.select("paper_id").distinct()
     nothing = {"image_path": "string", "section_title": "string", "depth": "int", "is_section": "boolean", "is_caption": "boolean", "confidence": "double", "has_image": "boolean"}
     paper_nodes = papers.select(root.alias("node_id"), F.lit("Paper").alias("node_type"), "paper_id", F.lit(0).alias("page"), F.col("paper_id").alias("content"), F.lit(0).cast("bigint").alias("seq"), *[F.lit(None).cast(t).alias(k) for k, t in nothing.items()])
@@ -69,6 +69,6 @@ def structural_graph(elements: DataFrame, least_confidence: float = 0.4) -> tupl
     parent = F.when(is_section, root).otherwise(F.coalesce("section", root))
     contains = edge(parent, F.col("node_id"), "CONTAINS", CONTAINS_WEIGHT, seq)
     has_caption = edge(F.col("node_id"), caption_id, "HAS_CAPTION", CAPTION_WEIGHT, seq + 1)
-    edges = numbered.select("paper_id", F.explode(F.filter(F.array(contains, F.when(captioned, has_caption)), lambda x: x.isNotNull())).alias("x"))
+    edges = numbered.select("paper_id", F.explode(F.when(captioned, F.array(contains, has_caption)).otherwise(F.array(contains))).alias("x"))
     edges = edges.select("x.src_id", "x.dst_id", "x.edge_type", "x.weight", F.lit(1.0).alias("confidence"), F.lit("rule").alias("method"), F.lit(None).cast("string").alias("evidence"), "x.seq")
     return paper_nodes.unionByName(nodes), edges
