@@ -65,6 +65,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), vocabulary())
 
 
+# Parts of the queries above that SQL can express, so that they can be held against it.
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir)).select("doc_id", "n_chars", "edited_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir).select("source", mixing.words(F.col("text")).alias("size"))
+    return mixing.targets(sized).select("source", "source_size", F.round("target", 4).alias("target"))
+
+
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.base_rules(table(spark, sf_dir))
+
+
+def suffix_array_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_spans(table(spark, sf_dir)).select("doc_id", "start", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mix_sources": op2_mix_sources,
@@ -76,6 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "fingerprint_edits": fingerprint_edits,
+    "mix_targets": mix_targets,
+    "quality_base_rules": quality_base_rules,
+    "suffix_array_spans": suffix_array_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -141,4 +165,43 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id),
         l AS (SELECT x, count(*) AS n FROM e GROUP BY x)
         SELECT c.doc_id, c.class_id, coalesce(l.n, 0) AS n_links FROM c LEFT JOIN l ON l.x = c.doc_id""",
+    "fingerprint_edits": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS following FROM d)
+        SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(following, 1, length(t) // 2)) AS edited_sha256 FROM n""",
+    "mix_targets": r"""
+        WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+        w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+        l AS (
+            SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM w
+        )
+        SELECT source, source_size, round(least(cap, weight * (SELECT max(level) FROM l)), 4) AS target FROM l""",
+    "quality_base_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+        g AS (SELECT *, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT *, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS again FROM g),
+        r AS (SELECT doc_id, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM c),
+        k AS (SELECT doc_id, count(*) FILTER (covered) AS n FROM r GROUP BY doc_id),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        f AS (
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_repeat_words
+            FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+        )
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f""",
+    "suffix_array_spans": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+        s AS (
+            SELECT *, string_agg(word, ' ') OVER f AS words, count(*) OVER f AS n
+            FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+        ),
+        r AS (SELECT doc_id, i, n = 50 AND count(*) OVER (PARTITION BY words, n) > 1 AS repeated FROM s),
+        c AS (SELECT *, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        g AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM c WHERE gone)
+        SELECT doc_id, min(i) AS start, count(*) AS n_words FROM g GROUP BY doc_id, island""",
 }
