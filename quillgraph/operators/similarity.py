@@ -41,7 +41,16 @@ def semantic_type(src: Column, dst: Column, similarity: Column) -> Column:
     )
 
 
-def _products(blocks: Iterator[pd.DataFrame], least: float, ordered: bool, across: bool) -> Iterator[pd.DataFrame]:
+def _before(keys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which pairs are in order by their keys, the first key that differs deciding."""
+    less, equal = np.zeros(len(keys[0][0]), bool), np.ones(len(keys[0][0]), bool)
+    for a, b in keys:
+        less |= equal & (a < b).astype(bool)
+        equal &= (a == b).astype(bool)
+    return less
+
+
+def _products(blocks: Iterator[pd.DataFrame], least: float, ordered: bool, across: bool, order: tuple[str, ...]) -> Iterator[pd.DataFrame]:
     """Pairs of rows of two blocks whose dot product is large enough."""
     for pairs in blocks:
         for p in pairs.itertuples(index=False):
@@ -49,13 +58,18 @@ def _products(blocks: Iterator[pd.DataFrame], least: float, ordered: bool, acros
             product = a @ b.T
             i, j = np.nonzero(product >= least)
             seq_a, seq_b = np.asarray(p.seqs), np.asarray(p.other_seqs)
-            keep = seq_a[i] < seq_b[j] if not ordered else seq_a[i] != seq_b[j]
+            ids_a, ids_b = np.asarray(p.ids, object), np.asarray(p.other_ids, object)
+            keep = np.ones(len(i), bool) if not ordered else seq_a[i] != seq_b[j]
             if across:
                 group_a, group_b = np.asarray(p.papers, object), np.asarray(p.other_papers, object)
                 keep &= group_a[i] != group_b[j]
             i, j = i[keep], j[keep]
+            if not ordered and len(i):
+                named = [np.array([x or "" for x in papers], object) for papers in (p.papers, p.other_papers)]
+                keys = {"seq": (seq_a[i], seq_b[j]), "paper_id": (named[0][i], named[1][j]), "node_id": (ids_a[i], ids_b[j])}
+                keep = _before([keys[k] for k in order])
+                i, j = i[keep], j[keep]
             if len(i):
-                ids_a, ids_b = np.asarray(p.ids, object), np.asarray(p.other_ids, object)
                 yield pd.DataFrame({"src_id": ids_a[i], "dst_id": ids_b[j], "similarity": product[i, j], "src_seq": seq_a[i], "dst_seq": seq_b[j]})
 
 
@@ -69,27 +83,31 @@ def _unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(size < 1e-9, 0.0).otherwise(x.cast("double") / size))
 
 
-def similar_pairs(vectors: DataFrame, least: float, per_paper: bool, block: int = 512) -> DataFrame:
+#: Total orders of nodes: seq of the whole corpus, or paper after paper (seq is a place within the paper).
+BY_SEQ, BY_PAPER = ("seq", "paper_id", "node_id"), ("paper_id", "seq", "node_id")
+
+
+def similar_pairs(vectors: DataFrame, least: float, per_paper: bool, block: int = 512, order: tuple[str, ...] = BY_SEQ) -> DataFrame:
     """Pairs of vectors (node_id, paper_id, seq, embedding) with a cosine of at least `least`.
 
-    per_paper: ordered pairs within each paper; otherwise pairs of different papers, smaller seq first.
+    per_paper: ordered pairs within each paper; otherwise pairs of different papers, each once, the smaller by `order` first.
     """
     unit = vectors.select("node_id", "paper_id", F.col("seq").cast("bigint").alias("seq"), _unit(F.col("embedding")).alias("vector"))
     group = F.col("paper_id") if per_paper else F.lit("")
-    order = Window.partitionBy("paper_id").orderBy("seq")
+    places = Window.partitionBy("paper_id").orderBy("seq")
     if per_paper:
-        unit = unit.withColumn("block", F.floor((F.row_number().over(order) - 1) / F.lit(block)))
+        unit = unit.withColumn("block", F.floor((F.row_number().over(places) - 1) / F.lit(block)))
     else:  # blocks by a hash need no global order
         unit = unit.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(max(1, -(-vectors.count() // block)))))
     fields = {"node_id": "ids", "paper_id": "papers", "seq": "seqs", "vector": "vectors"}
     packed = unit.withColumn("grp", group).groupBy("grp", "block").agg(F.collect_list(F.struct(*fields)).alias("rows"))
     packed = packed.select("grp", "block", *[F.col(f"rows.{c}").alias(n) for c, n in fields.items()])
     other = packed.select("grp", F.col("block").alias("other_block"), *[F.col(n).alias(f"other_{n}") for n in fields.values()])
-    # each block meets each: ordered pairs need both orders of two blocks, as do unordered pairs whose order is seq
+    # each block meets each: ordered pairs need both orders of two blocks, as do unordered pairs, whose order blocks do not follow
     last = packed.groupBy("grp").agg(F.max("block").alias("last"))
     meets = packed.join(last, "grp").withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("last"))))
     met = meets.join(other, ["grp", "other_block"]).drop("grp", "block", "other_block", "last")
-    return met.mapInPandas(partial(_products, least=least, ordered=per_paper, across=not per_paper), PAIRS)
+    return met.mapInPandas(partial(_products, least=least, ordered=per_paper, across=not per_paper, order=order), PAIRS)
 
 
 def semantic_edges(nodes: DataFrame, threshold: float = 0.75, top_k: int = 10) -> DataFrame:
@@ -103,6 +121,6 @@ def semantic_edges(nodes: DataFrame, threshold: float = 0.75, top_k: int = 10) -
     return typed.select("src_id", "dst_id", semantic_type(F.col("src_type"), F.col("dst_type"), F.col("similarity")).alias("edge_type"), weight.alias("weight"), weight.alias("confidence"), F.lit("embedding").alias("method"), F.lit(None).cast("string").alias("evidence"), F.col("src_seq").alias("seq"))
 
 
-def cross_document_edges(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
+def cross_document_edges(nodes: DataFrame, threshold: float = 0.85, order: tuple[str, ...] = BY_SEQ) -> DataFrame:
     weight = F.round("similarity", 4)
-    return similar_pairs(nodes, threshold, per_paper=False).select("src_id", "dst_id", F.lit("SAME_CONCEPT").alias("edge_type"), weight.alias("weight"), weight.alias("confidence"), F.lit("crossdoc_embedding").alias("method"), F.lit(None).cast("string").alias("evidence"), F.col("src_seq").alias("seq"))
+    return similar_pairs(nodes, threshold, per_paper=False, order=order).select("src_id", "dst_id", F.lit("SAME_CONCEPT").alias("edge_type"), weight.alias("weight"), weight.alias("confidence"), F.lit("crossdoc_embedding").alias("method"), F.lit(None).cast("string").alias("evidence"), F.col("src_seq").alias("seq"))

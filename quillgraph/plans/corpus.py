@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import upsert_edges, upsert_nodes
 from ..operators.references import augmented_references, reference_edges
-from ..operators.similarity import cross_document_edges, semantic_edges
+from ..operators.similarity import BY_PAPER, cross_document_edges, semantic_edges
 from ..operators.structure import structural_graph
 
 _STAGE = 1 << 40
@@ -36,7 +36,7 @@ def build(elements: DataFrame, options: Options | None = None, embeddings: DataF
         if options.semantic:
             tables.append(later(semantic_edges(vectors, options.semantic_threshold, options.semantic_top_k), 2))
         if options.cross_document:
-            tables.append(later(cross_document_edges(vectors, options.cross_threshold), 3))
+            tables.append(later(cross_document_edges(vectors, options.cross_threshold, BY_PAPER), 3))
     nodes = upsert_nodes(nodes)
     edges = upsert_edges(nodes, *tables)
     if options.korean:

@@ -125,6 +125,17 @@ def test_similarity(spark):
     assert max(Counter(r["src_id"] for r in similarity.semantic_edges(df, 0.1, 3).collect()).values()) == 3
 
 
+def test_cross_document_links_at_equal_places(spark):
+    """Nodes at the same place of different papers are linked, from the earlier paper to the later."""
+    schema = "paper_id string, page int, page_pos int, kind_rank int, elem_pos int, element_type string, content string, caption string, image_path string, confidence double"
+    rows = spark.createDataFrame([(p, 1, 0, 1, k, "text", f"paragraph {k} of a paper", None, None, None) for p in ("b", "c", "a") for k in range(3)], schema)
+    vectors = {f"{p}__text_{k + 1}": [float(k == j) for j in range(3)] for p in "abc" for k in range(3)}
+    embeddings = spark.createDataFrame(list(vectors.items()), "node_id string, embedding array<double>")
+    _, edges = corpus.build(rows, corpus.Options(cross_document=True), embeddings)
+    got = Counter((r["src_id"], r["dst_id"]) for r in edges.where("edge_type = 'SAME_CONCEPT'").collect())
+    assert got == Counter({(f"{p}__text_{k}", f"{q}__text_{k}"): 1 for k in (1, 2, 3) for p, q in ("ab", "ac", "bc")})
+
+
 def log_rows(spark, rows):
     base = dict(question="q", chosen="a", rejected="b", paper_id="p", created_at="2024-01-01T00:00:00+09:00", lang="ko", question_source="auto", question_type="VQA", difficulty=1, kg_provenance=None, gold_answer="", image_paths=[], candidates=[], chosen_idx=0, rejected_idx=1, annotator="", model_version="base", notes="", status="active")
     names = ["pair_id", *base]
