@@ -4,12 +4,16 @@ Suffixes are retained only at minimiser positions: in each run of 50 words the 8
 passages select equal positions.  A count-min sketch of the anchors (as for substring dedup, a bit map of fixed size)
 leaves out suffixes that cannot repeat.  The rest are sorted by the hashes of their words, and each is compared with its
 neighbours: the match is extended right over the common prefix and left over the words before, up to the reach within
-which every run of 50 words around the position lies.  A second order, by the words before the position read backwards,
-finds the partners whose match is longer to the left.  Matches of at least 50 words become spans, and the spans of a
-document are united.
+which every run of 50 words around the position lies.  Matches of at least 50 words become spans.
+
+A row's best neighbours may fall short of 50 words while another one, elsewhere in the order, matches it on both sides.
+So the windows of 50 words around the retained positions are also grouped exactly, by a 96-bit hash as for substring
+dedup: tasks settle the windows that they see twice and send each on once.  Every repeat of 50 words consists of repeated
+windows, so none is missed; the order adds the partners that match furthest.  The spans of a document are united.
 
 Sort keys end in the row's own place, so range partitions split even a passage that a third of all documents share;
-the rows at partition borders are compared in a second small step.  Only neighbours are compared, never pairs in groups.
+the rows at partition borders are compared in a second small step.  Only neighbours are compared, never pairs in groups;
+of equal windows each gets the next one as its partner.
 
 Defined results: a row per united span, none for documents without one (null texts, fewer than 50 words); repeated rows
 repeat each other; spans may repeat inside one document; ties in the order are broken by doc_id, a hash of the text and
@@ -28,16 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_type, doc_key, out_batch, prepare, shuffle_partitions, staged
+from .common import U, arrow_type, doc_key, mix, out_batch, prepare, shuffle_partitions, staged
 from .substring import Windows, marked, columns_of, from_columns, repeated_anchors
 
 LEAST, GRAM = 50, 8
 NO_ID = -(1 << 63)
 SUFFIXES = "right binary,left binary,id long,key long,at int"
 SPAN = np.dtype([("id", "<i8"), ("key", "<i8"), ("from", "<u4"), ("to", "<u4"), ("other", "<i8"), ("place", "<u4")])
+#: Of a window that may be repeated: two parts of its hash, its document's id and key, its place, and whether its task settled it.
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("id", "<i8"), ("key", "<i8"), ("at", "<u4"), ("done", "u1")])
+ASKED = "bucket int,settled boolean,entries binary"
+PACKED = "home int,entries binary"
 FOUND = "kind int,part int,home int,entries binary,right binary,left binary,id long,key long,at int"
 SPANS = "doc_id long,start long,n_words long,other_doc_id long,other_start long"
 INNER, FIRST, LAST = 0, 1, 2
+_FLUSH = 400_000
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], sketch: Broadcast, least: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -84,7 +93,7 @@ def united(spans: np.ndarray) -> np.ndarray:
     """Spans of each document that overlap or touch become one; it keeps the partner of its longest part."""
     if not len(spans):
         return spans
-    spans = spans[np.lexsort((spans["to"], spans["from"], spans["id"], spans["key"]))]
+    spans = spans[np.lexsort((-spans["to"].astype(np.int64), spans["from"], spans["id"], spans["key"]))]
     new = np.ones(len(spans), bool)
     new[1:] = (spans["key"][1:] != spans["key"][:-1]) | (spans["id"][1:] != spans["id"][:-1])
     group = np.cumsum(new) - 1
@@ -153,6 +162,80 @@ def _across(batches: Iterator[pa.RecordBatch], least: int, gram: int, homes: int
                 yield pa.RecordBatch.from_arrays([packed.column("home"), packed.column("entries")], schema=schema)
 
 
+def _equal_windows(entries: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries by their hash, which of them are the first of equal ones, and the spans of those that have an equal."""
+    entries = entries[np.lexsort((entries["at"], entries["key"], entries["b"], entries["a"]))]
+    new = np.ones(len(entries), bool)
+    new[1:] = (entries["a"][1:] != entries["a"][:-1]) | (entries["b"][1:] != entries["b"][:-1])
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    sizes = np.bincount(group)
+    partner = np.arange(1, len(entries) + 1)
+    partner[np.append(first[1:], len(entries)) - 1] = first  # the last one's is the first
+    mine = np.flatnonzero((sizes[group] > 1) & (entries["done"] == 0))
+    other = entries[partner[mine]]
+    spans = np.empty(len(mine), SPAN)
+    for name in ("id", "key"):
+        spans[name] = entries[name][mine]
+    spans["from"], spans["to"] = entries["at"][mine], entries["at"][mine] + np.uint32(least)
+    spans["other"], spans["place"] = other["id"], other["at"]
+    return entries, new, spans
+
+
+def _windows(batches: Iterator[pa.RecordBatch], sketch: Broadcast, least: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows that may be repeated, once for each task, by bucket of their hash; those repeated here as spans, by document."""
+    schema = arrow_type(ASKED)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def out():
+        entries, new, spans = _equal_windows(np.concatenate(held), least)
+        asked = entries[new]
+        asked["done"] = np.diff(np.append(np.flatnonzero(new), len(entries))) > 1
+        spans = united(spans)
+        for rows, settled, where in ((asked, False, asked["a"] % U(buckets)), (spans, True, mix(spans["key"].view(np.uint64)) % U(buckets))):
+            if not len(rows):
+                continue
+            order = np.lexsort((rows["from" if settled else "at"], rows["key"], where))
+            rows, where = rows[order], where[order]
+            cuts = np.flatnonzero(np.diff(where)) + 1
+            parts = np.split(rows, cuts)
+            yield out_batch(schema, bucket=where[np.concatenate(([0], cuts))].astype(np.int32), settled=[settled] * len(parts), entries=[columns_of(p) for p in parts])
+
+    for batch in batches:
+        got = Windows(batch.column(2), least, gram)
+        at = got.at[marked(sketch.value, got.grams[got.anchor])] if len(got.at) else got.at
+        if not len(at):
+            continue
+        ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        doc = np.searchsorted(got.counts, at, "right") - 1
+        entries = np.zeros(len(at), WINDOW)
+        entries["a"], entries["b"] = got.hashes(at)
+        entries["id"], entries["key"], entries["at"] = ids[doc], keys[doc], at - got.counts[doc]
+        held.append(entries)
+        size += len(entries)
+        if size > _FLUSH:
+            yield from out()
+            held, size = [], 0
+    if size:
+        yield from out()
+
+
+def _equal(table: pa.Table, least: int, homes: int) -> pa.Table:
+    """One bucket: the spans of windows that are elsewhere too, by home of their document."""
+    spans: list[np.ndarray] = []
+    asked: list[np.ndarray] = []
+    for settled, entries in zip(table.column("settled").to_pylist(), table.column("entries").to_pylist()):
+        (spans if settled else asked).append(from_columns(entries, SPAN if settled else WINDOW))
+    if asked:
+        spans.append(_equal_windows(np.concatenate(asked), least)[2])
+    found = united(np.concatenate(spans))
+    if not len(found):
+        return arrow_type(PACKED).empty_table()
+    packed = _pack(found, homes, arrow_type(FOUND), 0)
+    return pa.Table.from_arrays([packed.column("home"), packed.column("entries")], schema=arrow_type(PACKED))
+
+
 def _unite(table: pa.Table, least: int) -> pa.Table:
     spans = united(np.concatenate([from_columns(x, SPAN) for x in table.column("entries").to_pylist()]))
     named = lambda x: pa.array(x, pa.int64(), mask=x == NO_ID)
@@ -161,7 +244,7 @@ def _unite(table: pa.Table, least: int) -> pa.Table:
 
 
 def _matches(suffixes: DataFrame, order: list[str], least: int, gram: int, homes: int, name: str) -> DataFrame:
-    """Packed spans (home, entries) from the neighbours in one order."""
+    """Packed spans (home, entries) from the neighbours in an order."""
     n = shuffle_partitions(suffixes.sparkSession)
     sorted_ = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
     found = staged(sorted_.mapInArrow(partial(_neighbours, least=least, gram=gram, homes=homes), FOUND), name)
@@ -181,7 +264,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     sketch, words = repeated_anchors(keyed, least, gram)
     homes = max(shuffle_partitions(docs.sparkSession), words // 2_000_000)
     suffixes = keyed.mapInArrow(partial(_suffixes, sketch=sketch, least=least, gram=gram), SUFFIXES)
-    own = ["id", "key", "at"]
-    right = _matches(suffixes, ["right", "left", *own], least, gram, homes, "suffixes")
-    left = _matches(suffixes, ["left", "right", *own], least, gram, homes, "prefixes")
-    return right.unionByName(left).groupBy("home").applyInArrow(lambda table: _unite(table, least), SPANS)
+    sorted_ = _matches(suffixes, ["right", "left", "id", "key", "at"], least, gram, homes, "suffixes")
+    buckets = max(shuffle_partitions(docs.sparkSession), words // 1_000_000)
+    asked = keyed.mapInArrow(partial(_windows, sketch=sketch, least=least, gram=gram, buckets=buckets), ASKED)
+    equal = asked.groupBy("bucket").applyInArrow(lambda bucket: _equal(bucket, least, homes), PACKED)
+    return sorted_.unionByName(equal).groupBy("home").applyInArrow(lambda table: _unite(table, least), SPANS)

@@ -75,6 +75,33 @@ def test_suffix_array_of_repeated_rows_and_null_ids(spark):
     assert any(r["doc_id"] is None for r in got) == any(r["other_doc_id"] is None for r in got)
 
 
+def test_suffix_array_finds_passages_among_their_excerpts(spark):
+    """A shared passage of 60 words stays found when excerpts of under 50 words take the places beside it in both orders."""
+    import random
+
+    for seed in (0, 1, 2):
+        rng = random.Random(seed)
+        some = []
+        for k in range(40):  # two documents, and excerpts of each that reach over one end of the passage
+            passage = data.words(rng, 60).split()
+            full = [data.words(rng, 49).split() + passage + data.words(rng, 49).split() for _ in range(2)]
+            some += [(1000 * k + i, " ".join(w)) for i, w in enumerate(full)]
+            for i in range(30):
+                w = full[i % 2]
+                at = rng.randint(1, len(w) - 50)
+                some.append((1000 * k + 10 + i, " ".join([*data.words(rng, 10).split(), *w[at : at + 49], *data.words(rng, 10).split()])))
+        rng.shuffle(some)
+        rows = [(i, t, "en", "s") for i, t in some]
+        _, gone = covered(rows, suffix.LEAST)
+        found = {}
+        texts = {i: split(t) for i, t in some}
+        for r in suffix.repeated_spans(data.frame(spark, rows)).collect():
+            found.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+            start, other = r["start"], r["other_start"]
+            assert texts[r["doc_id"]][start : start + 50] == texts[r["other_doc_id"]][other : other + 50]
+        assert found == {r[0]: g for r, g in zip(rows, gone) if g}
+
+
 def shingles(t):
     w = split(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
