@@ -39,9 +39,9 @@ _letters: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Which code points below 0x10000 are letters; those above count as letters."""
+    """Which code points are letters."""
     if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000))
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
@@ -50,7 +50,7 @@ def counts(text: str) -> np.ndarray | None:
     total, any_letter = np.zeros(FEATURES, np.int64), False
     for at in range(0, len(text), _SLICE):
         code = np.frombuffer(text[max(0, at - ORDERS + 1) : at + _SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        known = letters()[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+        known = letters()[code]
         any_letter |= bool(known.any())
         code = np.where(known, code, np.uint32(32))
         parts = []

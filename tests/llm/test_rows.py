@@ -177,6 +177,15 @@ def test_language_id(spark, sf):
     assert langid.identify(data.empty(spark)).count() == 0
 
 
+def test_texts_without_a_letter_beyond_the_basic_plane(spark):
+    odd = [(2000, "\U0001F642" * 50, "en", "s"), (2001, "\U0001F389 2024!", "fr", "s"), (2002, "\U00010400\U00020000", "en", "s")]
+    docs = data.frame(spark, data.rows() + odd)
+    by = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert [(by[k]["lang_pred"], by[k]["score"]) for k in (2000, 2001)] == [("und", 0.0)] * 2
+    assert by[2002]["lang_pred"] != "und"  # Deseret and Han letters
+    assert not {2000, 2001} & {r["doc_id"] for r in langid.accepted_documents(docs, 0.0).collect()}
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 3, 4000)
