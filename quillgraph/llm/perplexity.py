@@ -9,8 +9,9 @@ there are at most 2**20 of them for each order and language, whatever the size o
 
 Perplexity is that of a word: the exponential of a text's negative log-probability over its number of words.  (A mean
 over characters would hide words with marks stuck to them, whose repeated characters are cheap.)  A document is rejected
-if the logarithm lies outside its language's band: the median of the documents that pass the base rules, and `width`
-robust standard deviations (1.4826 times the median absolute deviation, at least `floor`) to either side.
+if the logarithm lies outside its language's band: the median of the documents that pass the base rules, less `below` and
+plus `above` robust standard deviations (1.4826 times the median absolute deviation, at least `floor`).  The lower side
+is tighter: texts of likely fragments score only a little below the median, texts with marks stuck to words far above it.
 
 Defined results: a null text has no words and fails the base rules; perplexity is null without a word; a language
 without any document that passes the base rules has no band and rejects none; repeated rows count each; an empty table
@@ -35,7 +36,7 @@ from .common import SEPARATOR, U, arrow_type, gram_hashes, mix, out_batch, prepa
 ORDER, CLASS_BITS = 5, 12
 PLAIN = 2048
 LEAST = 2.0**-20
-WIDTH, FLOOR = 10.0, 0.1
+BELOW, ABOVE, FLOOR = 4.5, 6.0, 0.1
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 COUNTS = "lang string,gram long,n long"
@@ -261,7 +262,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_base, BASE).withColumn("base_failed", F.expr(FAILED))
 
 
-def quality(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR, least: float = LEAST) -> DataFrame:
+def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, least: float = LEAST) -> DataFrame:
     """A row per document: doc_id, the base counts, base_failed, kept, perplexity and the band's lower and upper perplexity."""
     spark = docs.sparkSession
     prepare(spark)
@@ -272,8 +273,8 @@ def quality(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR, least:
     good = scored.where("not base_failed").select("lang", "nll")
     middle = staged(good.groupBy("lang").agg(F.percentile_approx("nll", 0.5, 10000).alias("middle")), "medians")
     spread = good.join(middle, "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("nll") - F.col("middle")), 0.5, 10000).alias("spread"))
-    reach = F.lit(width) * F.greatest(F.lit(floor), 1.4826 * F.col("spread"))
-    bands = staged(spread.select("lang", (F.col("middle") - reach).alias("low"), (F.col("middle") + reach).alias("high")), "bands")
+    unit = F.greatest(F.lit(floor), 1.4826 * F.col("spread"))
+    bands = staged(spread.select("lang", (F.col("middle") - F.lit(below) * unit).alias("low"), (F.col("middle") + F.lit(above) * unit).alias("high")), "bands")
     judged = scored.join(bands, "lang", "left")
     inside = F.coalesce(F.col("nll").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select(

@@ -136,6 +136,25 @@ def test_perplexity_rejects_strange_texts(spark):
     assert sum(got[i]["kept"] for i in range(300)) == sum(not got[i]["base_failed"] for i in range(300))
 
 
+def test_perplexity_rejects_likely_junk_and_mildly_garbled_texts(spark):
+    rng = random.Random(9)
+    vocabulary = [data.words(rng, 1) for _ in range(300)]
+    some = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(60, 200))), "en", "s") for i in range(300)]
+    short = sorted(vocabulary, key=len)[:12]
+    for i in range(40):  # more and more short words, and more and more words with a mark
+        some.append((1000 + i, " ".join(rng.choice(short if rng.random() < i / 40 else vocabulary) for _ in range(100)), "en", "s"))
+        some.append((2000 + i, " ".join(w + "&%#*$"[i % 5] * (3 if rng.random() < i / 40 else 0) for w in rng.choices(vocabulary, k=100)), "en", "s"))
+    got = {r["doc_id"]: r for r in perplexity.quality(data.frame(spark, some)).collect()}
+    log = {k: np.log(r["perplexity"]) for k, r in got.items() if not r["base_failed"]}
+    middle = np.median(list(log.values()))
+    unit = max(0.1, 1.4826 * np.median(np.abs(np.array(list(log.values())) - middle)))
+    far = {k: (x - middle) / unit for k, x in log.items()}
+    low, high = [k for k, z in far.items() if -9.5 < z < -4.8], [k for k, z in far.items() if 6.3 < z < 9.5]
+    assert low and high and min(low) >= 1000 and min(high) >= 2000
+    assert not any(got[k]["kept"] for k in low + high)
+    assert all(got[k]["kept"] for k, z in far.items() if -4.2 < z < 5.7)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "u1", "<p>" + "x" * 200), (2, "u2 é\r\n", "<p>" + "x" * 200), (3, None, None), (4, "u", ""), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "é" * 3000), (7, "u", "é" * 3000), (None, "u", "é" * 3000)]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, digest string").repartition(3)
