@@ -129,13 +129,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them: each row as often as it is taken, with the input's columns."""
+    """The documents as the mix takes them: each row as often as it is taken, with the input's columns.
+
+    Rows are named by doc_id, text and source.  Of rows that are equal in all three some may get a copy more than the
+    others; which of them do is decided by their number, and all that is kept of them is how many.
+    """
     plain = own_names(docs, ("doc_id", "text", "source"))
-    keyed = plain.select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), doc_key("doc_id", "text").alias("key"))
+    keyed = plain.select("*", F.coalesce("doc_id", F.lit(0)).alias("id"), doc_key("doc_id", "text", "source").alias("key"))
     sized = keyed.select("id", "key", "source", words(F.col("text")).alias("size"))
     got = copies(sized, ["id", "key"], **options)
-    lists = got.groupBy("id", "key").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
-    number = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.col("source").asc_nulls_last()))
-    joined = keyed.withColumn("number", number).join(lists, ["id", "key"])
-    times = F.array_repeat(F.lit(1), F.element_at("copies", F.col("number")))
+    taken = got.groupBy("id", "key").agg(F.min("copies").alias("least"), F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows"))
+    # copies of equal rows differ by at most one
+    taken = taken.select("id", "key", "least", (F.col("sum") - F.col("least") * F.col("rows")).alias("more"))
+    number = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))
+    joined = keyed.join(taken, ["id", "key"]).withColumn("number", F.when(F.col("more") > 0, number).otherwise(F.lit(1)))
+    times = F.array_repeat(F.lit(1), (F.col("least") + (F.col("number") <= F.col("more")).cast("int")).cast("int"))
     return joined.select(*plain.columns, F.explode(times).alias("one")).drop("one").toDF(*docs.columns)
