@@ -6,8 +6,9 @@ deterministic parser reads rendered text back.  In the grammar, `<` followed by
 and compared with its source; where it differs, conflicting content gets one more backslash and the check is repeated,
 until both are identical.  Escaping is a bijection, so one step is enough, and text without conflicts stays as it is.
 
-Rendering and the round trip run row by row; only digests need the turns of a conversation in order, and these are
-streamed over sorted rows without holding a conversation.  A chained digest cannot be split, so the hashing alone (not
+Rendering and the round trip run row by row, and give the span of each text, so that a loss mask can be laid over the
+rendered conversation.  Only digests need the turns of a conversation in order, and these are streamed over sorted rows
+without holding a conversation.  A chained digest cannot be split, so the hashing alone (not
 the rendering) of one very long conversation stays in one task.
 
 Defined results: a null role or text is an empty one; turns are ordered by turn (null first), then role and text, so
@@ -25,12 +26,13 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_type, out_batch, prepare
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-RENDERED = "conv_id long,turn long,rendered string"
+RENDERED = "conv_id long,turn long,rendered string,text_start long,text_end long,raw_role string,raw_text string"
 DIGESTS = "conv_id long,n_turns long,turns_sha256 string,loss_chars long,loss_sha256 string,formatted_chars long"
 
 
@@ -107,17 +109,34 @@ def parses_to(rendered_text: str, text: str) -> bool:
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_type(RENDERED)
     for batch in batches:
-        roles, texts = ([x or "" for x in batch.column(i).to_pylist()] for i in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(round_trip, roles, texts), pa.string())], schema=schema)
+        rows = []
+        for role, text in zip(*([x or "" for x in batch.column(i).to_pylist()] for i in (2, 3))):
+            rendered = round_trip(role, text)
+            _, _, start, end = parse(rendered)[0]
+            plain = rendered == render_turn(role, text)
+            rows.append((rendered, start, end, None if plain else role, None if plain else text))
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:])] if rows else [pa.array([], f.type) for f in list(schema)[2:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=schema)
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """A row per turn: conv_id, turn, rendered.  A conversation's rows in order of turn and rendered are its text."""
-    prepare(conversations.sparkSession, 1000)
+    """A row per turn: conv_id, turn, rendered, and the span of its text in rendered (text_start, text_end).
+
+    A conversation's rows in order (see `in_order`) are its text.  raw_role and raw_text are set where something was escaped.
+    """
+    prepare(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return rows.mapInArrow(_render, RENDERED)
 
 
+def in_order() -> list:
+    """Turn, role and text of rendered turns, as they were before escaping."""
+    head = F.instr("rendered", "\n")
+    role = F.coalesce("raw_role", F.substring("rendered", F.lit(len(START) + 1), head - len(START) - 1))
+    text = F.coalesce("raw_text", F.substring("rendered", head + 1, F.length("rendered") - head - len(END) - 1))
+    return [F.col("turn").asc_nulls_first(), role, text]
+
+
 class Digest:
     """What is read back of one conversation, turn by turn."""
 
@@ -139,6 +158,21 @@ class Digest:
         return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
+def formatted(rendered: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """A row per turn: conv_id, place (from 0), rendered, and the spans of the turn and of what is learned in the conversation's text.
+
+    learned_start and learned_end are null for turns of other roles.
+    """
+    order = Window.partitionBy("conv_id").orderBy(*in_order())
+    before = F.coalesce(F.sum(F.length("rendered")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    rows = rendered.withColumn("role", in_order()[1]).withColumn("start", before).withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    mask = F.col("role").isin(*learned)
+    return rows.select(
+        "conv_id", "place", "rendered", "start", (F.col("start") + F.length("rendered")).alias("end"),
+        F.when(mask, F.col("start") + F.col("text_start")).alias("learned_start"), F.when(mask, F.col("start") + F.col("text_end")).alias("learned_end"),
+    )
+
+
 def _digests(batches: Iterator[pa.RecordBatch], learned: frozenset[str]) -> Iterator[pa.RecordBatch]:
     schema = arrow_type(DIGESTS)
     now: Digest | None = None
@@ -158,5 +192,6 @@ def _digests(batches: Iterator[pa.RecordBatch], learned: frozenset[str]) -> Iter
 
 def read_back(rendered: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """A row per conversation from its rendered turns: counts and digests of the turns and of the text under the loss mask."""
-    together = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
+    needed = rendered.select("conv_id", "turn", "rendered", "raw_role", "raw_text")
+    together = needed.repartition("conv_id").sortWithinPartitions("conv_id", *in_order())
     return together.mapInArrow(partial(_digests, learned=frozenset(learned)), DIGESTS)
