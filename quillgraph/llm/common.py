@@ -10,6 +10,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 U = np.uint64
 
 
-def prepare(spark: SparkSession, records: int = 400) -> None:
-    """Small Arrow batches (texts may be long), and workers that can import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+BATCH_ROWS = 400
+
+
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches (texts may be long), and workers that can import this package.
+
+    Plans are lazy, so the batch size has to stay set; it is only ever lowered, to the same value for all operators.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
@@ -43,6 +52,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Schemes of Hadoop file systems under the names that Arrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def place(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system and path of a path in the shared folder, as executors open it."""
+    scheme, mark, rest = uri.partition(":")
+    if not mark:
+        return pa.fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 def arrow_type(schema: str) -> pa.Schema:
     """An Arrow schema from 'name type, ...' with the few types that the operators use."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
@@ -157,19 +180,22 @@ def starts_inside(counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(grams: np.ndarray, span: int) -> np.ndarray:
-    """For each run of span k-gram hashes, the position of its leftmost smallest; equal runs select the same offset."""
+    """For each run of span k-gram hashes, the position of its leftmost smallest.
+
+    Whole hashes are compared, then positions, so equal runs select the same offset wherever they stand.
+    """
     size = len(grams) - span + 1
     if size <= 0:
         return np.zeros(0, np.int64)
-    bits = max(1, int(len(grams)).bit_length())
-    low = (U(grams) >> U(bits) << U(bits)) | np.arange(len(grams), dtype=np.uint64)
+    low, at = grams, np.arange(len(grams))
     width = 1
-    while 2 * width <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < span:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    return (low & U((1 << bits) - 1)).astype(np.int64)
+    while width < span:
+        step = min(width, span - width)
+        n = len(low) - step
+        right = low[step:] < low[:n]
+        low, at = np.where(right, low[step:], low[:n]), np.where(right, at[step:], at[:n])
+        width += step
+    return at
 
 
 def doc_key(*columns: str):

@@ -115,7 +115,7 @@ def _cells_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """The bit-map cells of row keys, by slice."""
     schema = arrow_type("slice int,cells binary")
     for batch in batches:
-        cells = np.unique(cells_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+        cells = np.unique(cells_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)).ravel())
         if len(cells):
             parts = np.split(cells, np.flatnonzero(np.diff(cells >> np.uint32(SLICE_BITS))) + 1)
             yield out_batch(schema, slice=[int(p[0]) >> SLICE_BITS for p in parts], cells=[p.tobytes() for p in parts])

@@ -2,9 +2,10 @@
 
 1. Sketch.  Each window of 35 words is represented by its anchor, the 8-word gram in it with the smallest hash
    (leftmost of equal ones).  Equal windows have equal anchors at equal offsets, so an anchor's count is never below
-   the count of any of its windows.  Tasks sketch the anchors they select, partition sketches are merged slice by
-   slice, and cells counted twice or more form a bit map of at most 2**28 bits (32 MB), which is broadcast.  The width
-   follows the number of words up to that bound; a fuller sketch only lets more windows through, it loses none.
+   the count of any of its windows, and there are about a fourteenth as many anchors as windows.  The sketch has two
+   rows of 2**27 cells; a count is estimated by the smaller of its two cells.  Tasks sketch the anchors they select,
+   partition sketches are merged slice by slice, and cells counted twice or more form a bit map of 32 MB at any size of
+   the input, which is broadcast.  A fuller sketch only lets more windows through, it loses none.
 2. Exact grouping.  Windows whose anchor is estimated repeated are grouped by a 96-bit hash of their words.  Tasks
    pre-aggregate: a window that a task sees twice is settled there and sent on once, so a passage that a third of all
    documents share costs one entry for each task.  Buckets answer to the documents' buckets, and there the words go.
@@ -32,6 +33,7 @@ from .common import U, anchors, arrow_type, doc_key, gram_hashes, mix, out_batch
 WINDOW, GRAM = 35, 8
 MOST_BITS = 28
 SLICE_BITS = 20
+_SALTS = (0x5851F42D4C957F2D, 0xC2B2AE3D27D4EB4F)
 SKETCH = "slice int,words long,cells binary"
 BUCKET = "bucket int,settled boolean,entries binary"
 REPLY = "home int,entries binary"
@@ -87,8 +89,10 @@ class Windows:
 
 
 def cells_of(hashes: np.ndarray) -> np.ndarray:
-    """Sketch cells; anchors are minima, so their hashes are mixed once more."""
-    return (mix(hashes ^ U(0x5851F42D4C957F2D)) >> U(64 - MOST_BITS)).astype(np.uint32)
+    """The cell of each hash in each of the two rows; anchors are minima, so their hashes are mixed once more."""
+    half = 1 << (MOST_BITS - 1)
+    rows = [(mix(hashes ^ U(salt)) >> U(65 - MOST_BITS)).astype(np.uint32) + np.uint32(row * half) for row, salt in enumerate(_SALTS)]
+    return np.stack(rows)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -108,7 +112,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
     for batch in batches:
         got = Windows(batch.column(0), window, gram)
         words += int(got.counts[-1])
-        held.append(cells_of(got.selected()))
+        held.append(cells_of(got.selected()).ravel())
         size += len(held[-1])
         if size > 1_000_000:
             yield out()
@@ -150,8 +154,9 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int) -> tuple[Broadcast
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have a bit in both rows."""
     cells = cells_of(hashes)
-    return (bits[cells >> np.uint32(3)] >> (np.uint8(7) - (cells & np.uint32(7)).astype(np.uint8))) & np.uint8(1) > 0
+    return ((bits[cells >> np.uint32(3)] >> (np.uint8(7) - (cells & np.uint32(7)).astype(np.uint8))) & np.uint8(1)).all(axis=0)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], sketch: Broadcast, window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import urllib.parse
 import uuid
 import zlib
@@ -25,12 +26,11 @@ from functools import partial
 from typing import BinaryIO
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_type, out_batch, prepare, shared_path, staged
+from .common import arrow_type, out_batch, place, prepare, shared_path, staged
 
 LEAST = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,10 +40,6 @@ RECORDS = "page_id long,url string,payload_bytes long,payload_digest string,reco
 _PIECE = 1 << 18
 
 
-def place(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri)
-
-
 def _named(page: int | None) -> str:
     return f"<urn:page:{'none' if page is None else page}>"
 
@@ -53,8 +49,15 @@ def _page(name: str) -> int | None:
     return None if value == "none" else int(value)
 
 
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]|^\s|\s$")
+ENCODED = "WARC-Target-URI-Encoding"
+
+
 def record(page: int | None, url: str, payload: bytes, digest: str, revisits: bool = False, refers_to: int | None = None) -> bytes:
-    """One uncompressed WARC record; a revisit has the HTTP headers of its page without the payload."""
+    """One uncompressed WARC record; a revisit has the HTTP headers of its page without the payload.
+
+    A URL stands as it is; one that a header cannot hold is percent-encoded, and a field of its own says so.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisits else http + payload
     lines = [
@@ -62,7 +65,7 @@ def record(page: int | None, url: str, payload: bytes, digest: str, revisits: bo
         f"WARC-Type: {'revisit' if revisits else 'response'}",
         f"WARC-Record-ID: {_named(page)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {urllib.parse.quote(url, safe=':/?#[]@!$&()*+,;=%~ ')}",
+        *([f"WARC-Target-URI: {urllib.parse.quote(url, safe='')}", f"{ENCODED}: percent"] if _CONTROL.search(url) else [f"WARC-Target-URI: {url}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -76,7 +79,12 @@ def headers(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], int]:
     """The header fields that begin at a place (names in lower case), and the place after their empty line."""
     end = data.index(b"\r\n\r\n", at)
     lines = bytes(data[at:end]).decode().split("\r\n")
-    return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])} | {"": lines[0]}, end + 4
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])} | {"": lines[0]}, end + 4
+
+
+def target(fields: dict[str, str]) -> str:
+    url = fields.get("warc-target-uri", "")
+    return urllib.parse.unquote(url) if fields.get(ENCODED.lower()) == "percent" else url
 
 
 class Normaliser:
@@ -118,19 +126,25 @@ class Normaliser:
 
 
 def normalise(source: str, archive: str, index: str) -> tuple[int, int]:
-    """Rewrites a monolithic (or any) gzip archive record by record; gives the records and their uncompressed bytes."""
+    """Rewrites a monolithic (or any) gzip archive record by record; gives the records and their uncompressed bytes.
+
+    A stream that ends before its trailer, or inside a record, is refused.
+    """
     fs, path = place(source)
     out, out_path = place(archive)
     with fs.open_input_stream(path, compression=None) as stream, out.open_output_stream(out_path, compression=None) as a, out.open_output_stream(place(index)[1], compression=None) as i:
         to = Normaliser(a, i)
-        unpack = zlib.decompressobj(31)
+        unpack, begun = zlib.decompressobj(31), False
         while piece := stream.read(_PIECE):
             while piece:
+                begun = True
                 to.feed(unpack.decompress(piece, 4 * _PIECE))
                 piece = unpack.unconsumed_tail
                 if unpack.eof:  # the next member, if the source has several
-                    piece, unpack = unpack.unused_data, zlib.decompressobj(31)
-        to.feed(unpack.flush())
+                    piece, unpack, begun = unpack.unused_data, zlib.decompressobj(31), False
+        to.feed(unpack.flush() if begun else b"")
+        if begun and not unpack.eof:
+            raise ValueError(f"{source} ends before its gzip trailer")
         to.close()
     return to.records, to.raw
 
@@ -190,7 +204,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_html: bool) -> Iterator[pa.Rec
                 content = data[payload:-4]
                 if kind == "response" and hashlib.sha256(content).hexdigest() != said:
                     raise ValueError(f"{archive}: the payload of {fields['warc-record-id']} does not match its digest")
-                row = {"page_id": _page(fields["warc-record-id"]), "url": urllib.parse.unquote(fields["warc-target-uri"]), "payload_bytes": int(http["content-length"]), "payload_digest": said, "record_type": kind}
+                row = {"page_id": _page(fields["warc-record-id"]), "url": target(fields), "payload_bytes": int(http["content-length"]), "payload_digest": said, "record_type": kind}
                 row["refers_to"] = _page(fields["warc-refers-to"]) if kind == "revisit" else None
                 rows.append(row | ({"html": content.decode() if kind == "response" else None} if with_html else {}))
                 if len(rows) >= 500:
@@ -222,10 +236,8 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write_archives(marked: DataFrame, folder: str | None = None, most: int = 256 << 20) -> DataFrame:
     """Writes normalised archives with sidecar indexes and lists them: archive, index, records, bytes."""
     spark = marked.sparkSession
-    prepare(spark, 200)
+    prepare(spark)
     folder = folder or shared_path(spark, "warc")
-    if "://" not in folder:
-        folder = folder.replace("file:", "file://", 1) if folder.startswith("file:") else folder
     fs, path = place(folder)
     fs.create_dir(path, recursive=True)
     return staged(marked.mapInArrow(partial(_write, folder=folder, most=most), ARCHIVES), "archives")
@@ -234,7 +246,7 @@ def write_archives(marked: DataFrame, folder: str | None = None, most: int = 256
 def read_archives(archives: DataFrame, with_html: bool = True) -> DataFrame:
     """A row per record of the listed archives."""
     spark = archives.sparkSession
-    prepare(spark, 200)
+    prepare(spark)
     spread = archives.select("archive", "index").repartition(max(1, archives.count()), F.xxhash64("archive"))
     return spread.mapInArrow(partial(_read, with_html=with_html), RECORDS if with_html else RECORDS.rpartition(",")[0])
 
