@@ -2,9 +2,10 @@
 
 Features are the character 1- to 3-grams of the lower-case text (all that is not a letter counts as a space), hashed to
 2**15 numbers.  Document frequencies are counted over all training rows.  Weights are learned by
-follow-the-regularised-leader with elastic-net penalties (many stay zero) on a bounded sample of labelled rows: at most
-about `per_language` rows of each language, chosen by a hash.  A part of the sample is kept out of the fit and sets the
-temperature that calibrates the probabilities.  Predictions use the text alone.
+follow-the-regularised-leader with elastic-net penalties (many stay zero) on a bounded sample of labelled rows: about
+`per_language` rows of each language, chosen by a hash, and fewer if there are so many languages that all would be more
+than MOST_ROWS.  A part of the sample is kept out of the fit and sets the temperature that calibrates the probabilities.
+Predictions use the text alone.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as are all texts if there is no training
 row; rows without lang are not learned from; a null doc_id is not held out; repeated rows get equal predictions; an empty
@@ -28,7 +29,7 @@ from .common import arrow_type, doc_key, out_batch, own_names, prepare, texts_of
 BITS, ORDERS = 15, 3
 FEATURES = 1 << BITS
 UNKNOWN = "und"
-PER_LANGUAGE = 400
+PER_LANGUAGE, MOST_ROWS = 400, 20_000
 _SLICE = 1 << 20
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _SEEDS = np.array([0x27D4EB2F, 0x165667B1, 0x2545F491], np.uint32)
@@ -176,8 +177,10 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     if not labels:
         return Model([], idf, np.zeros((0, FEATURES + 1)))
-    share = F.element_at(F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))]), F.col("lang"))
-    chosen = labelled.where(F.pmod("key", F.lit(1 << 30)) / float(1 << 30) < share).limit(2 * per_language * len(labels))
+    each = min(per_language, max(1, MOST_ROWS // len(labels)))
+    share = F.element_at(F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, each / sizes[k])))]), F.col("lang"))
+    chosen = labelled.where(F.pmod("key", F.lit(1 << 30)) / float(1 << 30) < share)
+    chosen = chosen.orderBy(F.pmod("key", F.lit(1 << 30)), "key").limit(2 * each * len(labels))  # the same rows on each run
     held = spark.sparkContext.broadcast(idf)
     fold = F.pmod(F.shiftrightunsigned("key", 32), F.lit(4))
     vectors = chosen.select("lang", fold.alias("fold"), "text").mapInArrow(partial(_vectors, idf=held), VECTORS).collect()
