@@ -2,22 +2,24 @@
 
 Suffixes are retained only at minimiser positions: in each run of 50 words the 8-word gram with the smallest hash.  Equal
 passages select equal positions.  A count-min sketch of the anchors (as for substring dedup, a bit map of fixed size)
-leaves out suffixes that cannot repeat.  The rest are sorted by the hashes of their words, and each is compared with its
-neighbours: the match is extended right over the common prefix and left over the words before, up to the reach within
+leaves out suffixes that cannot repeat.  The rest are sorted by the hashes of their words, once, and each is compared with
+its neighbour: the match is extended right over the common prefix and left over the words before, up to the reach within
 which every run of 50 words around the position lies.  Matches of at least 50 words become spans.
 
-A row's best neighbours may fall short of 50 words while another one, elsewhere in the order, matches it on both sides.
-So the windows of 50 words around the retained positions are also grouped exactly, by a 96-bit hash as for substring
-dedup: tasks settle the windows that they see twice and send each on once.  Every repeat of 50 words consists of repeated
-windows, so none is missed; the order adds the partners that match furthest.  The spans of a document are united.
+A row's neighbours may fall short of 50 words while another one, elsewhere among the suffixes that begin with the same 8
+words, matches it on both sides.  These stand together in the order, so there the windows of 50 words whose minimiser the
+row is are also grouped by a 96-bit hash: every repeat of 50 words consists of repeated windows, so none is missed.  Rows
+that stand at a partition's border, or in too many to hold, send each of their different windows on once, and these are
+grouped in a second step.  The spans of a document are united.
 
-Sort keys end in the row's own place, so range partitions split even a passage that a third of all documents share;
-the rows at partition borders are compared in a second small step.  Only neighbours are compared, never pairs in groups;
-of equal windows each gets the next one as its partner.
+Sort keys end in the row's own place, so range partitions split even a passage that a third of all documents share.  Only
+neighbours are compared, never pairs in groups; of equal windows each gets the next one as its partner.  A word is told
+by 32 bits of its hash, a window by 50 of them.
 
-Defined results: a row per united span, none for documents without one (null texts, fewer than 50 words); repeated rows
-repeat each other; spans may repeat inside one document; ties in the order are broken by doc_id, a hash of the text and
-the place; a null doc_id stays null; an empty table gives an empty result; other columns are ignored.
+Defined results: a row per united span, none for documents without one (null texts, fewer than 50 words); the partner is
+that of the span's longest match, whose own place and length are given; repeated rows repeat each other; spans may repeat
+inside one document; ties in the order are broken by doc_id, a hash of the text and the place; a null doc_id stays null;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,23 +32,23 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import U, arrow_type, doc_key, mix, out_batch, prepare, shuffle_partitions, staged
-from .substring import Windows, marked, columns_of, from_columns, repeated_anchors
+from .substring import Windows, columns_of, from_columns, marked, repeated_anchors
 
 LEAST, GRAM = 50, 8
 NO_ID = -(1 << 63)
-SUFFIXES = "right binary,left binary,id long,key long,at int"
-SPAN = np.dtype([("id", "<i8"), ("key", "<i8"), ("from", "<u4"), ("to", "<u4"), ("other", "<i8"), ("place", "<u4")])
+#: A retained suffix: words from it on, words before it (nearest first), its place, and how far before it its windows begin.
+SUFFIXES = "right binary,left binary,id long,key long,at int,near int,far int"
+#: A span, and its longest match: the partner, the partner's place, and the match's own borders.
+SPAN = np.dtype([("id", "<i8"), ("key", "<i8"), ("from", "<u4"), ("to", "<u4"), ("other", "<i8"), ("okey", "<i8"), ("place", "<u4"), ("start", "<u4"), ("end", "<u4")])
 #: Of a window that may be repeated: two parts of its hash, its document's id and key, its place, and whether its task settled it.
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("id", "<i8"), ("key", "<i8"), ("at", "<u4"), ("done", "u1")])
-ASKED = "bucket int,settled boolean,entries binary"
-PACKED = "home int,entries binary"
-FOUND = "kind int,part int,home int,entries binary,right binary,left binary,id long,key long,at int"
-SPANS = "doc_id long,start long,n_words long,other_doc_id long,other_start long"
-INNER, FIRST, LAST = 0, 1, 2
-_FLUSH = 400_000
+FOUND = "asked boolean,number int,entries binary"
+PACKED = "number int,entries binary"
+SPANS = "doc_id long,start long,n_words long,other_doc_id long,other_start long,match_start long,match_words long"
+_ROWS, _SPANS = 8_000, 200_000
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], sketch: Broadcast, least: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -54,8 +56,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch], sketch: Broadcast, least: int,
     schema = arrow_type(SUFFIXES)
     for batch in batches:
         got = Windows(batch.column(2), least, gram)
-        places = np.unique(got.anchor)
-        places = places[marked(sketch.value, got.grams[places])] if len(places) else places
+        if not len(got.anchor):
+            continue
+        # the windows of an anchor begin at places one after another
+        first = np.flatnonzero(np.concatenate(([True], got.anchor[1:] != got.anchor[:-1])))
+        last = np.append(first[1:], len(got.anchor)) - 1
+        places = got.anchor[first]
+        near, far = places - got.at[last], places - got.at[first]
+        kept = marked(sketch.value, got.grams[places])
+        places, near, far = places[kept], near[kept], far[kept]
         if not len(places):
             continue
         doc = np.searchsorted(got.counts, places, "right") - 1
@@ -64,106 +73,74 @@ def _suffixes(batches: Iterator[pa.RecordBatch], sketch: Broadcast, least: int,
         ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         right = [words[p:e].tobytes() for p, e in zip(places.tolist(), np.minimum(places + least, high).tolist())]
         left = [words[b:p][::-1].tobytes() for p, b in zip(places.tolist(), np.maximum(places - (least - gram), low).tolist())]
-        yield out_batch(schema, right=right, left=left, id=ids[doc], key=keys[doc], at=(places - low).astype(np.int32))
-
-
-def common_prefix(column: list[bytes], width: int) -> np.ndarray:
-    """For each neighbouring two of n rows, the words that their sequences begin with in common."""
-    n = len(column)
-    lengths = np.fromiter(map(len, column), np.int64, n) // 4
-    padded = np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in column), np.uint32).reshape(n, width)
-    same = np.cumprod(padded[1:] == padded[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
-    return np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))
-
+        yield out_batch(schema, right=right, left=left, id=ids[doc], key=keys[doc], at=(places - low).astype(np.int32), near=near.astype(np.int32), far=far.astype(np.int32))
 
-def spans_of(rows: dict[str, list], least: int, gram: int) -> np.ndarray:
-    """The spans that neighbouring rows give each other."""
-    r, l = common_prefix(rows["right"], least), common_prefix(rows["left"], least - gram)
-    hit = np.flatnonzero(r + l >= least)
-    id_, key, at = (np.asarray(rows[c], np.int64) for c in ("id", "key", "at"))
-    out = np.empty(2 * len(hit), SPAN)
-    for part, mine, other in ((out[: len(hit)], hit, hit + 1), (out[len(hit) :], hit + 1, hit)):
-        part["id"], part["key"], part["other"] = id_[mine], key[mine], id_[other]
-        part["from"], part["to"] = at[mine] - l[hit], at[mine] + r[hit]
-        part["place"] = at[other] - l[hit]
-    return out
 
+Rows = dict[str, list]
 
-def united(spans: np.ndarray) -> np.ndarray:
-    """Spans of each document that overlap or touch become one; it keeps the partner of its longest part."""
-    if not len(spans):
-        return spans
-    spans = spans[np.lexsort((-spans["to"].astype(np.int64), spans["from"], spans["id"], spans["key"]))]
-    new = np.ones(len(spans), bool)
-    new[1:] = (spans["key"][1:] != spans["key"][:-1]) | (spans["id"][1:] != spans["id"][:-1])
-    group = np.cumsum(new) - 1
-    reach = np.maximum.accumulate(spans["to"].astype(np.int64) + (group << 32))
-    start = new.copy()
-    start[1:] |= spans["from"][1:].astype(np.int64) + (group[1:] << 32) > reach[:-1]
-    first = np.flatnonzero(start)
-    out = spans[first].copy()
-    out["to"] = np.maximum.reduceat(spans["to"], first)
-    return out
 
+def some(rows: Rows, start: int, end: int) -> Rows:
+    return {n: x[start:end] for n, x in rows.items()}
 
-def _pack(spans: np.ndarray, homes: int, schema: pa.Schema, part: int) -> pa.RecordBatch:
-    where = np.mod(spans["key"], homes)
-    order = np.argsort(where, kind="stable")
-    spans, where = spans[order], where[order]
-    cuts = np.flatnonzero(np.diff(where)) + 1
-    parts = np.split(spans, cuts)
-    n = len(parts)
-    none = [None] * n
-    return out_batch(schema, kind=[INNER] * n, part=[part] * n, home=where[np.concatenate(([0], cuts))].astype(np.int32), entries=[columns_of(p) for p in parts], right=none, left=none, id=none, key=none, at=none)
 
+def joined(parts: list[Rows]) -> Rows:
+    return {n: [x for p in parts for x in p[n]] for n in parts[0]}
 
-def _border(row: dict, kind: int, part: int, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([row | {"kind": kind, "part": part, "home": None, "entries": None}], schema=schema)
 
+def padded(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each row, zeros after its end, and its length."""
+    n = len(column)
+    lengths = np.fromiter(map(len, column), np.int64, n) // 4
+    return np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in column), ">u4").reshape(n, width), lengths
 
-def _neighbours(batches: Iterator[pa.RecordBatch], least: int, gram: int, homes: int) -> Iterator[pa.RecordBatch]:
-    """Compares neighbours in a sorted partition; its first and last rows go on to be compared across borders."""
-    from pyspark import TaskContext
 
-    schema, part = arrow_type(FOUND), TaskContext.get().partitionId()
-    last: dict | None = None
-    held: list[np.ndarray] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        if last is None:
-            yield _border({n: rows[n][0] for n in rows}, FIRST, part, schema)
-        else:
-            rows = {n: [last[n], *rows[n]] for n in rows}
-        last = {n: rows[n][-1] for n in rows}
-        if len(rows["id"]) > 1:
-            held.append(united(spans_of(rows, least, gram)))
-            size += len(held[-1])
-        if size > 200_000:
-            yield _pack(united(np.concatenate(held)), homes, schema, part)
-            held, size = [], 0
-    if size:
-        yield _pack(united(np.concatenate(held)), homes, schema, part)
-    if last is not None:
-        yield _border(last, LAST, part, schema)
-
-
-def _across(batches: Iterator[pa.RecordBatch], least: int, gram: int, homes: int) -> Iterator[pa.RecordBatch]:
-    schema = arrow_type("home int,entries binary")
-    names = ("right", "left", "id", "key", "at")
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns):
-            spans = spans_of({n: [row[i], row[i + 5]] for i, n in enumerate(names)}, least, gram)
-            if len(spans):
-                packed = _pack(spans, homes, arrow_type(FOUND), 0)
-                yield pa.RecordBatch.from_arrays([packed.column("home"), packed.column("entries")], schema=schema)
+def common_prefix(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each neighbouring two of n rows, the words that their sequences begin with in common."""
+    same = np.cumprod(words[1:] == words[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+    return np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))
 
 
-def _equal_windows(entries: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The entries by their hash, which of them are the first of equal ones, and the spans of those that have an equal."""
+def window_hashes(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each run of `least` words of each row, from polynomial prefix sums."""
+    wide = mix(words.astype(np.uint64) + U(1))
+    out = []
+    for base in _BASES:
+        n = words.shape[1]
+        powers = np.full(n, U(base))
+        powers[0] = U(1)
+        powers = np.multiply.accumulate(powers)
+        inverse = np.full(n - least + 1, U(pow(base, -1, 1 << 64)))
+        inverse[0] = U(1)
+        inverse = np.multiply.accumulate(inverse)
+        sums = np.zeros((len(words), n + 1), np.uint64)
+        np.cumsum(wide * powers, axis=1, out=sums[:, 1:])
+        out.append(mix((sums[:, least:] - sums[:, : n - least + 1]) * inverse))
+    return out[0], (out[1] >> U(32)).astype(np.uint32)
+
+
+def compared(rows: Rows, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spans that neighbouring rows give each other, and the windows of the rows."""
+    right, n_right = padded(rows["right"], least)
+    left, n_left = padded(rows["left"], least - gram)
+    id_, key, at, near, far = (np.asarray(rows[c], np.int64) for c in ("id", "key", "at", "near", "far"))
+    r, l = common_prefix(right, n_right), common_prefix(left, n_left)
+    hit = np.flatnonzero(r + l >= least)
+    spans = np.empty(2 * len(hit), SPAN)
+    for part, mine, other in ((spans[: len(hit)], hit, hit + 1), (spans[len(hit) :], hit + 1, hit)):
+        part["id"], part["key"], part["other"], part["okey"] = id_[mine], key[mine], id_[other], key[other]
+        part["from"], part["to"] = at[mine] - l[hit], at[mine] + r[hit]
+        part["start"], part["end"], part["place"] = part["from"], part["to"], at[other] - l[hit]
+    a, b = window_hashes(np.concatenate([left[:, ::-1], right], axis=1), least)
+    before = (least - gram) - np.arange(a.shape[1])  # words before the suffix in each window
+    row, column = np.nonzero((before >= near[:, None]) & (before <= far[:, None]))
+    entries = np.zeros(len(row), WINDOW)
+    entries["a"], entries["b"] = a[row, column], b[row, column]
+    entries["id"], entries["key"], entries["at"] = id_[row], key[row], at[row] - before[column]
+    return spans, entries
+
+
+def equal_windows(entries: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """One entry of each hash (done: it has equals here), and the spans of entries that have an equal and are not done."""
     entries = entries[np.lexsort((entries["at"], entries["key"], entries["b"], entries["a"]))]
     new = np.ones(len(entries), bool)
     new[1:] = (entries["a"][1:] != entries["a"][:-1]) | (entries["b"][1:] != entries["b"][:-1])
@@ -178,94 +155,138 @@ def _equal_windows(entries: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     for name in ("id", "key"):
         spans[name] = entries[name][mine]
     spans["from"], spans["to"] = entries["at"][mine], entries["at"][mine] + np.uint32(least)
-    spans["other"], spans["place"] = other["id"], other["at"]
-    return entries, new, spans
+    spans["other"], spans["okey"], spans["place"] = other["id"], other["key"], other["at"]
+    spans["start"], spans["end"] = spans["from"], spans["to"]
+    once = entries[new]
+    once["done"] |= (sizes > 1).astype(np.uint8)
+    return once, spans
+
+
+def _runs(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of intervals sorted by keys and start, where a new union of overlapping or touching ones begins."""
+    new = np.ones(len(low), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    group = np.cumsum(new) - 1
+    reach = np.maximum.accumulate(high.astype(np.int64) + (group << 32))
+    new[1:] |= low[1:].astype(np.int64) + (group[1:] << 32) > reach[:-1]
+    return np.flatnonzero(new)
+
+
+def united(spans: np.ndarray) -> np.ndarray:
+    """Spans of each document that overlap or touch become one; matches with one partner that follow each other do too, and the longest stays."""
+    if not len(spans):
+        return spans
+    shift = spans["place"].astype(np.int64) - spans["start"]
+    order = np.lexsort((spans["start"], shift, spans["okey"], spans["other"], spans["id"], spans["key"]))
+    spans, shift = spans[order], shift[order]
+    first = _runs([spans[n] for n in ("key", "id", "other", "okey")] + [shift], spans["start"], spans["end"])
+    parts = spans[first].copy()
+    parts["end"] = np.maximum.reduceat(spans["end"], first)
+    parts["from"], parts["to"] = np.minimum.reduceat(spans["from"], first), np.maximum.reduceat(spans["to"], first)
+    parts = parts[np.lexsort((parts["from"], parts["id"], parts["key"]))]
+    first = _runs([parts["key"], parts["id"]], parts["from"], parts["to"])
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(parts))))
+    length = parts["end"].astype(np.int64) - parts["start"]
+    best = np.lexsort((parts["place"], parts["other"], parts["start"], -length, group))[first]
+    out = parts[best].copy()
+    out["from"], out["to"] = parts["from"][first], np.maximum.reduceat(parts["to"], first)
+    return out
+
 
+def _dealt(rows: np.ndarray, where: np.ndarray, asked: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Entries by number of their bucket or home."""
+    if len(rows):
+        order = np.lexsort((rows["key"], where))
+        rows, where = rows[order], where[order]
+        cuts = np.flatnonzero(np.diff(where)) + 1
+        numbers = where[np.concatenate(([0], cuts))].astype(np.int32)
+        yield out_batch(schema, **{"asked": [asked] * len(numbers)} if "asked" in schema.names else {}, number=numbers, entries=[columns_of(p) for p in np.split(rows, cuts)])
 
-def _windows(batches: Iterator[pa.RecordBatch], sketch: Broadcast, least: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows that may be repeated, once for each task, by bucket of their hash; those repeated here as spans, by document."""
-    schema = arrow_type(ASKED)
+
+def _compare(batches: Iterator[pa.RecordBatch], least: int, gram: int, homes: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A sorted partition: spans of its documents by home, and windows of rows whose equals may be in other partitions by bucket."""
+    schema = arrow_type(FOUND)
     held: list[np.ndarray] = []
+    whole: list[Rows] = []  # runs of rows that begin with the same words, each complete
     size = 0
 
-    def out():
-        entries, new, spans = _equal_windows(np.concatenate(held), least)
-        asked = entries[new]
-        asked["done"] = np.diff(np.append(np.flatnonzero(new), len(entries))) > 1
-        spans = united(spans)
-        for rows, settled, where in ((asked, False, asked["a"] % U(buckets)), (spans, True, mix(spans["key"].view(np.uint64)) % U(buckets))):
-            if not len(rows):
-                continue
-            order = np.lexsort((rows["from" if settled else "at"], rows["key"], where))
-            rows, where = rows[order], where[order]
-            cuts = np.flatnonzero(np.diff(where)) + 1
-            parts = np.split(rows, cuts)
-            yield out_batch(schema, bucket=where[np.concatenate(([0], cuts))].astype(np.int32), settled=[settled] * len(parts), entries=[columns_of(p) for p in parts])
-
+    def spans_out():
+        found = united(np.concatenate(held))
+        held.clear()
+        return _dealt(found, np.mod(found["key"], homes), False, schema)
+
+    def settle(rows: Rows, complete: bool):
+        spans, entries = compared(rows, least, gram)
+        once, equal = equal_windows(entries, least)
+        held.append(united(np.concatenate([spans, equal])))
+        if not complete:
+            yield from _dealt(once, (once["a"] % U(buckets)).astype(np.int64), True, schema)
+        if sum(map(len, held)) > _SPANS:
+            yield from spans_out()
+
+    rows: Rows | None = None  # the run that the partition has not ended yet
+    cut = True  # it began before this partition, or was sent on in part
     for batch in batches:
-        got = Windows(batch.column(2), least, gram)
-        at = got.at[marked(sketch.value, got.grams[got.anchor])] if len(got.at) else got.at
-        if not len(at):
+        if not batch.num_rows:
             continue
-        ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        doc = np.searchsorted(got.counts, at, "right") - 1
-        entries = np.zeros(len(at), WINDOW)
-        entries["a"], entries["b"] = got.hashes(at)
-        entries["id"], entries["key"], entries["at"] = ids[doc], keys[doc], at - got.counts[doc]
-        held.append(entries)
-        size += len(entries)
-        if size > _FLUSH:
-            yield from out()
-            held, size = [], 0
-    if size:
-        yield from out()
+        more = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        rows = more if rows is None else joined([rows, more])
+        grams = np.array([x[: 4 * gram] for x in rows["right"]], f"S{4 * gram}")
+        starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))).tolist()
+        for start, end in zip(starts, starts[1:]):
+            if cut:
+                yield from settle(some(rows, start, end), False)
+                cut = False
+            elif end - start > 1:
+                whole.append(some(rows, start, end))
+                size += end - start
+        rows = some(rows, starts[-1], len(grams))
+        if len(rows["id"]) > _ROWS:
+            yield from settle(rows, False)
+            rows, cut = None, True
+        if size > _ROWS:
+            yield from settle(joined(whole), True)
+            whole, size = [], 0
+    if rows is not None:
+        yield from settle(rows, False)
+    if whole:
+        yield from settle(joined(whole), True)
+    if held:
+        yield from spans_out()
 
 
 def _equal(table: pa.Table, least: int, homes: int) -> pa.Table:
-    """One bucket: the spans of windows that are elsewhere too, by home of their document."""
-    spans: list[np.ndarray] = []
-    asked: list[np.ndarray] = []
-    for settled, entries in zip(table.column("settled").to_pylist(), table.column("entries").to_pylist()):
-        (spans if settled else asked).append(from_columns(entries, SPAN if settled else WINDOW))
-    if asked:
-        spans.append(_equal_windows(np.concatenate(asked), least)[2])
-    found = united(np.concatenate(spans))
-    if not len(found):
-        return arrow_type(PACKED).empty_table()
-    packed = _pack(found, homes, arrow_type(FOUND), 0)
-    return pa.Table.from_arrays([packed.column("home"), packed.column("entries")], schema=arrow_type(PACKED))
-
-
-def _unite(table: pa.Table, least: int) -> pa.Table:
-    spans = united(np.concatenate([from_columns(x, SPAN) for x in table.column("entries").to_pylist()]))
-    named = lambda x: pa.array(x, pa.int64(), mask=x == NO_ID)
-    start = spans["from"].astype(np.int64)
-    return pa.table([named(spans["id"]), pa.array(start), pa.array(spans["to"] - start), named(spans["other"]), pa.array(spans["place"].astype(np.int64))], schema=arrow_type(SPANS))
+    """One bucket: the spans of windows that are in other partitions too, by home of their document."""
+    schema = arrow_type(PACKED)
+    found = united(equal_windows(np.concatenate([from_columns(x, WINDOW) for x in table.column("entries").to_pylist()]), least)[1])
+    return pa.Table.from_batches(_dealt(found, np.mod(found["key"], homes), False, schema), schema)
 
 
-def _matches(suffixes: DataFrame, order: list[str], least: int, gram: int, homes: int, name: str) -> DataFrame:
-    """Packed spans (home, entries) from the neighbours in an order."""
-    n = shuffle_partitions(suffixes.sparkSession)
-    sorted_ = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    found = staged(sorted_.mapInArrow(partial(_neighbours, least=least, gram=gram, homes=homes), FOUND), name)
-    first = found.where(F.col("kind") == FIRST)
-    parts = first.select("part", F.lead("part").over(Window.orderBy("part")).alias("next_part"))
-    fields = ("right", "left", "id", "key", "at")
-    heads = first.select(F.col("part").alias("next_part"), *[F.col(c).alias(f"next_{c}") for c in fields])
-    borders = found.where(F.col("kind") == LAST).select("part", *fields).join(parts, "part").join(heads, "next_part")
-    across = borders.select(*fields, *[f"next_{c}" for c in fields]).mapInArrow(partial(_across, least=least, gram=gram, homes=homes), "home int, entries binary")
-    return found.where(F.col("kind") == INNER).select("home", "entries").unionByName(across)
+def _unite(table: pa.Table) -> pa.Table:
+    spans = united(np.concatenate([from_columns(x, SPAN) for x in table.column("entries").to_pylist()]))
+    named = lambda x: pa.array(x, pa.int64(), mask=x == NO_ID)
+    number = lambda x: pa.array(x.astype(np.int64))
+    return pa.table(
+        [named(spans["id"]), number(spans["from"]), number(spans["to"] - spans["from"]), named(spans["other"]), number(spans["place"]), number(spans["start"]), number(spans["end"] - spans["start"])],
+        schema=arrow_type(SPANS),
+    )
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """A row per united span of repeated words: doc_id, start (words before it), n_words, and a partner's doc_id and place."""
+    """A row per united span of repeated words: doc_id, start (words before it), n_words, and its longest match.
+
+    The match_words words from match_start on also stand in other_doc_id from other_start on.
+    """
     prepare(docs.sparkSession)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), doc_key("doc_id", "text").alias("key"), "text")
     sketch, words = repeated_anchors(keyed, least, gram)
-    homes = max(shuffle_partitions(docs.sparkSession), words // 2_000_000)
+    n = shuffle_partitions(docs.sparkSession)
+    homes = max(n, words // 2_000_000)
+    order = ["right", "left", "id", "key", "at"]
     suffixes = keyed.mapInArrow(partial(_suffixes, sketch=sketch, least=least, gram=gram), SUFFIXES)
-    sorted_ = _matches(suffixes, ["right", "left", "id", "key", "at"], least, gram, homes, "suffixes")
-    buckets = max(shuffle_partitions(docs.sparkSession), words // 1_000_000)
-    asked = keyed.mapInArrow(partial(_windows, sketch=sketch, least=least, gram=gram, buckets=buckets), ASKED)
-    equal = asked.groupBy("bucket").applyInArrow(lambda bucket: _equal(bucket, least, homes), PACKED)
-    return sorted_.unionByName(equal).groupBy("home").applyInArrow(lambda table: _unite(table, least), SPANS)
+    sorted_ = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    found = staged(sorted_.mapInArrow(partial(_compare, least=least, gram=gram, homes=homes, buckets=n), FOUND), "matches")
+    asked = found.where("asked").select("number", "entries").groupBy("number").applyInArrow(lambda bucket: _equal(bucket, least, homes), PACKED)
+    return found.where("not asked").select("number", "entries").unionByName(asked).groupBy("number").applyInArrow(_unite, SPANS)
