@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute
 import pytest
 
 from quillgraph.llm import common, jaccard, substring, suffix
@@ -41,6 +42,39 @@ def test_word_hashes_tell_words_apart():
     assert len(set(by.values())) == len(by)
 
 
+def test_equal_windows_choose_equal_anchors_in_batches_of_any_size():
+    """Grams that agree in all but their lowest bits are still told apart, whatever the batch holds beside them."""
+    rng = np.random.default_rng(3)
+    window = (np.uint64(7) << np.uint64(40)) + rng.permutation(28).astype(np.uint64)
+    for before in (0, 1, 1000, 300_000):
+        grams = np.concatenate([rng.integers(1 << 50, 1 << 62, before).astype(np.uint64), window, rng.integers(1 << 50, 1 << 62, before).astype(np.uint64)])
+        assert common.anchors(grams, 28)[before] - before == int(np.argmin(window))
+    assert common.anchors(np.zeros(5, np.uint64), 3).tolist() == [0, 1, 2]
+
+
+def test_sketch_never_counts_below(spark):
+    """Windows that start more than once are marked, whichever partitions and batches they are in."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    shared = data.words(rng, 80)
+    some = [(i, f"{data.words(rng, rng.choice((3, 50, 4000)))} {shared if i % 5 == 0 else ''} {data.words(rng, 40)}", "en", "s") for i in range(40)]
+    for parts in (1, 7):
+        sketch, words = substring.repeated_anchors(data.frame(spark, some).repartition(parts), 35, 8)
+        assert words == sum(len(t.split()) for _, t, *_ in some)
+        got = substring.Windows(pa.array([t for _, t, *_ in some]), 35, 8)
+        let = set(got.at[substring.marked(sketch.value, got.grams[got.anchor])].tolist())
+        seen = Counter(b" ".join(w[i : i + 35]) for _, t, *_ in some for w in [split(t)] for i in range(len(w) - 34))
+        at = 0
+        for _, t, *_ in some:
+            w = split(t)
+            assert all(at + i in let for i in range(len(w) - 34) if seen[b" ".join(w[i : i + 35])] > 1)
+            at += len(w)
+        assert len(let) < 0.2 * len(got.at)
+
+
 def test_substring_dedup(spark):
     rows = data.rows()
     texts, gone = covered(rows, substring.WINDOW)
@@ -63,12 +97,66 @@ def test_suffix_array(spark):
     rows = [r for r in data.rows() if r[0] is not None and r[0] != 1009]
     texts, gone = covered(rows, suffix.LEAST)
     found = {}
+    by = {r[0]: w for r, w in zip(rows, texts)}
     for r in suffix.repeated_spans(data.frame(spark, rows)).collect():
         assert r["n_words"] >= suffix.LEAST
         found.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+        check_partner(r, by)
     assert found == {r[0]: g for r, g in zip(rows, gone) if g}
 
 
+def check_partner(r, texts):
+    """The match lies in the span, is long enough, and stands word by word in the partner, at another place."""
+    n, mine, other = r["match_words"], r["match_start"], r["other_start"]
+    assert suffix.LEAST <= n and r["start"] <= mine and mine + n <= r["start"] + r["n_words"]
+    assert (r["doc_id"], mine) != (r["other_doc_id"], other)
+    assert texts[r["doc_id"]][mine : mine + n] == texts[r["other_doc_id"]][other : other + n]
+
+
+def test_united_spans_keep_the_partner_of_the_longest_match():
+    spans = np.zeros(3, suffix.SPAN)
+    for i, (low, high, other, place) in enumerate([(0, 60, 7, 100), (5, 200, 9, 0), (200, 300, 9, 195)]):
+        spans[i] = (1, 1, low, high, other, other, place, low, high)
+    (got,) = suffix.united(spans[[2, 0, 1]])
+    assert [int(got[n]) for n in ("from", "to", "other", "start", "end", "place")] == [0, 300, 9, 5, 300, 0]
+
+
+def test_suffix_array_in_runs_over_many_partitions(spark, monkeypatch):
+    """A passage that most documents share, cut into many parts by borders and by the limit of rows held."""
+    import random
+
+    rng = random.Random(11)
+    passage = data.words(rng, 55)
+    some = [(i, f"{data.words(rng, 60)} {passage} {data.words(rng, 60)}" if i % 3 else data.words(rng, 170), "en", "s") for i in range(400)]
+    texts, gone = covered(some, suffix.LEAST)
+    found, by = {}, {r[0]: w for r, w in zip(some, texts)}
+    for r in suffix.repeated_spans(data.frame(spark, some)).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+        check_partner(r, by)
+    assert found == {r[0]: g for r, g in zip(some, gone) if g}
+    # the same rows in partitions of a few, with runs cut after three rows
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix, "_ROWS", 3)
+    column = pa.array([t for _, t, *_ in some])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in some]), pa.array([r[0] for r in some]), column], names=["id", "key", "text"])
+
+    class Everything:
+        value = np.full(1 << (substring.MOST_BITS - 3), 255, np.uint8)
+
+    rows = pa.Table.from_batches(suffix._suffixes([batch], Everything, 50, 8)).sort_by([(c, "ascending") for c in ("right", "left", "id", "key", "at")])
+    out, bounds = [], [0, 1, 2, 5, 40, 300, 301, rows.num_rows]
+    for low, high in zip(bounds, bounds[1:]):
+        out += suffix._compare(iter(rows.slice(low, high - low).to_batches(max_chunksize=7)), 50, 8, 1, 1)
+    table = pa.Table.from_batches(out)
+    asked = suffix._equal(table.filter(table["asked"]), 50, 1)
+    all_ = pa.concat_tables([table.filter(pa.compute.invert(table["asked"])).select(["number", "entries"]), asked])
+    again = {}
+    for r in suffix._unite(all_).to_pylist():
+        again.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    assert again == found
+
+
 def test_suffix_array_of_repeated_rows_and_null_ids(spark):
     got = suffix.repeated_spans(data.frame(spark)).collect()
     assert any(r["doc_id"] == 1009 for r in got)
@@ -97,8 +185,7 @@ def test_suffix_array_finds_passages_among_their_excerpts(spark):
         texts = {i: split(t) for i, t in some}
         for r in suffix.repeated_spans(data.frame(spark, rows)).collect():
             found.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
-            start, other = r["start"], r["other_start"]
-            assert texts[r["doc_id"]][start : start + 50] == texts[r["other_doc_id"]][other : other + 50]
+            check_partner(r, texts)
         assert found == {r[0]: g for r, g in zip(rows, gone) if g}
 
 

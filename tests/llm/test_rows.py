@@ -36,6 +36,82 @@ def test_fingerprints(spark):
     assert single["edited_sha256"] == sha("abab") and single["near_next"] == 1.0
 
 
+def plain_fingerprint(text):
+    """Byte by byte: a rolling hash over seven bytes ends chunks; the sum of a chunk's hashes gives its character."""
+    m = 0xFFFFFFFF
+    raw = text.encode()
+    if not raw:
+        return "4::"
+    value = [int(fingerprint._VALUES[b]) for b in range(256)]
+    p = [pow(0x9E3779B1, k, 1 << 32) for k in range(7)]
+    hashes = []
+    for i in range(len(raw)):
+        h = sum(value[raw[i - k]] * p[k] for k in range(min(7, i + 1))) & m
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & m
+        hashes.append(h ^ (h >> 13))
+
+    def signature(block, longest):
+        out, sum_, any_ = "", 0, False
+        for h in hashes:
+            sum_, any_ = (sum_ + h * 0x297A2D39) & m, True
+            if h % block == block - 1 and len(out) < longest - 1:
+                out += chr(fingerprint.ALPHABET[(sum_ * 0x85EBCA6B & m) >> 26])
+                sum_, any_ = 0, False
+        return out + chr(fingerprint.ALPHABET[(sum_ * 0x85EBCA6B & m) >> 26]) if any_ else out
+
+    block = 4
+    while block * 64 < len(raw):
+        block *= 2
+    while block > 4 and sum(h % block == block - 1 for h in hashes) < 31:
+        block //= 2
+    return f"{block}:{signature(block, 64)}:{signature(2 * block, 32)}"
+
+
+def plain_likeness(a, b):
+    (x, s, d), (y, t, e) = a.split(":"), b.split(":")
+
+    def close(p, q):
+        row = list(range(len(q) + 1))
+        for i, c in enumerate(p, 1):
+            before, row[0] = row[0], i
+            for j, k in enumerate(q, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != k))
+        return 1 - row[-1] / max(len(p), len(q)) if p or q else 0.0
+
+    if a == b:
+        return 1.0
+    x, y = int(x), int(y)
+    return max(close(s, t), close(d, e)) if x == y else close(s, e) if x == 2 * y else close(d, t) if y == 2 * x else 0.0
+
+
+def test_fingerprints_equal_a_loop_over_bytes(spark):
+    rng = random.Random(6)
+    some = [r for r in data.rows() if r[0] is not None and r[0] != 1009]
+    some += [(3000 + i, "".join(rng.choices("ab é\n", k=n)), "en", "s") for i, n in enumerate((1, 2, 6, 7, 8, 255, 256, 257, 5000))] + [(3100, "a" * 5000, "en", "s"), (3101, "a" * 5001, "en", "s")]
+    order = sorted(some, key=lambda r: r[0])
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(data.frame(spark, some)).collect()}
+    for at, (id_, t, *_) in enumerate(order):
+        t, following = t or "", order[(at + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        own, edit, its = (plain_fingerprint(x) for x in (t, t[: len(t) - half] + following[:half], following))
+        r = got[id_]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own, edit), id_
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(plain_likeness(own, edit)), pytest.approx(plain_likeness(own, its)))
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    some = [(None, "b" * 50, "en", "s"), (1, "x" * 20, "en", "s"), (1, "x" * 20, "en", "s"), (1, "y" * 20, "en", "s"), (0, None, "en", "s")]
+    got = fingerprint.fingerprints(data.frame(spark, some)).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((i, len(t or "")) for i, t, *_ in some)
+    own = {r["fingerprint"] for r in got if r["doc_id"] == 1}
+    assert own == {plain_fingerprint("x" * 20), plain_fingerprint("y" * 20)}
+    # the row without an id is last, and its next one is the first
+    (last,) = [r for r in got if r["doc_id"] is None]
+    assert last["edited_sha256"] == sha("b" * 25) and last["near_next"] == 0.0
+    assert fingerprint.fingerprints(data.empty(spark)).count() == 0
+
+
 def test_fingerprints_are_local():
     rng = random.Random(2)
     t = data.words(rng, 900)
@@ -85,6 +161,55 @@ def test_mixing(spark):
         assert abs(kept[s] - target[s]) < max(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows if r[3] == s) + 1e-6
 
 
+def test_mixing_keeps_expectations(spark):
+    """Over many seeds a document is taken as often as its share of the target says."""
+    rng = random.Random(4)
+    some = [(i, data.words(rng, rng.randint(5, 60)), "en", ("a", "b", "c")[i % 3]) for i in range(60)]
+    docs = data.frame(spark, some)
+    sum_, seeds = defaultdict(float), 60
+    for seed in range(seeds):
+        for r in mixing.mix(docs, seed=seed, block=8).collect():
+            sum_[r["doc_id"]] += r["copies"] / seeds
+            share = r["target"] / r["source_size"]
+            assert int(share) <= r["copies"] <= int(share) + 1
+            sum_["expected", r["doc_id"]] = share
+    errors = [sum_[i] - sum_["expected", i] for i in range(60)]
+    assert max(map(abs, errors)) < 5 * 0.5 / seeds**0.5 and abs(np.mean(errors)) < 0.02
+
+
+def test_mixture_keeps_equal_rows_of_sources_apart(spark):
+    rng = random.Random(7)
+    texts = [data.words(rng, 40) for _ in range(120)]
+    some = [(i, t, "en", s) for i, t in enumerate(texts) for s in ("a", "b")] + [(i, texts[i], "en", "a") for i in range(40)] + [(None, "x y", "en", None)] * 30
+    docs = data.frame(spark, some)
+    expected, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        expected[round(r["target"], 6)] += r["taken"]
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len((r["text"] or "").split())
+    assert sorted(expected.values()) == sorted(got.values())
+    assert {k: len(v) for k, v in {s: {r["doc_id"] for r in mixing.mixed_documents(docs).where(f"source = '{s}'").collect()} for s in "ab"}.items()}["a"] > 0
+
+
+@pytest.mark.parametrize("operator", [mixing.mix, mixing.mixed_documents, perplexity.base_rules, langid.accepted_documents])
+def test_empty_tables(spark, operator):
+    assert operator(data.empty(spark)).count() == 0
+
+
+def test_chat_ties_and_loss_mask(spark):
+    turns = [(1, 0, "assistant", "<|a"), (1, 0, "assistant", "<z"), (1, 0, "assist", "<|"), (1, 0, "a\nb", "x"), (1, 1, "user", "say <|im_end|>"), (1, 2, "assistant", "done <|x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    own = sorted(turns, key=lambda t: t[1:])
+    got = chat.read_back(chat.render(df)).first()
+    assert got["turns_sha256"] == sha("".join(f"{t[2]}\n{t[3]}\n" for t in own))
+    rows = sorted(chat.formatted(chat.render(df)).collect(), key=lambda r: r["place"])
+    whole = "".join(r["rendered"] for r in rows)
+    assert [x[:2] for x in chat.parse(whole)] == [t[2:] for t in own]
+    assert all(whole[r["start"] : r["end"]] == r["rendered"] for r in rows)
+    masked = "".join(chat.unescape(whole[r["learned_start"] : r["learned_end"]]) for r in rows if r["learned_start"] is not None)
+    assert masked == "".join(t[3] for t in own if t[2] == "assistant") and sha(masked) == got["loss_sha256"]
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "a\\b <\\|x|>"), (1, 2, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "tie"), (2, None, "system", "first"), (None, 0, "we\nird|<|", "x"), (1, 3, "assistant", "é" * 5000)]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, rendered int").repartition(3)
@@ -180,6 +305,83 @@ def test_normaliser_reads_any_members(tmp_path):
     assert list(warc.read_records(f"{uri}/out.gz", f"{uri}/out.idx")) == records
 
 
+def test_warc_urls_come_back_as_they_are(spark):
+    urls = ["http://x/a%20b%2Fc", "http://x/%", "http://x/é?q=a b#f", " lead", "a\tb\r\nc%0A", "", "%41"]
+    df = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["url"] for r in warc.archived(df).collect()} == dict(enumerate(urls))
+
+
+def gzipped(raw):
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(raw) + pack.flush()
+
+
+def test_normaliser_refuses_truncated_streams_and_reads_plain_headers(tmp_path):
+    uri = f"file://{tmp_path}"
+
+    def normal(raw):
+        (tmp_path / "in.gz").write_bytes(raw)
+        return warc.normalise(f"{uri}/in.gz", f"{uri}/out.gz", f"{uri}/out.idx")
+
+    records = [warc.record(i, f"http://x/{i}", b"abc" * 50, sha("abc" * 50)) for i in range(3)]
+    whole = gzipped(b"".join(records))
+    assert normal(whole)[0] == 3 and normal(gzipped(b""))[0] == 0
+    for broken in (whole[:-1], whole[:-8], whole[: len(whole) // 2], whole + whole[:30], gzipped(b"".join(records)[:-9])):
+        with pytest.raises(ValueError):
+            normal(broken)
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    at_a_border = pack.compress(b"".join(records)) + pack.flush(zlib.Z_SYNC_FLUSH)
+    with pytest.raises(ValueError):
+        normal(at_a_border)
+    bare = [head.replace(b": ", b":") + b"\r\n\r\n" + rest for head, rest in (r.split(b"\r\n\r\n", 1) for r in records)]
+    assert normal(gzipped(b"".join(bare)))[0] == 3
+    fields, _ = warc.headers(next(warc.read_records(f"{uri}/out.gz", f"{uri}/out.idx")))
+    assert fields["warc-type"] == "response" and warc.target(fields) == "http://x/0"
+
+
+def test_follow_the_regularised_leader_equals_a_loop_over_coordinates():
+    rng = random.Random(12)
+    rows = []
+    for _ in range(40):
+        at = np.array([*sorted(rng.sample(range(30), 6)), langid.FEATURES])
+        rows.append((rng.randrange(3), at, np.array([rng.random() for _ in at])))
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    got = langid.ftrl(rows, 3, alpha, beta, l1, l2, epochs=2, seed=5)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(c, i):
+        if abs(z[c, i]) <= l1:
+            return 0.0
+        return -(z[c, i] - (l1 if z[c, i] > 0 else -l1)) / ((beta + n[c, i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            label, at, values = rows[k]
+            w = {(c, i): weight(c, i) for c in range(3) for i in at.tolist()}
+            logits = [sum(w[c, i] * v for i, v in zip(at.tolist(), values)) for c in range(3)]
+            top = max(logits)
+            e = [np.exp(x - top) for x in logits]
+            for c in range(3):
+                slope = e[c] / sum(e) - (c == label)
+                for i, v in zip(at.tolist(), values):
+                    g = slope * v
+                    z[c, i] += g - ((n[c, i] + g * g) ** 0.5 - n[c, i] ** 0.5) / alpha * w[c, i]
+                    n[c, i] += g * g
+    expected = np.array([[weight(c, i) for i in [*range(30), langid.FEATURES]] for c in range(3)])
+    assert np.allclose(got[:, [*range(30), langid.FEATURES]], expected)
+    assert (expected == 0).sum() > 5 and (expected != 0).sum() > 5  # the penalty leaves zeros
+    assert np.count_nonzero(got) == np.count_nonzero(expected)
+    assert np.count_nonzero(langid.ftrl(rows, 3, alpha, beta, 1000.0, l2)) == 0
+
+
+def test_language_sample_is_bounded_and_the_same_on_each_run(spark, sf, monkeypatch):
+    docs = langid.training_rows(spark.read.parquet(f"{sf}/documents.parquet"))
+    monkeypatch.setattr(langid, "MOST_ROWS", 40)
+    one, two = langid.train(docs), langid.train(docs.repartition(7))
+    assert np.array_equal(one.weights, two.weights) and one.temperature == two.temperature
+
+
 def test_language_id(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = langid.identify(docs).join(docs, "doc_id").collect()
@@ -254,3 +456,37 @@ def test_vector_bins_hold_every_capacity(rule):
     for n in sorted((rng.randint(1, 60) for _ in range(500)), reverse=True):
         held[bins.put(n)[0]].append(n)
     assert all(sum(x) <= 100 and len(x) <= 4 and sum(n * n for n in x) <= 4000 for x in held.values())
+
+
+def test_packing_under_document_and_cost_capacities(spark):
+    some = data.rows()
+    for options in ({"max_documents": 3}, {"max_cost": 30_000}, {"max_documents": 4, "max_cost": 40_000, "rule": "dot", "tries": None}):
+        got = packing.pack_documents(data.frame(spark, some), queries.vocabulary(), 300, **options).collect()
+        by = defaultdict(list)
+        for r in got:
+            by[r["sequence_id"]].append((r["offset"], r["length"]))
+        most, cost = options.get("max_documents", 300), options.get("max_cost", 300 * 300)
+        lone = [p for p in by.values() if len(p) == 1]
+        for parts in by.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 300 and len(parts) <= most
+            assert sum(n * n for _, n in parts) <= cost or len(parts) == 1  # a piece that exceeds it alone stands alone
+        assert len(lone) < len(by)
+        assert sum(r["length"] for r in got) == sum(len(packing.tokenizer(queries.vocabulary()).ids(t or "")) // 4 + 1 for _, t, *_ in some)
+
+
+def test_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    import json
+    import os
+
+    found = [f for f in sorted(os.listdir(os.path.dirname(queries.vocabulary()))) if f.endswith(".json")]
+    for name in found:
+        path = queries.vocabulary(name)
+        if "model" not in json.load(open(path)):
+            continue
+        tokens = packing.WordTokenizer(path)
+        for t in ("Hello  World, don't stop", "naïve\tÄrger\n\nx", "plain"):
+            assert np.frombuffer(tokens.ids(t), "<u4").tolist() == tokens.whole.encode(t, add_special_tokens=False).ids, name
