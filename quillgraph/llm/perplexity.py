@@ -3,9 +3,13 @@
 The model is a character 5-gram model with modified Kneser-Ney smoothing for each value of lang (null is one of them),
 counted by Spark over all whole texts.  A character is one of 4096 classes (code points below 2048 as they are, others by
 a hash), so an n-gram packs into 60 bits, its context and its suffix are bit fields, and lower orders follow from the
-distinct higher ones.  Discounts come from counts of counts of everything.  For scoring, the n-grams and contexts of at
-least `least` of their order's mass are kept in sorted arrays of packed keys; the rest back off.  With least = 2**-20
-there are at most 2**20 of them for each order and language, whatever the size of the corpus, and that is broadcast.
+distinct higher ones.  Discounts come from counts of counts.  Every n-gram that occurs is kept, at any size of the corpus,
+and nothing of the model is collected or broadcast: probabilities are joins of n-gram tables, order by order.
+
+For scoring, the n-grams that a file of the input needs are asked for once each.  Questions meet the model in buckets,
+where its keys and values stand in sorted arrays; the answers of a file are written to the shared folder, and the tasks
+that read the file look its texts up there.  So what is shuffled follows the different n-grams of each file, and a task
+holds those of one file.  Input that does not come from files, or from very large ones, is written out first.
 
 Perplexity is that of a word: the exponential of a text's negative log-probability over its number of words.  (A mean
 over characters would hide words with marks stuck to them, whose repeated characters are cheap.)  A document is rejected
@@ -21,28 +25,29 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import pyarrow.parquet
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SEPARATOR, U, arrow_type, gram_hashes, mix, out_batch, prepare, staged, starts_inside, texts_of, utf8_of, word_hashes, words_of
+from .common import SEPARATOR, U, arrow_type, gram_hashes, mix, out_batch, place, prepare, shared_path, shuffle_partitions, staged, starts_inside, texts_of, utf8_of, word_hashes, words_of
 
 ORDER, CLASS_BITS = 5, 12
 PLAIN = 2048
-LEAST = 2.0**-20
 BELOW, ABOVE, FLOOR = 4.5, 6.0, 0.1
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+ASKED = "bucket int,chunk long,lang string,keys binary,times binary"
 COUNTS = "lang string,gram long,n long"
+ANSWERS = "chunk long,lang string,keys binary,logs binary"
 SCORED = "doc_id long,lang string,n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,nll double"
 BASE = "doc_id long,n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long"
 _FLUSH = 2_000_000
+_LARGE_FILE = 1 << 30
 
 
 def classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,145 +75,241 @@ def packed(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out[last]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts by language, merged in memory and given out whenever they grow large."""
-    schema = arrow_type(COUNTS)
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    sizes: dict[str, int] = {}
-
-    def merge(lang: str) -> tuple[np.ndarray, np.ndarray]:
-        grams = np.concatenate([g for g, _ in held[lang]])
-        order = np.argsort(grams, kind="stable")
-        grams, n = grams[order], np.concatenate([n for _, n in held[lang]])[order]
-        first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-        held[lang] = [(grams[first], np.add.reduceat(n, first))]
-        sizes[lang] = len(first)
-        return held[lang][0]
-
-    def out(lang: str):
-        grams, n = merge(lang)
-        for at in range(0, len(grams), 100_000):
-            part = slice(at, at + 100_000)
-            yield out_batch(schema, lang=[lang] * len(grams[part]), gram=grams[part], n=n[part])
-        del held[lang], sizes[lang]
+# --- sorted arrays as bytes: differences byte by byte, as their high bytes are mostly zero ------------------------------
+
+
+def planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
+def keys_out(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=0))
+
+
+def keys_in(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<i8"))
+
+
+# --- counting ----------------------------------------------------------------------------------------------------------
+
+
+def with_files(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text and chunk, a number of the file that the row comes from."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")]
+    chunk = F.xxhash64("_metadata.file_path").alias("chunk")
+    try:
+        own = docs.select(*columns, chunk, F.col("_metadata.file_size").alias("file_size"))
+        largest = own.agg(F.max("file_size")).first()[0]
+        if (largest or 0) <= _LARGE_FILE:
+            return own.drop("file_size")
+    except AnalysisException:  # not read from files
+        pass
+    return staged(docs.select(*columns), "documents").select("doc_id", "lang", "text", chunk)
+
+
+def _by(*columns: list) -> Iterator[tuple[tuple, list[int]]]:
+    """The row numbers of each combination of values."""
+    groups: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*columns)):
+        groups.setdefault(key, []).append(i)
+    yield from groups.items()
+
+
+def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A task's n-grams by file and language, merged in memory and given out by bucket whenever they grow large."""
+    schema = arrow_type(ASKED)
+    held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+    sizes: dict[tuple, int] = {}
+
+    def merge(key: tuple) -> tuple[np.ndarray, np.ndarray]:
+        held[key] = [merged(held[key])]
+        sizes[key] = len(held[key][0][0])
+        return held[key][0]
+
+    def out(key: tuple) -> pa.RecordBatch:
+        grams, n = merge(key)
+        del held[key], sizes[key]
+        where = np.mod(grams, buckets)
+        order = np.argsort(where, kind="stable")
+        grams, n, where = grams[order], n[order], where[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1))
+        keys, times = np.split(grams, cuts[1:]), np.split(n.astype("<u4"), cuts[1:])
+        return out_batch(schema, bucket=where[cuts].astype(np.int32), chunk=[key[0]] * len(cuts), lang=[key[1]] * len(cuts), keys=list(map(keys_out, keys)), times=list(map(planes, times)))
 
     for batch in batches:
-        langs = [x or "" for x in batch.column(0).to_pylist()]
-        texts = texts_of(batch.column(1))
-        for lang in set(langs):
-            grams, n = np.unique(packed(*classes([t for l, t in zip(langs, texts) if l == lang])), return_counts=True)
+        texts = texts_of(batch.column(2))
+        for key, rows in _by(batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]):
+            grams, n = np.unique(packed(*classes([texts[i] for i in rows])), return_counts=True)
             if not len(grams):
                 continue
-            held.setdefault(lang, []).append((grams, n))
-            sizes[lang] = sizes.get(lang, 0) + len(grams)
-            if sizes[lang] > _FLUSH:
-                merge(lang)
-                if sizes[lang] > _FLUSH // 2:
-                    yield from out(lang)
-    for lang in list(held):
-        yield from out(lang)
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """order, lang, gram, n: counts of the highest order, and of the lower ones the number of different characters before."""
-    top = docs.select("lang", "text").mapInArrow(_count, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    tables = [staged(top, "grams5")]
+            held.setdefault(key, []).append((grams, n))
+            sizes[key] = sizes.get(key, 0) + len(grams)
+            if sizes[key] > _FLUSH:
+                merge(key)
+        while sum(sizes.values()) > 2 * _FLUSH:
+            for key in list(held):
+                merge(key)
+            if sum(sizes.values()) > _FLUSH:
+                yield out(max(sizes, key=sizes.get))
+    for key in list(held):
+        yield out(key)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams and the sums of their counts."""
+    grams, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+    return grams[first], np.add.reduceat(n, first)
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    """One bucket: the counts of its n-grams."""
+    out = []
+    langs, keys, times = (table.column(c).to_pylist() for c in ("lang", "keys", "times"))
+    for (lang,), rows in _by(langs):
+        grams, n = merged([(keys_in(keys[i]), from_planes(times[i], "<u4")) for i in rows])
+        out.append(pa.table({"lang": pa.array([lang] * len(grams), pa.string()), "gram": grams, "n": n}, schema=arrow_type(COUNTS)))
+    return pa.concat_tables(out)
+
+
+def asked_of(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The n-grams that each file needs, with their counts, by bucket; and the number of buckets (odd, so that all characters count)."""
+    buckets = shuffle_partitions(docs.sparkSession) | 1
+    return staged(docs.select("chunk", "lang", "text").mapInArrow(partial(_count, buckets=buckets), ASKED), "asked"), buckets
+
+
+def gram_counts(asked: DataFrame) -> list[DataFrame]:
+    """For orders 1 to 5 lang, gram, n: counts of the highest order, and of the lower ones the number of different characters before."""
+    top = asked.select("bucket", "lang", "keys", "times").groupBy("bucket").applyInArrow(_sum, COUNTS)
+    tables = [staged(top, f"grams{ORDER}")]
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << (CLASS_BITS * order)) - 1))
         tables.append(staged(tables[-1].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{order}"))
-    out = None
-    for k, one in enumerate(tables):
-        one = one.select(F.lit(ORDER - k).alias("order"), "lang", "gram", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Of n-grams seen once, twice, and more often, from counts of counts; where these are missing, halves."""
-    if not (n1 and n2 and n3 and n4):
-        return 0.5, 1.0, 1.5
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
-
-
-@dataclass
-class Model:
-    """Sorted keys and values: for each language and order, log-probabilities of n-grams and logs of the back-off mass of contexts."""
-
-    grams: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
-    contexts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
-
-    def log_probabilities(self, lang: str, top: np.ndarray) -> np.ndarray:
-        """The log-probability of the last character of each (distinct) 5-gram after the others."""
-        out = np.full(len(top), -CLASS_BITS * np.log(2.0))
-        for order in range(1, ORDER + 1):
-            own = top & ((1 << (CLASS_BITS * order)) - 1)
-            out += look_up(self.contexts.get((lang, order)), own >> CLASS_BITS, 0.0)
-            known = look_up(self.grams.get((lang, order)), own, np.nan)
-            out = np.where(np.isnan(known), out, known)
-        return out
-
-
-def look_up(stored: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray, missing: float) -> np.ndarray:
-    if stored is None or not len(stored[0]):
-        return np.full(len(keys), missing)
+    return tables[::-1]
+
+
+# --- the model ---------------------------------------------------------------------------------------------------------
+
+
+def discounts(counts: DataFrame) -> DataFrame:
+    """lang, d1, d2, d3: what n-grams seen once, twice and more often give up, from counts of counts; where these are missing, halves."""
+    n1, n2, n3, n4 = (F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4))
+    got = counts.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
+    full = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+
+    def of(k: int, more: str, here: str) -> Column:
+        raw = k - (k + 1) * y * F.try_divide(F.col(more), F.col(here))
+        return F.when(full, F.least(F.greatest(raw, F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(k / 2)).alias(f"d{k}")
+
+    return got.select("lang", of(1, "n2", "n1"), of(2, "n3", "n2"), of(3, "n4", "n3"))
+
+
+def log_probabilities(counts: list[DataFrame], wanted: DataFrame | None = None) -> DataFrame:
+    """lang, gram and log: of the last character of each 5-gram after the others; for those counted, or those wanted (lang, gram).
+
+    An n-gram's probability is its discounted share of its context, and the mass that the context leaves times the
+    probability one order below; the lowest order shares with all classes alike.
+    """
+    lower: DataFrame | None = None
+    for order, table in enumerate(counts, 1):
+        context = F.shiftright("gram", CLASS_BITS).alias("context")
+        given = table.select("lang", "gram", "n", context).join(discounts(table), "lang")
+        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        given = given.withColumn("discount", discount)
+        contexts = given.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("discount") / F.sum("n")).alias("back"))
+        rows = given.select("lang", "gram", "context", (F.col("n") - F.col("discount")).alias("own"))
+        if wanted is not None:
+            asked = wanted.select("lang", F.col("gram").bitwiseAND(F.lit((1 << (CLASS_BITS * order)) - 1)).alias("gram")).distinct()
+            rows = asked.withColumn("context", context).join(rows.drop("context"), ["lang", "gram"], "left")
+        rows = rows.join(contexts, ["lang", "context"], "inner" if wanted is None else "left")
+        share, back = F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)), F.coalesce("back", F.lit(1.0))
+        if lower is None:
+            rows = rows.select("lang", "gram", (share + back * F.lit(2.0**-CLASS_BITS)).alias("p"))
+        else:
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << (CLASS_BITS * (order - 1))) - 1))
+            rows = rows.select("lang", "gram", share.alias("share"), back.alias("back"), suffix.alias("suffix"))
+            rows = rows.join(lower, ["lang", "suffix"]).select("lang", "gram", (F.col("share") + F.col("back") * F.col("below")).alias("p"))
+        lower = rows.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+    return rows.select("lang", "gram", F.log("p").alias("log"))
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """One bucket: the model's sorted arrays, and the values that each file asks for."""
+    order = np.argsort(model.column("gram").to_numpy(), kind="stable")
+    grams, logs = (model.column(c).to_numpy()[order] for c in ("gram", "log"))
+    langs = np.array(model.column("lang").to_pylist(), object)[order]
+    stored = {lang: (grams[langs == lang], logs[langs == lang].astype("<f4")) for lang in set(langs.tolist())}
+    found = []
+    for lang, keys in zip(*(asked.column(c).to_pylist() for c in ("lang", "keys"))):
+        found.append(planes(look_up(stored[lang], keys_in(keys))))
+    return pa.table([asked.column("chunk"), asked.column("lang"), asked.column("keys"), pa.array(found, pa.binary())], schema=arrow_type(ANSWERS))
+
+
+def look_up(stored: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The values of keys in sorted arrays; all of them have to be there."""
     at = np.minimum(np.searchsorted(stored[0], keys), len(stored[0]) - 1)
-    return np.where(stored[0][at] == keys, stored[1][at], missing)
-
-
-def train(docs: DataFrame, least: float = LEAST) -> Model:
-    """Counts all texts, and keeps what is above `least` of its order's mass in its language."""
-    counts = gram_counts(docs)
-    times = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    sums = {(r["order"], r["lang"]): r for r in counts.groupBy("order", "lang").agg(F.sum("n").alias("mass"), *times).collect()}  # a row per language and order
-    cut = staged(docs.sparkSession.createDataFrame([(o, l, r["mass"] * least) for (o, l), r in sums.items()], "order int, lang string, least double"), "least")
-    context = F.shiftright("gram", CLASS_BITS)
-    with_sum = counts.withColumn("total", F.sum("n").over(Window.partitionBy("order", "lang", context)))
-    grams = with_sum.join(cut, ["order", "lang"]).where(F.col("n") >= F.col("least")).select("order", "lang", "gram", "n", "total").toArrow()
-    by = counts.groupBy("order", "lang", context.alias("gram")).agg(F.sum("n").alias("total"), *times[:2], F.count(F.lit(1)).alias("kinds"))
-    contexts = by.join(cut, ["order", "lang"]).where(F.col("total") >= F.col("least")).drop("least").toArrow()
-    model = Model({}, {})
-    columns = lambda t, *names: [t.column(n).to_numpy() for n in names]
-    g_order, g_key, g_n, g_total = columns(grams, "order", "gram", "n", "total")
-    c_order, c_key, c_total, c_1, c_2, c_kinds = columns(contexts, "order", "gram", "total", "n1", "n2", "kinds")
-    g_lang, c_lang = (np.array(t.column("lang").to_pylist(), object) for t in (grams, contexts))
-    for (order, lang), r in sorted(sums.items()):  # lower orders first
-        d1, d2, d3 = discounts(r["n1"], r["n2"], r["n3"], r["n4"])
-        own = (c_order == order) & (c_lang == lang)
-        by_key = np.argsort(c_key[own])
-        back = (d1 * c_1[own] + d2 * c_2[own] + d3 * (c_kinds[own] - c_1[own] - c_2[own])) / c_total[own]
-        model.contexts[lang, order] = c_key[own][by_key], np.log(np.maximum(back, 1e-12))[by_key].astype(np.float32)
-        own = (g_order == order) & (g_lang == lang)
-        by_key = np.argsort(g_key[own])
-        key, n, total = g_key[own][by_key], g_n[own][by_key], g_total[own][by_key]
-        lower = Model({k: v for k, v in model.grams.items() if k[1] < order}, {k: v for k, v in model.contexts.items() if k[1] <= order})
-        share = (n - np.where(n == 1, d1, np.where(n == 2, d2, d3))) / total
-        model.grams[lang, order] = key, np.log(share + np.exp(_backed_off(lower, lang, key, order))).astype(np.float32)
-    return model
-
-
-def _backed_off(model: Model, lang: str, keys: np.ndarray, order: int) -> np.ndarray:
-    """The log of the mass that n-grams of an order get from lower orders."""
-    out = np.full(len(keys), -CLASS_BITS * np.log(2.0))
-    for k in range(1, order + 1):
-        own = keys & ((1 << (CLASS_BITS * k)) - 1)
-        out += look_up(model.contexts.get((lang, k)), own >> CLASS_BITS, 0.0)
-        if k < order:
-            known = look_up(model.grams.get((lang, k)), own, np.nan)
-            out = np.where(np.isnan(known), out, known)
-    return out
-
-
-def negative_log(model: Model, lang: str, texts: list[str]) -> list[float]:
+    if len(keys) and not np.array_equal(stored[0][at], keys):
+        raise ValueError("an n-gram was not counted: the documents changed while they were scored")
+    return stored[1][at]
+
+
+def answers(asked: DataFrame, buckets: int, logs: DataFrame) -> str:
+    """Writes the answers to each file's questions to a folder of its own; gives the path above."""
+    path = shared_path(asked.sparkSession, "answers")
+    model = logs.withColumn("bucket", F.pmod("gram", F.lit(buckets)).cast("int"))
+    questions = asked.select("bucket", "chunk", "lang", "keys").groupBy("bucket")
+    found = questions.cogroup(model.groupBy("bucket")).applyInArrow(_answer, ANSWERS)
+    found.repartition("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(path)
+    return path
+
+
+class Answers:
+    """The model's sorted arrays for the texts of one file at a time."""
+
+    def __init__(self, folder: str):
+        self.folder, self.chunk = folder, None
+        self.stored: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, chunk: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        if chunk != self.chunk:
+            self.chunk, self.stored = chunk, {}
+            fs, path = place(f"{self.folder}/chunk={chunk}")
+            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for info in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)):
+                if not info.base_name.startswith(("_", ".")):
+                    for row in pa.parquet.read_table(info.path, filesystem=fs, partitioning=None).to_pylist():
+                        parts.setdefault(row["lang"], []).append((keys_in(row["keys"]), from_planes(row["logs"], "<f4")))
+            for lang, some in parts.items():
+                keys, logs = (np.concatenate(x) for x in zip(*some))
+                keys, first = np.unique(keys, return_index=True)  # tasks of one file may ask alike
+                self.stored[lang] = keys, logs[first]
+        return self.stored
+
+
+def negative_log(stored: tuple[np.ndarray, np.ndarray] | None, texts: list[str]) -> list[float]:
     """The negative log-probability of each text."""
     code, offsets = classes(texts)
     top, inverse = np.unique(packed(code, offsets), return_inverse=True)
-    sums = np.concatenate(([0.0], np.cumsum(-model.log_probabilities(lang, top)[inverse])))
+    if not len(top):
+        return [0.0] * len(texts)
+    if stored is None:
+        raise ValueError("a text was not counted: the documents changed while they were scored")
+    sums = np.concatenate(([0.0], np.cumsum(-look_up(stored, top).astype(float)[inverse])))
     ends = offsets - np.arange(len(offsets)) * (ORDER - 1)
     return (sums[ends[1:]] - sums[ends[:-1]]).tolist()
 
 
+# --- rules -------------------------------------------------------------------------------------------------------------
+
+
 def base_counts(column: pa.Array, texts: list[str]) -> dict[str, np.ndarray]:
     """The counts of the base rules for each text of a batch."""
     data, offsets = utf8_of(column)
@@ -234,15 +335,14 @@ def base_counts(column: pa.Array, texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    schema = arrow_type(SCORED)
+def _score(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    schema, known = arrow_type(SCORED), Answers(folder)
     for batch in batches:
-        langs, texts = [x or "" for x in batch.column(1).to_pylist()], texts_of(batch.column(2))
+        langs, texts, chunks = [x or "" for x in batch.column(1).to_pylist()], texts_of(batch.column(2)), batch.column(3).to_pylist()
         base = base_counts(batch.column(2), texts)
         nll: list[float | None] = [None] * len(texts)
-        for lang in set(langs):
-            own = [i for i, l in enumerate(langs) if l == lang]
-            for i, x in zip(own, negative_log(model.value, lang, [texts[i] for i in own])):
+        for (chunk, lang), own in sorted(_by(chunks, langs)):
+            for i, x in zip(own, negative_log(known.of(chunk).get(lang), [texts[i] for i in own])):
                 nll[i] = x / int(base["n_words"][i]) if base["n_words"][i] else None
         yield out_batch(schema, doc_id=batch.column(0), lang=langs, nll=nll, **base)
 
@@ -262,13 +362,18 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_base, BASE).withColumn("base_failed", F.expr(FAILED))
 
 
-def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR, least: float = LEAST) -> DataFrame:
+def scored_documents(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, lang (null as empty), the base counts and nll, the negative log-probability for each word."""
+    prepare(docs.sparkSession)
+    docs = with_files(docs)
+    asked, buckets = asked_of(docs)
+    folder = answers(asked, buckets, log_probabilities(gram_counts(asked)))
+    return docs.mapInArrow(partial(_score, folder=folder), SCORED)
+
+
+def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, floor: float = FLOOR) -> DataFrame:
     """A row per document: doc_id, the base counts, base_failed, kept, perplexity and the band's lower and upper perplexity."""
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "lang", "text")
-    model = spark.sparkContext.broadcast(train(docs, least))
-    scored = staged(docs.mapInArrow(partial(_score, model=model), SCORED), "scored")
+    scored = staged(scored_documents(docs), "scored")
     scored = scored.withColumn("base_failed", F.expr(FAILED))
     good = scored.where("not base_failed").select("lang", "nll")
     middle = staged(good.groupBy("lang").agg(F.percentile_approx("nll", 0.5, 10000).alias("middle")), "medians")

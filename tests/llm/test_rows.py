@@ -238,17 +238,97 @@ def test_base_counts(spark):
     assert perplexity.quality(data.empty(spark)).count() == 0
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    """The probabilities of all characters after a context add up to one."""
-    docs = data.frame(spark, [(i, t, "en", "s") for i, t, *_ in data.rows() if t])
-    model = perplexity.train(docs, least=0.0)
-    base, _ = perplexity.classes(["abcd", "the "])
-    for context in ([97, 98, 99, 100], [0, 0, 0, 0], [4000, 4001, 4002, 4003]):
-        prefix = 0
-        for c in context:
-            prefix = prefix << 12 | c
-        top = (prefix << 12) | np.arange(4096)
-        assert np.exp(model.log_probabilities("en", top)).sum() == pytest.approx(1, abs=2e-3)
+def kneser_ney(texts):
+    """Modified Kneser-Ney over character classes by its definition, with dictionaries: a function of context and character."""
+    order, size = perplexity.ORDER, 1 << perplexity.CLASS_BITS
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        code = [0] * (order - 1) + perplexity.classes([t])[0].tolist()[order - 1 :]
+        for i in range(order - 1, len(code)):
+            counts[order][tuple(code[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    below = []
+    for k in range(1, order + 1):
+        n = [sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]
+        if all(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            raw = (1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2])
+            below.append([min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1)])
+        else:
+            below.append([0.5, 1.0, 1.5])
+
+    followers = [defaultdict(list) for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, c in counts[k].items():
+            followers[k][g[:-1]].append(c)
+
+    def p(gram):
+        if not gram:
+            return 1 / size
+        k = len(gram)
+        give = lambda c: below[k - 1][min(c, 3) - 1]
+        after = followers[k].get(gram[:-1], [])
+        if not after:
+            return p(gram[1:])
+        total, c = sum(after), counts[k].get(gram, 0)
+        return ((c - give(c)) / total if c else 0.0) + sum(map(give, after)) / total * p(gram[1:])
+
+    return p, counts
+
+
+def packed_gram(gram):
+    out = 0
+    for c in gram:
+        out = out << perplexity.CLASS_BITS | c
+    return out
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    """Probabilities of counted and of new 5-grams, those of all characters after a context add up to one, and scores of documents."""
+    rng = random.Random(5)
+    texts = {"en": [t for _, t, *_ in data.rows(n=20) if t and len(t) < 3000], "fr": [data.words(rng, 50) + " 漢é" for _ in range(4)], "": ["ab", ""]}
+    rows = [(i, t, lang or None, "s") for i, (lang, t) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    rows += [(900, None, "en", "s"), (901, "", "xx", "s"), (902, " ", "en", "s")]
+    texts["en"].append(" ")
+    docs = perplexity.with_files(data.frame(spark, rows))
+    counts = perplexity.gram_counts(perplexity.asked_of(docs)[0])
+    models = {lang: kneser_ney(t) for lang, t in texts.items()}
+    got = {(r["lang"], r["gram"]): r["log"] for r in perplexity.log_probabilities(counts).collect()}
+    assert set(got) == {(lang, packed_gram(g)) for lang, (_, c) in models.items() for g in c[perplexity.ORDER]}
+    for lang, (p, c) in models.items():
+        for g in c[perplexity.ORDER]:
+            assert got[lang, packed_gram(g)] == pytest.approx(np.log(p(g)), abs=1e-9)
+    size = 1 << perplexity.CLASS_BITS
+    contexts = [(97, 98, 99, 100), (0, 0, 0, 0), (4000, 4001, 4002, 4003), next(iter(models["en"][1][perplexity.ORDER]))[:-1]]
+    wanted = [("en", packed_gram((*c, x))) for c in contexts for x in range(size)]
+    new = {(r["lang"], r["gram"]): r["log"] for r in perplexity.log_probabilities(counts, spark.createDataFrame(wanted, "lang string, gram long")).collect()}
+    for c in contexts:
+        assert sum(np.exp(new["en", packed_gram((*c, x))]) for x in range(size)) == pytest.approx(1, abs=1e-9)
+        for x in (97, 32, 4095):
+            assert new["en", packed_gram((*c, x))] == pytest.approx(np.log(models["en"][0]((*c, x))), abs=1e-9)
+    scored = {r["doc_id"]: r for r in perplexity.scored_documents(data.frame(spark, rows)).collect()}
+    for id_, t, lang, _ in rows:
+        words = len((t or "").split())
+        if not words:
+            assert scored[id_]["nll"] is None
+            continue
+        code = [0] * 4 + perplexity.classes([t])[0].tolist()[4:]
+        nll = -sum(np.log(models[lang or ""][0](tuple(code[i - 4 : i + 1]))) for i in range(4, len(code)))
+        assert scored[id_]["nll"] == pytest.approx(nll / words, rel=1e-5)
+
+
+def test_perplexity_is_the_same_from_files_of_any_number(spark, tmp_path):
+    """Nothing in the model depends on how the input is cut, and equal questions of one file's tasks are one."""
+    docs = data.frame(spark)
+    seen = []
+    for n in (1, 6):
+        docs.repartition(n).write.parquet(str(tmp_path / str(n)))
+        back = spark.read.parquet(str(tmp_path / str(n)))
+        assert "chunk" in perplexity.with_files(back).columns
+        seen.append(Counter((r["doc_id"], r["kept"], round(r["perplexity"] or 0, 3)) for r in perplexity.quality(back).collect()))
+    seen.append(Counter((r["doc_id"], r["kept"], round(r["perplexity"] or 0, 3)) for r in perplexity.quality(docs).collect()))
+    assert seen[0] == seen[1] == seen[2] and sum(seen[0].values()) == len(data.rows())
 
 
 def test_perplexity_rejects_strange_texts(spark):
