@@ -198,10 +198,16 @@ def gram_counts(asked: DataFrame) -> list[DataFrame]:
 # --- the model ---------------------------------------------------------------------------------------------------------
 
 
-def discounts(counts: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3: what n-grams seen once, twice and more often give up, from counts of counts; where these are missing, halves."""
+def discounts(counts: list[DataFrame]) -> DataFrame:
+    """order, lang, d1, d2, d3: what n-grams seen once, twice and more often give up, from counts of counts; where these are missing, halves.
+
+    A row for each order and language, written out: Spark broadcasts it where its size allows.
+    """
+    every = counts[0].select(F.lit(1).alias("order"), "lang", "n")
+    for order, table in enumerate(counts[1:], 2):
+        every = every.unionByName(table.select(F.lit(order).alias("order"), "lang", "n"))
     n1, n2, n3, n4 = (F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4))
-    got = counts.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
+    got = every.groupBy("order", "lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
     full = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
@@ -209,7 +215,7 @@ def discounts(counts: DataFrame) -> DataFrame:
         raw = k - (k + 1) * y * F.try_divide(F.col(more), F.col(here))
         return F.when(full, F.least(F.greatest(raw, F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(k / 2)).alias(f"d{k}")
 
-    return got.select("lang", of(1, "n2", "n1"), of(2, "n3", "n2"), of(3, "n4", "n3"))
+    return staged(got.select("order", "lang", of(1, "n2", "n1"), of(2, "n3", "n2"), of(3, "n4", "n3")), "discounts")
 
 
 def log_probabilities(counts: list[DataFrame], wanted: DataFrame | None = None) -> DataFrame:
@@ -219,9 +225,10 @@ def log_probabilities(counts: list[DataFrame], wanted: DataFrame | None = None)
     probability one order below; the lowest order shares with all classes alike.
     """
     lower: DataFrame | None = None
+    gives = discounts(counts)
     for order, table in enumerate(counts, 1):
         context = F.shiftright("gram", CLASS_BITS).alias("context")
-        given = table.select("lang", "gram", "n", context).join(discounts(table), "lang")
+        given = table.select("lang", "gram", "n", context).join(gives.where(F.col("order") == order).drop("order"), "lang")
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         given = given.withColumn("discount", discount)
         contexts = given.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("discount") / F.sum("n")).alias("back"))
