@@ -3,17 +3,22 @@
 Documents are sets of five-word shingles (fewer than five words: one shingle of all words).  Equal sets are one node of
 a graph.  Links are the pairs of nodes with a Jaccard similarity of at least the threshold.
 
-1. MinHash values in bands propose candidates.  A band's bucket of any size only adds a star (each node and the
-   bucket's smallest), and the connected components of all stars hold every candidate pair.
-2. Components are cut into blocks of about 256 sets by a hash; texts are read again, and only rows that a fixed-size bit map
-   of the members lets through are shuffled.  A unit of work is a pair of blocks, with the shingles of both.  In a
-   unit MinHash values are compared a few at a time; after each step a pair is dropped if, with a uniform prior, the
-   posterior probability that its similarity reaches the threshold is below the tolerance.  All others are verified
-   exactly.  Units give link counts for each node and a spanning forest, never the pairs.
-3. The components of the forests are the classes.
-
-Pairs inside a component are all examined, so only a true pair that shares no band anywhere in its component is missed
-(a chance of 3e-6 at a similarity of 0.8 with 42 bands of 6), besides the tolerance.  Node ids are 64-bit hashes.
+1. MinHash values in bands propose candidates: two sets that share a band.  A band's bucket of any size only adds a star
+   (each node and the bucket's smallest), and the connected components of all stars hold every candidate pair.
+2. Components of up to `most_blocks` blocks (of about 1,024 sets or a million shingles, by a hash) are compared as they
+   are, each set with all others of its component: a set is sent once for each block.  Larger components are either one
+   huge group of copies or many texts chained by chance, so there only pairs that share a band are compared, each in the
+   first band that they share; a band's bucket is again cut into blocks.  Texts are read again, and only rows that a
+   fixed-size bit map of the members lets through are shuffled.
+3. A unit of work is a pair of blocks, with the shingles of both.  In a unit MinHash values are compared a few at a time;
+   after each step a pair is dropped if, with a uniform prior, the posterior probability that its similarity reaches the
+   threshold is below the tolerance.  All others are verified exactly.  Units give link counts for each node and a
+   spanning forest, never the pairs.
+4. The components of the forests are the classes.
+
+A true pair is missed only if it shares no band (a chance of 3e-6 at a similarity of 0.8 with 42 bands of 6), or by the
+tolerance.  A node is named by 128 bits of hashes of its set; components of candidates use 64 of them, where two sets
+with one name would only be compared once more.
 
 Defined results: a document without words (null or empty text) has no links and is its own class; class_id is the
 smallest doc_id of a class (null if it has none); copies count as links of each other; rows that are repeated are
@@ -30,22 +35,23 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import U, WORD, arrow_type, doc_key, gram_hashes, mix, out_batch, own_names, prepare, shuffle_partitions, staged, utf8_of, word_hashes, words_of
+from .common import U, arrow_type, doc_key, gram_hashes, mix, out_batch, own_names, prepare, shuffle_partitions, staged, utf8_of, word_hashes, words_of
 from .substring import MOST_BITS, SLICE_BITS, cells_of, marked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 TOLERANCE = 1e-9
 _STEP = 28
+_LEFT = 256
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _A, _B = (_SEEDS[: BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[BANDS * ROWS :] >> U(32)).astype(np.uint32)
 NODES = "id long,key long,node long,size long"
+HEAVY, PIECES = 256, 100_000
 SHINGLES = "id long,key long,shingles binary"
-LINKS = "node long,root long,links long,texts long,whole boolean"
+LINKS = "node long,other long,root long,root_other long,links long,texts long,whole boolean"
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -90,25 +96,43 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(other, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
 
+def with_smallest(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (a, b) with m, the smallest b of each a, where n is the number of rows.
+
+    Nodes of more than HEAVY rows (and more than a PIECES-th of all) are dealt to several tasks.  There are at most
+    PIECES of them, so their list is small enough to broadcast.
+    """
+    heavy = max(HEAVY, n // PIECES)
+    smallest = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    smallest = smallest.withColumn("parts", F.ceil(F.col("n") / F.lit(heavy)).cast("int")).drop("n")
+    hubs = F.broadcast(smallest.where("parts > 1").select("a", "parts"))
+    dealt = rows.join(hubs, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    spread = smallest.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(spread, ["a", "part"]).drop("part")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """The connected components of edges (a, b): node and root, the smallest node, for each node that has an edge.
 
-    Large-star and small-star steps in turn, each written out, until the edges stay as they are: a star per component.
+    Large-star and small-star steps in turn, each written out and summed up as it is written, until the edges stay as
+    they are: a star per component.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = staged(edges, name)
-    before = None
-    while True:
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = state
+
+    def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = staged(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), name)
+        return out, (seen.get["n"], seen.get["sum"])
+
+    now, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = staged(small.where("a <> b").distinct(), name)
+        large = with_smallest(both, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = with_smallest(large, state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        before = state
+        now, state = written(small.where("a <> b").distinct())
+        if state == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _cells_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,19 +215,33 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction, tolerance: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of left, the members of right (after it, if they are the same) whose similarity reaches the threshold."""
+def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction, tolerance: float, bands: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of left, the members of right (after it, if they are the same) whose similarity reaches the threshold.
+
+    bands: the keys of each member's earlier bands; pairs that share one of them are left to that band.
+    """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    signatures = np.zeros((len(sets), len(_A)), np.uint32)
+    known = np.zeros(len(sets), bool)
+    for at in range(0, len(left), _LEFT):
+        yield from _linked(sets, sizes, signatures, known, left[at : at + _LEFT], right, left is right, threshold, tolerance, bands)
+
+
+def _linked(sets, sizes, signatures, known, left, right, same, threshold, tolerance, bands) -> Iterator[tuple[int, np.ndarray]]:
     small, large = np.minimum(sizes[left][:, None], sizes[right]), np.maximum(sizes[left][:, None], sizes[right])
     alive = small * threshold.denominator >= large * threshold.numerator
-    alive &= left[:, None] < right if left is right else True
+    if same:
+        alive &= left[:, None] < right
     i, j = np.nonzero(alive)
+    if bands is not None and bands.shape[1] and len(i):
+        new = np.concatenate([~(bands[left[i[at : at + 65536]]] == bands[right[j[at : at + 65536]]]).any(axis=1) for at in range(0, len(i), 65536)])
+        i, j = i[new], j[new]
     if not len(i):
         return
     used = np.unique(np.concatenate([left[i], right[j]]))
-    signatures = np.zeros((len(sets), len(_A)), np.uint32)
-    for n in used.tolist():
+    for n in used[~known[used]].tolist():
         signatures[n] = minhash(sets[n])
+    known[used] = True
     matches = np.zeros(len(i), np.int64)
     for k, least in enumerate(least_matches(threshold, tolerance, _STEP, len(_A))):
         part = slice(k * _STEP, (k + 1) * _STEP)
@@ -234,26 +272,31 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
 
 
 def _unit(table: pa.Table, threshold: Fraction, tolerance: float) -> pa.Table:
-    """The links of a few whole components, or of a pair of blocks of a large one."""
+    """The links of a few whole components, or of a pair of blocks of a large one or of one of its buckets."""
     schema = arrow_type(LINKS)
-    cluster, first, second, block, blocks, node, docs = (table.column(c).to_numpy() for c in ("cluster", "first", "second", "block", "blocks", "node", "docs"))
-    order = np.lexsort((node, second, first, cluster))
+    group, first, second, block, blocks, band, node, other, docs = (table.column(c).to_numpy() for c in ("cluster", "first", "second", "block", "blocks", "band", "node", "other", "docs"))
+    order = np.lexsort((other, node, second, first, band, group))
     new = np.ones(len(order), bool)
-    for c in (cluster, first, second):
+    for c in (group, band, first, second):
         new[1:] &= c[order][1:] == c[order][:-1]
     starts = np.flatnonzero(~new)
     out = []
     for rows in np.split(order, starts):
-        _, keep = np.unique(node[rows], return_index=True)  # a row that the input repeats is one node
-        rows = rows[keep]
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").take(pa.array(rows)).to_pylist()]
-        names, weights = node[rows], docs[rows]
+        again = np.zeros(len(rows), bool)  # a row that the input repeats is one node
+        again[1:] = (node[rows][1:] == node[rows][:-1]) & (other[rows][1:] == other[rows][:-1])
+        rows = rows[~again]
+        column = table.column("shingles").take(pa.array(rows)).to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in column]
+        bands = None
+        if band[rows[0]] >= 0:
+            bands = np.array(table.column("bands").take(pa.array(rows)).to_pylist(), np.int64)[:, : band[rows[0]]]
+        weights = docs[rows]
         if first[rows[0]] == second[rows[0]]:
             left = right = np.arange(len(rows))
         else:
             left, right = np.flatnonzero(block[rows] == first[rows[0]]), np.flatnonzero(block[rows] == second[rows[0]])
         links, texts, forest = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), Forest(len(rows))
-        for own, others in linked_pairs(sets, left, right, threshold, tolerance):
+        for own, others in linked_pairs(sets, left, right, threshold, tolerance, bands):
             links[own] += weights[others].sum()
             texts[own] += len(others)
             links[others] += weights[own]
@@ -261,15 +304,26 @@ def _unit(table: pa.Table, threshold: Fraction, tolerance: float) -> pa.Table:
             for x in others.tolist():
                 forest.join(own, x)
         for x in np.flatnonzero(texts).tolist():
-            out.append((int(names[x]), int(names[forest.find(x)]), int(links[x]), int(texts[x]), bool(blocks[rows[0]] == 1)))
+            root = rows[forest.find(x)]
+            out.append((int(node[rows[x]]), int(other[rows[x]]), int(node[root]), int(other[root]), int(links[x]), int(texts[x]), bool(blocks[rows[0]] == 1 and bands is None)))
     return pa.Table.from_batches([out_batch(schema, **dict(zip(schema.names, zip(*out))))]) if out else schema.empty_table()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = 256, block_shingles: int = 250_000) -> DataFrame:
-    """A row per document: row_key, doc_id, class_id, n_links (other documents), n_text_links (other shingle sets), first.
+def in_blocks(rows: DataFrame, groups: list[str], block_docs: int, block_shingles: int) -> DataFrame:
+    """Rows (with node, other and size) with the number of blocks of their group and their own: dealt by a hash, no task orders a group."""
+    weight = F.lit(1.0 / block_docs) + F.col("size") / F.lit(float(block_shingles))
+    blocks = rows.groupBy(*groups).agg(F.greatest(F.lit(1), F.ceil(F.sum(weight))).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"))
+    own = F.pmod(F.xxhash64("node", "other"), F.col("blocks")).cast("int")
+    return rows.join(blocks.where("sets > 1").drop("sets"), groups).withColumn("block", own)
+
+
+def classes(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = 1024, block_shingles: int = 1_000_000, most_blocks: int = 8
+) -> DataFrame:
+    """A row per document: row_key, doc_id, class_id, n_links (other documents), n_text_links (other shingle sets), first, wordless.
 
     row_key is a hash of doc_id and text; with doc_id it names the row.  first tells the one document of each class that
-    has the smallest doc_id (and row_key).
+    has the smallest doc_id (and row_key); a wordless document is first in a class of its own.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -279,57 +333,62 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     full = rows.where("node is not null")
     own = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     nodes = full.groupBy("node", "other").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("docs"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = staged(nodes.select("node", "own.id", "own.key", "docs", "size", "bands"), "sets")
+    nodes = staged(nodes.select("node", "other", "own.id", "own.key", "docs", "size", "bands"), "sets")
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = banded.join(shared, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     coarse = components(stars, "stars").select("node", F.col("root").alias("cluster"))
 
-    # blocks of about block_docs sets or block_shingles shingles, dealt out by a hash: no task orders a component
-    weight = F.lit(1.0 / block_docs) + F.col("size") / F.lit(float(block_shingles))
-    members = nodes.drop("bands").join(coarse, "node")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(weight)).cast("int").alias("blocks"))
-    members = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = staged(members.select("node", "cluster", "block", "blocks", "docs", F.col("id").alias("own_id"), F.col("key").alias("own_key")), "members")
+    members = in_blocks(nodes.join(coarse, "node"), ["cluster"], block_docs, block_shingles)
+    members = staged(members.select("node", "other", "cluster", "block", "blocks", "docs", "size", F.col("id").alias("own_id"), F.col("key").alias("own_key"), F.when(F.col("blocks") > most_blocks, F.col("bands")).alias("bands")), "members")
+    whole = members.where("bands is null").withColumn("band", F.lit(-1))
+    buckets = members.where("bands is not null").drop("cluster", "block", "blocks").select("*", F.posexplode("bands").alias("band", "cluster"))
+    buckets = in_blocks(buckets, ["band", "cluster"], block_docs, block_shingles).select(*whole.columns)
+    dealt = whole.unionByName(buckets).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"first": F.least("block", "with"), "second": F.greatest("block", "with")}).drop("with", "size")
+    few = 8 * shuffle_partitions(spark)
+    alone = (F.col("blocks") == 1) & (F.col("band") < 0)
+    dealt = dealt.withColumn("unit", F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(few))).otherwise(F.xxhash64("cluster", "band", "first", "second")))
 
     same = (F.col("id").eqNullSafe(F.col("own_id"))) & (F.col("key") == F.col("own_key"))
     sets = keyed.mapInArrow(partial(_shingle_rows, keys=key_map(members.select("own_key"))), SHINGLES)
-    sets = sets.join(members, same).select("node", "cluster", "block", "blocks", "docs", "shingles")
-    units = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"first": F.least("block", "with"), "second": F.greatest("block", "with")}).drop("with")
-    few = 8 * shuffle_partitions(spark)
-    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(few))).otherwise(F.xxhash64("cluster", "first", "second"))
-    found = units.withColumn("unit", unit).groupBy("unit").applyInArrow(lambda table: _unit(table, limit, tolerance), LINKS)
+    found = sets.join(dealt, same).drop("id", "key", "own_id", "own_key").groupBy("unit").applyInArrow(lambda table: _unit(table, limit, tolerance), LINKS)
     found = staged(found, "links")
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    whole = found.where("whole").select("node", "root")
-    across = components(found.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b")), "forests")
+    counts = found.groupBy("node", "other").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    named_as = lambda a, b, name: F.struct(F.col(a).alias("node"), F.col(b).alias("other")).alias(name)
+    alone = found.where("whole").select("node", "other", named_as("root", "root_other", "root"))
+    across = components(found.where("not whole").select(named_as("node", "other", "a"), named_as("root", "root_other", "b")), "forests").select("node.node", "node.other", "root")
 
-    named = nodes.select("node", "id", "key", "docs").join(whole.unionByName(across), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "other", "id", "key", "docs").join(alone.unionByName(across), ["node", "other"], "left").withColumn("root", F.coalesce("root", F.struct("node", "other")))
     smallest = named.groupBy("root").agg(F.min(own).alias("first")).select("root", F.col("first.id").alias("class_id"), F.col("first.key").alias("class_key"))
-    named = named.join(smallest, "root").join(counts, "node", "left")
-    named = named.select("node", "class_id", "class_key", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
-    joined = rows.select("id", "key", "node").join(named, "node", "left")
+    named = named.join(smallest, "root").join(counts, ["node", "other"], "left")
+    named = named.select("node", "other", "class_id", "class_key", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    joined = rows.select("id", "key", "node", "other").join(named, ["node", "other"], "left")
     alone = F.col("node").isNull()
     return joined.select(
         F.col("key").alias("row_key"), F.col("id").alias("doc_id"),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
-        (alone | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))).alias("first"),
+        (alone | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))).alias("first"), alone.alias("wordless"),
     )
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, class_id, n_links, n_text_links."""
-    return classes(docs, **options).drop("row_key", "first")
+    return classes(docs, **options).drop("row_key", "first", "wordless")
 
 
 def unique_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with the input's columns, one of each class; documents without words all stay."""
+    """The documents, with the input's columns, one of each class; documents without words all stay.
+
+    Of rows that are equal in doc_id and text any one stays.  Rows are dropped as soon as they are known not to be the
+    first of their class, and only names that several rows share are told apart after that.
+    """
     plain = own_names(docs, ("doc_id", "text"))
     keyed = plain.select("*", doc_key("doc_id", "text").alias("key"))
-    first = classes(plain, **options).where("first").select(F.col("doc_id").alias("first_id"), F.col("row_key").alias("first_key"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["first_id"]) & (keyed["key"] == first["first_key"]), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("key"))
-    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    return kept.withColumn("number", number).where((F.col("number") == 1) | wordless).select(*plain.columns).toDF(*docs.columns)
+    first = classes(plain, **options).where("first").groupBy(F.col("doc_id").alias("first_id"), F.col("row_key").alias("first_key"), "wordless").agg(F.count(F.lit(1)).alias("same"))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["first_id"]) & (keyed["key"] == first["first_key"]))
+    once = (F.col("same") == 1) | F.col("wordless")
+    several = kept.where(~once).groupBy("doc_id", "key").agg(F.any_value(F.struct(*plain.columns)).alias("row")).select("row.*")
+    return kept.where(once).select(*plain.columns).unionByName(several).toDF(*docs.columns)

@@ -215,7 +215,7 @@ def test_jaccard_join(spark):
         classes.setdefault(find(i), []).append(rows[i][0])
     smallest = {k: min((x for x in v if x is not None), default=None) for k, v in classes.items()}
     expected = Counter((rows[i][0], smallest[find(i)], len(linked[i])) for i in range(n))
-    for options in ({}, {"block_docs": 2}):
+    for options in ({}, {"block_docs": 2}, {"block_docs": 2, "most_blocks": 0}, {"most_blocks": 0}):
         got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(data.frame(spark, rows), **options).collect())
         assert got == expected
 
@@ -240,12 +240,70 @@ def test_large_component_in_blocks(spark):
         w = list(base)
         w[rng.randrange(200)] = f"w{i}"
         some.append((i, " ".join(w), "en", "s"))
-    got = jaccard.join(data.frame(spark, some), block_docs=16).collect()
-    assert {r["class_id"] for r in got} == {0}
     sets = [shingles(t) for _, t, *_ in some]
-    for r in got:
-        i = r["doc_id"]
-        assert r["n_links"] == sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(120) if j != i)
+    for options in ({"block_docs": 16, "most_blocks": 100}, {"block_docs": 16, "most_blocks": 1}):  # block by block, band by band
+        got = jaccard.join(data.frame(spark, some), **options).collect()
+        assert {r["class_id"] for r in got} == {0}
+        for r in got:
+            i = r["doc_id"]
+            assert r["n_links"] == sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(120) if j != i)
+
+
+def test_chained_texts_are_compared_by_shared_bands(spark):
+    """Texts that drift from one to the next are one component of candidates; links and classes are those of brute force."""
+    import random
+
+    rng = random.Random(17)
+    words = data.words(rng, 60).split()
+    some = []
+    for i in range(300):
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            words[rng.randrange(60)] = f"n{i}"
+        some.append((i, " ".join(words), "en", "s"))
+    sets = [shingles(t) for _, t, *_ in some]
+    linked = [{j for j in range(300) if j != i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} for i in range(300)]
+    root = list(range(300))
+    for i in range(300):  # classes are runs, but links may skip
+        for j in linked[i]:
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    for options in ({"block_docs": 8, "most_blocks": 1}, {}):
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(data.frame(spark, some), **options).collect()}
+        assert got == {i: (root[i], len(linked[i])) for i in range(300)}
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY", 5)
+    import random
+
+    rng = random.Random(1)
+    edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1000 + i + 1) for i in range(60)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    expected = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = jaccard.components(df, "test").collect()
+    assert {r["node"]: r["root"] for r in got} == expected and len(got) == len(expected)
+    from pyspark.sql import functions as F
+
+    twice = df.select(*[F.struct(F.col(c).alias("node"), (-F.col(c)).alias("other")).alias(c) for c in ("a", "b")])
+    got = jaccard.components(twice, "test").collect()
+    assert {r["node"]["node"]: r["root"]["node"] for r in got} == expected and len(got) == len(expected)
+    assert jaccard.components(df.limit(0), "test").count() == 0
+
+
+def test_unique_documents_of_repeated_rows(spark):
+    some = [(None, "a b c d e f g", "en", "s")] * 20 + [(5, "h i j k l m n", "en", "s")] * 3 + [(6, "h i j k l m n", "en", "t"), (None, "", "en", "s"), (None, "", "en", "s"), (8, None, "en", "s")]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.unique_documents(data.frame(spark, some)).collect())
+    assert got == Counter({(None, "a b c d e f g"): 1, (5, "h i j k l m n"): 1, (None, ""): 2, (8, None): 1})
 
 
 def test_posterior_bounds():
