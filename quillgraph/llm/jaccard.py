@@ -5,7 +5,7 @@ a graph.  Links are the pairs of nodes with a Jaccard similarity of at least the
 
 1. MinHash values in bands propose candidates: two sets that share a band.  A band's bucket of any size only adds a star
    (each node and the bucket's smallest), and the connected components of all stars hold every candidate pair.
-2. Components of up to `most_blocks` blocks (of about 1,024 sets or a million shingles, by a hash) are compared as they
+2. Components of up to `most_blocks` blocks (of about 256 sets or 250,000 shingles, by a hash) are compared as they
    are, each set with all others of its component: a set is sent once for each block.  Larger components are either one
    huge group of copies or many texts chained by chance, so there only pairs that share a band are compared, each in the
    first band that they share; a band's bucket is again cut into blocks.  Texts are read again, and only rows that a
@@ -100,36 +100,98 @@ def with_smallest(rows: DataFrame, n: int) -> DataFrame:
     """Rows (a, b) with m, the smallest b of each a, where n is the number of rows.
 
     Nodes of more than HEAVY rows (and more than a PIECES-th of all) are dealt to several tasks.  There are at most
-    PIECES of them, so their list is small enough to broadcast.
+    PIECES of them, so their list fits a plan.
     """
     heavy = max(HEAVY, n // PIECES)
-    smallest = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    smallest = smallest.withColumn("parts", F.ceil(F.col("n") / F.lit(heavy)).cast("int")).drop("n")
-    hubs = F.broadcast(smallest.where("parts > 1").select("a", "parts"))
-    dealt = rows.join(hubs, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    spread = smallest.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    counted = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = [tuple(r) for r in counted.where(F.col("n") > heavy).select(F.xxhash64("a"), "n").collect()]
+    smallest = counted.drop("n")
+    if not hubs:
+        return rows.join(smallest, "a")
+    parts = -(-max(k for _, k in hubs) // heavy)
+    is_hub = F.xxhash64("a").isin([h for h, _ in hubs])
+    dealt = rows.withColumn("part", F.when(is_hub, F.pmod(F.xxhash64("b"), F.lit(parts))).otherwise(0).cast("int"))
+    spread = smallest.withColumn("part", F.explode(F.when(is_hub, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(spread, ["a", "part"]).drop("part")
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """Node names as values that NumPy can sort: numbers, or records of a struct's fields."""
+    if not pa.types.is_struct(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    parts = [f.to_numpy(zero_copy_only=False) for f in column.flatten()]
+    out = np.empty(len(column), [(f"f{i}", np.int64) for i in range(len(parts))])
+    for i, x in enumerate(parts):
+        out[f"f{i}"] = x
+    return out
+
+
+def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of stars with the same components: each node but the smallest, and the smallest."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    up = np.arange(len(names))
+    while True:
+        low = np.minimum(up[x], up[y])
+        before = up.copy()
+        for side in (x, y):
+            np.minimum.at(up, before[side], low)
+            np.minimum.at(up, side, low)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        if np.array_equal(up, before):
+            break
+    child = np.flatnonzero(up != np.arange(len(names)))
+    return names[child], names[up[child]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as stars, a bounded number of edges at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out():
+        table = pa.Table.from_batches(held).combine_chunks()
+        columns = []
+        for values, field in zip(stars_of(*(_values(c.combine_chunks()) for c in table.columns)), table.schema):
+            parts = [values] if values.dtype.names is None else [values[n] for n in values.dtype.names]
+            columns.append(pa.array(parts[0], field.type) if values.dtype.names is None else pa.StructArray.from_arrays([pa.array(x) for x in parts], fields=list(field.type)))
+        return pa.RecordBatch.from_arrays(columns, schema=table.schema)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size > 2_000_000:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """The connected components of edges (a, b): node and root, the smallest node, for each node that has an edge.
 
-    Large-star and small-star steps in turn, each written out and summed up as it is written, until the edges stay as
-    they are: a star per component.
+    Large-star and small-star steps in turn; each task makes stars of its own edges before they are written out, which
+    leaves few steps.  The edges are summed up as they are written, and the end is reached when they stay as they are: a
+    star per component.
     """
+    edges = edges.select("a", "b")
 
     def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
         seen = Observation()
-        out = staged(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), name)
+        rows = rows.distinct().mapInArrow(_contract, edges.schema)
+        summed = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        out = staged(rows.observe(seen, *summed), name)
         return out, (seen.get["n"], seen.get["sum"])
 
-    now, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, state = written(edges.where("a <> b"))
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = with_smallest(both, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = with_smallest(large, state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         before = state
-        now, state = written(small.where("a <> b").distinct())
+        now, state = written(small.where("a <> b"))
         if state == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -318,7 +380,7 @@ def in_blocks(rows: DataFrame, groups: list[str], block_docs: int, block_shingle
 
 
 def classes(
-    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = 1024, block_shingles: int = 1_000_000, most_blocks: int = 8
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = 256, block_shingles: int = 250_000, most_blocks: int = 16
 ) -> DataFrame:
     """A row per document: row_key, doc_id, class_id, n_links (other documents), n_text_links (other shingle sets), first, wordless.
 
