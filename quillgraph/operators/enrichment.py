@@ -22,24 +22,52 @@ class Backend(Protocol):
     def load(self) -> None: ...
     def infer(self, prompt: str, images: list[str], temperature: float) -> str: ...
     def infer_n(self, prompt: str, images: list[str], n: int, temperature: float) -> list[str]: ...
+    def encode(self, texts: list[str]) -> list[list[float]]: ...
+    def logprob(self, prompt: str, images: list[str], answer: str) -> float: ...
+    def set_adapter_enabled(self, enabled: bool) -> None: ...
     def unload(self) -> None: ...
 
 
 _models: dict[str, Backend] = {}
 
 
+def model(name: str, factory: Callable[[], Backend]) -> Backend:
+    """The worker's model of this name, loaded once."""
+    if name not in _models:
+        _models[name] = factory()
+        _models[name].load()
+    return _models[name]
+
+
+def unload(name: str | None = None) -> None:
+    """Lets go of one model of this process, or of all."""
+    for key in [name] if name is not None else list(_models):
+        if (held := _models.pop(key, None)) is not None and hasattr(held, "unload"):
+            held.unload()
+
+
+def embed(nodes: DataFrame, name: str, factory: Callable[[], Backend]) -> DataFrame:
+    """node_id and embedding of nodes' contents; the model has encode(list of texts), which gives a vector for each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = model(name, factory)
+        for rows in batches:
+            vectors = encoder.encode([x or "" for x in rows["content"]])
+            yield pd.DataFrame({"node_id": rows["node_id"], "embedding": [[float(x) for x in v] for v in vectors]})
+
+    return nodes.select("node_id", "content").mapInPandas(run, "node_id string, embedding array<float>")
+
+
 def infer(prompts: DataFrame, name: str, factory: Callable[[], Backend], temperature: float = 0.0) -> DataFrame:
     """Prompts (id, prompt, images) with a response; a failed call gives an empty one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _models:
-            _models[name] = factory()
-            _models[name].load()
+        backend = model(name, factory)
         for rows in batches:
             out = []
             for prompt, images in zip(rows["prompt"], rows["images"]):
                 try:
-                    out.append(_models[name].infer(prompt, list(images) if images is not None else [], temperature))
+                    out.append(backend.infer(prompt, list(images) if images is not None else [], temperature))
                 except Exception:  # a model's failure is an empty response, as an evaluation expects
                     out.append("")
             yield pd.DataFrame({"id": rows["id"], "response": out})
@@ -47,6 +75,23 @@ def infer(prompts: DataFrame, name: str, factory: Callable[[], Backend], tempera
     return prompts.mapInPandas(run, "id string, response string")
 
 
+def log_probabilities(rows: DataFrame, policy: tuple[str, Callable[[], Backend]], reference: tuple[str, Callable[[], Backend]]) -> DataFrame:
+    """pair_id with the four log-probabilities that the loss needs, from rows (pair_id, question, image_paths, chosen, rejected)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {"policy": model(*policy), "ref": model(*reference)}
+        for part in batches:
+            out = {"pair_id": part["pair_id"]}
+            for who, backend in models.items():
+                for answer in ("chosen", "rejected"):
+                    said = zip(part["question"], part["image_paths"], part[answer])
+                    out[f"{who}_{answer}"] = [float(backend.logprob(q, list(i) if i is not None else [], a)) for q, i, a in said]
+            yield pd.DataFrame(out)
+
+    columns = rows.select("pair_id", "question", "image_paths", "chosen", "rejected")
+    return columns.mapInPandas(run, "pair_id string, policy_chosen double, policy_rejected double, ref_chosen double, ref_rejected double")
+
+
 def visual_nodes(nodes: DataFrame, most: int = MOST_FIGURES) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("paper_id").orderBy("seq"))
     return nodes.where(F.col("node_type").isin("Figure", "Table") & F.col("image_path").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")

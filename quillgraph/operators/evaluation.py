@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.metrics import anls, exact_match, mcq_accuracy, token_f1
+from ..functions.metrics import anls, exact_match, mcq_accuracy, token_overlap, tokens
 from ..functions.sampling import hash_order
-from ..functions.text import GOLD_LENGTH, fill, has_text, is_usable_gold, label_kind, particle, squeeze, strip_caption_label, text
+from ..functions.text import GOLD_LENGTH, fill, has_text, is_usable_gold, label_kind, particle, squeeze, strip, strip_caption_label, text
 from ..schema import VISUAL_TYPES
+from .order import numbered
 
 HELD_OUT, DRAFT_CONTEXT, KG_GOLD, KG_LEAST = 40, 800, 200, 10
 # What a node is called, the questions of drafts, and the fallback questions.
@@ -49,9 +50,11 @@ def scored(predictions: DataFrame) -> DataFrame:
     Accuracy is the chosen letter for multiple choice (first truth), exact match otherwise.
     """
     p, g = F.col("prediction"), F.col("ground_truths")
+    words = {"_words": tokens(p), "_truth_words": F.transform(g, lambda t: tokens(text(t)))}  # once, not for each word of the others
     choice = (F.col("question_type") == "MCQ") & (F.size(g) > 0)
     accuracy = F.when(choice, mcq_accuracy(p, F.get(g, F.lit(0)))).otherwise(exact_match(p, g))
-    return predictions.withColumns({"anls": anls(p, g), "accuracy": accuracy, "f1": token_f1(p, g)})
+    rows = predictions.withColumns(words)
+    return rows.withColumns({"anls": anls(p, g), "accuracy": accuracy, "f1": token_overlap(F.col("_words"), F.col("_truth_words"))}).drop(*words)
 
 
 def batch_metrics(predictions: DataFrame) -> DataFrame:
@@ -71,11 +74,17 @@ def evaluated(items: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def split(papers: DataFrame, held_out: int = HELD_OUT, seed: int = 42) -> DataFrame:
-    """paper_id and split: the first papers of a hashed order are held out, never all of them."""
-    place = F.row_number().over(Window.orderBy(hash_order(seed, F.col("paper_id")), "paper_id"))
+    """paper_id and split: the first papers of a hashed order are held out, never all of them.
+
+    One more than is held out is looked at; if there are no more papers than that, the last of them is collected.
+    """
+    known = papers.select("paper_id").distinct()
+    key = hash_order(seed, F.col("paper_id"))
+    first = known.select("paper_id", key.alias("key")).orderBy("key", "paper_id").limit(held_out + 1)
+    place = F.row_number().over(Window.orderBy("key", "paper_id"))  # at most held_out + 1 rows
     n = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = papers.select("paper_id").distinct().withColumn("place", place).withColumn("n", n)
-    return ranked.select("paper_id", F.when(F.col("place") <= F.least(F.lit(held_out), F.greatest(F.lit(0), F.col("n") - 1)), "held_out").otherwise("collect").alias("split"))
+    held = first.withColumn("place", place).withColumn("n", n).where("place < n").select("paper_id", F.lit("held_out").alias("split"))
+    return known.join(held, "paper_id", "left").withColumn("split", F.coalesce("split", F.lit("collect")))
 
 
 def extended_split(known: DataFrame, papers: DataFrame) -> DataFrame:
@@ -108,11 +117,21 @@ def sample(items: DataFrame, n: int, seed: int = 42, key: str = "question_id") -
     return items.orderBy(hash_order(seed, F.col(key)), key).limit(n)
 
 
+# The question on a figure or table, and on one that only a model has described.
+GRAPH_QUESTION, DESCRIBED_QUESTION, DESCRIBED = "What does this {kind} show or describe?", "Based on the description, what is the main finding shown?", "[VLM]"
+
+
 def from_graph(nodes: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
-    """Items on figures and tables: n drawn first, then those with too little content dropped."""
-    visual = nodes.where(F.col("node_type").isin(*VISUAL_TYPES)).orderBy(hash_order(seed, F.col("node_id")), "node_id").limit(n)
-    long_enough = F.length(squeeze(text(F.col("content")))) >= KG_LEAST
-    return visual.where(long_enough).select("node_id", "paper_id", "node_type", F.array(F.substring("content", 1, KG_GOLD)).alias("ground_truths"), F.when(F.col("image_path").isNotNull(), F.array("image_path")).otherwise(F.array().cast("array<string>")).alias("image_paths"))
+    """Items on figures and tables: n drawn first, then those with too little content dropped; numbered from 1 in the order drawn."""
+    visual = nodes.where(F.col("node_type").isin(*VISUAL_TYPES)).withColumn("key", hash_order(seed, F.col("node_id"))).orderBy("key", "node_id").limit(n)
+    rows = visual.where(F.length(strip(text(F.col("content")))) >= KG_LEAST)
+    number = F.row_number().over(Window.orderBy("key", "node_id"))  # at most n rows
+    question = F.when(F.col("content").startswith(DESCRIBED), DESCRIBED_QUESTION).otherwise(fill(F.lit(GRAPH_QUESTION), {"kind": F.lower("node_type")}))
+    return rows.select(
+        F.format_string("kg_%06d", number).alias("question_id"), question.alias("question"), F.lit("VQA").alias("question_type"),
+        F.array(F.substring("content", 1, KG_GOLD)).alias("ground_truths"), F.when(F.col("image_path").isNotNull(), F.array("image_path")).otherwise(F.array().cast("array<string>")).alias("image_paths"),
+        F.col("content").alias("context"), "paper_id", F.lit(1).alias("difficulty"), "node_id",
+    )
 
 
 def target(nodes: Column) -> Column:
@@ -170,12 +189,21 @@ def collectable(papers: DataFrame, languages: DataFrame, language: str | None, h
 
 def step_paper(papers: DataFrame, step: int = 1) -> DataFrame:
     """Each paper with the one that is `step` places on, around the end."""
-    order = Window.orderBy("paper_id")
-    ranked = papers.select("paper_id").distinct().withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    ranked = numbered(papers.select("paper_id").distinct(), ["paper_id"])
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
     there = ranked.select(F.col("paper_id").alias("next_paper_id"), F.col("place").alias("next_place"))
+    ranked = ranked.crossJoin(n)  # one row
     return ranked.withColumn("next_place", F.pmod(F.col("place") + step, F.col("n"))).join(there, "next_place").select("paper_id", "next_paper_id")
 
 
+def of_type(items: DataFrame, question_type: str) -> DataFrame:
+    return items.where(F.col("question_type") == question_type)
+
+
+def of_difficulty(items: DataFrame, difficulty: int) -> DataFrame:
+    return items.where(F.col("difficulty") == difficulty)
+
+
 def readable(items: DataFrame) -> DataFrame:
     """Items that can be asked: with a question and at least one truth."""
     return items.where(has_text(F.col("question")) & (F.size("ground_truths") > 0))

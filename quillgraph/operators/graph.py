@@ -48,6 +48,28 @@ def merge(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFra
     return all_of(0, ("node_id",)), all_of(1, EDGE_KEY)
 
 
+def node(nodes: DataFrame, node_id: str) -> DataFrame:
+    return nodes.where(F.col("node_id") == node_id)
+
+
+def of_type(nodes: DataFrame, *types: str) -> DataFrame:
+    return nodes.where(F.col("node_type").isin(*types))
+
+
+def of_paper(nodes: DataFrame, paper_id: str) -> DataFrame:
+    return nodes.where(F.col("paper_id") == paper_id)
+
+
+def node_rows(properties: DataFrame) -> DataFrame:
+    """Nodes from flat property maps (column `n`), as a graph database gives them: meta_* keys become metadata, as texts."""
+    key = lambda name: F.try_element_at("n", F.lit(name))
+    meta = F.transform_keys(F.map_filter("n", lambda k, v: k.startswith("meta_")), lambda k, v: F.substring(k, 6, 10_000))
+    return properties.select(
+        F.coalesce(key("id"), key("node_id")).alias("node_id"), key("node_type").alias("node_type"), key("paper_id").alias("paper_id"),
+        F.coalesce(key("page").try_cast("int"), F.lit(-1)).alias("page"), F.coalesce(key("content"), F.lit("")).alias("content"), key("image_path").alias("image_path"), meta.alias("metadata"),
+    )
+
+
 def neighbors(edges: DataFrame, nodes: DataFrame, node_id: str | None = None, edge_types: list[str] | None = None) -> DataFrame:
     """src_id, edge_type and the columns of the node at the other end, once for each edge."""
     out = edges if node_id is None else edges.where(F.col("src_id") == node_id)

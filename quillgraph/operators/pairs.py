@@ -42,9 +42,13 @@ def first_error(language: str, files: Column | None = None) -> Column:
 
 
 def chosen_texts(rows: DataFrame) -> DataFrame:
-    """Rows with candidates and two indices: chosen and rejected are the stripped candidates, null where an index is out of bounds."""
+    """Rows with candidates and two indices: chosen and rejected are the stripped candidates, null where an index is out of bounds.
+
+    What the rows had as chosen and rejected stays as given_chosen and given_rejected.
+    """
     at = lambda c: F.when(F.col(c) >= 0, strip(F.get("candidates", F.col(c))))
-    return rows.withColumn("chosen", at("chosen_idx")).withColumn("rejected", at("rejected_idx"))
+    given = {f"given_{c}": F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("chosen", "rejected")}
+    return rows.withColumns(given).withColumn("chosen", at("chosen_idx")).withColumn("rejected", at("rejected_idx"))
 
 
 def dedup_key(question: Column, chosen: Column, rejected: Column) -> Column:
@@ -73,6 +77,9 @@ def added(log: DataFrame, new: DataFrame, language: str = "ko", order: str = "lo
     """
     active = latest_state(log, order=order)
     key = dedup_key(F.col("question"), F.col("chosen"), F.col("rejected"))
+    picked = chosen_texts(new)  # indices name candidates, where a row has them
+    by_index = F.col("chosen_idx").isNotNull() & F.col("rejected_idx").isNotNull() & (F.coalesce(F.size("candidates"), F.lit(0)) > 0)
+    new = picked.withColumns({c: F.when(by_index, F.col(c)).otherwise(F.col(f"given_{c}")) for c in ("chosen", "rejected")}).drop("given_chosen", "given_rejected")
     fresh = new.where(first_error(language).isNull()).withColumn("key", key)
     fresh = fresh.join(active.select(key.alias("key")).distinct(), "key", "left_anti")
     fresh = fresh.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).where("copy = 1")
@@ -97,6 +104,11 @@ def counts_by_type(active: DataFrame, types: tuple[str, ...] = QUESTION_TYPES) -
     return known.join(found, "question_type", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def pair(log: DataFrame, pair_id: str, order: str = "log_seq") -> DataFrame:
+    """The latest row of one pair, deleted or not."""
+    return latest_state(log.where(F.col("pair_id") == pair_id), order=order, include_deleted=True)
+
+
 def statistics(state: DataFrame, dimensions: tuple[str, ...] = ("question_type", "question_source", "model_version", "difficulty")) -> DataFrame:
     """dimension, value and n of the latest state (deleted rows included): totals, and counts of active pairs by each dimension."""
     active = F.col("status") == "active"
@@ -127,7 +139,8 @@ def export_chat(active: DataFrame, field_map: dict[str, str] | None = None) -> D
     return out.withColumnsRenamed(field_map or {})
 
 
-EXPORTS = {"flat": export_flat, "chat": export_chat}
+#: Under the names that shared files carry, and short ones.
+EXPORTS = {"rlaif_v": export_flat, "hf_conversational": export_chat, "flat": export_flat, "chat": export_chat}
 
 
 def export(active: DataFrame, form: str, field_map: dict[str, str] | None = None) -> DataFrame:
@@ -164,7 +177,7 @@ def usable_bundle(candidates: Column) -> Column:
 
 def best_generations(outputs: DataFrame, n: int, cleaned: Column) -> DataFrame:
     """The first n different non-empty outputs (id, attempt, raw) of each id, in order of attempt."""
-    clean = outputs.withColumn("text", cleaned).where("text <> ''").withColumn("key", squeeze(F.col("text")))
+    clean = outputs.withColumn("text", cleaned).where("text <> ''").withColumn("key", F.regexp_replace("text", r"(?U)\s+", ""))
     first = clean.groupBy("id", "key").agg(F.min("attempt").alias("attempt"), F.min_by("text", "attempt").alias("text"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("attempt"))
     return first.withColumn("rank", rank).where(F.col("rank") <= n).select("id", "attempt", "text")

@@ -5,7 +5,7 @@ Walks are unrolled joins, one for each hop, and choices are minima of hashes, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sampling import hash_order, race, uniform
@@ -49,6 +49,18 @@ def expand(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return paths.drop("at")
 
 
+def recursive_paths(spark: SparkSession, starts: str, edges: str, hops: int) -> DataFrame:
+    """The same paths as `expand` gives, from two views by a recursive query: path and edge_types."""
+    return spark.sql(f"""
+        WITH RECURSIVE walked(path, edge_types, at, hop) AS (
+            SELECT array(node_id), CAST(array() AS ARRAY<STRING>), node_id, 0 FROM {starts}
+            UNION ALL
+            SELECT concat(w.path, array(e.dst_id)), concat(w.edge_types, array(e.edge_type)), e.dst_id, w.hop + 1
+            FROM walked w JOIN {edges} e ON e.src_id = w.at
+            WHERE w.hop < {int(hops)} AND NOT array_contains(w.path, e.dst_id)
+        ) SELECT path, edge_types FROM walked WHERE hop = {int(hops)}""")
+
+
 def start_nodes(nodes: DataFrame, excluded: DataFrame | None = None, paper_id: str | None = None, prefer_visual: bool = True, skip_captions: bool = True) -> DataFrame:
     """The nodes that a path may start at, with `weight` (visual nodes count ten times)."""
     out = nodes.where(F.col("node_type").isin(*START_TYPES) & (has_text(F.col("content")) | F.col("image_path").isNotNull()))
@@ -81,13 +93,13 @@ def walk_paths(tries: DataFrame, edges: DataFrame, max_hops: int, seed: int = 42
     return walks.select("try", "path", "edge_types")
 
 
-def difficulty(edge_types: Column) -> Column:
-    levels = F.transform(edge_types, lambda e: lookup(EDGE_DIFFICULTY, e, 2))
+def difficulty(edge_types: Column, table: dict[str, int] = EDGE_DIFFICULTY) -> Column:
+    levels = F.transform(edge_types, lambda e: lookup(table, e, 2))
     return F.coalesce(F.array_max(levels), F.lit(1))
 
 
-def question_type(edge_types: Column) -> Column:
-    return lookup(EDGE_QUESTION_TYPE, F.coalesce(F.get(edge_types, F.lit(0)), F.lit("CONTAINS")), "VQA")
+def question_type(edge_types: Column, table: dict[str, str] = EDGE_QUESTION_TYPE) -> Column:
+    return lookup(table, F.coalesce(F.get(edge_types, F.lit(0)), F.lit("CONTAINS")), "VQA")
 
 
 def described(paths: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Edges between nodes whose embeddings are similar, within a paper and across papers.
 
 Within a paper every ordered pair is compared, so the work follows the squares of paper sizes.  Across papers all pairs
-have to be compared; vectors are packed into blocks, and a task compares two blocks with one matrix product.  Neither
-side is collected or broadcast: block pairs are dealt out by an equi-join on block numbers.
+have to be compared.  Vectors are packed into blocks as they are stored, and a task compares two blocks with matrix
+products, each pair of blocks once; pairs near the threshold are computed again in double precision.  Neither side is
+collected or broadcast: numbers of blocks are paired, and then meet their vectors by equi-joins.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +42,11 @@ def semantic_type(src: Column, dst: Column, similarity: Column) -> Column:
     )
 
 
+BLOCKS = "grp string,block int,ids array<string>,papers array<string>,seqs array<bigint>,vectors binary,wide boolean"
+PAIRS = "src_id string, dst_id string, similarity double, src_seq bigint, dst_seq bigint"
+_SLICE, _NEAR = 1024, 1e-4
+
+
 def _before(keys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Which pairs are in order by their keys, the first key that differs deciding."""
     less, equal = np.zeros(len(keys[0][0]), bool), np.ones(len(keys[0][0]), bool)
@@ -50,64 +56,76 @@ def _before(keys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return less
 
 
-def _products(blocks: Iterator[pd.DataFrame], least: float, ordered: bool, across: bool, order: tuple[str, ...]) -> Iterator[pd.DataFrame]:
-    """Pairs of rows of two blocks whose dot product is large enough."""
-    for pairs in blocks:
-        for p in pairs.itertuples(index=False):
-            a, b = (np.vstack([np.asarray(v, np.float64) for v in vs]) for vs in (p.vectors, p.other_vectors))
-            product = a @ b.T
-            i, j = np.nonzero(product >= least)
-            seq_a, seq_b = np.asarray(p.seqs), np.asarray(p.other_seqs)
-            ids_a, ids_b = np.asarray(p.ids, object), np.asarray(p.other_ids, object)
-            keep = np.ones(len(i), bool) if not ordered else seq_a[i] != seq_b[j]
-            if across:
-                group_a, group_b = np.asarray(p.papers, object), np.asarray(p.other_papers, object)
-                keep &= group_a[i] != group_b[j]
-            i, j = i[keep], j[keep]
-            if not ordered and len(i):
-                named = [np.array([x or "" for x in papers], object) for papers in (p.papers, p.other_papers)]
-                keys = {"seq": (seq_a[i], seq_b[j]), "paper_id": (named[0][i], named[1][j]), "node_id": (ids_a[i], ids_b[j])}
-                keep = _before([keys[k] for k in order])
-                i, j = i[keep], j[keep]
-            if len(i):
-                yield pd.DataFrame({"src_id": ids_a[i], "dst_id": ids_b[j], "similarity": product[i, j], "src_seq": seq_a[i], "dst_seq": seq_b[j]})
-
-
-PAIRS = "src_id string, dst_id string, similarity double, src_seq bigint, dst_seq bigint"
-
-
-def _unit(vector: Column) -> Column:
-    from ..functions.vectors import norm
-
-    size = norm(vector)
-    return F.transform(vector, lambda x: F.when(size < 1e-9, 0.0).otherwise(x.cast("double") / size))
+def _packed(key: tuple, table: pa.Table) -> pa.Table:
+    """One block: its nodes and their vectors, in the precision that they came in."""
+    column = table.column("embedding").combine_chunks()
+    wide = not pa.types.is_float32(column.type.value_type)
+    data = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False))
+    names = [[table.column(c).to_pylist()] for c in ("node_id", "paper_id", "seq")]
+    strings, numbers = pa.list_(pa.string()), pa.list_(pa.int64())
+    values = [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array(names[0], strings), pa.array(names[1], strings), pa.array(names[2], numbers), pa.array([data.tobytes()], pa.binary()), pa.array([wide])]
+    return pa.table(values, names=[f.split()[0] for f in BLOCKS.split(",")])
+
+
+class _Block:
+    def __init__(self, row: dict, prefix: str = ""):
+        self.ids, self.papers = np.array(row[f"{prefix}ids"], object), np.array([x or "" for x in row[f"{prefix}papers"]], object)
+        self.none, self.seqs = np.array([x is None for x in row[f"{prefix}papers"]]), np.array(row[f"{prefix}seqs"], np.int64)
+        raw = np.frombuffer(row[f"{prefix}vectors"], np.float64 if row[f"{prefix}wide"] else np.float32)
+        raw = raw.reshape(len(self.ids), -1).astype(np.float64)
+        size = np.sqrt((raw * raw).sum(axis=1))
+        self.unit = np.where(size[:, None] < 1e-9, 0.0, raw / np.maximum(size, 1e-300)[:, None])
+        self.rough = self.unit.astype(np.float32)
+
+
+def _products(batches: Iterator[pa.RecordBatch], least: float, per_paper: bool, order: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of two blocks whose dot product is large enough: in both orders within a paper, else the smaller by `order` first."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            a, b = _Block(row), _Block(row, "other_")
+            for low in range(0, len(a.ids), _SLICE):
+                i, j = np.nonzero(a.rough[low : low + _SLICE] @ b.rough.T >= least - _NEAR)
+                i += low
+                if row["block"] == row["other_block"]:
+                    i, j = i[i < j], j[i < j]
+                if not per_paper:
+                    apart = (a.papers[i] != b.papers[j]) | (a.none[i] != b.none[j])
+                    i, j = i[apart], j[apart]
+                value = np.concatenate([np.einsum("ij,ij->i", a.unit[i[at : at + 65536]], b.unit[j[at : at + 65536]]) for at in range(0, len(i), 65536)] or [np.zeros(0)])
+                i, j, value = i[value >= least], j[value >= least], value[value >= least]
+                if not len(i):
+                    continue
+                ends = [(a.ids[i], b.ids[j]), (a.seqs[i], b.seqs[j])]
+                if per_paper:
+                    ends = [(np.concatenate([x, y]), np.concatenate([y, x])) for x, y in ends]
+                    value = np.concatenate([value, value])
+                else:
+                    keys = {"seq": ends[1], "paper_id": (a.papers[i], b.papers[j]), "node_id": ends[0]}
+                    first = _before([keys[k] for k in order])
+                    ends = [(np.where(first, x, y), np.where(first, y, x)) for x, y in ends]
+                (src, dst), (src_seq, dst_seq) = ends
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(value), pa.array(src_seq, pa.int64()), pa.array(dst_seq, pa.int64())], names=["src_id", "dst_id", "similarity", "src_seq", "dst_seq"])
 
 
 #: Total orders of nodes: seq of the whole corpus, or paper after paper (seq is a place within the paper).
 BY_SEQ, BY_PAPER = ("seq", "paper_id", "node_id"), ("paper_id", "seq", "node_id")
 
 
-def similar_pairs(vectors: DataFrame, least: float, per_paper: bool, block: int = 512, order: tuple[str, ...] = BY_SEQ) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, per_paper: bool, block: int = 8192, order: tuple[str, ...] = BY_SEQ) -> DataFrame:
     """Pairs of vectors (node_id, paper_id, seq, embedding) with a cosine of at least `least`.
 
     per_paper: ordered pairs within each paper; otherwise pairs of different papers, each once, the smaller by `order` first.
     """
-    unit = vectors.select("node_id", "paper_id", F.col("seq").cast("bigint").alias("seq"), _unit(F.col("embedding")).alias("vector"))
-    group = F.col("paper_id") if per_paper else F.lit("")
-    places = Window.partitionBy("paper_id").orderBy("seq")
-    if per_paper:
-        unit = unit.withColumn("block", F.floor((F.row_number().over(places) - 1) / F.lit(block)))
-    else:  # blocks by a hash need no global order
-        unit = unit.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(max(1, -(-vectors.count() // block)))))
-    fields = {"node_id": "ids", "paper_id": "papers", "seq": "seqs", "vector": "vectors"}
-    packed = unit.withColumn("grp", group).groupBy("grp", "block").agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    packed = packed.select("grp", "block", *[F.col(f"rows.{c}").alias(n) for c, n in fields.items()])
-    other = packed.select("grp", F.col("block").alias("other_block"), *[F.col(n).alias(f"other_{n}") for n in fields.values()])
-    # each block meets each: ordered pairs need both orders of two blocks, as do unordered pairs, whose order blocks do not follow
-    last = packed.groupBy("grp").agg(F.max("block").alias("last"))
-    meets = packed.join(last, "grp").withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    met = meets.join(other, ["grp", "other_block"]).drop("grp", "block", "other_block", "last")
-    return met.mapInPandas(partial(_products, least=least, ordered=per_paper, across=not per_paper, order=order), PAIRS)
+    group = F.coalesce("paper_id", F.lit("")) if per_paper else F.lit("")
+    rows = vectors.where(F.col("embedding").isNotNull()).select("node_id", "paper_id", F.col("seq").cast("bigint").alias("seq"), "embedding", group.alias("grp"))
+    blocks = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).drop("blocks")
+    packed = rows.groupBy("grp", "block").applyInArrow(_packed, BLOCKS)
+    own = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    numbers = blocks.select("grp", "blocks", own).select("grp", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other_block"))
+    other = packed.select("grp", F.col("block").alias("other_block"), *[F.col(c).alias(f"other_{c}") for c in packed.columns[2:]])
+    met = numbers.join(packed, ["grp", "block"]).join(other, ["grp", "other_block"])
+    return met.mapInArrow(partial(_products, least=least, per_paper=per_paper, order=order), PAIRS)
 
 
 def semantic_edges(nodes: DataFrame, threshold: float = 0.75, top_k: int = 10) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 from ..operators.pairs import EXPORTS
 from ..operators.training import METRICS
-from .state import backup, merged, read_json, resolved, write_json
+from .state import backup, merged, read_json, resolved, write_json, write_text
 
 REQUIRED = (("paths", "data_root"), ("paths", "pairs"), ("model", "name"))
 BACKENDS = ("auto", "hf", "internvl")
@@ -79,17 +82,69 @@ def checked(config: Any) -> Checked:
     return Checked(list(_errors(config)), list(_warnings(config)))
 
 
+def stored(path: str) -> dict:
+    """What a configuration file holds: YAML or JSON, by its name; nothing if it is missing."""
+    if not path.endswith((".yaml", ".yml")):
+        return read_json(path, {})
+    import yaml
+
+    try:
+        with open(path, encoding="utf-8") as file:
+            return yaml.safe_load(file) or {}
+    except FileNotFoundError:
+        return {}
+
+
 def load(path: str, overrides: dict | None = None) -> dict:
-    return resolved(merged(read_json(path, {}), overrides))
+    return resolved(merged(stored(path), overrides))
+
+
+def edited(lines: list[str], changes: dict) -> list[str]:
+    """The lines of a YAML file with values SECTION.KEY set; all other lines, comments too, stay as they are."""
+    out = list(lines)
+    for section, values in changes.items():
+        if not isinstance(values, dict):
+            out = _set(out, 0, len(out), "", section, values)
+            continue
+        start = next((i for i, x in enumerate(out) if re.match(rf"{re.escape(section)}\s*:", x)), None)
+        if start is None:
+            start = len(out)
+            out.append(f"{section}:")
+        for key, value in values.items():
+            if value is None:
+                continue
+            end = next((i for i in range(start + 1, len(out)) if re.match(r"[^\s#]", out[i])), len(out))
+            out = _set(out, start + 1, end, "  ", key, value)
+    return out
+
+
+def _set(lines: list[str], start: int, end: int, indent: str, key: str, value: Any) -> list[str]:
+    written = json.dumps(value, ensure_ascii=False)
+    for i in range(start, end):
+        if found := re.match(rf"(\s*){re.escape(key)}\s*:(?=\s|$)", lines[i]):
+            if bool(found[1]) != bool(indent):
+                continue
+            after = i + 1  # what belongs to the old value
+            while after < end and (re.match(rf"{found[1]}(\s|- )", lines[after]) and lines[after].strip() and not lines[after].lstrip().startswith("#")):
+                after += 1
+            comment = re.search(r"\s#[^\"']*$", lines[i])
+            return [*lines[:i], f"{found[1]}{key}: {written}{comment[0] if comment else ''}", *lines[after:]]
+    while end > start and not lines[end - 1].strip():
+        end -= 1
+    return [*lines[:end], f"{indent}{key}: {written}", *lines[end:]]
 
 
 def save(path: str, changes: dict, check: Callable[[Any], Checked] = checked) -> Checked:
     """Lays changes over the stored configuration; only a configuration without errors is written, after a backup."""
-    new = merged(read_json(path, {}), changes)
+    new = merged(stored(path), changes)
     result = check(new)
     if result.ok:
         backup(path)
-        write_json(path, new)
+        if path.endswith((".yaml", ".yml")):
+            before = Path(path).read_text(encoding="utf-8").splitlines() if os.path.exists(path) else []
+            write_text(path, "\n".join(edited(before, changes)) + "\n")
+        else:
+            write_json(path, new)
     return result
 
 

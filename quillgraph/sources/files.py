@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import has_text
+from ..operators.order import numbered
 from ..schema import COMPARISONS, EDGES, EVAL_ITEMS, HISTORY, NODES, PAIRS, field_names
 
 _BAD = "_bad"
@@ -72,9 +72,36 @@ def read_graph_document(spark: SparkSession, path: str, edge_metadata: bool = Tr
     return nodes, _edge_defaults(edges)
 
 
+def write_graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One JSON document {nodes, edges} as `read_graph_document` takes it: a line for each row, written by one task as a stream.
+
+    For exchange with tools that read whole documents; larger graphs go out as Parquet or JSON lines.
+    """
+    spark = nodes.sparkSession
+    known = [f for f in field_names(NODES) if f in nodes.columns]
+    base = ("node_id", "node_type", "paper_id", "page", "content", "image_path")
+    values = [F.col("node_id").alias("id"), *[F.col(c) for c in known if c in base], *[F.col(c).alias(f"meta_{c}") for c in known if c not in (*base, "seq")]]
+    rows = nodes.select(F.lit(1).alias("part"), "seq", F.col("node_id").alias("key"), F.to_json(F.struct(*values)).alias("line"))
+    meta = F.struct(*[F.col(c) for c in ("method", "evidence") if c in edges.columns])
+    values = F.struct("src_id", "dst_id", "edge_type", "weight", "confidence", meta.alias("metadata"))
+    rows = rows.unionByName(edges.select(F.lit(3).alias("part"), "seq", F.concat_ws(" ", "src_id", "dst_id", "edge_type").alias("key"), F.to_json(values).alias("line")))
+    first = rows.groupBy("part").agg(F.min(F.struct("seq", "key")).alias("first"))  # two rows
+    marked = rows.join(F.broadcast(first), "part")
+    comma = F.when(F.struct("seq", "key") == F.col("first"), "").otherwise(",")
+    frame = spark.createDataFrame([(0, '{"nodes": ['), (2, '], "edges": ['), (4, "]}")], "part int, line string").select("part", F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("key"), "line")
+    lines = marked.select("part", "seq", "key", F.concat(comma, "line").alias("line")).unionByName(frame)
+    lines.repartition(1).sortWithinPartitions("part", "seq", "key").select("line").write.mode("overwrite").text(path)
+
+
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines in file order as log_seq; blank and broken lines are left out, and unknown keys kept in `unknown`."""
-    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    """JSON lines in order as `place`; blank and broken lines are left out, and unknown keys kept in `unknown`.
+
+    Appends stand in folders commit=NUMBER, in their order, after files that lie in the path itself.
+    """
+    file = F.col("_metadata.file_path")
+    commit = F.coalesce(F.nullif(F.regexp_extract(file, r"/commit=(\d+)/", 1), F.lit("")).cast("bigint"), F.lit(0))
+    place = F.struct(commit.alias("commit"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", place.alias("place"))
     parsed = raw.where(has_text(F.col("value"))).withColumn("row", F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
     known = field_names(schema)
     everything = F.from_json("value", "map<string,string>")
@@ -82,15 +109,42 @@ def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.where(f"row.{_BAD} is null").select("row.*", rest.alias("unknown"), "place").drop(_BAD)
 
 
+def append(rows: DataFrame, path: str, order: list[str] | None = None) -> int:
+    """Appends rows as the next commit of a log and gives its number; `order` sorts them (and numbers their files) first.
+
+    One writer at a time, as for all logs here: the number is one more than the largest there is.
+    """
+    spark = rows.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    number = max([0, *(int(n.removeprefix("commit=")) for n in names if n.startswith("commit="))]) + 1
+    (rows.orderBy(*order) if order else rows).write.mode("errorifexists").json(f"{path}/commit={number:012d}")
+    return number
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """The pair log, in order of `log_seq` (a struct of file, block and line); unknown keys go into the notes."""
+    """The pair log, in order of `log_seq` (a struct of commit, file, block and line); unknown keys go into the notes."""
     rows = _lines(spark, path, PAIRS).withColumnRenamed("place", "log_seq")
     extra = F.when(F.size("unknown") > 0, F.to_json("unknown"))
     return rows.withColumn("notes", F.concat_ws(" | ", F.nullif(F.col("notes"), F.lit("")), extra)).withColumn("status", F.coalesce("status", F.lit("active"))).drop("unknown")
 
 
-def append_pairs(rows: DataFrame, path: str) -> None:
-    rows.drop("log_seq", "first_seq").write.mode("append").json(path)
+def append_pairs(rows: DataFrame, path: str) -> int:
+    """Appends to the pair log; rows stay in the order of pair_id, and of log_seq if they have one."""
+    order = [c for c in ("log_seq", "pair_id") if c in rows.columns]
+    known = [c for c in field_names(PAIRS) if c in rows.columns]
+    extra = ["log_seq"] if "log_seq" in rows.columns else []
+    return append(rows.select(*known, *extra).orderBy(*order).select(*known) if extra else rows.select(*known), path, None if extra else order)
+
+
+def append_comparison(rows: DataFrame, path: str, created_at: str | None = None) -> int:
+    """Appends comparisons; those without a time get the present one."""
+    from .state import stamp
+
+    now = F.lit(created_at or stamp())
+    time = F.coalesce("created_at", now) if "created_at" in rows.columns else now
+    return append(rows.withColumn("created_at", time), path)
 
 
 def read_comparisons(spark: SparkSession, path: str) -> DataFrame:
@@ -103,12 +157,14 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eval_items(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation items: question_text, answer and context_text are accepted for question, ground_truths and context."""
+    """Evaluation items: question_text, answer and context_text are accepted for question, ground_truths and context.
+
+    Items without an id get one by their place in the file.
+    """
     schema = EVAL_ITEMS + ", question_text string, answer string, context_text string"
-    rows = _lines(spark, path, schema)
-    number = F.row_number().over(Window.orderBy("place")) - 1
+    rows = numbered(_lines(spark, path, schema), ["place"], "number")
     truths = F.coalesce("ground_truths", F.when(F.col("answer").isNotNull(), F.array("answer")), F.array().cast("array<string>"))
-    out = rows.withColumn("number", number).withColumns({
+    out = rows.withColumns({
         "question_id": F.coalesce("question_id", F.format_string("q_%06d", F.col("number"))),
         "question": F.coalesce("question", "question_text", F.lit("")), "ground_truths": truths, "context": F.coalesce("context", "context_text", F.lit("")),
         "question_type": F.coalesce("question_type", F.lit("VQA")), "image_paths": F.coalesce("image_paths", F.array().cast("array<string>")), "difficulty": F.coalesce("difficulty", F.lit(1)),
@@ -117,8 +173,22 @@ def read_eval_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_self_play(spark: SparkSession, path: str) -> DataFrame:
-    rows = _lines(spark, path, "question string, type string, chosen string, images array<string>, reward double").where("chosen is not null")
-    return rows.select(F.col("question"), F.coalesce("type", F.lit("VQA")).alias("question_type"), F.array("chosen").alias("ground_truths"), F.coalesce("images", F.array().cast("array<string>")).alias("image_paths"), "reward", F.format_string("sp_%06d", F.row_number().over(Window.orderBy("place")) - 1).alias("question_id"))
+    rows = numbered(_lines(spark, path, "question string, type string, chosen string, images array<string>, reward double").where("chosen is not null"), ["place"], "number")
+    return rows.select(F.col("question"), F.coalesce("type", F.lit("VQA")).alias("question_type"), F.array("chosen").alias("ground_truths"), F.coalesce("images", F.array().cast("array<string>")).alias("image_paths"), "reward", F.format_string("sp_%06d", "number").alias("question_id"))
+
+
+def write_split(split: DataFrame, path: str) -> None:
+    """paper_id and split as JSON lines."""
+    split.select("paper_id", "split").write.mode("overwrite").json(path)
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("paper_id string, split string").json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

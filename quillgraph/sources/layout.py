@@ -68,6 +68,31 @@ def paper_languages(layout: DataFrame, known: DataFrame | None = None) -> DataFr
     return out if known is None else known.select("paper_id", "language").unionByName(out)
 
 
+# How files of common image formats begin, and end where they have an end mark.
+IMAGE_MARKS = ((b"\x89PNG\r\n\x1a\n", b"IEND\xaeB`\x82"), (b"\xff\xd8\xff", b"\xff\xd9"), (b"GIF8", b";"), (b"BM", b""), (b"RIFF", b""))
+
+
+def decodes(content: bytes) -> bool:
+    """Whether an image library can read the image; without one, whether it begins and ends as a common format does."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return any(content.startswith(a) and content.rstrip(b"\0\r\n").endswith(b) for a, b in IMAGE_MARKS)
+    import io
+
+    try:
+        Image.open(io.BytesIO(content)).verify()
+    except Exception:  # any failure means that a model cannot read it either
+        return False
+    return True
+
+
 def usable_images(spark: SparkSession, paths: list[str], least: int = 100) -> DataFrame:
-    """The image files of at least `least` bytes."""
-    return spark.read.format("binaryFile").load(paths).where(F.col("length") >= least).select("path", "length")
+    """The image files of at least `least` bytes that can be decoded."""
+
+    def run(batches):
+        for rows in batches:
+            yield rows[[decodes(x) for x in rows["content"]]][["path", "length"]]
+
+    files = spark.read.format("binaryFile").load(paths).where(F.col("length") >= least)
+    return files.select("path", "length", "content").mapInPandas(run, "path string, length bigint")

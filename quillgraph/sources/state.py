@@ -28,12 +28,16 @@ def locked(path: str | Path) -> Iterator[None]:
 
 
 def write_json(path: str | Path, value: Any) -> None:
+    write_text(path, json.dumps(value, ensure_ascii=False, indent=1))
+
+
+def write_text(path: str | Path, value: str) -> None:
     """Replaces a file at once: readers see the old or the new one."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent)
     with os.fdopen(handle, "w", encoding="utf-8") as out:
-        json.dump(value, out, ensure_ascii=False, indent=1)
+        out.write(value)
     os.replace(name, path)
 
 
@@ -73,6 +77,12 @@ class Counters:
     def trained(self) -> dict:
         return self.update(train_count=lambda x: x + 1, pairs_since_last_train=0, last_train_at=stamp())
 
+    def record_training(self, history: str | Path, record: dict) -> dict:
+        """Appends a record to the history (a JSON array), and counts the training."""
+        with locked(history):
+            write_json(history, [*read_json(history, []), {"timestamp": stamp(), "notes": "", "eval": {}} | record])
+        return self.trained()
+
     def activate(self, adapter: str | None) -> dict:
         if adapter is not None and not Path(adapter).is_dir():
             raise FileNotFoundError(adapter)
@@ -94,7 +104,7 @@ def resolved(value: Any, environment: dict[str, str] | None = None) -> Any:
     if isinstance(value, dict):
         return {k: resolved(v, env) for k, v in value.items()}
     found = _VARIABLE.match(value) if isinstance(value, str) else None
-    return env.get(found[1], "") if found else value
+    return env.get(found[1], value) if found else value
 
 
 def merged(base: dict, *overrides: dict | None) -> dict:

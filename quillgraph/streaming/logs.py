@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,27 +26,55 @@ def new_pairs(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["key"]).drop("key")
 
 
-def latest_state_table(stream: DataFrame, path: str, checkpoint: str, key: str = "pair_id", order: str = "log_seq") -> StreamingQuery:
-    """Keeps a table of the last row of each key, one version for each micro-batch; a batch run again writes the same."""
+BUCKETS = 64
+
+
+def latest_state_table(stream: DataFrame, path: str, key: str = "pair_id", order: str = "log_seq", *, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps a table of the last row of each key, in buckets of keys; a micro-batch rewrites only the buckets that it touches.
+
+    A batch that is run again writes the same rows.
+    """
     from ..operators.graph import latest
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}") if number else None
-        rows = batch if before is None else before.unionByName(batch)
-        latest(rows, (key,), order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        try:
+            before = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+            new = before.unionByName(new)
+        except AnalysisException:  # there is no table yet
+            pass
+        rows = latest(new, (key,), order).repartition("bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def train_when_due(stream: DataFrame, checkpoint: str, threshold: int, train: Callable[[int], None]) -> StreamingQuery:
-    """Calls `train` with the pairs since the last call as soon as a micro-batch brings them to the threshold."""
-    seen = {"n": 0}
+def train_when_due(stream: DataFrame, checkpoint: str, threshold: int, train: Callable[[int], None], ready: Callable[[], bool] | None = None) -> StreamingQuery:
+    """Calls `train` with the pairs since the last call as soon as a micro-batch brings them to the threshold and `ready` agrees.
+
+    The count after each batch is kept beside the checkpoint under the batch's number, so it goes on after a restart and
+    a batch that is run again counts once (it may call `train` again).
+    """
 
     def count(batch: DataFrame, number: int) -> None:
-        seen["n"] += batch.count()
-        if seen["n"] >= threshold:
-            train(seen["n"])
-            seen["n"] = 0
+        spark = batch.sparkSession
+        before = spark.read.schema("n bigint").parquet(f"{checkpoint}/since/batch={number - 1}").first()[0] if number else 0
+        n = before + batch.count()
+        if n >= threshold and (ready is None or ready()):
+            train(n)
+            n = 0
+        spark.createDataFrame([(n,)], "n bigint").coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/since/batch={number}")
+
+    return stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start()
+
+
+def languages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends paper_id and language of layouts that come in; papers already seen come back from the checkpoint, not the files."""
+    from ..sources.layout import paper_languages
 
-    return stream.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = paper_languages(stream)
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

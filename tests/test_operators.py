@@ -30,7 +30,7 @@ def root(tmp_path_factory):
     for name, pages in {"p1": one, "p2": two}.items():
         (top / name / "images").mkdir(parents=True)
         (top / name / "parsing_paddle.json").write_text(json.dumps({"pages": pages}, ensure_ascii=False))
-    (top / "p1/images/a.png").write_bytes(b"x" * 200)
+    (top / "p1/images/a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"x" * 200 + b"IEND\xaeB`\x82")
     (top / "p2/images/b.png").write_bytes(b"x" * 50)
     (top / "not_a_paper").mkdir()
     return str(top)
@@ -128,7 +128,7 @@ def test_similarity(spark):
 def test_cross_document_links_at_equal_places(spark):
     """Nodes at the same place of different papers are linked, from the earlier paper to the later."""
     schema = "paper_id string, page int, page_pos int, kind_rank int, elem_pos int, element_type string, content string, caption string, image_path string, confidence double"
-    rows = spark.createDataFrame([(p, 1, 0, 1, k, "text", f"paragraph {k} of a paper", None, None, None) for p in ("b", "c", "a") for k in range(3)], schema)
+    rows = spark.createDataFrame([(p, 1, 0, 1, k, "text", f"paragraph {k} of a paper, long enough to be compared", None, None, None) for p in ("b", "c", "a") for k in range(3)], schema)
     vectors = {f"{p}__text_{k + 1}": [float(k == j) for j in range(3)] for p in "abc" for k in range(3)}
     embeddings = spark.createDataFrame(list(vectors.items()), "node_id string, embedding array<double>")
     _, edges = corpus.build(rows, corpus.Options(cross_document=True), embeddings)
@@ -250,8 +250,8 @@ def test_streams(spark, sf, tmp_path):
     batch = {tuple(r) for r in logs.tumbling_counts(events).collect()}
     assert {tuple(r) for r in spark.table("counts").collect()} == batch
     rows = stream.select(F.col("user_id").cast("string").alias("pair_id"), F.col("event_id").alias("log_seq"), "event_type")
-    logs.latest_state_table(rows, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "table/version=0"))
+    logs.latest_state_table(rows, str(tmp_path / "table"), checkpoint=str(tmp_path / "check")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "table"))
     assert {(r["pair_id"], r["log_seq"]) for r in got.collect()} == {(str(r[0]), r[1]) for r in events.groupBy("user_id").agg(F.max("event_id")).collect()}
     calls = []
     logs.train_when_due(rows, str(tmp_path / "check2"), 100, calls.append).awaitTermination()
@@ -272,3 +272,183 @@ def test_model_plugin(spark):
     assert {r["id"]: r["response"] for r in enrichment.infer(prompts, "echo", Echo).collect()} == {"1": "HI", "2": ""}
     outputs = spark.createDataFrame([("1", 0, "  "), ("1", 1, "yes"), ("1", 2, "yes "), ("1", 3, "no")], "id string, attempt int, raw string")
     assert [r["text"] for r in pairs.best_generations(outputs, 2, F.trim("raw")).orderBy("attempt").collect()] == ["yes", "no"]
+
+
+def test_log_order_over_many_appends(spark, tmp_path):
+    """The later append wins, whatever its files are named; a tombstone stays."""
+    path = str(tmp_path / "log")
+    for n in range(10):
+        assert files.append_pairs(log_rows(spark, [{"pair_id": f"kdpo_{i:06d}", "question": f"version {n}"} for i in range(n, 12)]).drop("log_seq").repartition(3), path) == n + 1
+    log = files.read_pairs(spark, path)
+    assert {r["pair_id"]: r["question"] for r in pairs.latest_state(log).collect()} == {f"kdpo_{i:06d}": f"version {min(i, 9)}" for i in range(12)}
+    files.append_pairs(pairs.tombstones(log, spark.createDataFrame([("kdpo_000003",)], "pair_id string")), path)
+    files.append_pairs(log_rows(spark, [{"pair_id": "kdpo_000004", "question": "b"}, {"pair_id": "kdpo_000004", "question": "a"}]), path)  # rows of one append in their order
+    log = files.read_pairs(spark, path)
+    active = {r["pair_id"]: r["question"] for r in pairs.latest_state(log).collect()}
+    assert "kdpo_000003" not in active and active["kdpo_000004"] == "a" and len(active) == 11
+    gone = pairs.pair(log, "kdpo_000003").first()
+    assert (gone["status"], gone["question"]) == ("deleted", "version 3")
+
+
+def test_indices_name_candidates(spark):
+    new = log_rows(spark, [
+        {"pair_id": None, "question": "x", "candidates": [" one ", "two"], "chosen_idx": 1, "rejected_idx": 0, "chosen": "", "rejected": ""},
+        {"pair_id": None, "question": "y", "candidates": ["one", "two"], "chosen_idx": 5, "rejected_idx": 0}, {"pair_id": None, "question": "z"},
+    ]).withColumnRenamed("log_seq", "seq")
+    got = pairs.added(log_rows(spark, [{"pair_id": "kdpo_000007"}]), new).collect()
+    assert sorted((r["pair_id"], r["question"], r["chosen"], r["rejected"]) for r in got) == [("kdpo_000008", "x", "two", "one"), ("kdpo_000009", "z", "a", "b")]
+
+
+def test_counts_go_on_after_a_restart(spark, tmp_path):
+    schema = "pair_id string, log_seq bigint"
+    source, calls = tmp_path / "in", []
+
+    def more(n, start):
+        spark.createDataFrame([(f"k{(start + i) % 7}", start + i) for i in range(n)], schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        logs.train_when_due(stream, str(tmp_path / "due"), 25, calls.append).awaitTermination()
+        logs.latest_state_table(stream, str(tmp_path / "table"), checkpoint=str(tmp_path / "check"), buckets=4).awaitTermination()
+
+    more(20, 0)
+    more(4, 20)
+    assert calls == []
+    more(3, 24)
+    assert calls == [27]
+    more(10, 27)
+    assert calls == [27]
+    got = {r["pair_id"]: r["log_seq"] for r in spark.read.parquet(str(tmp_path / "table")).collect()}
+    assert got == {f"k{i}": max(x for x in range(37) if x % 7 == i) for i in range(7)}
+
+
+def test_places_in_order(spark):
+    import random
+
+    from quillgraph.operators.order import numbered
+
+    some = [(f"p{i:03d}",) for i in range(101)]
+    random.Random(3).shuffle(some)
+    got = numbered(spark.createDataFrame(some, "paper_id string").repartition(7), ["paper_id"]).collect()
+    assert sorted((r["place"], r["paper_id"]) for r in got) == list(enumerate(sorted(x for (x,) in some)))
+
+
+def test_graph_documents_and_accessors(spark, small, tmp_path):
+    nodes, edges = small
+    full = edges.withColumns({"confidence": F.lit(0.5), "method": F.lit("rule"), "evidence": F.lit("e")})
+    path = str(tmp_path / "doc")
+    files.write_graph_document(nodes, full, path)
+    (part,) = [p for p in (tmp_path / "doc").iterdir() if p.name.startswith("part")]
+    document = json.loads(part.read_text())
+    assert len(document["nodes"]) == 8 and len(document["edges"]) == 6 and document["nodes"][0]["id"] == "n0"
+    a, b = files.read_graph_document(spark, path)
+    assert {(r["node_id"], r["content"], r["page"]) for r in a.collect()} == {(r["node_id"], r["content"], r["page"]) for r in nodes.collect()}
+    assert {tuple(r) for r in b.select("src_id", "dst_id", "edge_type", "weight", "method").collect()} == {tuple(r) for r in full.select("src_id", "dst_id", "edge_type", "weight", "method").collect()}
+    files.write_graph_document(nodes.limit(0), full.limit(0), path)
+    assert files.read_graph_document(spark, path)[0].count() == 0
+    assert graph.node(nodes, "n3").first()["node_type"] == "Claim" and graph.node(nodes, "zz").count() == 0
+    assert graph.of_type(nodes, "Figure", "Table").count() == 4 and graph.of_paper(nodes, "p1").count() == 4
+    flat = spark.createDataFrame([({"id": "a", "page": "x", "meta_k": "1", "content": "c"},)], "n map<string,string>")
+    assert graph.node_rows(flat).first().asDict() == {"node_id": "a", "node_type": None, "paper_id": None, "page": -1, "content": "c", "image_path": None, "metadata": {"k": "1"}}
+
+
+def test_recursive_paths_equal_expanded_ones(spark, small):
+    nodes, edges = small
+    edges = graph.with_endpoints(edges, nodes).dropDuplicates(["src_id", "dst_id"])
+    nodes.createOrReplaceTempView("starts")
+    edges.createOrReplaceTempView("steps")
+    for hops in (1, 2, 3):
+        a, b = paths.recursive_paths(spark, "starts", "steps", hops), paths.expand(nodes, edges, hops)
+        assert Counter(map(str, a.collect())) == Counter(map(str, b.select("path", "edge_types").collect()))
+
+
+def test_generated_questions_and_answers(spark, small):
+    from quillgraph.operators import generation
+
+    class Talker:
+        def load(self):
+            self.calls = 0
+
+        def infer_n(self, prompt, images, n, temperature):
+            if "content 5" in prompt:
+                raise RuntimeError("no")
+            if prompt.startswith("ANSWER"):
+                return [f"답변: answer {round(temperature, 1)}"] * n  # the same n times: a hotter round has to help
+            return ["질문: What is it about?", "짧", "Question: What is it  about?", "1. What else is there?"]
+
+    nodes, edges = small
+    walked = spark.createDataFrame([(0, ["n0", "n1"], ["REFERENCES"]), (1, ["n4"], []), (2, ["n5"], [])], "try bigint, path array<string>, edge_types array<string>")
+    described = paths.described(walked, nodes)
+    prompts = {r["try"]: r["p"] for r in described.select("try", generation.question_prompt("ko").alias("p")).collect()}
+    assert "본문 내용: content 0 words here\n본문이 참조하는 [TextBlock]: content 1 words here\n[이미지가 함께 제공됩니다]" in prompts[0]
+    assert "자료 유형: Figure" in prompts[1] and "반드시 한국어로" in prompts[0] and "{" not in "".join(prompts.values())
+    got = generation.questions(described, "talker", Talker, n=2).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["attempt"]):
+        by.setdefault(r["try"], []).append((r["question"], r["question_source"]))
+    assert by[0] == by[1] == [("What is it about?", "auto"), ("What else is there?", "auto")]
+    assert by[2] == [("이 본문은 무엇을 보여주는지 설명해 주세요.", "fallback")]
+    asked = spark.createDataFrame([("a", "q {language}", ["i"]), ("b", "content 5", None)], "id string, question string, images array<string>")
+    said = {r["id"]: r for r in generation.answers(asked, "talker", Talker, n=3, template="ANSWER {question}").collect()}
+    assert said["a"]["candidates"] == ["answer 0.9", "answer 1.1", "answer 1.4"] and said["a"]["is_usable"]
+    assert said["b"]["candidates"] == [] and not said["b"]["is_usable"]
+
+
+def test_enriched_corpus(spark, root):
+    rows = layout.elements(layout.layouts(spark, root))
+    said = corpus.Responses(
+        spark.createDataFrame([("p1__fig_1", "a curve")], "node_id string, response string"),
+        spark.createDataFrame([("p1__text_1", "p1__fig_1", "It QUANTIFIES this", 1)], "text_id string, visual_id string, response string, seq bigint"),
+        spark.createDataFrame([("p1", "p1__text_1", 1, 3, "- a concept here\n- another concept")], "paper_id string, node_id string, page int, seq bigint, response string"),
+    )
+    nodes, edges = corpus.build(rows, responses=said)
+    by = {r["node_id"]: r for r in nodes.collect()}
+    assert by["p1__fig_1"]["content"] == "Fig. 1 a caption\n[VLM]: a curve" and by["p1__concept_2"]["content"] == "another concept"
+    got = {(r["src_id"], r["dst_id"], r["edge_type"], r["method"]) for r in edges.collect()}
+    assert ("p1__text_1", "p1__fig_1", "QUANTIFIES", "vlm_relation") in got and ("p1__text_1", "p1__concept_1", "DEFINES", "vlm_extraction") in got
+
+
+def test_states_and_items(spark, small, tmp_path):
+    nodes, _ = small
+    counters = state.Counters(tmp_path / "state.json")
+    counters.pairs_added(4)
+    counters.record_training(tmp_path / "history.json", {"checkpoint": "adapter_epoch001", "eval": {"anls": 0.5}})
+    counters.record_training(tmp_path / "history.json", {"checkpoint": "adapter_epoch002"})
+    assert counters.snapshot()["train_count"] == 2 and counters.snapshot()["pairs_since_last_train"] == 0
+    history = files.read_history(spark, str(tmp_path / "history.json"))
+    assert [r["checkpoint"] for r in history.orderBy("seq").collect()] == ["adapter_epoch001", "adapter_epoch002"]
+    assert tuple(training.best_checkpoint(history).first()) == ("adapter_epoch001", 0.5)
+    path = str(tmp_path / "comparisons")
+    for verdict in ("trained", "BASE", "tie"):
+        files.append_comparison(spark.createDataFrame([("adapter_epoch001", verdict)], "checkpoint string, verdict string"), path)
+    got = files.read_comparisons(spark, path)
+    assert got.where("created_at is null").count() == 0 and training.comparison_stats(got).where("checkpoint is null").first()["win_rate"] == 0.5
+    split = evaluation.split(nodes.select("paper_id").distinct(), 1)
+    files.write_split(split, str(tmp_path / "split"))
+    assert {tuple(r) for r in files.read_split(spark, str(tmp_path / "split")).collect()} == {tuple(r) for r in split.collect()}
+    items = evaluation.from_graph(nodes, 3).collect()
+    assert [r["question_id"] for r in items] == ["kg_000001", "kg_000002", "kg_000003"]
+    assert {r["question"] for r in items} <= {"What does this figure show or describe?", "What does this table show or describe?"}
+    assert all(r["context"].startswith(r["ground_truths"][0]) and r["paper_id"] for r in items)
+    typed = spark.createDataFrame([("q", "VQA", 1), ("r", "MCQ", 2)], "question_id string, question_type string, difficulty int")
+    assert evaluation.of_type(typed, "MCQ").first()["question_id"] == "r" and evaluation.of_difficulty(typed, 1).count() == 1
+    ranked = training.with_adapters(spark.createDataFrame([("a",), ("b",)], "checkpoint string"), spark.createDataFrame([("a",)], "name string"))
+    assert {tuple(r) for r in ranked.collect()} == {("a", True), ("b", False)}
+
+
+def test_model_vectors_and_probabilities(spark, small):
+    class Model:
+        def load(self):
+            pass
+
+        def encode(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+        def logprob(self, prompt, images, answer):
+            return -float(len(answer))
+
+    nodes, _ = small
+    got = enrichment.embed(nodes, "vectors", Model)
+    assert {r["node_id"]: r["embedding"][0] for r in got.collect()} == {r["node_id"]: float(len(r["content"])) for r in nodes.collect()}
+    rows = log_rows(spark, [{"pair_id": "a", "chosen": "xx", "rejected": "yyy"}])
+    four = enrichment.log_probabilities(rows, ("policy", Model), ("reference", Model)).first()
+    assert four.asDict() == {"pair_id": "a", "policy_chosen": -2.0, "policy_rejected": -3.0, "ref_chosen": -2.0, "ref_rejected": -3.0}
+    enrichment.unload()

@@ -26,6 +26,20 @@ def test_configuration(tmp_path):
         config.model_family(None, "thing")
 
 
+def test_yaml_configuration_keeps_comments(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("# top\npaths:\n  data_root: /old  # where papers are\n  pairs: ${NOT_SET}\n\n# the model\nmodel:\n  name: m\n  list:\n    - a\n    - b\ntrain:\n  epochs: 1\n")
+    result = config.save(str(path), {"paths": {"data_root": str(tmp_path)}, "model": {"name": "n: x", "list": ["c"]}, "train": {"learning_rate": 0.5}, "export": {"format": "rlaif_v"}})
+    assert result.ok, result.errors
+    text = path.read_text()
+    assert "# top" in text and "# where papers are" in text and "# the model" in text
+    got = config.load(str(path))
+    assert got["paths"] == {"data_root": str(tmp_path), "pairs": "${NOT_SET}"} and got["model"] == {"name": "n: x", "list": ["c"]}
+    assert got["train"] == {"epochs": 1, "learning_rate": 0.5} and got["export"] == {"format": "rlaif_v"}
+    before = path.read_text()
+    assert not config.save(str(path), {"train": {"epochs": 0}}).ok and path.read_text() == before
+
+
 def test_sql_functions(spark):
     sql.register(spark)
     rows = [(" Kitten", ["sitting", None]), ("a.b!", ["ab", "x"]), ("", []), ("it's \\ {x}", ["its  x"])]
