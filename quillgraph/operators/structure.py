@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +32,13 @@ def _numbered(elements: DataFrame, least_confidence: float) -> DataFrame:
     return kept.withColumn("n", n).withColumn("node_id", node).withColumn("position", F.count(F.lit(1)).over(so_far)).withColumn("section", section)
 
 
-def structural_graph(elements: DataFrame, least_confidence: float = 0.4) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges.  One shuffle by paper: counters and the current section are windows over it."""
+def structural_graph(elements: DataFrame, least_confidence: float = 0.4, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges.  One shuffle by paper: counters and the current section are windows over it.
+
+    `keep` may write the numbered elements out, from which both follow, so that they are not numbered twice.
+    """
     numbered = _numbered(elements, least_confidence)
+    numbered = keep(numbered) if keep else numbered
     kind = F.col("kind")
     captioned = kind.isin("fig", "tab") & has_text(F.col("caption"))
     caption_id = F.concat_ws("", F.col("paper_id"), F.lit("__cap_"), kind, F.lit("_"), F.col("n").cast("string"))
