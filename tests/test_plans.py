@@ -42,10 +42,11 @@ def test_yaml_configuration_keeps_comments(tmp_path):
 
 def test_sql_functions(spark):
     sql.register(spark)
-    rows = [(" Kitten", ["sitting", None]), ("a.b!", ["ab", "x"]), ("", []), ("it's \\ {x}", ["its  x"])]
+    rows = [(" Kitten", ["sitting", None]), ("a.b!", ["ab", "x"]), ("", []), ("it's \\ {x}", ["its  x"]), ("a b a", ["a a a c"]), ("The answer: (c)", ["c"])]
     spark.createDataFrame(rows, "p string, g array<string>").createOrReplaceTempView("said")
-    got = spark.sql("SELECT anls(p, g) AS a, exact_match(p, g) AS e FROM said").collect()
-    expected = spark.table("said").select(metrics.anls(F.col("p"), F.col("g")), metrics.exact_match(F.col("p"), F.col("g"))).collect()
+    got = spark.sql("SELECT anls(p, g) AS a, exact_match(p, g) AS e, token_f1(p, g), mcq_letter(p) FROM said").collect()
+    p, g = F.col("p"), F.col("g")
+    expected = spark.table("said").select(metrics.anls(p, g), metrics.exact_match(p, g), metrics.token_f1(p, g), metrics.mcq_letter(p)).collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in expected]
 
 
