@@ -20,11 +20,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
+def mark() -> int:
+    """A point in time, for `release`."""
+    return len(_made)
+
+
+def newest() -> tuple[str, ...]:
+    return tuple(_made[-1:])
+
+
+def release(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the paths made since a mark but those to keep: whoever calls this knows that no plan reads them any more."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _made[since:] if p not in keep]:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(configuration).delete(hadoop, True)
+        _made.remove(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Hadoop deletes it when the driver's JVM ends."""
+    """A fresh path in the shared folder; Hadoop deletes it when the driver's JVM ends, unless it is released before."""
     path = f"{shared_folder(spark).rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _made.append(path)
     return path
 
 
