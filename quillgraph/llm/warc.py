@@ -218,19 +218,25 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """The pages with html, digest, revisits and refers_to.
 
     Only page_id and digest are shuffled to find equal payloads, pre-aggregated, so a payload that a third of all pages
-    share is no hot task.  Pages meet the result by page_id and digest.
+    share is no hot task.  Pages meet the written list of those that share one by page_id and digest; while the list is
+    small, Spark broadcasts it and no html moves.  Rows are numbered only where a page_id has several.
     """
     html = F.coalesce("html", F.lit(""))
     raw = F.encode(html, "utf-8")
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("size"))
-    same = pages.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     keyed = pages.withColumns({"none": F.col("page_id").isNull(), "id": F.coalesce("page_id", F.lit(0))})
     keys = ["id", "none", "digest"]
-    shared = keyed.select(*keys).distinct().join(same, "digest").select(*keys, "first", F.lit(True).alias("shared"))
+    large = keyed.where(F.col("size") >= least).groupBy("digest", "id", "none").agg(F.count(F.lit(1)).alias("rows"))
+    smallest = F.min(F.when(F.col("none"), None).otherwise(F.col("id")))
+    same = large.groupBy("digest").agg(smallest.alias("first"), F.sum("rows").alias("n")).where("n > 1").drop("n")
+    shared = staged(large.join(same, "digest").select(*keys, "first", "rows"), "shared")
+    met = keyed.join(shared, keys, "left")
+    other = ~F.col("page_id").eqNullSafe(F.col("first"))
+    names = ["page_id", "url", "html", "digest", "first", "revisits"]
+    once = met.where(F.coalesce("rows", F.lit(1)) == 1).withColumn("revisits", F.col("rows").isNotNull() & other).select(*names)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("url"))
-    marked = keyed.withColumn("number", number).join(shared, keys, "left")
-    revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("number") == 1))
-    return marked.select("page_id", "url", "html", "digest", revisit.alias("revisits"), F.when(revisit, F.col("first")).alias("refers_to"))
+    several = keyed.join(shared.where("rows > 1"), keys).withColumn("number", number).withColumn("revisits", other | (F.col("number") > 1)).select(*names)
+    return once.unionByName(several).select("page_id", "url", "html", "digest", "revisits", F.when(F.col("revisits"), F.col("first")).alias("refers_to"))
 
 
 def write_archives(marked: DataFrame, folder: str | None = None, most: int = 256 << 20) -> DataFrame:
