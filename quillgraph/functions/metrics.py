@@ -32,19 +32,31 @@ def best_of(truths: Column, score) -> Column:
     return F.coalesce(F.array_max(F.transform(truths, lambda t: score(text(t)))), F.lit(0.0))
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance over the longer length, of stripped lower-case texts; 0 if both are empty, 1 if one is."""
-    a, b = F.lower(strip(text(a))), F.lower(strip(text(b)))
+def folded(c: Column) -> Column:
+    """Stripped and in lower case."""
+    return F.lower(strip(text(c)))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    """Of folded texts."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer == 0, 0.0).when(F.least(F.length(a), F.length(b)) == 0, 1.0).otherwise(F.levenshtein(a, b) / longer)
 
 
-def anls(prediction: Column, truths: Column, threshold: float = 0.5) -> Column:
-    def score(t: Column) -> Column:
-        d = edit_distance(prediction, t)
-        return F.when(d > threshold, 0.0).otherwise(1 - d)
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance over the longer length, of stripped lower-case texts; 0 if both are empty, 1 if one is."""
+    return _distance(folded(a), folded(b))
+
+
+def folded_anls(prediction: Column, truths: Column, threshold: float = 0.5) -> Column:
+    """Of a folded prediction and folded truths, columns that were made before."""
+    distances = F.transform(truths, lambda t: _distance(prediction, t))
+    return F.coalesce(F.array_max(F.transform(distances, lambda d: F.when(d > threshold, 0.0).otherwise(1 - d))), F.lit(0.0))
 
-    return best_of(truths, score)
+
+def anls(prediction: Column, truths: Column, threshold: float = 0.5) -> Column:
+    """As one expression; on many rows make the folded texts columns first (evaluation.scored does)."""
+    return folded_anls(folded(prediction), F.transform(truths, folded), threshold)
 
 
 def normalized(c: Column) -> Column:
@@ -53,8 +65,7 @@ def normalized(c: Column) -> Column:
 
 
 def exact_match(prediction: Column, truths: Column) -> Column:
-    p = normalized(prediction)
-    return F.coalesce(F.exists(truths, lambda t: normalized(t) == p), F.lit(False)).cast("double")
+    return F.coalesce(F.array_contains(F.transform(truths, normalized), normalized(prediction)), F.lit(False)).cast("double")
 
 
 def tokens(c: Column) -> Column:

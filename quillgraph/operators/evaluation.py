@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.metrics import anls, exact_match, mcq_accuracy, token_overlap, tokens
+from ..functions.metrics import exact_match, folded, folded_anls, mcq_accuracy, token_overlap, tokens
 from ..functions.sampling import hash_order
 from ..functions.text import GOLD_LENGTH, fill, has_text, is_usable_gold, label_kind, particle, squeeze, strip, strip_caption_label, text
 from ..schema import VISUAL_TYPES
@@ -50,11 +50,13 @@ def scored(predictions: DataFrame) -> DataFrame:
     Accuracy is the chosen letter for multiple choice (first truth), exact match otherwise.
     """
     p, g = F.col("prediction"), F.col("ground_truths")
-    words = {"_words": tokens(p), "_truth_words": F.transform(g, lambda t: tokens(text(t)))}  # once, not for each word of the others
+    # texts are folded and split once, not for each truth or word that they are compared with
+    made = {"_folded": folded(p), "_truths": F.transform(g, folded), "_words": tokens(p), "_truth_words": F.transform(g, lambda t: tokens(text(t)))}
     choice = (F.col("question_type") == "MCQ") & (F.size(g) > 0)
     accuracy = F.when(choice, mcq_accuracy(p, F.get(g, F.lit(0)))).otherwise(exact_match(p, g))
-    rows = predictions.withColumns(words)
-    return rows.withColumns({"anls": anls(p, g), "accuracy": accuracy, "f1": token_overlap(F.col("_words"), F.col("_truth_words"))}).drop(*words)
+    rows = predictions.withColumns(made)
+    scores = {"anls": folded_anls(F.col("_folded"), F.col("_truths")), "accuracy": accuracy, "f1": token_overlap(F.col("_words"), F.col("_truth_words"))}
+    return rows.withColumns(scores).drop(*made)
 
 
 def batch_metrics(predictions: DataFrame) -> DataFrame:

@@ -43,7 +43,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a document is an element: every seventh a figure, every eleventh a table, some lines numbered, some with references."""
-    rows = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    # texts of one file go to all tasks, in the partitioning that the operators' windows ask for, so that this is their only shuffle
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id"), "text").repartition("paper_id")
+    rows = docs.select("paper_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     p = F.col("pos")
     kind = F.when(p % 7 == 3, "figure").when(p % 11 == 5, "table").otherwise("text")
     title = F.when(p % 9 == 0, F.concat(F.floor(p / 9 + 1).cast("string"), F.lit(". "))).otherwise("")
@@ -430,8 +432,10 @@ p AS (SELECT doc_id, part, substr(t, part * 60 + 1, 60) AS prediction, [substr(t
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts in pieces of 60 characters, as answers are short; the truths are two edited versions of each."""
     t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]", "")
-    rows = read(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("t") / 60)).cast("int") - 1)))
-    piece = lambda start, n: F.substring("t", F.col("part") * 60 + start, F.lit(n))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts of one file go to all tasks
+    rows = docs.select("doc_id", t.alias("t")).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("t") / 60)).cast("int") - 1)))
+    rows = rows.select("doc_id", "part", F.substring("t", F.col("part") * 60 + 1, F.lit(62)).alias("piece"))
+    piece = lambda start, n: F.substring("piece", start, n)
     return rows.select("doc_id", "part", piece(1, 60).alias("prediction"), F.array(piece(3, 60), F.concat(piece(1, 45), F.lit(" and"))).alias("ground_truths"), F.lit("VQA").alias("question_type"))
 
 
@@ -446,7 +450,7 @@ _F1 = f"list_max(list_transform(gt, lambda g: CASE WHEN coalesce({_COMMON}, 0) =
 
 @query(f"WITH {_ANSWERS} SELECT doc_id, CAST(part AS INTEGER) AS part, round({_ANLS}, 6) AS anls FROM p")
 def metric_anls(spark, sf_dir):
-    return answers(spark, sf_dir).select("doc_id", "part", F.round(metrics.anls(F.col("prediction"), F.col("ground_truths")), 6).alias("anls"))
+    return evaluation.scored(answers(spark, sf_dir)).select("doc_id", "part", F.round("anls", 6).alias("anls"))
 
 
 @query(f"WITH {_ANSWERS} SELECT doc_id, CAST(part AS INTEGER) AS part, {_EXACT} AS exact FROM p")
