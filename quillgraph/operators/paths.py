@@ -27,9 +27,10 @@ def random_walk(starts: DataFrame, edges: DataFrame, hops: int = 3, seed: int =
     out = edges.select(F.col("src_id").alias("at"), "dst_id", "edge_type", F.col(weight).alias("weight"))
     for hop in range(hops):
         wait = race(seed, F.col("weight"), F.lit(hop), F.col("start_id"), F.col("dst_id"), F.col("edge_type"))
-        steps = walks.join(out, "at").withColumn("wait", wait).where("wait is not null")
-        chosen = steps.groupBy("start_id").agg(F.min_by("dst_id", F.struct("wait", "dst_id")).alias("next"))
-        walks = walks.join(chosen, "start_id", "left")
+        # one aggregate for each hop, without a second look at the walks so far
+        steps = walks.join(out, "at", "left").withColumn("wait", wait)
+        order = F.when(F.col("wait").isNotNull(), F.struct("wait", "dst_id"))
+        walks = steps.groupBy("start_id", "path").agg(F.min_by("dst_id", order).alias("next"))
         walks = walks.select("start_id", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"), F.col("next").alias("at"))
     return walks.select("start_id", "path")
 
@@ -79,10 +80,10 @@ def walk_paths(tries: DataFrame, edges: DataFrame, max_hops: int, seed: int = 42
     out = first_edges(edges).select(F.col("src_id").alias("at"), F.col("dst_id").alias("next"), "edge_type")
     walks = tries.select("try", "hops", F.array("start_id").alias("path"), F.array().cast("array<string>").alias("edge_types"), F.col("start_id").alias("at"))
     for hop in range(max_hops):
-        steps = walks.where(F.col("hops") > hop).join(out, "at").where(~F.array_contains("path", F.col("next")))
-        order = F.struct(hash_order(seed, F.lit(hop), F.col("try"), F.col("next")).alias("h"), "next")
-        chosen = steps.groupBy("try").agg(F.min_by(F.struct("next", "edge_type"), order).alias("step"))
-        walks = walks.join(chosen, "try", "left")
+        steps = walks.join(out, "at", "left")
+        new = (F.col("hops") > hop) & F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
+        order = F.when(new, F.struct(hash_order(seed, F.lit(hop), F.col("try"), F.col("next")).alias("h"), "next"))
+        walks = steps.groupBy("try", "hops", "path", "edge_types").agg(F.min_by(F.struct("next", "edge_type"), order).alias("step"))
         went = F.col("step").isNotNull()
         walks = walks.select(
             "try", "hops",
@@ -124,15 +125,15 @@ def sample_paths(
 ) -> DataFrame:
     """Up to n different paths out of 12 n tries, each with a weighted start and 1 to max_hops hops.
 
-    Starts get ranges of the unit
-    interval by their weights, and each try falls into one; tries meet starts through 1,024 buckets, not a product.
+    Starts get ranges of the unit interval by their weights, and each try falls into one; tries meet starts through 1,024
+    buckets, not a product.
     """
     from pyspark.sql.window import Window
 
     starts = start_nodes(nodes, excluded, paper_id, prefer_visual, skip_captions)
     buckets = 1024
     by = Window.partitionBy("bucket").orderBy(hash_order(seed, F.col("node_id")), "node_id")
-    spread = starts.withColumn("bucket", F.pmod(F.xxhash64("node_id", F.lit(seed)), F.lit(buckets)))
+    spread = starts.withColumn("bucket", F.pmod(F.conv(F.substring(hash_order(seed, F.col("node_id")), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)))
     spread = spread.withColumn("to", F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("from", F.col("to") - F.col("weight"))
     sums = spread.groupBy("bucket").agg(F.max("to").alias("mass"))
     before = F.sum("mass").over(Window.orderBy("bucket"))  # at most 1,024 rows

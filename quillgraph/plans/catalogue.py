@@ -249,7 +249,42 @@ def path_provenance(spark, sf_dir):
     return got.select(p["src_node"].alias("src_node"), p["edge"].alias("edge"), p["dst_node"].alias("dst_node"), p["hop"].alias("hop"), F.array_join("image_paths", " ").alias("images"), paths.summary(F.col("nodes"), F.col("edge_types")).alias("summary"))
 
 
-@query()
+def _hop(number: int) -> str:
+    """A hop of the walks w0, w1, ...: the new successor with the smallest hash."""
+    return f"""
+s{number} AS (
+    SELECT w.try, arg_min(f.dst_id, (md5('42|{number}|' || w.try || '|' || f.dst_id), f.dst_id)) AS next, arg_min(f.edge_type, (md5('42|{number}|' || w.try || '|' || f.dst_id), f.dst_id)) AS type
+    FROM w{number} w JOIN f ON f.src_id = w.at WHERE w.hops > {number} AND NOT list_contains(w.path, f.dst_id) GROUP BY w.try
+),
+w{number + 1} AS MATERIALIZED (
+    SELECT w.try, w.hops, CASE WHEN next IS NULL THEN w.path ELSE list_append(w.path, next) END AS path, CASE WHEN next IS NULL THEN w.types ELSE list_append(w.types, type) END AS types, next AS at
+    FROM w{number} w LEFT JOIN s{number} s ON s.try = w.try
+)"""
+
+
+_DRAW = "(CAST('0x' || md5('42|{}|' || i)[1:13] AS BIGINT) + 1)::DOUBLE / 4503599627370496.0"
+
+
+@query(f"""WITH {ELEMENTS}, known AS MATERIALIZED (SELECT * FROM nodes),
+every AS (SELECT src_id, dst_id, edge_type, seq FROM edges UNION ALL SELECT DISTINCT r.src_id, r.dst_id, 'REFERENCES', n.seq FROM refs r JOIN known n ON n.node_id = r.src_id),
+f AS MATERIALIZED (SELECT src_id, dst_id, arg_min(edge_type, (seq, edge_type)) AS edge_type FROM every GROUP BY src_id, dst_id),
+starts AS (
+    SELECT node_id, CASE WHEN node_type IN ('Figure', 'Table') THEN 10 ELSE 1 END AS weight, md5('42|' || node_id) AS h FROM known
+    WHERE node_type <> 'Paper' AND k <> 'cap' AND (regexp_replace(content, '\\s', '', 'g') <> '' OR image_path IS NOT NULL)
+),
+dealt AS MATERIALIZED (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % 1024 AS bucket, sum(weight) OVER (PARTITION BY CAST('0x' || h[1:8] AS BIGINT) % 1024 ORDER BY h, node_id ROWS UNBOUNDED PRECEDING) AS upto FROM starts),
+mass AS (SELECT bucket, max(upto) AS mass FROM dealt GROUP BY bucket),
+ranges AS MATERIALIZED (SELECT *, sum(mass) OVER (ORDER BY bucket) AS high, sum(mass) OVER () AS total FROM mass),
+tries AS (SELECT i AS try, {_DRAW.format("start")} AS u, CAST(floor({_DRAW.format("hops")} * 3 - 1e-12) + 1 AS INTEGER) AS hops FROM range(600) t(i)),
+met AS (SELECT try, hops, bucket, u * total - (high - mass) AS point FROM tries JOIN ranges ON u * total > high - mass AND u * total <= high),
+w0 AS MATERIALIZED (
+    SELECT try, any_value(hops) AS hops, [min(node_id)] AS path, CAST([] AS VARCHAR[]) AS types, min(node_id) AS at
+    FROM met JOIN dealt ON dealt.bucket = met.bucket AND point > upto - weight AND point <= upto GROUP BY try
+),{_hop(0)},{_hop(1)},{_hop(2)},
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY try) AS copy FROM w3) WHERE copy = 1 ORDER BY try LIMIT 50),
+ends AS (SELECT c.*, regexp_replace(n.content, '^\\s+|\\s+$', '', 'g') AS b FROM chosen c JOIN known n ON n.node_id = c.path[-1])
+SELECT split_part(path[1], '__', 1) AS paper_id, array_to_string(path, ' ') AS path, CAST(CASE WHEN list_contains(types, 'REFERENCES') THEN 2 ELSE 1 END AS INTEGER) AS difficulty,
+       CASE WHEN types[1] = 'REFERENCES' THEN 'Reasoning' ELSE 'VQA' END AS question_type, {_clean("b")} AS gold_answer FROM ends""")
 def path_samples(spark, sf_dir):
     nodes, edges = structural(spark, sf_dir)
     edges = staged(graph.upsert_edges(nodes, edges, references.reference_edges(nodes)), "edges")

@@ -453,6 +453,16 @@ def graph_files(spark, sf_dir):
     return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.col("node_type").alias("type")).unionByName(edges.select(F.lit("edge").alias("kind"), F.concat_ws(" ", "src_id", "dst_id").alias("id"), F.col("edge_type").alias("type")))
 
 
+@query(f"WITH {KEY_GRAPH}, k AS (SELECT node_id FROM nodes WHERE node_type IN ('region', 'nation')) SELECT src_id, dst_id, weight FROM edges WHERE src_id IN (SELECT node_id FROM k) AND dst_id IN (SELECT node_id FROM k)")
+def graph_tables(spark, sf_dir):
+    """The graph as views, read with a parameter."""
+    nodes, edges = key_graph(spark, sf_dir)
+    nodes.createOrReplaceTempView("quillgraph_nodes")
+    edges.createOrReplaceTempView("quillgraph_edges")
+    _, among = files.read_graph_tables(spark, "quillgraph_nodes", "quillgraph_edges", "array_contains(:kinds, node_type)", {"kinds": F.array(F.lit("region"), F.lit("nation"))})
+    return among.select("src_id", "dst_id", "weight")
+
+
 @query("""WITH v AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'trained' ELSE 'base' END AS verdict FROM events WHERE event_id % 25 = 0)
 SELECT verdict, count(*) AS n FROM v GROUP BY 1""")
 def comparison_log(spark, sf_dir):

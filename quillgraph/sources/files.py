@@ -93,6 +93,39 @@ def write_graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     lines.repartition(1).sortWithinPartitions("part", "seq", "key").select("line").write.mode("overwrite").text(path)
 
 
+def read_graph_tables(spark: SparkSession, nodes: str, edges: str, where: str | None = None, args: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """A graph from two tables or views of the catalogue; `where` is a condition on nodes with named parameters, edges keep both ends."""
+    from ..operators.graph import with_endpoints
+
+    condition = f" WHERE {where}" if where else ""
+    kept = spark.sql(f"SELECT * FROM IDENTIFIER(:quillgraph_nodes){condition}", {"quillgraph_nodes": nodes} | (args or {}))
+    every = spark.table(edges)
+    return kept, with_endpoints(every, kept) if where else every
+
+
+#: How a graph is kept, by name: a writer (nodes, edges, path) and a reader (spark, path).
+STORES = {"parquet": (write_graph, read_graph), "json": (write_graph_json, read_graph_json), "document": (write_graph_document, read_graph_document)}
+
+
+def save_graph(store: str, nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    _store(store)[0](nodes, edges, path)
+
+
+def load_graph(spark: SparkSession, store: str, path: str) -> tuple[DataFrame, DataFrame]:
+    return _store(store)[1](spark, path)
+
+
+def clear_graph(store: str, nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Leaves an empty graph of the same columns."""
+    save_graph(store, nodes.limit(0), edges.limit(0), path)
+
+
+def _store(name: str) -> tuple:
+    if name not in STORES:
+        raise ValueError(f"unknown graph store {name!r}; known are {sorted(STORES)}")
+    return STORES[name]
+
+
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines in order as `place`; blank and broken lines are left out, and unknown keys kept in `unknown`.
 

@@ -49,6 +49,16 @@ def elements(layout: DataFrame) -> DataFrame:
     return out
 
 
+#: Parsers by name: a function of a session and a folder that gives elements.  Others may be added.
+PARSERS = {"layout": lambda spark, root: elements(layouts(spark, root))}
+
+
+def parsed(spark: SparkSession, root: str, parser: str = "layout") -> DataFrame:
+    if parser not in PARSERS:
+        raise ValueError(f"unknown parser {parser!r}; known are {sorted(PARSERS)}")
+    return PARSERS[parser](spark, root)
+
+
 def with_images(rows: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     """image_path resolved against the files there are: PAPER/path, else PAPER/images/name, else null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", rf"{root.rstrip('/')}/(.+)$", 1).alias("file"))

@@ -452,3 +452,20 @@ def test_model_vectors_and_probabilities(spark, small):
     four = enrichment.log_probabilities(rows, ("policy", Model), ("reference", Model)).first()
     assert four.asDict() == {"pair_id": "a", "policy_chosen": -2.0, "policy_rejected": -3.0, "ref_chosen": -2.0, "ref_rejected": -3.0}
     enrichment.unload()
+
+
+def test_stores_and_parsers(spark, small, root, tmp_path):
+    nodes, edges = small
+    full = edges.withColumns({"confidence": F.lit(1.0), "method": F.lit("rule"), "evidence": F.lit("e")})
+    for name in files.STORES:
+        path = str(tmp_path / name)
+        files.save_graph(name, nodes, full, path)
+        a, b = files.load_graph(spark, name, path)
+        assert a.count() == 8 and b.count() == 6
+        files.clear_graph(name, nodes, full, path)
+        assert files.load_graph(spark, name, path)[0].count() == 0
+    with pytest.raises(ValueError):
+        files.save_graph("other", nodes, full, "x")
+    assert layout.parsed(spark, root).count() == layout.elements(layout.layouts(spark, root)).count()
+    with pytest.raises(ValueError):
+        layout.parsed(spark, root, "other")
