@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import fill
 from ..schema import QUESTION_TYPES
 from .pairs import is_valid
 
@@ -41,6 +42,22 @@ def progress(since: Column, threshold: int) -> Column:
     return F.least(F.lit(1.0), since / threshold) if threshold > 0 else F.lit(1.0)
 
 
+# How a decision is shown.
+READY, COLLECTING, FIRST_TIME, AGAIN = "✅ **학습 조건 충족**", "⏳ 수집 중", "첫 학습", "재학습"
+SHOWN, BAR_CELLS = "{head} — {reason}\n\n{label}까지 `{bar}` {since}/{threshold}  (**{remaining}건 남음**)", 20
+
+
+def shown(decisions: DataFrame) -> DataFrame:
+    """Decisions with `markdown`: the state, a bar of 20 cells, and what is still missing."""
+    filled = F.floor(F.col("progress") * BAR_CELLS).cast("int")
+    values = {
+        "head": F.when(F.col("should_train"), READY).otherwise(COLLECTING), "reason": F.col("reason"), "label": F.when(F.col("is_first"), FIRST_TIME).otherwise(AGAIN),
+        "bar": F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), BAR_CELLS - filled)), "since": F.col("since").cast("string"),
+        "threshold": F.col("threshold").cast("string"), "remaining": F.col("remaining").cast("string"),
+    }
+    return decisions.withColumn("markdown", fill(F.lit(SHOWN), values))
+
+
 def comparison_stats(comparisons: DataFrame) -> DataFrame:
     """checkpoint (null for all), n, wins, base_wins, ties, win_rate; unknown verdicts count in n alone."""
     verdict = F.lower("verdict")

@@ -382,6 +382,17 @@ def training_progress(spark, sf_dir):
     return rows.select("user_id", training.version_label(path).alias("label"), training.progress(F.col("n") % 150, 100).alias("progress"))
 
 
+@query("""WITH c AS (SELECT user_id, least(count(*), 100) AS since, user_id % 2 = 0 AS first, user_id % 3 = 0 AS due FROM events GROUP BY user_id),
+b AS (SELECT *, CAST(floor(least(1.0, since / 100.0) * 20) AS INTEGER) AS filled FROM c)
+SELECT user_id, CASE WHEN due THEN '✅ **학습 조건 충족**' ELSE '⏳ 수집 중' END || ' — ' || CASE WHEN due THEN 'ready' ELSE 'count' END || chr(10) || chr(10) || CASE WHEN first THEN '첫 학습' ELSE '재학습' END || '까지 `'
+    || repeat('█', filled) || repeat('░', 20 - filled) || '` ' || since || '/100  (**' || (100 - since) || '건 남음**)' AS markdown FROM b""")
+def trigger_shown(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.least(F.count(F.lit(1)), F.lit(100)).alias("since"))
+    due = F.col("user_id") % 3 == 0
+    rows = rows.select("user_id", "since", due.alias("should_train"), F.when(due, "ready").otherwise("count").alias("reason"), (F.col("user_id") % 2 == 0).alias("is_first"), F.lit(100).alias("threshold"), (100 - F.col("since")).alias("remaining"), training.progress(F.col("since"), 100).alias("progress"))
+    return training.shown(rows).select("user_id", "markdown")
+
+
 @query("SELECT 'adapter_epoch' || lpad((max(user_id) + 1)::VARCHAR, 3, '0') AS name FROM events")
 def next_adapter(spark, sf_dir):
     return files.next_adapter(read(spark, sf_dir, "events").select(F.format_string("adapter_epoch%03d", "user_id").alias("name")))
