@@ -233,6 +233,36 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def copied_images(images: DataFrame, root: str, folder: str) -> DataFrame:
+    """path, name and copied, for images (path relative to root, name of the copy); files that are missing are left out, and told.
+
+    Each file is written under a name of its own and renamed, so a task that runs again leaves one whole copy.
+    """
+    import pandas as pd
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        source, top = fs.FileSystem.from_uri(root)
+        target, out = fs.FileSystem.from_uri(folder)
+        target.create_dir(out, recursive=True)
+        for rows in batches:
+            done = []
+            for path, name in zip(rows["path"], rows["name"]):
+                whole = f"{top}/{path}"
+                there = source.get_file_info(whole).type == fs.FileType.File
+                if there:
+                    part = f"{out}/.{uuid.uuid4().hex}"
+                    fs.copy_files(whole, part, source_filesystem=source, destination_filesystem=target)
+                    target.move(part, f"{out}/{name}")
+                done.append(there)
+            yield pd.DataFrame({"path": rows["path"], "name": rows["name"], "copied": done})
+
+    return images.select("path", "name").mapInPandas(run, "path string, name string, copied boolean")
+
+
 def adapters(spark: SparkSession, root: str) -> DataFrame:
     """The adapter folders (with adapter_config.json): name, epoch (-1 without one) and time, newest first."""
     files = spark.read.format("binaryFile").load(f"{root}/*/adapter_config.json").select(F.regexp_extract("path", r"([^/]+)/adapter_config\.json$", 1).alias("name"), F.col("modificationTime").alias("created_at"))
