@@ -66,21 +66,26 @@ class Collection:
     # Papers and their graph.
 
     def languages(self) -> DataFrame:
-        """paper_id and language; papers that were not looked at yet are, and are remembered."""
-        path = self.place("languages")
-        read = lambda: self.spark.read.schema(LANGUAGES).parquet(path)
-        layouts = layout.layouts(self.spark, self.section("paths")["data_root"])
-        new = layouts.join(read().select("paper_id"), "paper_id", "left_anti") if self._there("languages") else layouts
-        layout.paper_languages(new).write.mode("append").parquet(path)
-        return read()
+        """paper_id and language; papers that were not looked at yet are, and are remembered: no layout is read twice."""
+        root, path = self.section("paths")["data_root"], self.place("languages")
+        some = None
+        if self._there("languages"):
+            known = self.spark.read.schema(LANGUAGES).parquet(path)
+            some = [r[0] for r in layout.list_papers(self.spark, root).join(known, "paper_id", "left_anti").collect()]  # names of files, as any reader lists them
+        if some is None or some:
+            layout.paper_languages(layout.layouts(self.spark, root, some)).write.mode("append").parquet(path)
+        return self.spark.read.schema(LANGUAGES).parquet(path)
 
     def split(self, held_out: int = evaluation.HELD_OUT, seed: int = 42) -> DataFrame:
         """paper_id and split, as first drawn; later papers are collected."""
-        papers = layout.list_papers(self.spark, self.section("paths")["data_root"])
-        path = self.place("split")
-        now = evaluation.extended_split(files.read_split(self.spark, path), papers) if self._there("split") else evaluation.split(papers, held_out, seed)
-        files.write_split(staged(now, "split"), path)  # it may read what it replaces
-        return files.read_split(self.spark, path)
+        papers, path = layout.list_papers(self.spark, self.section("paths")["data_root"]), self.place("split")
+        if not self._there("split"):
+            files.write_split(evaluation.split(papers, held_out, seed), path)
+        known = files.read_split(self.spark, path)
+        if not papers.join(known, "paper_id", "left_anti").isEmpty():
+            files.write_split(staged(evaluation.extended_split(known, papers), "split"), path)  # it reads what it replaces
+            known = files.read_split(self.spark, path)
+        return known
 
     def papers(self) -> DataFrame:
         """The papers to collect from: of the configured language, not held out."""

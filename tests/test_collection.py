@@ -1,6 +1,7 @@
 """A collection from its configuration to an export, with plug-ins in place of models."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,15 @@ def test_a_collection_from_graph_to_export(spark, opened, root, tmp_path):  # no
     c.judge(spark.createDataFrame([("adapter_epoch001", "trained")], "checkpoint string, verdict string"))
     assert c.comparisons().where("checkpoint is null").first()["win_rate"] == 1.0
 
+    later = tmp_path / "more"
+    shutil.copytree(root, later)
+    shutil.copytree(later / "p1", later / "p3")
+    c.config["paths"]["data_root"] = str(later)
+    assert {r["paper_id"]: r["split"] for r in c.split().collect()} == {held[0]: "held_out", mine: "collect", "p3": "collect"}
+    assert sorted(r["paper_id"] for r in c.languages().collect()) == ["p1", "p2", "p3"]
+    assert {c.next_paper(mine), c.next_paper("p3")} == {mine, "p3"}
+    c.config["paths"]["data_root"] = root
+
     out = c.export("rlaif_v")
     assert spark.read.json(f"{out}/data").count() == n + 3 and c.preview(2).count() == 2
     told = spark.read.parquet(f"{out}/copied")
