@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, jaccard, langid, mixing, packing, perplexity, substring, suffix, warc
+from . import chat, decompose, dominance, fingerprint, hardneg, jaccard, langid, mixing, packing, perplexity, substring, suffix, warc
 from .common import table
 
 
@@ -65,6 +65,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), vocabulary())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are rows whose id is divisible by 50; where it is divisible by 7, the label moves on by one."""
+    v = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(v.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decompose.decompose_documents(table(spark, sf_dir), vocabulary())
+
+
+def op13_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = dominance.sale_points(table(spark, sf_dir, "sales"))
+    return dominance.count_above(points).select("sale_id", "slot", "level", F.col("n_above").alias("n_sales"), F.col("weight_above").alias("n_rows"))
+
+
 # Parts of the queries above that SQL can express, so that they can be held against it.
 
 
@@ -96,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_power_of_two": op12_power_of_two,
+    "op13_dominance": op13_dominance,
     "fingerprint_edits": fingerprint_edits,
     "mix_targets": mix_targets,
     "quality_base_rules": quality_base_rules,
@@ -103,6 +122,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER r AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW r AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER r <= 3""",
+    "op13_dominance": """
+        WITH c AS (
+            SELECT *, list_reduce(
+                list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(CAST(sale_id AS VARCHAR), ''), ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)) AS state
+            FROM sales
+        ), s AS (
+            SELECT sale_id, CAST(floor(epoch_us(sold_at) / 60000000) AS BIGINT) AS slot,
+                   CAST(floor(floor(100::DOUBLE * total + 0.5) / 1) AS BIGINT) AS level,
+                   1 + xor(state, 4294967295::BIGINT) % 5 AS weight
+            FROM c
+        ), n AS (
+            SELECT a.slot, a.level, count(*) AS n_sales, sum(b.weight) AS n_rows
+            FROM (SELECT DISTINCT slot, level FROM s) a JOIN s b ON b.slot < a.slot AND b.level > a.level GROUP BY 1, 2
+        )
+        SELECT sale_id, s.slot, s.level, CASE WHEN s.slot IS NOT NULL AND s.level IS NOT NULL THEN coalesce(n_sales, 0) END AS n_sales,
+               CAST(CASE WHEN s.slot IS NOT NULL AND s.level IS NOT NULL THEN coalesce(n_rows, 0) END AS BIGINT) AS n_rows
+        FROM s LEFT JOIN n ON n.slot = s.slot AND n.level = s.level""",
     "op3_chat_round_trip": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
