@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm import jaccard, langid, mixing, packing, substring
 from quillgraph.llm.common import staged, table
 from quillgraph.llm.queries import vocabulary
-from quillgraph.sources.scratch import mark, newest, release
+from quillgraph.sources.scratch import owned
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stage has written on its way, and its input, go as soon as its result is written."""
-    docs, since = table(spark, sf_dir), mark()
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-        release(spark, since, keep=newest())
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir)
+    with owned(spark) as own:
+        for name, stage in STAGES[:-1]:
+            docs = staged(stage(spark, docs, sf_dir), name)
+            own.release(keep=docs)
+        return STAGES[-1][1](spark, docs, sf_dir)

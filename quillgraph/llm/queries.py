@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decompose, dominance, fingerprint, hardneg, jaccard, langid, mixing, packing, perplexity, substring, suffix, warc
+from ..sources.scratch import owned
 from .common import table
 
 
@@ -101,7 +103,23 @@ def suffix_array_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(table(spark, sf_dir)).select("doc_id", "start", "n_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _owning(query: Query) -> Query:
+    """The query, which deletes the tables that it has staged and its result does not read."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with owned(spark) as own:
+            out = query(spark, sf_dir)
+            own.release(keep=out, tables_only=True)
+        return out
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mix_sources": op2_mix_sources,
     "op3_chat_round_trip": op3_chat_round_trip,
@@ -121,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suffix_array_spans": suffix_array_spans,
 }
 
+QUERIES: dict[str, Query] = {name: _owning(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL: dict[str, str] = {
     "op11_hard_negatives": """
         WITH v AS (

@@ -121,9 +121,24 @@ def test_stages_on_an_empty_table(spark):
 
 
 def test_run_leaves_only_what_its_result_reads(spark, sf):
-    from quillgraph.sources import scratch
+    from quillgraph.sources.scratch import owned
 
-    since = scratch.mark()
-    got = corpus_pipeline.run(spark, sf)
-    left = scratch._made[since:]
-    assert got.count() > 0 and not [p for p in left if "quillgraph-language" in p or "quillgraph-nodes" in p]
+    with owned(spark, release=True) as own:
+        got = corpus_pipeline.run(spark, sf)
+        assert got.count() > 0 and not [p for p in own.paths if "quillgraph-language" in p or "quillgraph-nodes" in p]
+        left = list(own.paths)
+    assert left and not own.paths
+
+
+def test_two_runs_at_once_leave_each_other_alone(spark, sf):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillgraph.sources.scratch import owned
+
+    def once(_):
+        with owned(spark, release=True):
+            return sorted(map(repr, corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").collect()))
+
+    with ThreadPoolExecutor(2) as threads:
+        one, two = threads.map(once, range(2))
+    assert one and one == two
