@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import squeeze, strip, text
 from ..schema import QUESTION_TYPES
+from .order import numbered
 
 PAIR_PREFIX, ADAPTER_PREFIX = "kdpo_", "adapter_epoch"
 
@@ -73,7 +74,7 @@ def next_number(ids: DataFrame, column: str, prefix: str) -> DataFrame:
 def added(log: DataFrame, new: DataFrame, language: str = "ko", order: str = "log_seq") -> DataFrame:
     """The rows to append for new pairs: valid ones that repeat neither the log nor each other, numbered on.
 
-    new has a `seq` that orders it.  The numbering window covers the new rows only, as a single writer appends them.
+    new has a `seq` that orders it; places in this order come from ranges and their sizes.
     """
     active = latest_state(log, order=order)
     key = dedup_key(F.col("question"), F.col("chosen"), F.col("rejected"))
@@ -84,8 +85,7 @@ def added(log: DataFrame, new: DataFrame, language: str = "ko", order: str = "lo
     fresh = fresh.join(active.select(key.alias("key")).distinct(), "key", "left_anti")
     fresh = fresh.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).where("copy = 1")
     start = next_number(log, "pair_id", PAIR_PREFIX)
-    number = F.row_number().over(Window.orderBy("seq")) - 1
-    out = fresh.withColumn("at", number).crossJoin(start)  # one row
+    out = numbered(fresh, ["seq", "key"], "at").crossJoin(start)  # one row
     out = out.withColumn("pair_id", F.concat(F.lit(PAIR_PREFIX), F.lpad((F.col("next_number") + F.col("at")).cast("string"), 6, "0"))).withColumn("status", F.lit("active"))
     return out.drop("key", "copy", "at", "next_number", "seq")
 

@@ -126,10 +126,7 @@ class Collection:
         return asked.join(generation.answers(asked, model, self.models[model], n, temperature, self.language), "id")
 
     def log(self) -> DataFrame:
-        if self._there("pairs"):
-            return files.read_pairs(self.spark, self.place("pairs"))
-        place = "log_seq struct<commit bigint, file string, block bigint, line bigint>"
-        return self.spark.createDataFrame([], f"{PAIRS}, {place}")
+        return files.read_pairs(self.spark, self.place("pairs"))
 
     def active(self) -> DataFrame:
         return pairs.latest_state(self.log())
@@ -144,16 +141,13 @@ class Collection:
         }
         if "seq" not in rows.columns:
             fixed["seq"] = F.struct("question", "id") if "id" in rows.columns else F.struct("question")
-        new = staged(pairs.added(self.log(), rows.withColumns(fixed), self.language), "pairs")
-        if n := new.count():
-            files.append_pairs(new, self.place("pairs"))
+        judged = staged(rows.withColumns(fixed), "judged")  # models have answered once, however often the log is read again
+        if n := files.change_pairs(self.spark, self.place("pairs"), lambda log: pairs.added(log, judged, self.language)):
             self.counters.pairs_added(n)
         return n
 
     def delete(self, ids: DataFrame, reason: str = "") -> int:
-        gone = staged(pairs.tombstones(self.log(), ids, reason), "tombstones")
-        if n := gone.count():
-            files.append_pairs(gone, self.place("pairs"))
+        if n := files.change_pairs(self.spark, self.place("pairs"), lambda log: pairs.tombstones(log, ids, reason)):
             self.counters.pairs_counted(self.active().count())
         return n
 

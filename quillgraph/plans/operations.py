@@ -6,8 +6,11 @@ from literals, as engines differ on word borders there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import metrics, sql, text
 from ..operators import enrichment, evaluation, generation, graph, paths, references, training
@@ -474,12 +477,12 @@ def graph_tables(spark, sf_dir):
     return among.select("src_id", "dst_id", "weight")
 
 
-@query("""WITH v AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'trained' ELSE 'base' END AS verdict FROM events WHERE event_id % 25 = 0)
+@query("""WITH v AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'trained' ELSE 'base' END AS verdict FROM events)
 SELECT verdict, count(*) AS n FROM v GROUP BY 1""")
 def comparison_log(spark, sf_dir):
     """Comparisons in two appends, read back; each has a time."""
     path, e = shared_path(spark, "comparisons"), F.col("event_id")
-    rows = read(spark, sf_dir, "events").where(e % 25 == 0).select(F.lit("a").alias("checkpoint"), F.when(e % 2 == 0, "trained").otherwise("base").alias("verdict"))
+    rows = read(spark, sf_dir, "events").select(F.lit("a").alias("checkpoint"), F.when(e % 2 == 0, "trained").otherwise("base").alias("verdict"))
     for verdict in ("trained", "base"):
         files.append_comparison(rows.where(F.col("verdict") == verdict), path)
     return files.read_comparisons(spark, path).where("created_at is not null").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
@@ -495,35 +498,39 @@ def split_file(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events in two files, one after the other."""
+def fed_in_halves(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The events as a stream: half of them arrive, the query runs and stops, and is started again for the other half."""
     path, events = shared_path(spark, "stream"), read(spark, sf_dir, "events")
     for part in (0, 1):
-        events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(path)
+        start(spark.readStream.schema(events.schema).parquet(path)).awaitTermination()
 
 
 @query("SELECT 'u' || user_id AS pair_id, max(event_id) AS log_seq FROM events GROUP BY 1")
 def stream_latest_state(spark, sf_dir):
-    rows = event_stream(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pair_id"), F.col("event_id").alias("log_seq"))
-    table = shared_path(spark, "table")
-    logs.latest_state_table(rows, table, checkpoint=shared_path(spark, "checkpoint"), buckets=8).awaitTermination()
-    return spark.read.parquet(table).select("pair_id", "log_seq")
+    table, checkpoint = shared_path(spark, "table"), shared_path(spark, "checkpoint")
+    keyed = lambda e: e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pair_id"), F.col("event_id").alias("log_seq"))
+    fed_in_halves(spark, sf_dir, lambda e: logs.latest_state_table(keyed(e), table, checkpoint=checkpoint, buckets=8))
+    return logs.read_latest_state(spark, table, keyed(read(spark, sf_dir, "events")).schema)
 
 
 @query("SELECT DISTINCT 'q ' || (event_id % 20) AS question FROM events")
 def stream_new_pairs(spark, sf_dir):
-    e = F.col("event_id")
-    rows = event_stream(spark, sf_dir).select(F.concat(F.lit("q  "), (e % 20).cast("string")).alias("question"), F.lit("a").alias("chosen"), F.lit("b").alias("rejected"), F.lit("2024-01-01T00:00:00+09:00").alias("created_at"))
-    out = shared_path(spark, "pairs")
-    logs.new_pairs(rows).select("question").writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    e, out, checkpoint = F.col("event_id"), shared_path(spark, "pairs"), shared_path(spark, "checkpoint")
+
+    def start(events):
+        rows = events.select(F.concat(F.lit("q  "), (e % 20).cast("string")).alias("question"), F.lit("a").alias("chosen"), F.lit("b").alias("rejected"), F.lit("2024-01-01T00:00:00+09:00").alias("created_at"))
+        return logs.new_pairs(rows).select("question").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    fed_in_halves(spark, sf_dir, start)
     return spark.read.parquet(out).select(F.regexp_replace("question", " +", " ").alias("question"))
 
 
 @query("SELECT count(*) AS calls, CAST(sum(n) AS BIGINT) AS pairs FROM (SELECT count(*) AS n FROM events GROUP BY event_id % 2) WHERE n >= 10")
 def stream_training_calls(spark, sf_dir):
     calls: list[int] = []
-    logs.train_when_due(event_stream(spark, sf_dir), shared_path(spark, "due"), 10, calls.append).awaitTermination()
+    due = shared_path(spark, "due")
+    fed_in_halves(spark, sf_dir, lambda e: logs.train_when_due(e, due, 10, calls.append))
     return spark.createDataFrame([(len(calls), sum(calls))], "calls bigint, pairs bigint")
 
 

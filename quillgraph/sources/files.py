@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
 from ..operators.order import numbered
 from ..schema import COMPARISONS, EDGES, EVAL_ITEMS, HISTORY, NODES, PAIRS, field_names
+from .commits import Snapshot, Versions, written
 
 _BAD = "_bad"
 
@@ -126,15 +129,20 @@ def _store(name: str) -> tuple:
     return STORES[name]
 
 
-def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
     """JSON lines in order as `place`; blank and broken lines are left out, and unknown keys kept in `unknown`.
 
-    Appends stand in folders commit=NUMBER, in their order, after files that lie in the path itself.
+    Published commits count, in their order, after files that lie in the path itself; with a version, those up to it.
     """
+    log = Versions(spark, path)
+    some = [*log.loose_files(), *log.places(log.snapshot(version))]
     file = F.col("_metadata.file_path")
-    commit = F.coalesce(F.nullif(F.regexp_extract(file, r"/commit=(\d+)/", 1), F.lit("")).cast("bigint"), F.lit(0))
+    commit = F.coalesce(F.nullif(F.regexp_extract(file, r"/commit=(\d+)-[^/]*/", 1), F.lit("")).cast("bigint"), F.lit(0))
     place = F.struct(commit.alias("commit"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", place.alias("place"))
+    if some:
+        raw = spark.read.text(some).select("value", place.alias("place"))
+    else:
+        raw = spark.createDataFrame([], f"value string, place {PLACE}")
     parsed = raw.where(has_text(F.col("value"))).withColumn("row", F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
     known = field_names(schema)
     everything = F.from_json("value", "map<string,string>")
@@ -142,46 +150,61 @@ def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.where(f"row.{_BAD} is null").select("row.*", rest.alias("unknown"), "place").drop(_BAD)
 
 
+#: The order of a log.
+PLACE = "struct<commit: bigint, file: string, block: bigint, line: bigint>"
+
+
 def append(rows: DataFrame, path: str, order: list[str] | None = None) -> int:
     """Appends rows as the next commit of a log and gives its number; `order` sorts them (and numbers their files) first.
 
-    One writer at a time, as for all logs here: the number is one more than the largest there is.
+    Several writers may append: each commit is published whole, under a number of its own.
     """
-    spark = rows.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
-    number = max([0, *(int(n.removeprefix("commit=")) for n in names if n.startswith("commit="))]) + 1
-    (rows.orderBy(*order) if order else rows).write.mode("errorifexists").json(f"{path}/commit={number:012d}")
-    return number
+    return Versions(rows.sparkSession, path).append(written(rows.orderBy(*order) if order else rows))
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The pair log, in order of `log_seq` (a struct of commit, file, block and line); unknown keys go into the notes."""
-    rows = _lines(spark, path, PAIRS).withColumnRenamed("place", "log_seq")
+    rows = _lines(spark, path, PAIRS, version).withColumnRenamed("place", "log_seq")
     extra = F.when(F.size("unknown") > 0, F.to_json("unknown"))
     return rows.withColumn("notes", F.concat_ws(" | ", F.nullif(F.col("notes"), F.lit("")), extra)).withColumn("status", F.coalesce("status", F.lit("active"))).drop("unknown")
 
 
 def append_pairs(rows: DataFrame, path: str) -> int:
     """Appends to the pair log; rows stay in the order of pair_id, and of log_seq if they have one."""
+    return append(_in_log_order(rows), path)
+
+
+def _in_log_order(rows: DataFrame) -> DataFrame:
     order = [c for c in ("log_seq", "pair_id") if c in rows.columns]
-    known = [c for c in field_names(PAIRS) if c in rows.columns]
-    extra = ["log_seq"] if "log_seq" in rows.columns else []
-    return append(rows.select(*known, *extra).orderBy(*order).select(*known) if extra else rows.select(*known), path, None if extra else order)
+    return rows.orderBy(*order).select(*[c for c in field_names(PAIRS) if c in rows.columns])
+
+
+def change_pairs(spark: SparkSession, path: str, compute: Callable[[DataFrame], DataFrame]) -> int:
+    """Appends what `compute` makes of the log, as long as nobody has appended meanwhile; else it is computed again.
+
+    So rows that are checked against the log and numbered by it are right for the log that they are added to.  Gives the
+    number of rows appended.
+    """
+    log, n = Versions(spark, path), 0
+
+    def made(base: Snapshot) -> dict | None:
+        nonlocal n
+        name = f"commit={base.version + 1:012d}-{log.aside()[-32:]}"  # named by no version until it is published
+        _in_log_order(compute(read_pairs(spark, path, base.version))).write.mode("errorifexists").json(f"{path}/{name}")
+        n = spark.read.text(f"{path}/{name}").count()
+        return {"put": {name: name}} if n else None
 
+    log.change(made)
+    return n
 
-def append_comparison(rows: DataFrame, path: str, created_at: str | None = None) -> int:
-    """Appends comparisons; those without a time get the present one."""
-    from .state import stamp
 
-    now = F.lit(created_at or stamp())
-    time = F.coalesce("created_at", now) if "created_at" in rows.columns else now
-    return append(rows.withColumn("created_at", time), path)
+def comparison_places(spark: SparkSession, path: str) -> DataFrame:
+    """Comparisons with their place in the log."""
+    return _lines(spark, path, COMPARISONS).drop("unknown")
 
 
 def read_comparisons(spark: SparkSession, path: str) -> DataFrame:
-    return _lines(spark, path, COMPARISONS).drop("unknown", "place")
+    return comparison_places(spark, path).drop("place")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

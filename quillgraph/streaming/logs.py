@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.pairs import dedup_key
+from ..sources.commits import Snapshot, Versions
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 day", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -26,50 +27,74 @@ def new_pairs(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["key"]).drop("key")
 
 
+def in_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Gives each micro-batch with its number to `write`, until what is there now is done."""
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 BUCKETS = 64
 
 
 def latest_state_table(stream: DataFrame, path: str, key: str = "pair_id", order: str = "log_seq", *, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Keeps a table of the last row of each key, in buckets of keys; a micro-batch rewrites only the buckets that it touches.
+    """Keeps a table of the last row of each key, in buckets of keys; a micro-batch writes anew only the buckets that it touches.
 
-    A batch that is run again writes the same rows.
+    Each batch is a version: its buckets are written beside the ones they replace and published together, with the batch's
+    number.  A batch that is lost on its way leaves the table as it was, and one that is run again after it was published
+    changes nothing.
     """
     from ..operators.graph import latest
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        table = Versions(spark, path)
         new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        if not touched:
-            return
-        try:
-            before = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
-            new = before.unionByName(new)
-        except AnalysisException:  # there is no table yet
-            pass
-        rows = latest(new, (key,), order).repartition("bucket")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        touched = [str(r[0]) for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+
+        def made(base: Snapshot) -> dict | None:
+            if base.notes.get(checkpoint, -1) >= number:
+                return None
+            before, name = table.places(base, touched), table.aside().removeprefix("_aside-")
+            rows = new
+            if before:
+                kept = spark.read.schema(batch.schema).parquet(*before)
+                rows = new.unionByName(kept.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+            latest(rows, (key,), order).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+            return {"put": {b: f"{name}/bucket={b}" for b in touched}, "notes": {checkpoint: number}}
+
+        table.change(made)
+
+    return in_batches(stream, upsert, checkpoint)
 
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def read_latest_state(spark: SparkSession, path: str, schema: StructType, version: int | None = None) -> DataFrame:
+    """The table at its last version, or at an earlier one."""
+    table = Versions(spark, path)
+    places = table.places(table.snapshot(version))
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
 
 
 def train_when_due(stream: DataFrame, checkpoint: str, threshold: int, train: Callable[[int], None], ready: Callable[[], bool] | None = None) -> StreamingQuery:
     """Calls `train` with the pairs since the last call as soon as a micro-batch brings them to the threshold and `ready` agrees.
 
-    The count after each batch is kept beside the checkpoint under the batch's number, so it goes on after a restart and
-    a batch that is run again counts once (it may call `train` again).
+    The count is published with the batch's number, as a version without data, so it goes on after a restart and a batch
+    that is run again counts once (it may call `train` again if it was lost between the call and the count).
     """
 
     def count(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema("n bigint").parquet(f"{checkpoint}/since/batch={number - 1}").first()[0] if number else 0
-        n = before + batch.count()
-        if n >= threshold and (ready is None or ready()):
-            train(n)
-            n = 0
-        spark.createDataFrame([(n,)], "n bigint").coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/since/batch={number}")
-
-    return stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start()
+        counts = Versions(batch.sparkSession, f"{checkpoint}/since")
+
+        def made(base: Snapshot) -> dict | None:
+            if base.notes.get("batch", -1) >= number:
+                return None
+            n = base.notes.get("since", 0) + batch.count()
+            if n >= threshold and (ready is None or ready()):
+                train(n)
+                n = 0
+            return {"notes": {"batch": number, "since": n}}
+
+        counts.change(made)
+
+    return in_batches(stream, count, f"{checkpoint}/query", "update")
 
 
 def languages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
