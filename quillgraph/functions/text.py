@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,8 +161,31 @@ def enriched(caption: Column, description: Column) -> Column:
     return F.when(has_text(description), F.concat(text(caption), F.lit("\n[VLM]: "), description)).otherwise(text(caption))
 
 
-def fill(template: Column, values: dict[str, Column]) -> Column:
-    """A template with its {names} replaced."""
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{" + name + "}"), value)
-    return template
+def names_in(template: str) -> list[str]:
+    """The {names} of a template, in their order; {{ and }} are braces."""
+    return [name for _, name, _, _ in Formatter().parse(template) if name is not None]
+
+
+def fill(template: str, values: dict[str, Column], missing: Column | None = None) -> Column:
+    """A template with its {names} replaced, all at once: what a value says is never taken for a name.
+
+    A name without a value is a KeyError, unless `missing` is to stand for it.
+    """
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            if name not in values and missing is None:
+                raise KeyError(name)
+            parts.append(values.get(name, missing))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def fill_by(key: Column, templates: dict[str, str], default: str, values: dict[str, Column]) -> Column:
+    """The template that a key names, or the one named `default`, filled."""
+    out = fill(templates[default], values)
+    for name, template in templates.items():
+        if name != default:
+            out = F.when(key == name, fill(template, values)).otherwise(out)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.metrics import exact_match, folded, folded_anls, mcq_accuracy, token_overlap, tokens
 from ..functions.sampling import hash_order
-from ..functions.text import GOLD_LENGTH, fill, has_text, is_usable_gold, label_kind, particle, squeeze, strip, strip_caption_label, text
+from ..functions.text import GOLD_LENGTH, fill, fill_by, has_text, is_usable_gold, label_kind, particle, squeeze, strip, strip_caption_label, text
 from ..schema import VISUAL_TYPES
 from .order import numbered
 
@@ -128,7 +128,7 @@ def from_graph(nodes: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     visual = nodes.where(F.col("node_type").isin(*VISUAL_TYPES)).withColumn("key", hash_order(seed, F.col("node_id"))).orderBy("key", "node_id").limit(n)
     rows = visual.where(F.length(strip(text(F.col("content")))) >= KG_LEAST)
     number = F.row_number().over(Window.orderBy("key", "node_id"))  # at most n rows
-    question = F.when(F.col("content").startswith(DESCRIBED), DESCRIBED_QUESTION).otherwise(fill(F.lit(GRAPH_QUESTION), {"kind": F.lower("node_type")}))
+    question = F.when(F.col("content").startswith(DESCRIBED), DESCRIBED_QUESTION).otherwise(fill(GRAPH_QUESTION, {"kind": F.lower("node_type")}))
     return rows.select(
         F.format_string("kg_%06d", number).alias("question_id"), question.alias("question"), F.lit("VQA").alias("question_type"),
         F.array(F.substring("content", 1, KG_GOLD)).alias("ground_truths"), F.when(F.col("image_path").isNotNull(), F.array("image_path")).otherwise(F.array().cast("array<string>")).alias("image_paths"),
@@ -152,7 +152,7 @@ def draft_items(paths: DataFrame, require_hangul: bool = True) -> DataFrame:
     name = F.when(F.col("target_type").isin(*TARGET_KINDS), _from(NODE_NAMES, F.col("target_type"), F.lit("자료"))).otherwise("자료")
     edge = F.coalesce(F.get("edge_types", F.lit(0)), F.lit("SINGLE"))
     this = F.concat(F.lit("이 "), name)
-    question = fill(_from(DRAFT_QUESTIONS, edge, F.lit(DRAFT_QUESTIONS["SINGLE"])), {"target_eun": F.concat(this, particle(name, "은", "는")), "target_i": F.concat(this, particle(name, "이", "가")), "target": this})
+    question = fill_by(edge, DRAFT_QUESTIONS, "SINGLE", {"target_eun": F.concat(this, particle(name, "은", "는")), "target_i": F.concat(this, particle(name, "이", "가")), "target": this})
     truths = F.array_distinct(F.array("gold", "raw"))
     return rows.select("try", "paper_id", question.alias("question"), "question_type", truths.alias("ground_truths"), "image_paths", F.substring("context", 1, DRAFT_CONTEXT).alias("context"), "difficulty", "path")
 
@@ -167,15 +167,13 @@ def round_robin(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def fallback_question(first_edge: Column, src_type: Column, dst_type: Column) -> Column:
     """The rule-based question on a path, without a model."""
-    template = _from(FALLBACK_QUESTIONS, F.coalesce(first_edge, F.lit("SINGLE")), F.lit(FALLBACK_QUESTIONS["DEFAULT"]))
     src, dst = (_from(NODE_NAMES, t, F.lit("자료")) for t in (src_type, dst_type))
-    return fill(template, {"src_eun": F.concat(src, particle(src, "은", "는")), "dst_i": F.concat(dst, particle(dst, "이", "가"))})
+    return fill_by(F.coalesce(first_edge, F.lit("SINGLE")), FALLBACK_QUESTIONS, "DEFAULT", {"src_eun": F.concat(src, particle(src, "은", "는")), "dst_i": F.concat(dst, particle(dst, "이", "가"))})
 
 
-def prompt(template: Column, values: dict[str, Column], longest: int = 500) -> Column:
-    """A prompt from a template; a placeholder without a value gets an empty text."""
-    filled = fill(template, {k: F.substring(text(v), 1, longest) for k, v in values.items()})
-    return F.regexp_replace(filled, r"\{[a-z_]+\}", "")
+def prompt(template: str, values: dict[str, Column], longest: int = 500) -> Column:
+    """A prompt from a template; a name without a value gets an empty text."""
+    return fill(template, {k: F.substring(text(v), 1, longest) for k, v in values.items()}, missing=F.lit(""))
 
 
 def collectable(papers: DataFrame, languages: DataFrame, language: str | None, held_out: DataFrame | None = None, limit: int | None = None) -> DataFrame:

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_answer, clean_content, clean_question, fill, text
+from ..functions.text import clean_answer, clean_content, clean_question, fill, fill_by, names_in, text
 from ..sources.scratch import staged
 from ..templates import ANSWER_PROMPT, COMMON_RULES, LANGUAGE_NAMES, QUESTION_PROMPTS
 from .enrichment import Backend, model
 from .evaluation import fallback_question
 from .pairs import best_generations, usable_bundle
 
-# What stands in for missing content, and the hint at an image.
-NO_CONTENT, IMAGE_HINT = "(내용 없음)", "[이미지가 함께 제공됩니다]"
+NO_CONTENT, IMAGE_HINT = "(nothing)", "(A picture comes with this.)"
 CONTENT_CHARS, GOLD_CHARS = 500, 200
 
 
@@ -25,28 +25,36 @@ def language_name(language: str) -> str:
 
 
 def question_prompt(language: str = "ko", template: str | None = None, with_context: bool = True) -> Column:
-    """The prompt of a described path: by its first edge, or from a template of one's own."""
+    """The prompt of a described path: by its first edge, or from a template of one's own.
+
+    All names are filled at once, so texts that hold names in braces stay as they are.  A template of one's own that has
+    an unknown name gives way to the default one.
+    """
     first, last = F.get("nodes", F.lit(0)), F.element_at("nodes", -1)
     edge = F.get("edge_types", F.lit(0))
     content = lambda x: F.coalesce(F.nullif(clean_content(x["content"], CONTENT_CHARS), F.lit("")), F.lit(NO_CONTENT))
     values = {
-        "common_rules": F.lit(COMMON_RULES), "language": F.lit(language_name(language)), "src_type": first["node_type"], "dst_type": last["node_type"],
+        "common_rules": fill(COMMON_RULES, {"language": F.lit(language_name(language))}), "language": F.lit(language_name(language)), "src_type": first["node_type"], "dst_type": last["node_type"],
         "edge_type": F.coalesce(edge, F.lit("SINGLE")), "difficulty": F.col("difficulty").cast("string"),
         "image_hint": F.when(F.size("image_paths") > 0, IMAGE_HINT).otherwise(""), "kg_context": F.col("context") if with_context else F.lit(""),
         "gold_answer": F.substring(text(F.col("gold_answer")), 1, GOLD_CHARS), "src_content": content(first), "dst_content": content(last),
     }
-    pairs = [x for k, v in QUESTION_PROMPTS.items() for x in (F.lit(k), F.lit(v))]
-    own = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(edge, F.lit("SINGLE"))), F.lit(QUESTION_PROMPTS["DEFAULT"]))
-    return filled(F.lit(template) if template else own, values)
+    values = {k: text(v) for k, v in values.items()}
+    if template:
+        return fill(known_names(template, set(values), QUESTION_PROMPTS["DEFAULT"]), values)
+    return fill_by(F.coalesce(edge, F.lit("SINGLE")), QUESTION_PROMPTS, "DEFAULT", values)
 
 
 def answer_prompt(question: Column, language: str = "ko", template: str = ANSWER_PROMPT) -> Column:
-    return filled(F.lit(template), {"language": F.lit(language_name(language)), "question": question})
+    """The prompt of a question; a template that has an unknown name gives way to the default one."""
+    return fill(known_names(template, {"language", "question"}, ANSWER_PROMPT), {"language": F.lit(language_name(language)), "question": text(question)})
 
 
-def filled(template: Column, values: dict[str, Column]) -> Column:
-    """A template with its names replaced; rules come first, as they hold names themselves, and long texts last, as theirs are not names."""
-    return fill(template, {k: text(v) for k, v in values.items()})
+def known_names(template: str, names: set[str], default: str) -> str:
+    unknown = [n for n in names_in(template) if n not in names]
+    if unknown:
+        warnings.warn(f"unknown names {unknown} in a prompt; known are {sorted(names)}", stacklevel=3)
+    return default if unknown else template
 
 
 def infer_n(prompts: DataFrame, name: str, factory: Callable[[], Backend], temperature: float) -> DataFrame:

@@ -55,7 +55,7 @@ def shown(decisions: DataFrame) -> DataFrame:
         "bar": F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), BAR_CELLS - filled)), "since": F.col("since").cast("string"),
         "threshold": F.col("threshold").cast("string"), "remaining": F.col("remaining").cast("string"),
     }
-    return decisions.withColumn("markdown", fill(F.lit(SHOWN), values))
+    return decisions.withColumn("markdown", fill(SHOWN, values))
 
 
 def comparison_stats(comparisons: DataFrame) -> DataFrame:

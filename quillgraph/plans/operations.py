@@ -6,6 +6,8 @@ from literals, as engines differ on word borders there.
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from ..schema import LAYOUT
 from ..sources import files, layout
 from ..sources.scratch import shared_path, staged
 from ..streaming import logs
+from ..templates import ANSWER_PROMPT, COMMON_RULES, QUESTION_PROMPTS
 from .catalogue import _LOG, ELEMENTS, KEY_GRAPH, event_log, items, key_graph, papers, query, read, structural
 
 
@@ -363,10 +366,54 @@ def sampled_outputs(spark, sf_dir):
     return generation.sampled(prompts, "repeater", Repeater, 2, (0.9, 1.1), text.clean_answer).select("id", "text")
 
 
-@query("SELECT doc_id, '다음 질문에 ' || CASE WHEN doc_id % 2 = 0 THEN '한국어' ELSE 'English' END || '로 답변하세요.' || chr(10) || '이미지가 함께 제공되면 이미지를 근거로 구체적으로 답하고, 추측한 내용은 단정하지 마세요.' || chr(10) || chr(10) || '질문: about ' || coalesce(source, '') || chr(10) || chr(10) || '답변:' AS prompt FROM documents")
+def _sql_filled(template: str, values: dict[str, str]) -> str:
+    """SQL for a template, the values being SQL too: what stands between names, and the values, one after another."""
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"({values[x]})" if i % 2 else quoted(x) for i, x in enumerate(parts))
+
+
+_ASKED = "'{language} {question} ' || coalesce(text, '')"
+_LANGUAGE_OF = "CASE WHEN doc_id % 2 = 0 THEN '한국어' ELSE 'English' END"
+
+
+@query(f"SELECT doc_id, {_sql_filled(ANSWER_PROMPT, {'language': _LANGUAGE_OF, 'question': _ASKED})} AS prompt, {_sql_filled('{language}: {question}', {'language': _LANGUAGE_OF, 'question': _ASKED})} AS own FROM documents")
 def answer_prompts(spark, sf_dir):
-    asked = F.concat(F.lit("about "), F.coalesce("source", F.lit("")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, generation.answer_prompt(asked, "ko")).otherwise(generation.answer_prompt(asked, "en")).alias("prompt"))
+    """Prompts of questions that hold names in braces, from the default template and one of one's own; an unknown name gives the default."""
+    asked = F.concat(F.lit("{language} {question} "), F.coalesce("text", F.lit("")))
+    by_language = lambda *more: F.when(F.col("doc_id") % 2 == 0, generation.answer_prompt(asked, "ko", *more)).otherwise(generation.answer_prompt(asked, "en", *more))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        unknown = by_language("{nope} {question}")
+    return read(spark, sf_dir, "documents").select("doc_id", unknown.alias("prompt"), by_language("{language}: {question}").alias("own"))
+
+
+_EDGES = [*QUESTION_PROMPTS, "ILLUSTRATES"]
+_SEEN = {
+    "src_type": "'Figure'", "dst_type": "'Claim'", "src_content": "md5(coalesce(text, '')) || ' {dst_content} {gold_answer}'", "dst_content": "coalesce(source, 'none') || ' {language}'",
+    "edge_type": "edge", "difficulty": "(doc_id % 3)::VARCHAR", "image_hint": "CASE WHEN doc_id % 2 = 0 THEN '(A picture comes with this.)' ELSE '' END",
+    "kg_context": "'{gold_answer} of ' || doc_id", "gold_answer": "'SECRET ' || doc_id", "language": "'English'", "common_rules": _sql_filled(COMMON_RULES, {"language": "'English'"}),
+}
+_BY_EDGE = " ".join(f"WHEN edge = '{e}' THEN {_sql_filled(t, _SEEN)}" for e, t in QUESTION_PROMPTS.items())
+
+
+@query(f"""WITH d AS (SELECT *, {_EDGES!r}[doc_id % {len(_EDGES)} + 1] AS edge FROM documents)
+SELECT doc_id, CASE {_BY_EDGE} ELSE {_sql_filled(QUESTION_PROMPTS['DEFAULT'], _SEEN)} END AS prompt, {_sql_filled('Q {kg_context} L{difficulty}', _SEEN)} AS own, {_sql_filled(QUESTION_PROMPTS['DEFAULT'], _SEEN)} AS unknown FROM d""")
+def question_prompts(spark, sf_dir):
+    """Prompts of paths whose texts hold names in braces: by the first edge, from a template of one's own, and from one with an unknown name."""
+    d = F.col("doc_id")
+    node = lambda kind, content: F.struct(F.lit(kind).alias("node_type"), content.alias("content"))
+    first = node("Figure", F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit(" {dst_content} {gold_answer}")))
+    last = node("Claim", F.concat(F.coalesce("source", F.lit("none")), F.lit(" {language}")))
+    paths = read(spark, sf_dir, "documents").select(
+        "doc_id", F.array(first, last).alias("nodes"), F.array(_choice(d, *_EDGES)).alias("edge_types"), (d % 3).cast("int").alias("difficulty"),
+        F.when(d % 2 == 0, F.array(F.lit("i.png"))).otherwise(F.array().cast("array<string>")).alias("image_paths"),
+        F.concat(F.lit("{gold_answer} of "), d.cast("string")).alias("context"), F.concat(F.lit("SECRET "), d.cast("string")).alias("gold_answer"),
+    )
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        unknown = generation.question_prompt("en", "Q {kg_context} {nope}")
+    return paths.select("doc_id", generation.question_prompt("en").alias("prompt"), generation.question_prompt("en", "Q {kg_context} L{difficulty}").alias("own"), unknown.alias("unknown"))
 
 
 # --- checkpoints -------------------------------------------------------------------------------------------------------

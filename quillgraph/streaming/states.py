@@ -25,7 +25,7 @@ _CHANGE = [StructField("key", StringType()), *_STATE, StructField("is_new", Bool
 class LatestRow(StatefulProcessor):
     """Keeps the row of the greatest place of each key; rows that are older change nothing.
 
-    Keys whose last row is deleted are forgotten `forget_ms` later: their ids are not used again.
+    Keys whose last row is deleted are forgotten `forget_ms` later, in the time of the rows: their ids are not used again.
     """
 
     def __init__(self, forget_ms: int | None):
@@ -36,11 +36,11 @@ class LatestRow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.last.get()
-        best = before
+        best, at = before, 0
         for some in rows:
-            for row in some[["place", "deleted", "payload"]].itertuples(index=False, name=None):
+            for *row, at_ms in some[["place", "deleted", "payload", "at_ms"]].itertuples(index=False, name=None):
                 if best is None or row[0] > best[0]:
-                    best = row
+                    best, at = row, at_ms
         if best is before:
             return
         best = (int(best[0]), bool(best[1]), str(best[2]))
@@ -49,7 +49,7 @@ class LatestRow(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if best[1]:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
+                self.handle.registerTimer(int(at) + self.forget_ms)
         was_active = before is not None and not before[1]
         yield pd.DataFrame([(key[0], *best, before is None, was_active)], columns=["key", "place", "deleted", "payload", "is_new", "was_active"])
 
@@ -72,16 +72,22 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
-def row_changes(stream: DataFrame, key: str = "pair_id", order: str = "log_seq", deleted: Column | None = None, forget_ms: int | None = None) -> DataFrame:
+def row_changes(stream: DataFrame, key: str = "pair_id", order: str = "log_seq", deleted: Column | None = None, at: str | None = None, late: str = "1 hour", forget_ms: int = 0) -> DataFrame:
     """The rows that become the last of their key in a micro-batch, with is_new and was_active; start it in `state_store`.
 
-    `order` is a whole number that grows along the log.  Rows without a key or place are left out.
+    `order` is a whole number that grows along the log.  Rows without a key or place are left out.  With `at`, a time of
+    the rows, deleted keys are forgotten once the watermark (`late` behind) is forget_ms past their deletion; rows that
+    are later than the watermark are left out then.
     """
     deleted = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
     rows = stream.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-    packed = rows.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("place"), deleted.alias("deleted"), F.to_json(F.struct("*")).alias("payload"))
-    mode = "none" if forget_ms is None else "processingTime"
-    out = packed.groupBy("key").transformWithStateInPandas(LatestRow(forget_ms), StructType(_CHANGE), "update", mode)
+    time = F.current_timestamp() if at is None else F.coalesce(F.col(at).cast("timestamp"), F.timestamp_millis(F.lit(0)))
+    packed = rows.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("place"), deleted.alias("deleted"), F.to_json(F.struct("*")).alias("payload"), time.alias("at"))
+    if at is not None:
+        packed = packed.withWatermark("at", late)
+    packed = packed.withColumn("at_ms", F.unix_millis("at"))
+    processor = LatestRow(None if at is None else forget_ms)
+    out = packed.groupBy("key").transformWithStateInPandas(processor, StructType(_CHANGE), "update", "none" if at is None else "eventTime")
     return out.select(F.from_json("payload", stream.schema).alias("row"), "is_new", "was_active").select("row.*", "is_new", "was_active")
 
 

@@ -19,7 +19,7 @@ class Talker:
         return f"said  {prompt}" if temperature else f"said {prompt}"
 
     def infer_n(self, prompt, images, n, temperature):
-        return ["What is shown here in detail?"] if "질문" in prompt and n <= 1 else [f"answer number {i} to it" for i in range(n)]
+        return ["What is shown here in detail?"] if prompt.endswith("Question:") and n <= 1 else [f"answer number {i} to it" for i in range(n)]
 
 
 @pytest.fixture

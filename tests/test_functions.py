@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import metrics, text
 from quillgraph.functions.vectors import cosine
+from quillgraph.operators import generation
 
 
 def rows(spark, values, names):
@@ -131,3 +132,13 @@ def test_cosine(spark):
 def test_patterns_compile():
     for p in (text.QUESTION_PREFIX, text.ANSWER_PREFIX, text.BULLET):
         re.compile(p.replace("(?iU)", "(?i)").replace("(?U)", ""))
+
+
+def test_templates_are_filled_at_once(spark):
+    values = {"a": F.lit("{b} {a}"), "b": F.lit("{a}")}
+    row = spark.range(1).select(text.fill("x {a}, {b}{{a}}", values).alias("x"), text.fill("", values).alias("none"), text.fill("{a}{c}", values, missing=F.lit("-")).alias("missing")).first()
+    assert tuple(row) == ("x {b} {a}, {a}{a}", "", "{b} {a}-")
+    with pytest.raises(KeyError):
+        text.fill("{c}", values)
+    with pytest.warns(UserWarning, match="nope"):
+        assert generation.known_names("{a} {nope}", {"a"}, "{a}") == "{a}"

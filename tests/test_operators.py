@@ -379,8 +379,8 @@ def test_generated_questions_and_answers(spark, small):
     walked = spark.createDataFrame([(0, ["n0", "n1"], ["REFERENCES"]), (1, ["n4"], []), (2, ["n5"], [])], "try bigint, path array<string>, edge_types array<string>")
     described = paths.described(walked, nodes)
     prompts = {r["try"]: r["p"] for r in described.select("try", generation.question_prompt("ko").alias("p")).collect()}
-    assert "본문 내용: content 0 words here\n본문이 참조하는 [TextBlock]: content 1 words here\n[이미지가 함께 제공됩니다]" in prompts[0]
-    assert "자료 유형: Figure" in prompts[1] and "반드시 한국어로" in prompts[0] and "{" not in "".join(prompts.values())
+    assert "Text:\ncontent 0 words here\n\nTextBlock that the text points to:\ncontent 1 words here\n(A picture comes with this.)" in prompts[0]
+    assert "Figure:\n" in prompts[1] and "question in 한국어" in prompts[0] and "{" not in "".join(prompts.values())
     got = generation.questions(described, "talker", Talker, n=2).collect()
     by = {}
     for r in sorted(got, key=lambda r: r["attempt"]):

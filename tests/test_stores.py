@@ -2,6 +2,7 @@
 
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,29 +137,29 @@ def test_a_batch_that_is_lost_or_run_again_keeps_the_table(spark, tmp_path, monk
 
 def test_keyed_state_goes_on_after_a_restart_and_forgets_deleted_keys(spark, tmp_path):
     schema, source, check = "pair_id string, log_seq bigint, status string, at timestamp", str(tmp_path / "in"), str(tmp_path / "check")
-    seen = []
+    seen, day = [], lambda hour: datetime(2024, 1, 1, hour)
 
-    def run(rows, forget=None, where=check):
-        spark.createDataFrame([(*r, None) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
+    def run(rows, hour, where=check, **options):
+        spark.createDataFrame([(*r, day(hour)) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
         with states.state_store(spark):
             stream = spark.readStream.schema(schema).parquet(source)
-            changes = states.row_changes(stream, deleted=F.col("status") == "deleted", forget_ms=forget)
+            changes = states.row_changes(stream, deleted=F.col("status") == "deleted", **options)
             logs.in_batches(changes, lambda batch, n: seen.extend(tuple(r) for r in batch.drop("at").collect()), where, "update").awaitTermination()
 
+    stored = lambda where: {r["pair_id"]: (r["log_seq"], r["status"]) for r in states.stored_states(spark, where, StructType.fromDDL(schema)).collect()}
     provider = spark.conf.get(states._PROVIDER)
-    run([("a", 1, "active"), ("a", 3, "active"), ("a", 2, None), ("b", 4, "active"), (None, 5, "active"), ("c", None, "active")])
+    run([("a", 1, "active"), ("a", 3, "active"), ("a", 2, None), ("b", 4, "active"), (None, 5, "active"), ("c", None, "active")], 1)
     assert sorted(seen) == [("a", 3, "active", True, False), ("b", 4, "active", True, False)]
     seen.clear()
-    run([("a", 2, "deleted"), ("b", 6, "deleted"), ("d", 7, None)])
+    run([("a", 2, "deleted"), ("b", 6, "deleted"), ("d", 7, None)], 2)
     assert sorted(seen, key=repr) == [("b", 6, "deleted", False, True), ("d", 7, None, True, False)]
-    stored = {r["pair_id"]: (r["log_seq"], r["status"]) for r in states.stored_states(spark, check, StructType.fromDDL(schema)).collect()}
-    assert stored == {"a": (3, "active"), "b": (6, "deleted"), "d": (7, None)}
+    assert stored(check) == {"a": (3, "active"), "b": (6, "deleted"), "d": (7, None)}
     assert spark.conf.get(states._PROVIDER) == provider
-    timed = str(tmp_path / "timed")
-    run([("e", 8, "active")], forget=1, where=timed)
-    run([("f", 9, "active")], forget=1, where=timed)  # the timer of b is over by now
-    left = {r["pair_id"] for r in states.stored_states(spark, timed, StructType.fromDDL(schema)).collect()}
-    assert left == {"a", "d", "e", "f"}
+    timed, options = str(tmp_path / "timed"), {"at": "at", "late": "1 hour", "forget_ms": 3_600_000}
+    run([("e", 8, "active")], 3, timed, **options)
+    assert "b" in stored(timed)
+    run([("f", 9, "active")], 9, timed, **options)  # the watermark is far past the deletion of b now
+    assert set(stored(timed)) == {"a", "d", "e", "f"}
 
 
 def test_runs_own_what_they_stage(spark):
