@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.sampling import hash_order, race, uniform
 from ..functions.text import CONTENT_WORD, clean_content, has_text, strip, text
 from ..schema import EDGE_DIFFICULTY, EDGE_QUESTION_TYPE, VISUAL_TYPES, lookup
+from .order import scanned
 
 START_TYPES = ("Figure", "Table", "Concept", "Claim", "TextBlock")
 VISUAL_FACTOR, MOST_IMAGES, CONTEXT_CHARS = 10, 4, 300
@@ -119,31 +120,35 @@ def described(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def drawn_starts(starts: DataFrame, tries: DataFrame, seed: int) -> DataFrame:
+    """try, start_id and hops: each try (try, u, hops) falls on the start whose range of the summed weights holds u.
+
+    Starts stand in hash order with running sums of their weights.  Starts by the end of their range and tries by their
+    point are sorted together, the last first, and a try carries the start that it has passed last: a search in ranges
+    that are scanned apart, so no try meets more than one start.
+    """
+    hashed = hash_order(seed, F.col("node_id"))
+    bucket = F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint"), F.lit(1024))
+    placed = starts.select("node_id", "weight", bucket.alias("bucket"), hashed.alias("hashed"), F.lit(0).alias("all"))
+    ends = scanned(placed, ["all"], ["bucket", "hashed", "node_id"], {"to": F.col("weight")})
+    total = starts.agg(F.sum("weight").alias("total"))  # one row
+    points = tries.crossJoin(total).where("total > 0").select(F.lit(0).alias("all"), (-F.col("u") * F.col("total")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("node_id"), "try", "hops")
+    both = ends.select("all", (-F.col("to")).alias("at"), F.lit(0).alias("kind"), "node_id", F.lit(None).cast("bigint").alias("try"), F.lit(None).cast("int").alias("hops")).unionByName(points)
+    met = scanned(both, ["all"], ["at", "kind", "try"], {}, {"start_id": F.col("node_id")})
+    return met.where("kind = 1 and start_id is not null").select("try", "start_id", "hops")
+
+
 def sample_paths(
     nodes: DataFrame, edges: DataFrame, n: int, max_hops: int = 3, seed: int = 42, excluded: DataFrame | None = None,
     paper_id: str | None = None, prefer_visual: bool = True, require_image: bool = False, difficulty_is: int | None = None, skip_captions: bool = True,
 ) -> DataFrame:
     """Up to n different paths out of 12 n tries, each with a weighted start and 1 to max_hops hops.
 
-    Starts get ranges of the unit interval by their weights, and each try falls into one; tries meet starts through 1,024
-    buckets, not a product.
+    Starts get ranges of the unit interval by their weights, and each try falls into one: see `drawn_starts`.
     """
-    from pyspark.sql.window import Window
-
     starts = start_nodes(nodes, excluded, paper_id, prefer_visual, skip_captions)
-    buckets = 1024
-    by = Window.partitionBy("bucket").orderBy(hash_order(seed, F.col("node_id")), "node_id")
-    spread = starts.withColumn("bucket", F.pmod(F.conv(F.substring(hash_order(seed, F.col("node_id")), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)))
-    spread = spread.withColumn("to", F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("from", F.col("to") - F.col("weight"))
-    sums = spread.groupBy("bucket").agg(F.max("to").alias("mass"))
-    before = F.sum("mass").over(Window.orderBy("bucket"))  # at most 1,024 rows
-    sums = sums.withColumn("high", before).withColumn("low", F.col("high") - F.col("mass")).withColumn("total", F.sum("mass").over(Window.partitionBy()))
-    spark = nodes.sparkSession
-    tries = spark.range(12 * n).select(F.col("id").alias("try"), uniform(seed, F.lit("start"), F.col("id")).alias("u"), (F.floor(uniform(seed, F.lit("hops"), F.col("id")) * max_hops - 1e-12) + 1).cast("int").alias("hops"))
-    met = tries.join(F.broadcast(sums), (F.col("u") * F.col("total") > F.col("low")) & (F.col("u") * F.col("total") <= F.col("high")))
-    met = met.withColumn("point", F.col("u") * F.col("total") - F.col("low"))
-    drawn = met.join(spread.select("bucket", F.col("node_id").alias("start_id"), "from", "to"), "bucket").where((F.col("point") > F.col("from")) & (F.col("point") <= F.col("to")))
-    drawn = drawn.groupBy("try").agg(F.min("start_id").alias("start_id"), F.first("hops").alias("hops"))
+    tries = nodes.sparkSession.range(12 * n).select(F.col("id").alias("try"), uniform(seed, F.lit("start"), F.col("id")).alias("u"), (F.floor(uniform(seed, F.lit("hops"), F.col("id")) * max_hops - 1e-12) + 1).cast("int").alias("hops"))
+    drawn = drawn_starts(starts, tries, seed)
     out = described(walk_paths(drawn, edges, max_hops, seed), nodes)
     if require_image:
         out = out.where(F.size("image_paths") > 0)

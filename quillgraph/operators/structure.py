@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import has_text, is_section_title, section_depth, text
 from ..schema import CAPTION_WEIGHT, CONTAINS_WEIGHT
+from .order import scanned
 
 ORDER = ("page_pos", "kind_rank", "elem_pos")
+KINDS = ("sec", "text", "fig", "tab")
 #: seq of a node or edge within its paper: the element's number, then the caption after its figure or table
 _STEP = 2
 
@@ -24,16 +25,16 @@ def _numbered(elements: DataFrame, least_confidence: float) -> DataFrame:
         "kind",
         F.when(words & is_section_title(F.col("content")), "sec").when(words & has_text(F.col("content")), "text").when(F.col("element_type") == "figure", "fig").when(F.col("element_type") == "table", "tab"),
     ).where("kind is not null")
-    so_far = Window.partitionBy("paper_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    count = lambda kind: F.sum((F.col("kind") == kind).cast("int")).over(so_far)
-    n = F.when(F.col("kind") == "sec", count("sec")).when(F.col("kind") == "text", count("text")).when(F.col("kind") == "fig", count("fig")).otherwise(count("tab"))
-    node = F.concat_ws("", F.col("paper_id"), F.lit("__"), F.col("kind"), F.lit("_"), n.cast("string"))
-    section = F.last(F.when(F.col("kind") == "sec", F.col("node_id")), ignorenulls=True).over(so_far)
-    return kept.withColumn("n", n).withColumn("node_id", node).withColumn("position", F.count(F.lit(1)).over(so_far)).withColumn("section", section)
+    counted = scanned(kept, ["paper_id"], list(ORDER), {f"n_{k}": (F.col("kind") == k).cast("long") for k in KINDS} | {"position": F.lit(1).cast("long")})
+    n = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"n_{k}")) for k in KINDS])
+    named = lambda kind, n: F.concat_ws("", F.col("paper_id"), F.lit("__"), kind, F.lit("_"), n.cast("string"))
+    # the section that a row stands in is the last one so far, so its number is the count of sections
+    section = F.when(F.col("n_sec") > 0, named(F.lit("sec"), F.col("n_sec")))
+    return counted.withColumn("n", n).withColumn("node_id", named(F.col("kind"), F.col("n"))).withColumn("section", section).drop(*[f"n_{k}" for k in KINDS])
 
 
 def structural_graph(elements: DataFrame, least_confidence: float = 0.4, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges.  One shuffle by paper: counters and the current section are windows over it.
+    """Nodes and edges.  Counters and the current section come from a scan over ranges, so a paper may have any length.
 
     `keep` may write the numbered elements out, from which both follow, so that they are not numbered twice.
     """

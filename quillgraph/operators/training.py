@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fill
+from .order import scanned
 from ..schema import QUESTION_TYPES
 from .pairs import is_valid
 
@@ -114,6 +115,5 @@ def loss_summary(rows: DataFrame, beta: float = 0.1) -> DataFrame:
 
 def loss_curve(rows: DataFrame, run: list[str], every: int = 10, beta: float = 0.1) -> DataFrame:
     """The running loss at every `every`-th step of each run; the sum is over the step number, skipped steps included."""
-    so_far = Window.partitionBy(*run).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = margin(rows, beta).withColumn("running_loss", F.sum(F.coalesce("loss", F.lit(0.0))).over(so_far) / F.col("step"))
+    curve = scanned(margin(rows, beta), run, ["step"], {"so_far": F.coalesce("loss", F.lit(0.0))}).withColumn("running_loss", F.col("so_far") / F.col("step"))
     return curve.where(F.col("step") % every == 0).select(*run, "step", "running_loss")

@@ -20,6 +20,7 @@ from ..sources import config as settings
 from ..sources import files, layout
 from ..sources.scratch import staged
 from ..sources.state import Counters, read_json, restore, stamp
+from ..streaming import logs
 from . import corpus
 from .evaluation_set import identical
 
@@ -66,15 +67,15 @@ class Collection:
     # Papers and their graph.
 
     def languages(self) -> DataFrame:
-        """paper_id and language; papers that were not looked at yet are, and are remembered: no layout is read twice."""
-        root, path = self.section("paths")["data_root"], self.place("languages")
-        some = None
-        if self._there("languages"):
-            known = self.spark.read.schema(LANGUAGES).parquet(path)
-            some = [r[0] for r in layout.list_papers(self.spark, root).join(known, "paper_id", "left_anti").collect()]  # names of files, as any reader lists them
-        if some is None or some:
-            layout.paper_languages(layout.layouts(self.spark, root, some)).write.mode("append").parquet(path)
-        return self.spark.read.schema(LANGUAGES).parquet(path)
+        """paper_id and language; papers that were not looked at yet are, and are remembered: no layout is read twice.
+
+        Layouts come as a stream that keeps its listing, so names of papers stay in its files and tasks.
+        """
+        path, root = self.place("languages"), self.section("paths")["data_root"]
+        new = layout.source_stream(self.spark, root, self.place("listing"))
+        logs.languages(new, path, self.place("languages_checkpoint")).awaitTermination()
+        there = self._there("languages")
+        return self.spark.read.schema(LANGUAGES).parquet(path) if there else self.spark.createDataFrame([], LANGUAGES)
 
     def split(self, held_out: int = evaluation.HELD_OUT, seed: int = 42) -> DataFrame:
         """paper_id and split, as first drawn; later papers are collected."""

@@ -455,19 +455,24 @@ def next_adapter(spark, sf_dir):
 k AS (SELECT *, CASE WHEN pos % 5 = 3 THEN 'figure' WHEN pos % 5 = 4 THEN 'table' ELSE 'text' END AS kind, row_number() OVER (PARTITION BY paper_id, pos % 5 IN (0, 1, 2), pos % 5 ORDER BY pos) AS x FROM l)
 SELECT paper_id, 1 AS page, kind AS element_type, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM k WHERE kind <> 'text' OR regexp_matches(line, '[^\s]') GROUP BY 1, 3""")
 def layout_elements(spark, sf_dir):
-    """Documents written as layout files, a folder for each paper, and read back by the parser."""
+    """Documents written as layouts, many to a file, and read back by the data source."""
     root = shared_path(spark, "papers")
-    lines = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    paper_layouts(read(spark, sf_dir, "documents")).write.json(root)
+    return element_counts(layout.elements(layout.source(spark, root)))
+
+
+def paper_layouts(docs: DataFrame) -> DataFrame:
+    """Documents as layouts: of five lines three are texts, one is a figure and one a table."""
+    lines = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     some = lambda cond, value: F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.when(cond(x["pos"] % 5), value(x["line"]))), lambda x: x.isNotNull())
     words = lambda x: F.struct(x.alias("text"), F.lit(0.9).alias("confidence"))
     figure = lambda x: F.struct(x.alias("caption"), F.lit("i.png").alias("image_path"))
     page = F.struct(F.lit(1).alias("page_number"), some(lambda p: p < 3, words).alias("text_elements"), some(lambda p: p == 3, figure).alias("visual_elements"), some(lambda p: p == 4, words).alias("table_elements"))
-    whole = lines.groupBy("paper").agg(F.to_json(F.struct(F.lit(1).alias("total_pages"), F.array(page).alias("pages"))).alias("value"))
-    whole.repartition("paper").write.partitionBy("paper").text(root)
-    paper = F.regexp_extract(F.col("_metadata.file_path"), r"/paper=([^/]+)/[^/]+$", 1)
-    stored = spark.read.schema(LAYOUT).option("multiLine", True).json(f"{root}/paper=*").withColumn("paper_id", paper)
-    got = layout.elements(stored)
-    return got.groupBy("paper_id", "page", "element_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+    return lines.groupBy("paper_id").agg(F.lit(1).alias("total_pages"), F.array(page).alias("pages"))
+
+
+def element_counts(elements: DataFrame) -> DataFrame:
+    return elements.groupBy("paper_id", "page", "element_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("""SELECT CASE WHEN doc_id % 2 = 0 THEN 'i' || doc_id ELSE 'none' END AS question_id, 'q ' || coalesce(source, '') AS question, ['t' || (n_chars % 9)] AS ground_truths, CAST(CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END AS INTEGER) AS difficulty FROM documents""")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import pairs as pair_log
-from ..sources import files
+from ..sources import files, layout
 from ..sources.commits import Versions
 from ..sources.scratch import shared_path
 from ..streaming import logs, states
-from .catalogue import query, read
-from .operations import fed_in_halves
+from .catalogue import ORACLE_SQL, query, read
+from .operations import element_counts, fed_in_halves, paper_layouts
 
 # --- several writers ---------------------------------------------------------------------------------------------------
 
@@ -85,3 +86,30 @@ def stream_new_pair_calls(spark, sf_dir):
 
     fed_in_halves(spark, sf_dir, start)
     return spark.createDataFrame([(len(calls), sum(calls))], "calls bigint, pairs bigint")
+
+
+# --- layouts as a data source ------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT *, CAST(paper_id[2:] AS BIGINT) % 2 + 1 AS batch FROM ({ORACLE_SQL['layout_elements']})")
+def layout_stream(spark, sf_dir):
+    """Layouts that arrive in two halves, as a stream that is started twice: each is opened once, in the run that found it."""
+    root, out, listing, checkpoint = (shared_path(spark, n) for n in ("papers", "elements", "listing", "checkpoint"))
+    docs = read(spark, sf_dir, "documents")
+    for part in (0, 1):
+        paper_layouts(docs.where(F.col("doc_id") % 2 == part)).write.mode("append").json(root)
+        stream = layout.source_stream(spark, root, listing)
+        write = lambda batch, number: layout.elements(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        logs.in_batches(stream, write, checkpoint).awaitTermination()
+    found = spark.read.parquet(out)
+    runs = found.select("batch").distinct().select("batch", F.row_number().over(Window.orderBy("batch")).cast("bigint").alias("run"))  # two rows
+    counted = found.groupBy("batch", "paper_id", "page", "element_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+    return counted.join(runs, "batch").select("paper_id", "page", "element_type", "n", "chars", F.col("run").alias("batch"))
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['layout_elements']}) WHERE paper_id IN ('d1', 'd7', 'd40')")
+def layout_some_papers(spark, sf_dir):
+    """The layouts of three papers: the condition reaches the source, which passes over other papers' lines."""
+    root = shared_path(spark, "papers")
+    paper_layouts(read(spark, sf_dir, "documents")).write.json(root)
+    return element_counts(layout.elements(layout.source(spark, root).where(F.col("paper_id").isin("d1", "d7", "d40"))))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, language
 from ..schema import LAYOUT
+from .datasource import register
 
 FILE = "parsing_paddle.json"
 SAMPLE_PAGES = 4
@@ -19,6 +22,23 @@ def layouts(spark: SparkSession, root: str, papers: list[str] | None = None) ->
     return read.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{FILE}$", 1))
 
 
+def from_source(rows: DataFrame) -> DataFrame:
+    """Rows of the data source (paper_id, value), batch or stream, as `layouts` gives them."""
+    return rows.select(F.from_json("value", LAYOUT).alias("layout"), "paper_id").select("layout.*", "paper_id")
+
+
+def source(spark: SparkSession, root: str, **options) -> DataFrame:
+    """The layouts of a folder by the data source."""
+    register(spark)
+    return from_source(spark.read.format("paper_layouts").options(**options).load(root))
+
+
+def source_stream(spark: SparkSession, root: str, listing: str, **options) -> DataFrame:
+    """The layouts of a folder as a stream, which keeps its listing in a folder of its own."""
+    register(spark)
+    return from_source(spark.readStream.format("paper_layouts").options(listing=listing, **options).load(root))
+
+
 def list_papers(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", FILE).load(f"{root}/*/{FILE}").select("path")
     return files.select(F.regexp_extract("path", rf"([^/]+)/{FILE}$", 1).alias("paper_id")).distinct().orderBy("paper_id")
@@ -30,27 +50,27 @@ def elements(layout: DataFrame) -> DataFrame:
     Empty titles, authors and texts are left out; confidence is 1 by default, and the page number -1.
     """
     pages = layout.select("paper_id", F.posexplode("pages").alias("page_pos", "p"))
-    nothing = F.lit(None).cast("string")
+    nothing, empty = F.lit(None).cast("string"), F.lit("")
 
-    def of(field: str, rank: int, kind: str, content: Column, caption: Column = nothing, image: Column = nothing) -> DataFrame:
-        rows = pages.select("paper_id", F.coalesce("p.page_number", F.lit(-1)).alias("page"), "page_pos", F.posexplode(f"p.{field}").alias("elem_pos", "e"))
-        return rows.select(
-            "paper_id", "page", "page_pos", F.lit(rank).alias("kind_rank"), "elem_pos", F.lit(kind).alias("element_type"),
-            content.alias("content"), image.alias("image_path"), F.coalesce("e.confidence", F.lit(1.0)).alias("confidence"), caption.alias("caption"),
+    def of(field: str, rank: int, kind: str, content: Callable, caption: Callable = lambda e: nothing, image: Callable = lambda e: nothing) -> Column:
+        row = lambda e, i: F.struct(
+            F.lit(rank).alias("kind_rank"), i.alias("elem_pos"), F.lit(kind).alias("element_type"), content(e).alias("content"),
+            image(e).alias("image_path"), F.coalesce(e["confidence"], F.lit(1.0)).alias("confidence"), caption(e).alias("caption"),
         )
+        return F.coalesce(F.transform(f"p.{field}", row), F.array())
 
-    text, empty = F.coalesce("e.text", F.lit("")), F.lit("")
-    spoken = [of(f"{k}_elements", i, k, text).where(has_text(F.col("content"))) for i, k in enumerate(("title", "author", "text"))]
-    visual = of("visual_elements", 3, "figure", F.coalesce("e.caption", empty), F.col("e.caption"), F.nullif(F.col("e.image_path"), empty))
-    table = of("table_elements", 4, "table", F.coalesce(F.nullif(F.col("e.text"), empty), "e.caption", empty), F.col("e.caption"), F.nullif(F.col("e.image_path"), empty))
-    out = spoken[0]
-    for more in (*spoken[1:], visual, table):
-        out = out.unionByName(more)
-    return out
+    caption, image = lambda e: e["caption"], lambda e: F.nullif(e["image_path"], empty)
+    spoken = [of(f"{k}_elements", i, k, lambda e: F.coalesce(e["text"], empty)) for i, k in enumerate(("title", "author", "text"))]
+    visual = of("visual_elements", 3, "figure", lambda e: F.coalesce(e["caption"], empty), caption, image)
+    table = of("table_elements", 4, "table", lambda e: F.coalesce(F.nullif(e["text"], empty), e["caption"], empty), caption, image)
+    # all kinds at once: a layout is read and parsed a single time
+    rows = pages.select("paper_id", F.coalesce("p.page_number", F.lit(-1)).alias("page"), "page_pos", F.explode(F.concat(*spoken, visual, table)).alias("e"))
+    out = rows.select("paper_id", "page", "page_pos", *[f"e.{c}" for c in ("kind_rank", "elem_pos", "element_type", "content", "image_path", "confidence", "caption")])
+    return out.where((F.col("kind_rank") > 2) | has_text(F.col("content")))
 
 
 #: Parsers by name: a function of a session and a folder that gives elements.  Others may be added.
-PARSERS = {"layout": lambda spark, root: elements(layouts(spark, root))}
+PARSERS = {"layout": lambda spark, root: elements(layouts(spark, root)), "source": lambda spark, root: elements(source(spark, root))}
 
 
 def parsed(spark: SparkSession, root: str, parser: str = "layout") -> DataFrame:
@@ -61,7 +81,9 @@ def parsed(spark: SparkSession, root: str, parser: str = "layout") -> DataFrame:
 
 def with_images(rows: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     """image_path resolved against the files there are: PAPER/path, else PAPER/images/name, else null."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", rf"{root.rstrip('/')}/(.+)$", 1).alias("file"))
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.makeQualified(top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), top).toString()  # as paths of files begin
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.expr(f"substring(path, {len(top) + 2})").alias("file"))
     first = F.concat_ws("/", "paper_id", "image_path")
     second = F.concat_ws("/", F.col("paper_id"), F.lit("images"), F.regexp_extract("image_path", r"([^/]+)$", 1))
     a, b = files.select(F.col("file").alias("file_a")), files.select(F.col("file").alias("file_b"))
