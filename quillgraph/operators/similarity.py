@@ -1,9 +1,14 @@
 """Edges between nodes whose embeddings are similar, within a paper and across papers.
 
-Within a paper every ordered pair is compared, so the work follows the squares of paper sizes.  Across papers all pairs
-have to be compared.  Vectors are packed into blocks as they are stored, and a task compares two blocks with matrix
-products, each pair of blocks once; pairs near the threshold are computed again in double precision.  Neither side is
-collected or broadcast: numbers of blocks are paired, and then meet their vectors by equi-joins.
+Within a paper every ordered pair is compared, so the work follows the squares of paper sizes.  Vectors are packed into
+blocks as they are stored, and a task compares two blocks with matrix products, each pair of blocks once; pairs near the
+threshold are computed again in double precision.  Neither side is collected or broadcast: numbers of blocks are paired,
+and then meet their vectors by equi-joins.
+
+Across papers blocks are balls: vectors lie in the block of the pivot nearest to them, with a centre and a radius in
+angle.  By the triangle inequality of angles two balls hold no pair that is near enough if their centres are further
+apart than both radii and the threshold's angle, and such blocks are not compared.  Pivots are at most `MOST_PIVOTS` of
+a bounded sample, as far apart as can be; they decide how much is compared, never what is found.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip, text
+from ..sources.scratch import staged
 
 CANDIDATE_CHARS, SEMANTIC_LEAST, CROSS_LEAST = 512, 20, 30
 CROSS_TYPES = ("Concept", "Claim", "TextBlock")
@@ -111,18 +117,115 @@ def _products(batches: Iterator[pa.RecordBatch], least: float, per_paper: bool,
 BY_SEQ, BY_PAPER = ("seq", "paper_id", "node_id"), ("paper_id", "seq", "node_id")
 
 
-def similar_pairs(vectors: DataFrame, least: float, per_paper: bool, block: int = 8192, order: tuple[str, ...] = BY_SEQ) -> DataFrame:
+MOST_PIVOTS, SAMPLE, _CENTRES = 1024, 8192, 512
+BALLS = "chunk int,blocks binary,centres binary,radii binary"
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    raw = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    size = np.sqrt((raw * raw).sum(axis=1))
+    return np.where(size[:, None] < 1e-9, 0.0, raw / np.maximum(size, 1e-300)[:, None])
+
+
+def _pivots(rows: DataFrame, most: int) -> np.ndarray:
+    """Up to `most` vectors of a sample of at most SAMPLE, each as far as can be from those before it."""
+    sample = rows.orderBy(F.xxhash64("node_id"), "node_id").select("embedding").limit(min(SAMPLE, 8 * most)).toArrow().column("embedding").combine_chunks()
+    if not len(sample):
+        return np.zeros((0, 0))
+    unit = _units(sample)
+    unit = unit[unit.any(axis=1)] if unit.any() else unit[:1]  # vectors of zeros have no direction
+    near, chosen = unit @ unit[0], [0]
+    while len(chosen) < min(most, len(unit)):
+        near[chosen[-1]] = np.inf
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def _assigned(batches: Iterator[pa.RecordBatch], pivots) -> Iterator[pa.RecordBatch]:
+    """Adds the nearest pivot's number as `ball`."""
+    for batch in batches:
+        at = batch.schema.get_field_index("embedding")
+        nearest = (_units(batch.column(at)) @ pivots.value.T).argmax(axis=1) if batch.num_rows else np.zeros(0)
+        yield batch.append_column("ball", pa.array(nearest, pa.int32()))
+
+
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The centre and radius of each block, many to a row."""
+    from pyspark import TaskContext
+
+    number, held = TaskContext.get().partitionId() << 16, []
+
+    def row() -> pa.RecordBatch:
+        blocks, centres, radii = zip(*held)
+        values = [np.array(blocks, np.int32).tobytes(), np.array(centres, np.float64).tobytes(), np.array(radii, np.float64).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names=[f.split()[0] for f in BALLS.split(",")])
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            unit = _Block(r | {"papers": r["ids"], "seqs": [0] * len(r["ids"])}).unit
+            centre = unit.sum(axis=0)
+            size = np.sqrt(centre @ centre)
+            centre = centre / size if size > 1e-9 else centre
+            away = np.arccos(np.clip(unit @ centre, -1.0, 1.0)).max() if size > 1e-9 else np.pi
+            held.append((r["block"], centre, away))
+            if len(held) == _CENTRES:
+                yield row()
+                number, held = number + 1, []
+    if held:
+        yield row()
+
+
+def _near_blocks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of blocks, the smaller number first, whose balls may hold pairs that are near enough."""
+    limit = np.arccos(np.clip(least, -1.0, 1.0)) + 1e-6
+    for batch in batches:
+        for r in batch.to_pylist():
+            (n, c, a), (m, d, b) = ((np.frombuffer(r[f"{p}blocks"], np.int32), np.frombuffer(r[f"{p}centres"], np.float64), np.frombuffer(r[f"{p}radii"], np.float64)) for p in ("", "other_"))
+            angle = np.arccos(np.clip(c.reshape(len(n), -1) @ d.reshape(len(m), -1).T, -1.0, 1.0))
+            i, j = np.nonzero(~(angle - a[:, None] - b[None, :] > limit) | (n[:, None] == m))
+            i, j = (i[n[i] <= m[j]], j[n[i] <= m[j]]) if r["chunk"] == r["other_chunk"] else (i, j)
+            x, y = n[i], m[j]
+            yield pa.RecordBatch.from_arrays([pa.array([""] * len(x), pa.string()), pa.array(np.minimum(x, y), pa.int32()), pa.array(np.maximum(x, y), pa.int32())], names=["grp", "block", "other_block"])
+
+
+def in_balls(rows: DataFrame, block: int) -> DataFrame:
+    """Rows with their block: the ball of the nearest pivot, or a part of it where it has more than `block` rows."""
+    spark = rows.sparkSession
+    pivots = spark.sparkContext.broadcast(_pivots(rows, max(1, min(MOST_PIVOTS, -(-rows.count() // block)))))  # bounded by MOST_PIVOTS
+    placed = rows.mapInArrow(partial(_assigned, pivots=pivots), rows.withColumn("ball", F.lit(0)).schema)
+    sizes = placed.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))  # a row for each pivot
+    first = F.sum("parts").over(Window.orderBy("ball").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("first", F.coalesce(first, F.lit(0)).cast("int"))
+    return placed.join(F.broadcast(sizes), "ball").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("node_id"), F.col("parts"))).cast("int")).drop("ball", "parts", "first")
+
+
+def near_blocks(packed: DataFrame, least: float) -> DataFrame:
+    """grp, block and other_block: the pairs of blocks that have to be compared (each block with itself too)."""
+    balls = staged(packed.select("block", "ids", "vectors", "wide").mapInArrow(_balls, BALLS), "balls")
+    other = balls.select(*[F.col(c).alias(f"other_{c}") for c in balls.columns])
+    chunks = balls.select("chunk").join(balls.select(F.col("chunk").alias("other_chunk")), F.col("chunk") <= F.col("other_chunk"))  # numbers only, a row for many blocks
+    met = chunks.join(balls, "chunk").join(other, "other_chunk")
+    return met.mapInArrow(partial(_near_blocks, least=least), "grp string, block int, other_block int")
+
+
+def similar_pairs(vectors: DataFrame, least: float, per_paper: bool, block: int | None = None, order: tuple[str, ...] = BY_SEQ) -> DataFrame:
     """Pairs of vectors (node_id, paper_id, seq, embedding) with a cosine of at least `least`.
 
     per_paper: ordered pairs within each paper; otherwise pairs of different papers, each once, the smaller by `order` first.
     """
+    block = block or (8192 if per_paper else 1024)
     group = F.coalesce("paper_id", F.lit("")) if per_paper else F.lit("")
     rows = vectors.where(F.col("embedding").isNotNull()).select("node_id", "paper_id", F.col("seq").cast("bigint").alias("seq"), "embedding", group.alias("grp"))
-    blocks = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).drop("blocks")
-    packed = rows.groupBy("grp", "block").applyInArrow(_packed, BLOCKS)
-    own = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    numbers = blocks.select("grp", "blocks", own).select("grp", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other_block"))
+    if per_paper:
+        blocks = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+        rows = rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).drop("blocks")
+        own = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        numbers = blocks.select("grp", "blocks", own).select("grp", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other_block"))
+        packed = rows.groupBy("grp", "block").applyInArrow(_packed, BLOCKS)
+    else:
+        packed = staged(in_balls(rows, block).groupBy("grp", "block").applyInArrow(_packed, BLOCKS), "balls")
+        numbers = near_blocks(packed, least)
     other = packed.select("grp", F.col("block").alias("other_block"), *[F.col(c).alias(f"other_{c}") for c in packed.columns[2:]])
     met = numbers.join(packed, ["grp", "block"]).join(other, ["grp", "other_block"])
     return met.mapInArrow(partial(_products, least=least, per_paper=per_paper, order=order), PAIRS)

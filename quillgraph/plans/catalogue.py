@@ -387,6 +387,17 @@ def crossdoc_edges(spark, sf_dir):
     return similarity.cross_document_edges(vectors(spark, sf_dir).withColumn("seq", seq), 0.3, similarity.BY_PAPER).select("src_id", "dst_id")
 
 
+@query("""WITH v AS (SELECT vec_id, label, list_transform(range(64), lambda k: CAST(embedding[k + 1] AS DOUBLE) + CASE WHEN vec_id % 20 = k THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END) AS e FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
+SELECT 'v' || a.vec_id AS src_id, 'v' || b.vec_id AS dst_id FROM u a JOIN u b ON a.label IS DISTINCT FROM b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.95""")
+def crossdoc_clustered_edges(spark, sf_dir):
+    """Edges of vectors that lie in twenty clusters, at a threshold for which most pairs of balls are too far apart."""
+    moved = F.transform("embedding", lambda x, k: x.cast("double") + F.when(F.col("seq") % 20 == k, 4.0).otherwise(0.0))
+    pairs = similarity.similar_pairs(vectors(spark, sf_dir).withColumn("embedding", moved), 0.95, per_paper=False)
+    return pairs.select("src_id", "dst_id")
+
+
+
 # --- text --------------------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,8 @@ paper with its layout file, or files of JSON lines with a paper_id each, or both
 listing by size; a condition on paper_id prunes folders before any file is opened.
 
 A stream keeps its listing as numbered commits in a folder of its own: what a listing finds that no commit has named is
-the next commit, and offsets are numbers of commits.  So a paper is opened once, however often the stream is started, and
-a batch that is run again opens the same files.
+the next commit, and offsets are numbers of commits.  So a paper is opened once, however often the stream is started and
+wherever the folder is moved to, and a batch that is run again opens the same files.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def _opened(uri: str):
 
 
 def listing(root: str, only: set[str] | None = None) -> list[tuple[str, str | None, int]]:
-    """Path, paper (None for files of lines) and size of each layout file."""
+    """Path below the folder, paper (None for files of lines) and size of each layout file."""
     from pyarrow import fs
 
     files, top = _opened(root)
@@ -45,10 +45,10 @@ def listing(root: str, only: set[str] | None = None) -> list[tuple[str, str | No
             if only is None or x.base_name in only:
                 folders.append(x)
         elif x.base_name.endswith(LINES):
-            found.append((x.path, None, x.size))
+            found.append((x.base_name, None, x.size))
     for folder, x in zip(folders, files.get_file_info([posixpath.join(f.path, FILE) for f in folders])):
         if x.type == fs.FileType.File:
-            found.append((x.path, folder.base_name, x.size))
+            found.append((f"{folder.base_name}/{FILE}", folder.base_name, x.size))
     return sorted(found, key=lambda f: f[0])
 
 
@@ -82,9 +82,9 @@ class _Rows:
         self.only: set[str] | None = None
 
     def read(self, partition: Files) -> Iterator[tuple[str, str]]:
-        files, _ = _opened(self.root)
+        files, top = _opened(self.root)
         for path, paper in partition.files:
-            with files.open_input_stream(path) as raw:
+            with files.open_input_stream(posixpath.join(top, path)) as raw:
                 if paper is not None:
                     yield paper, raw.read().decode("utf-8", "replace")
                     continue

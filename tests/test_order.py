@@ -46,3 +46,29 @@ def test_starts_are_drawn_by_weight(spark):
     drawn = {r["start_id"]: r["count"] for r in paths.drawn_starts(starts, tries, 7).groupBy("start_id").count().collect()}
     assert drawn == {"n0": 200, "n1": 2000, "n2": 200, "n4": 1600}
     assert paths.drawn_starts(starts.limit(0), tries, 7).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.85, 0.0])
+def test_balls_that_are_far_apart_are_not_compared(spark, least):
+    import numpy as np
+
+    from quillgraph.operators import similarity
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 3
+    points = centres[rng.integers(0, 20, 600)] + rng.normal(size=(600, 16)) * 0.3
+    points[:3] = 0
+    rows = [(f"n{i}", f"p{i % 7}" if i % 11 else None, i, [float(x) for x in v]) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "node_id string, paper_id string, seq bigint, embedding array<double>").repartition(3)
+    size = np.sqrt((points**2).sum(axis=1))
+    unit = points / np.maximum(size, 1e-300)[:, None]
+    close = unit @ unit.T >= least
+    want = {(f"n{i}", f"n{j}") for i in range(600) for j in range(i + 1, 600) if close[i, j] and rows[i][1] != rows[j][1]}
+    got = similarity.similar_pairs(df, least, per_paper=False, block=16)
+    assert {(r["src_id"], r["dst_id"]) for r in got.collect()} == want and got.count() == len(want)
+    packed = similarity.in_balls(df.withColumn("grp", F.lit("")), 16).groupBy("grp", "block").applyInArrow(similarity._packed, similarity.BLOCKS)
+    n, compared = packed.count(), similarity.near_blocks(packed, least).count()
+    assert compared <= n * (n + 1) // 2
+    if least == 0.85:
+        assert compared < 0.5 * n * (n + 1) / 2, compared / (n * (n + 1) / 2)
+    assert similarity.similar_pairs(df.limit(0), least, per_paper=False).count() == 0
