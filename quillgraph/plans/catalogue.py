@@ -470,14 +470,14 @@ def question_fallback(spark, sf_dir):
 
 # --- metrics -----------------------------------------------------------------------------------------------------------
 
-_ANSWERS = r"""a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x20-\x7e]', '', 'g') AS t FROM documents),
+_ANSWERS = r"""a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 c AS (SELECT *, unnest(range(greatest(1, (length(t) + 59) // 60))) AS part FROM a),
 p AS (SELECT doc_id, part, substr(t, part * 60 + 1, 60) AS prediction, [substr(t, part * 60 + 3, 60), substr(t, part * 60 + 1, 45) || ' and'] AS truths FROM c)"""
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts in pieces of 60 characters, as answers are short; the truths are two edited versions of each."""
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]", "")
+    t = F.coalesce("text", F.lit(""))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts of one file go to all tasks
     rows = docs.select("doc_id", t.alias("t")).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("t") / 60)).cast("int") - 1)))
     rows = rows.select("doc_id", "part", F.substring("t", F.col("part") * 60 + 1, F.lit(62)).alias("piece"))
@@ -485,7 +485,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "part", piece(1, 60).alias("prediction"), F.array(piece(3, 60), F.concat(piece(1, 45), F.lit(" and"))).alias("ground_truths"), F.lit("VQA").alias("question_type"))
 
 
-_ANLS = "list_max(list_transform(truths, lambda g: CASE WHEN greatest(length(lower(trim(prediction))), length(lower(trim(g)))) = 0 THEN 1.0 WHEN least(length(trim(prediction)), length(trim(g))) = 0 THEN 0.0 WHEN levenshtein(lower(trim(prediction)), lower(trim(g))) / greatest(length(trim(prediction)), length(trim(g)))::DOUBLE > 0.5 THEN 0.0 ELSE 1 - levenshtein(lower(trim(prediction)), lower(trim(g))) / greatest(length(trim(prediction)), length(trim(g)))::DOUBLE END))"
+#: DuckDB's distance counts bytes: letters beyond ASCII become single bytes that no text has.
+_BEYOND = "éóèñçüêäößíáúàâîôûëïœæ"
+_BYTES = " || ".join(f"chr({1 + i + (i >= 8) * 6})" for i in range(len(_BEYOND)))
+_FOLD = rf"translate(lower(regexp_replace({{}}, '^\s+|\s+$', '', 'g')), '{_BEYOND}', {_BYTES})"
+_ANLS = (
+    f"list_max(list_transform(list_transform(truths, lambda g: {_FOLD.format('g')}), lambda g: CASE WHEN greatest(length({_FOLD.format('prediction')}), length(g)) = 0 THEN 1.0 "
+    f"WHEN least(length({_FOLD.format('prediction')}), length(g)) = 0 THEN 0.0 WHEN levenshtein({_FOLD.format('prediction')}, g) / greatest(length({_FOLD.format('prediction')}), length(g))::DOUBLE > 0.5 THEN 0.0 "
+    f"ELSE 1 - levenshtein({_FOLD.format('prediction')}, g) / greatest(length({_FOLD.format('prediction')}), length(g))::DOUBLE END))"
+)
 _NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'))"
 _EXACT = f"CAST(list_contains(list_transform(truths, lambda g: {_NORM.format('g')}), {_NORM.format('prediction')}) AS DOUBLE)"
 _TOKENS = "list_filter(string_split(" + _NORM + ", ' '), lambda w: w <> '')"

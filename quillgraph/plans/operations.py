@@ -209,18 +209,18 @@ def korean_accuracy(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", metrics.korean_vqa_accuracy(said, gold).alias("accuracy"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x20-\x7e]', '', 'g') AS t FROM documents),
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 c AS (SELECT *, unnest(range(greatest(1, (length(t) + 59) // 60))) AS part FROM d),
 p AS (SELECT doc_id, part, substr(t, part * 60 + 1, 60) || ' ' || (part % 7) AS said, substr(t, part * 60 + 31, 60) || ' ' || (part % 3) AS gold FROM c),
 f AS (SELECT *, trim(regexp_replace(lower(said), '\s+', ' ', 'g')) AS p_, trim(regexp_replace(lower(gold), '\s+', ' ', 'g')) AS g_ FROM p),
-k AS (SELECT *, list_distinct(regexp_extract_all(p_, '\b\d+\.?\d*\b')) AS pn, list_distinct(regexp_extract_all(g_, '\b\d+\.?\d*\b')) AS gn,
-    list_filter(list_distinct(regexp_extract_all(p_, '\b[a-zA-Z]{4,}\b')), lambda x: NOT list_contains(['that', 'this', 'with', 'from', 'have', 'been', 'they', 'their', 'also', 'which', 'were', 'would', 'could', 'into', 'more', 'some', 'when', 'then', 'than', 'used', 'both', 'using', 'between', 'through', 'while', 'these', 'those', 'about', 'after', 'before'], x)) AS pk,
-    list_filter(list_distinct(regexp_extract_all(g_, '\b[a-zA-Z]{4,}\b')), lambda x: NOT list_contains(['that', 'this', 'with', 'from', 'have', 'been', 'they', 'their', 'also', 'which', 'were', 'would', 'could', 'into', 'more', 'some', 'when', 'then', 'than', 'used', 'both', 'using', 'between', 'through', 'while', 'these', 'those', 'about', 'after', 'before'], x)) AS gk FROM f),
+k AS (SELECT *, list_distinct(regexp_extract_all(regexp_replace(p_, '[^\x00-\x7f]', '_', 'g'), '\b\d+\.?\d*\b')) AS pn, list_distinct(regexp_extract_all(regexp_replace(g_, '[^\x00-\x7f]', '_', 'g'), '\b\d+\.?\d*\b')) AS gn,
+    list_filter(list_distinct(regexp_extract_all(regexp_replace(p_, '[^\x00-\x7f]', '_', 'g'), '\b[a-zA-Z]{4,}\b')), lambda x: NOT list_contains(['that', 'this', 'with', 'from', 'have', 'been', 'they', 'their', 'also', 'which', 'were', 'would', 'could', 'into', 'more', 'some', 'when', 'then', 'than', 'used', 'both', 'using', 'between', 'through', 'while', 'these', 'those', 'about', 'after', 'before'], x)) AS pk,
+    list_filter(list_distinct(regexp_extract_all(regexp_replace(g_, '[^\x00-\x7f]', '_', 'g'), '\b[a-zA-Z]{4,}\b')), lambda x: NOT list_contains(['that', 'this', 'with', 'from', 'have', 'been', 'they', 'their', 'also', 'which', 'were', 'would', 'could', 'into', 'more', 'some', 'when', 'then', 'than', 'used', 'both', 'using', 'between', 'through', 'while', 'these', 'those', 'about', 'after', 'before'], x)) AS gk FROM f),
 r AS (SELECT *, len(list_intersect(gn, pn)) AS n, CASE WHEN len(gk) > 0 THEN len(list_intersect(gk, pk)) / len(gk)::DOUBLE ELSE -1 END AS recall FROM k)
 SELECT doc_id, CAST(part AS INTEGER) AS part, CASE WHEN contains(p_, g_) OR contains(g_, p_) THEN 'contain' WHEN len(gn) > 0 AND n = len(gn) AND n = len(pn) THEN 'num_exact' WHEN recall >= 0.7 THEN 'kw_high' WHEN n > 0 THEN 'num_partial' WHEN recall >= 0.4 THEN 'kw_mid' ELSE 'no_match' END AS method FROM r""")
 def metric_crossdoc_rules(spark, sf_dir):
-    """All comparisons but the sequence ratio, which SQL lacks (0 here); one truth a piece."""
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]", "")
+    """All comparisons but the sequence ratio, which SQL lacks (0 here); one truth a piece.  SQL takes letters beyond ASCII for _, a letter of words to it."""
+    t = F.coalesce("text", F.lit(""))
     rows = read(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("t") / 60)).cast("int") - 1)))
     piece = lambda start, k: F.concat(F.substring("t", F.col("part") * 60 + start, F.lit(60)), F.lit(" "), (F.col("part") % k).cast("string"))
     rows = rows.select("doc_id", "part", piece(1, 7).alias("said"), F.array(piece(31, 3)).alias("truths"))
