@@ -13,6 +13,7 @@ from ..sources.commits import Versions
 from ..sources.scratch import shared_path
 from ..streaming import logs, states
 from .catalogue import ORACLE_SQL, query, read
+from .collection import Collection
 from .operations import element_counts, fed_in_halves, paper_layouts
 
 # --- several writers ---------------------------------------------------------------------------------------------------
@@ -113,3 +114,46 @@ def layout_some_papers(spark, sf_dir):
     root = shared_path(spark, "papers")
     paper_layouts(read(spark, sf_dir, "documents")).write.json(root)
     return element_counts(layout.elements(layout.source(spark, root).where(F.col("paper_id").isin("d1", "d7", "d40"))))
+
+
+# --- a collection, step by step ----------------------------------------------------------------------------------------
+
+
+def opened(spark, root: str) -> Collection:
+    """A collection whose places lie in the shared folder; its state is a small file of the driver's there."""
+    place = shared_path(spark, "collection")
+    paths = {"data_root": root, "pairs": f"{place}/pairs", "state": f"{place.removeprefix('file://')}/state.json", "graph": f"{place}/graph"}
+    config = {"paths": paths, "model": {"name": "none-hf"}, "language": "en", "kg": {"language": "en", "parser": "source"}, "train": {"first_train_min_pairs": 2, "min_pairs_per_type": 0}}
+    return Collection(spark, config)
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+t AS (SELECT doc_id, array_to_string(list_transform(list_filter(range(len(a)), lambda i: i % 5 < 3), lambda i: a[i + 1]), ' ')[1:6000] AS sample FROM l),
+g AS (SELECT doc_id, 'd' || doc_id AS paper_id, CASE WHEN length(regexp_replace(sample, '[^A-Za-z]', '', 'g')) < 50 THEN 'unknown' ELSE 'en' END AS language FROM t),
+h AS (SELECT paper_id FROM g WHERE doc_id % 2 = 0 ORDER BY md5('42|' || paper_id), paper_id LIMIT 40)
+SELECT paper_id, language, CASE WHEN paper_id IN (SELECT paper_id FROM h) THEN 'held_out' ELSE 'collect' END AS split, language = 'en' AND paper_id NOT IN (SELECT paper_id FROM h) AS collected FROM g""")
+def collection_papers(spark, sf_dir):
+    """Papers of a collection that grows: languages by the stream, a split that stays as drawn, and what is to be collected."""
+    root, docs = shared_path(spark, "papers"), read(spark, sf_dir, "documents")
+    collection = opened(spark, root)
+    for part in (0, 1):
+        paper_layouts(docs.where(F.col("doc_id") % 2 == part)).write.mode("append").json(root)
+        languages, split = collection.languages(), collection.split()
+    own = collection.papers().select("paper_id", F.lit(True).alias("own"))
+    return languages.join(split, "paper_id").join(own, "paper_id", "left").select("paper_id", "language", "split", F.coalesce("own", F.lit(False)).alias("collected"))
+
+
+@query("""WITH j AS (SELECT 'q ' || doc_id % 400 AS question, 'c ' || coalesce(source, 'none') AS chosen, doc_id,
+    CASE WHEN doc_id % 7 = 0 THEN 'c ' || coalesce(source, 'none') WHEN doc_id % 11 = 0 THEN '' ELSE 'r ' || doc_id % 3 END AS rejected FROM documents)
+SELECT DISTINCT '' AS picture, question, chosen, rejected FROM j WHERE doc_id % 13 <> 0 AND rejected <> '' AND rejected <> chosen AND question NOT LIKE '%7'""")
+def collection_export(spark, sf_dir):
+    """Judged pairs saved in two sessions, some of them deleted, and the rest exported and read back."""
+    collection, d = opened(spark, shared_path(spark, "papers")), F.col("doc_id")
+    chosen = F.concat(F.lit("c "), F.coalesce("source", F.lit("none")))
+    rejected = F.when(d % 7 == 0, chosen).when(d % 11 == 0, "").otherwise(F.concat(F.lit("r "), (d % 3).cast("string")))
+    judged = read(spark, sf_dir, "documents").select(d.alias("seq"), F.concat(F.lit("q "), (d % 400).cast("string")).alias("question"), chosen.alias("chosen"), rejected.alias("rejected"), F.when(d % 13 == 0, "none").otherwise("VQA").alias("question_type"))
+    for part in (0, 1):
+        collection.save(judged.where((F.col("seq") % 2 == part) | (F.col("seq") % 3 == 0)))
+    collection.delete(collection.active().where("question LIKE '%7'").select("pair_id"), "not wanted")
+    collection.config["export"] = {"format": "flat", "field_map": {"image": "picture"}}
+    return spark.read.schema("picture string, question string, chosen string, rejected string").json(f"{collection.export(images=False)}/data")

@@ -79,11 +79,15 @@ class _Rows:
 
     def __init__(self, options: dict):
         self.root, self.bytes = options["path"], int(options.get("partition_bytes", PARTITION_BYTES))
+        self.names = str(options.get("names", "")).lower() == "true"
         self.only: set[str] | None = None
 
-    def read(self, partition: Files) -> Iterator[tuple[str, str]]:
+    def read(self, partition: Files) -> Iterator[tuple[str, str | None]]:
         files, top = _opened(self.root)
         for path, paper in partition.files:
+            if self.names and paper is not None:
+                yield paper, None
+                continue
             with files.open_input_stream(posixpath.join(top, path)) as raw:
                 if paper is not None:
                     yield paper, raw.read().decode("utf-8", "replace")
@@ -98,7 +102,7 @@ class _Rows:
                     except (ValueError, AttributeError):
                         continue  # a broken line names no paper
                     if own is not None and (self.only is None or str(own) in self.only):
-                        yield str(own), line
+                        yield str(own), None if self.names else line
 
 
 class LayoutReader(_Rows, DataSourceReader):
@@ -154,7 +158,7 @@ class LayoutStreamReader(_Rows, DataSourceStreamReader):
 
 
 class LayoutSource(DataSource):
-    """Options: path; partition_bytes; for streams also listing, a folder that belongs to the stream."""
+    """Options: path; partition_bytes; names, for names alone (files of one paper are not opened then); for streams also listing, a folder that belongs to the stream."""
 
     @classmethod
     def name(cls) -> str:

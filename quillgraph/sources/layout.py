@@ -40,8 +40,8 @@ def source_stream(spark: SparkSession, root: str, listing: str, **options) -> Da
 
 
 def list_papers(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", FILE).load(f"{root}/*/{FILE}").select("path")
-    return files.select(F.regexp_extract("path", rf"([^/]+)/{FILE}$", 1).alias("paper_id")).distinct().orderBy("paper_id")
+    register(spark)
+    return spark.read.format("paper_layouts").option("names", "true").load(root).select("paper_id").distinct().orderBy("paper_id")
 
 
 def elements(layout: DataFrame) -> DataFrame:
