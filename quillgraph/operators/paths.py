@@ -1,6 +1,7 @@
 """Graph paths: random walks, sampled evidence paths, and what is read off a path.
 
-Walks are unrolled joins, one for each hop, and choices are minima of hashes, so reruns agree.
+Walks take one look-up for each hop: a hash chooses a place among a node's successors, and only the edge at that place is
+met, so a node with any number of successors costs one row for each walk.  Choices are hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -8,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sampling import hash_order, race, uniform
+from ..functions.sampling import hash_order, uniform
 from ..functions.text import CONTENT_WORD, clean_content, has_text, strip, text
 from ..schema import EDGE_DIFFICULTY, EDGE_QUESTION_TYPE, VISUAL_TYPES, lookup
+from ..sources.scratch import staged
 from .order import scanned
 
 START_TYPES = ("Figure", "Table", "Concept", "Claim", "TextBlock")
@@ -23,16 +25,25 @@ def is_caption(nodes_id: Column, flag: Column) -> Column:
 
 
 def random_walk(starts: DataFrame, edges: DataFrame, hops: int = 3, seed: int = 42, weight: str = "weight") -> DataFrame:
-    """start_id and path: each hop takes an out-edge with a chance in proportion to its weight; nodes may be met again."""
+    """start_id and path: each hop takes an out-edge with a chance in proportion to its weight; nodes may be met again.
+
+    Out-edges stand in order of (dst_id, edge_type) with running sums of their weights; a walk at a node draws a point in
+    their sum and carries the edge whose range holds it, from a scan of edges and walks together.  Edges without a
+    positive weight are not taken.
+    """
+    some = edges.where(F.col(weight) > 0).select(F.col("src_id").alias("at"), "dst_id", "edge_type", F.col(weight).cast("double").alias("weight"))
+    ends = staged(scanned(some, ["at"], ["dst_id", "edge_type"], {"to": F.col("weight")}), "ends")
+    totals = ends.groupBy("at").agg(F.max("to").alias("total"))
+    none, stop = F.lit(None).cast("string"), F.array().cast("array<string>")
+    ranges = ends.select("at", (-F.col("to")).alias("place"), F.lit(0).alias("kind"), none.alias("start_id"), "dst_id", stop.alias("path"))
     walks = starts.select(F.col("node_id").alias("start_id"), F.array("node_id").alias("path"), F.col("node_id").alias("at"))
-    out = edges.select(F.col("src_id").alias("at"), "dst_id", "edge_type", F.col(weight).alias("weight"))
     for hop in range(hops):
-        wait = race(seed, F.col("weight"), F.lit(hop), F.col("start_id"), F.col("dst_id"), F.col("edge_type"))
-        # one aggregate for each hop, without a second look at the walks so far
-        steps = walks.join(out, "at", "left").withColumn("wait", wait)
-        order = F.when(F.col("wait").isNotNull(), F.struct("wait", "dst_id"))
-        walks = steps.groupBy("start_id", "path").agg(F.min_by("dst_id", order).alias("next"))
-        walks = walks.select("start_id", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"), F.col("next").alias("at"))
+        point = uniform(seed, F.lit("walk"), F.lit(hop), F.col("start_id")) * F.col("total")
+        drawn = walks.join(totals, "at", "left")
+        points = drawn.where("total is not null").select("at", (-point).alias("place"), F.lit(1).alias("kind"), "start_id", none.alias("dst_id"), "path")
+        met = scanned(ranges.unionByName(points), ["at"], ["place", "kind", "start_id"], {}, {"next": F.col("dst_id")}).where("kind = 1")
+        ended = drawn.where("total is null").select("start_id", "path", none.alias("at"))
+        walks = met.select("start_id", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")).unionByName(ended)
     return walks.select("start_id", "path")
 
 
@@ -77,20 +88,29 @@ def start_nodes(nodes: DataFrame, excluded: DataFrame | None = None, paper_id: s
 
 
 def walk_paths(tries: DataFrame, edges: DataFrame, max_hops: int, seed: int = 42) -> DataFrame:
-    """For each try (try, start_id, hops) a path that visits no node twice: uniform over new successors, edge weights unused."""
-    out = first_edges(edges).select(F.col("src_id").alias("at"), F.col("dst_id").alias("next"), "edge_type")
+    """For each try (try, start_id, hops) a path that visits no node twice: uniform over new successors, edge weights unused.
+
+    Successors of a node are numbered.  A walk draws a place among those that it has not met: its own nodes, a few, are
+    looked up among the successors and passed over.
+    """
+    steps = scanned(first_edges(edges), ["src_id"], ["dst_id"], {"n": F.lit(1).cast("long")})
+    steps = staged(steps.select(F.col("src_id").alias("at"), F.col("dst_id").alias("next"), "edge_type", "n"), "steps")
+    degrees = steps.groupBy("at").agg(F.max("n").alias("degree"))
     walks = tries.select("try", "hops", F.array("start_id").alias("path"), F.array().cast("array<string>").alias("edge_types"), F.col("start_id").alias("at"))
     for hop in range(max_hops):
-        steps = walks.join(out, "at", "left")
-        new = (F.col("hops") > hop) & F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
-        order = F.when(new, F.struct(hash_order(seed, F.lit(hop), F.col("try"), F.col("next")).alias("h"), "next"))
-        walks = steps.groupBy("try", "hops", "path", "edge_types").agg(F.min_by(F.struct("next", "edge_type"), order).alias("step"))
-        went = F.col("step").isNotNull()
-        walks = walks.select(
+        own = walks.where(F.col("hops") > hop).select("try", "at", F.explode("path").alias("next")).join(steps, ["at", "next"])
+        met = own.groupBy("try").agg(F.array_sort(F.collect_list("n")).alias("met"))  # at most a path's nodes
+        placed = walks.join(degrees, "at", "left").join(met, "try", "left").withColumn("met", F.coalesce("met", F.array().cast("array<bigint>")))
+        new = F.coalesce("degree", F.lit(0)) - F.size("met")
+        rank = F.ceil(uniform(seed, F.lit("walk"), F.lit(hop), F.col("try")) * new)
+        place = F.aggregate("met", rank, lambda at, n: F.when(n <= at, at + 1).otherwise(at))
+        placed = placed.withColumn("n", F.when((F.col("hops") > hop) & (new > 0), place)).drop("degree", "met")
+        went = F.col("next").isNotNull()
+        walks = placed.join(steps, ["at", "n"], "left").select(
             "try", "hops",
-            F.when(went, F.concat("path", F.array("step.next"))).otherwise(F.col("path")).alias("path"),
-            F.when(went, F.concat("edge_types", F.array("step.edge_type"))).otherwise(F.col("edge_types")).alias("edge_types"),
-            F.col("step.next").alias("at"),
+            F.when(went, F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
+            F.when(went, F.concat("edge_types", F.array("edge_type"))).otherwise(F.col("edge_types")).alias("edge_types"),
+            F.col("next").alias("at"),
         )
     return walks.select("try", "path", "edge_types")
 

@@ -249,12 +249,19 @@ def path_provenance(spark, sf_dir):
     return got.select(p["src_node"].alias("src_node"), p["edge"].alias("edge"), p["dst_node"].alias("dst_node"), p["hop"].alias("hop"), F.array_join("image_paths", " ").alias("images"), paths.summary(F.col("nodes"), F.col("edge_types")).alias("summary"))
 
 
+def _draw(keys: str) -> str:
+    """SQL for the uniform number of some keys."""
+    return f"(CAST('0x' || md5('{keys})[1:13] AS BIGINT) + 1)::DOUBLE / 4503599627370496.0"
+
+
 def _hop(number: int) -> str:
-    """A hop of the walks w0, w1, ...: the new successor with the smallest hash."""
+    """A hop of the walks w0, w1, ...: the place that is drawn among new successors."""
     return f"""
 s{number} AS (
-    SELECT w.try, arg_min(f.dst_id, (md5('42|{number}|' || w.try || '|' || f.dst_id), f.dst_id)) AS next, arg_min(f.edge_type, (md5('42|{number}|' || w.try || '|' || f.dst_id), f.dst_id)) AS type
-    FROM w{number} w JOIN f ON f.src_id = w.at WHERE w.hops > {number} AND NOT list_contains(w.path, f.dst_id) GROUP BY w.try
+    SELECT try, dst_id AS next, edge_type AS type FROM (
+        SELECT w.try, f.dst_id, f.edge_type, row_number() OVER (PARTITION BY w.try ORDER BY f.dst_id) AS place, count(*) OVER (PARTITION BY w.try) AS new
+        FROM w{number} w JOIN f ON f.src_id = w.at WHERE w.hops > {number} AND NOT list_contains(w.path, f.dst_id)
+    ) q WHERE place = ceil({_draw(f"42|walk|{number}|' || try")} * new)
 ),
 w{number + 1} AS MATERIALIZED (
     SELECT w.try, w.hops, CASE WHEN next IS NULL THEN w.path ELSE list_append(w.path, next) END AS path, CASE WHEN next IS NULL THEN w.types ELSE list_append(w.types, type) END AS types, next AS at
@@ -347,14 +354,9 @@ def graph_paths_2hop(spark, sf_dir):
 
 
 @query(f"""WITH {KEY_GRAPH},
-hop0 AS (
-    SELECT s.node_id AS start_id, arg_min(e.dst_id, -ln((CAST('0x' || md5('7|0|' || s.node_id || '|' || e.dst_id || '|CONTAINS')[1:13] AS BIGINT) + 1)::DOUBLE / 4503599627370496.0) / e.weight) AS next
-    FROM nodes s JOIN edges e ON e.src_id = s.node_id WHERE s.node_type = 'region' GROUP BY s.node_id
-),
-hop1 AS (
-    SELECT h.start_id, any_value(h.next) AS one, arg_min(e.dst_id, -ln((CAST('0x' || md5('7|1|' || h.start_id || '|' || e.dst_id || '|CONTAINS')[1:13] AS BIGINT) + 1)::DOUBLE / 4503599627370496.0) / e.weight) AS two
-    FROM hop0 h JOIN edges e ON e.src_id = h.next GROUP BY h.start_id
-)
+c AS (SELECT *, sum(weight) OVER (PARTITION BY src_id ORDER BY dst_id, edge_type) AS upto, sum(weight) OVER (PARTITION BY src_id) AS total FROM (SELECT src_id, dst_id, 'CONTAINS' AS edge_type, weight FROM edges)),
+hop0 AS (SELECT s.node_id AS start_id, c.dst_id AS one FROM nodes s JOIN c ON c.src_id = s.node_id AND upto >= {_draw("7|walk|0|' || s.node_id")} * total AND upto - weight < {_draw("7|walk|0|' || s.node_id")} * total WHERE s.node_type = 'region'),
+hop1 AS (SELECT h.start_id, one, c.dst_id AS two FROM hop0 h JOIN c ON c.src_id = h.one AND upto >= {_draw("7|walk|1|' || h.start_id")} * total AND upto - weight < {_draw("7|walk|1|' || h.start_id")} * total)
 SELECT start_id, start_id || ' ' || one || ' ' || two AS path FROM hop1""")
 def graph_random_walk(spark, sf_dir):
     nodes, edges = key_graph(spark, sf_dir)

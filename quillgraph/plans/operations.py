@@ -22,7 +22,7 @@ from ..sources import files, layout
 from ..sources.scratch import shared_path, staged
 from ..streaming import logs
 from ..templates import ANSWER_PROMPT, COMMON_RULES, QUESTION_PROMPTS
-from .catalogue import _LOG, ELEMENTS, KEY_GRAPH, event_log, items, key_graph, papers, query, read, structural
+from .catalogue import _LOG, ELEMENTS, _draw, KEY_GRAPH, event_log, items, key_graph, papers, query, read, structural
 
 
 def _choice(number, *values):
@@ -104,8 +104,10 @@ def path_recursive_query(spark, sf_dir):
 
 @query(f"""WITH {KEY_GRAPH},
 t AS (SELECT CAST(substr(node_id, 2) AS BIGINT) AS try, node_id AS start_id FROM nodes WHERE node_type = 'region'),
-one AS (SELECT t.try, any_value(t.start_id) AS a, arg_min(e.dst_id, md5('42|0|' || t.try || '|' || e.dst_id)) AS b FROM t JOIN edges e ON e.src_id = t.start_id GROUP BY t.try),
-two AS (SELECT o.try, arg_min(e.dst_id, md5('42|1|' || o.try || '|' || e.dst_id)) AS c FROM one o JOIN edges e ON e.src_id = o.b WHERE o.try % 2 = 0 GROUP BY o.try)
+one AS (SELECT try, a, b FROM (SELECT t.try, t.start_id AS a, e.dst_id AS b, row_number() OVER w AS place, count(*) OVER (PARTITION BY t.try) AS new FROM t JOIN edges e ON e.src_id = t.start_id WINDOW w AS (PARTITION BY t.try ORDER BY e.dst_id)) q
+    WHERE place = ceil({_draw("42|walk|0|' || try")} * new)),
+two AS (SELECT try, c FROM (SELECT o.try, e.dst_id AS c, row_number() OVER w AS place, count(*) OVER (PARTITION BY o.try) AS new FROM one o JOIN edges e ON e.src_id = o.b WHERE o.try % 2 = 0 WINDOW w AS (PARTITION BY o.try ORDER BY e.dst_id)) q
+    WHERE place = ceil({_draw("42|walk|1|' || try")} * new))
 SELECT o.try, o.a || ' ' || o.b || coalesce(' ' || w.c, '') AS path FROM one o LEFT JOIN two w ON w.try = o.try""")
 def path_walks(spark, sf_dir):
     nodes, edges = key_graph(spark, sf_dir)
@@ -122,7 +124,7 @@ def path_start_nodes(spark, sf_dir):
     return paths.start_nodes(structural(spark, sf_dir)[0], held).select("node_id", "weight")
 
 
-@query(f"""WITH {ELEMENTS}, s AS (SELECT 'd3__paper' AS a), n AS (SELECT arg_min(dst_id, md5('42|0|0|' || dst_id)) AS b FROM edges WHERE src_id = 'd3__paper')
+@query(f"""WITH {ELEMENTS}, s AS (SELECT 'd3__paper' AS a), n AS (SELECT b FROM (SELECT dst_id AS b, row_number() OVER (ORDER BY dst_id) AS place, count(*) OVER () AS new FROM (SELECT DISTINCT dst_id FROM edges WHERE src_id = 'd3__paper') d) q WHERE place = ceil({_draw("42|walk|0|' || 0")} * new))
 SELECT a || ' ' || b AS path, 1 AS difficulty, 'VQA' AS question_type FROM s, n""")
 def path_from_node(spark, sf_dir):
     nodes, edges = structural(spark, sf_dir)

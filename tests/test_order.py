@@ -72,3 +72,24 @@ def test_balls_that_are_far_apart_are_not_compared(spark, least):
     if least == 0.85:
         assert compared < 0.5 * n * (n + 1) / 2, compared / (n * (n + 1) / 2)
     assert similarity.similar_pairs(df.limit(0), least, per_paper=False).count() == 0
+
+
+def test_walks_draw_one_edge_of_a_hub(spark):
+    """Edges are drawn by weight, new successors uniformly, and a hub's out-edges are not joined to each walk."""
+    hub = [("hub", f"c{i}", "A", float(w), i) for i, w in enumerate([1, 2, 3, 0, 4])] + [(f"c{i}", "hub", "B", 1.0, 10 + i) for i in range(4)] + [("hub", "hub", "A", 0.0, 20)]
+    edges = spark.createDataFrame(hub, "src_id string, dst_id string, edge_type string, weight double, seq bigint")
+    starts = spark.createDataFrame([("hub",), ("c4",)], "node_id string")
+    seen = {}
+    for seed in range(3):
+        for r in paths.random_walk(starts, edges, 1, seed=seed).collect():
+            seen.setdefault(r["start_id"], []).append(tuple(r["path"]))
+    assert set(seen["c4"]) == {("c4",)} and all(p[0] == "hub" and p[1] in {"c0", "c1", "c2", "c4"} for p in seen["hub"])
+    many = spark.range(3000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("node_id"))
+    out = many.select(F.col("node_id").alias("src_id"), F.lit("hub").alias("dst_id"), F.lit("A").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit(0).cast("bigint").alias("seq"))
+    got = paths.random_walk(many, edges.unionByName(out), 2, seed=1).groupBy(F.element_at("path", -1).alias("end")).count().collect()
+    share = {r["end"]: r["count"] / 3000 for r in got}
+    assert set(share) == {"c0", "c1", "c2", "c4"} and all(abs(share[e] - w / 10) < 0.04 for e, w in (("c0", 1), ("c1", 2), ("c2", 3), ("c4", 4)))
+    tries = spark.range(3000).select(F.col("id").alias("try"), F.lit("c0").alias("start_id"), F.lit(2).alias("hops"))
+    got = paths.walk_paths(tries, edges, 2).groupBy(F.array_join("path", " ").alias("path")).count().collect()
+    share = {r["path"]: r["count"] / 3000 for r in got}  # c0 and the hub itself are passed over
+    assert set(share) == {f"c0 hub c{i}" for i in range(1, 5)} and all(abs(x - 0.25) < 0.04 for x in share.values())
