@@ -124,8 +124,8 @@ def question_type(edge_types: Column, table: dict[str, str] = EDGE_QUESTION_TYPE
     return lookup(table, F.coalesce(F.get(edge_types, F.lit(0)), F.lit("CONTAINS")), "VQA")
 
 
-def described(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Paths (try, path, edge_types) with their nodes and what is read off them."""
+def described(paths: DataFrame, nodes: DataFrame, levels: dict[str, int] = EDGE_DIFFICULTY, kinds: dict[str, str] = EDGE_QUESTION_TYPE) -> DataFrame:
+    """Paths (try, path, edge_types) with their nodes and what is read off them; levels and kinds tell difficulty and question type by edge."""
     flat = paths.select("try", F.posexplode("path").alias("at", "node_id"))
     details = F.struct("at", "node_id", "node_type", "paper_id", "page", "content", "image_path")
     members = flat.join(nodes.select("node_id", "node_type", "paper_id", "page", "content", "image_path"), "node_id")
@@ -134,7 +134,7 @@ def described(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     types = F.col("edge_types")
     return out.select(
         "try", "path", "edge_types", "nodes", F.get("nodes", F.lit(0))["paper_id"].alias("paper_id"),
-        difficulty(types).alias("difficulty"), question_type(types).alias("question_type"),
+        difficulty(types, levels).alias("difficulty"), question_type(types, kinds).alias("question_type"),
         gold_answer(F.col("nodes"), types).alias("gold_answer"), context(F.col("nodes"), types).alias("context"),
         images(F.col("nodes")).alias("image_paths"), provenance(F.col("path"), types).alias("kg_provenance"),
     )
@@ -161,6 +161,7 @@ def drawn_starts(starts: DataFrame, tries: DataFrame, seed: int) -> DataFrame:
 def sample_paths(
     nodes: DataFrame, edges: DataFrame, n: int, max_hops: int = 3, seed: int = 42, excluded: DataFrame | None = None,
     paper_id: str | None = None, prefer_visual: bool = True, require_image: bool = False, difficulty_is: int | None = None, skip_captions: bool = True,
+    levels: dict[str, int] = EDGE_DIFFICULTY, kinds: dict[str, str] = EDGE_QUESTION_TYPE,
 ) -> DataFrame:
     """Up to n different paths out of 12 n tries, each with a weighted start and 1 to max_hops hops.
 
@@ -169,7 +170,7 @@ def sample_paths(
     starts = start_nodes(nodes, excluded, paper_id, prefer_visual, skip_captions)
     tries = nodes.sparkSession.range(12 * n).select(F.col("id").alias("try"), uniform(seed, F.lit("start"), F.col("id")).alias("u"), (F.floor(uniform(seed, F.lit("hops"), F.col("id")) * max_hops - 1e-12) + 1).cast("int").alias("hops"))
     drawn = drawn_starts(starts, tries, seed)
-    out = described(walk_paths(drawn, edges, max_hops, seed), nodes)
+    out = described(walk_paths(drawn, edges, max_hops, seed), nodes, levels, kinds)
     if require_image:
         out = out.where(F.size("image_paths") > 0)
     if difficulty_is is not None:

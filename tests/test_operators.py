@@ -108,6 +108,8 @@ def test_paths(spark, small):
     held = spark.createDataFrame([("p0",)], "paper_id string")
     assert {r["paper_id"] for r in paths.sample_paths(nodes, edges, 20, excluded=held).collect()} == {"p1"}
     assert all(r["image_paths"] for r in paths.sample_paths(nodes, edges, 5, require_image=True).collect())
+    own = paths.described(spark.createDataFrame([(0, ["n0", "n1"], ["REFERENCES"])], "try bigint, path array<string>, edge_types array<string>"), nodes, {"REFERENCES": 7}, {"REFERENCES": "MCQ"}).first()
+    assert (own["difficulty"], own["question_type"]) == (7, "MCQ")
     one = paths.path_from_node(nodes, edges, "n1", 1).first()
     assert one["difficulty"] == 2 and one["context"].startswith("[TextBlock] (p.1) content 1")
 
