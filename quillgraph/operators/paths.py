@@ -38,6 +38,7 @@ def random_walk(starts: DataFrame, edges: DataFrame, hops: int = 3, seed: int =
     ranges = ends.select("at", (-F.col("to")).alias("place"), F.lit(0).alias("kind"), none.alias("start_id"), "dst_id", stop.alias("path"))
     walks = starts.select(F.col("node_id").alias("start_id"), F.array("node_id").alias("path"), F.col("node_id").alias("at"))
     for hop in range(hops):
+        walks = staged(walks, "walks")  # used twice below: without a table plans would double with each hop
         point = uniform(seed, F.lit("walk"), F.lit(hop), F.col("start_id")) * F.col("total")
         drawn = walks.join(totals, "at", "left")
         points = drawn.where("total is not null").select("at", (-point).alias("place"), F.lit(1).alias("kind"), "start_id", none.alias("dst_id"), "path")
@@ -98,6 +99,7 @@ def walk_paths(tries: DataFrame, edges: DataFrame, max_hops: int, seed: int = 42
     degrees = steps.groupBy("at").agg(F.max("n").alias("degree"))
     walks = tries.select("try", "hops", F.array("start_id").alias("path"), F.array().cast("array<string>").alias("edge_types"), F.col("start_id").alias("at"))
     for hop in range(max_hops):
+        walks = staged(walks, "walks")  # used twice below: without a table plans would double with each hop
         own = walks.where(F.col("hops") > hop).select("try", "at", F.explode("path").alias("next")).join(steps, ["at", "next"])
         met = own.groupBy("try").agg(F.array_sort(F.collect_list("n")).alias("met"))  # at most a path's nodes
         placed = walks.join(degrees, "at", "left").join(met, "try", "left").withColumn("met", F.coalesce("met", F.array().cast("array<bigint>")))
