@@ -91,15 +91,16 @@ def start_nodes(nodes: DataFrame, excluded: DataFrame | None = None, paper_id: s
 def walk_paths(tries: DataFrame, edges: DataFrame, max_hops: int, seed: int = 42) -> DataFrame:
     """For each try (try, start_id, hops) a path that visits no node twice: uniform over new successors, edge weights unused.
 
-    Successors of a node are numbered.  A walk draws a place among those that it has not met: its own nodes, a few, are
+    Successors of the nodes that walks have come to are numbered.  A walk draws a place among those that it has not met: its own nodes, a few, are
     looked up among the successors and passed over.
     """
-    steps = scanned(first_edges(edges), ["src_id"], ["dst_id"], {"n": F.lit(1).cast("long")})
-    steps = staged(steps.select(F.col("src_id").alias("at"), F.col("dst_id").alias("next"), "edge_type", "n"), "steps")
-    degrees = steps.groupBy("at").agg(F.max("n").alias("degree"))
     walks = tries.select("try", "hops", F.array("start_id").alias("path"), F.array().cast("array<string>").alias("edge_types"), F.col("start_id").alias("at"))
     for hop in range(max_hops):
-        walks = staged(walks, "walks")  # used twice below: without a table plans would double with each hop
+        walks = staged(walks, "walks")  # used more than once below: without a table plans would double with each hop
+        here = walks.where(F.col("hops") > hop).select(F.col("at").alias("src_id")).distinct()
+        steps = scanned(first_edges(edges.join(here, "src_id", "left_semi")), ["src_id"], ["dst_id"], {"n": F.lit(1).cast("long")})
+        steps = staged(steps.select(F.col("src_id").alias("at"), F.col("dst_id").alias("next"), "edge_type", "n"), "steps")
+        degrees = steps.groupBy("at").agg(F.max("n").alias("degree"))
         own = walks.where(F.col("hops") > hop).select("try", "at", F.explode("path").alias("next")).join(steps, ["at", "next"])
         met = own.groupBy("try").agg(F.array_sort(F.collect_list("n")).alias("met"))  # at most a path's nodes
         placed = walks.join(degrees, "at", "left").join(met, "try", "left").withColumn("met", F.coalesce("met", F.array().cast("array<bigint>")))
