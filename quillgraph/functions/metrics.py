@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +33,21 @@ def best_of(truths: Column, score) -> Column:
     return F.coalesce(F.array_max(F.transform(truths, lambda t: score(text(t)))), F.lit(0.0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, wherever it occurs there (in lambdas too, where Spark computes it anew)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def folded(c: Column) -> Column:
     """Stripped and in lower case."""
     return F.lower(strip(text(c)))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    """Of folded texts."""
+def _distance(a: Column, b: Column, edits: Column | None = None) -> Column:
+    """Of folded texts; `edits` where they have been counted before."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 0.0).when(F.least(F.length(a), F.length(b)) == 0, 1.0).otherwise(F.levenshtein(a, b) / longer)
+    edits = F.levenshtein(a, b) if edits is None else F.coalesce(edits, F.levenshtein(a, b))
+    return F.when(longer == 0, 0.0).when(F.least(F.length(a), F.length(b)) == 0, 1.0).otherwise(edits / longer)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -48,12 +55,63 @@ def edit_distance(a: Column, b: Column) -> Column:
     return _distance(folded(a), folded(b))
 
 
-def folded_anls(prediction: Column, truths: Column, threshold: float = 0.5) -> Column:
-    """Of a folded prediction and folded truths, columns that were made before."""
-    distances = F.transform(truths, lambda t: _distance(prediction, t))
+def folded_anls(prediction: Column, truths: Column, threshold: float = 0.5, edits: Column | None = None) -> Column:
+    """Of a folded prediction and folded truths, columns that were made before; `edits` as `short_edits` counts them."""
+    distances = F.transform(truths, lambda t, i: _distance(prediction, t, None if edits is None else F.get(edits, i)))
     return F.coalesce(F.array_max(F.transform(distances, lambda d: F.when(d > threshold, 0.0).otherwise(1 - d))), F.lit(0.0))
 
 
+#: Letters of the shorter text that fit the bits of a word, and pairs that are counted at once.
+_BITS, _LANES = 64, 4096
+
+
+def _letters(texts: list[str], width: int, fill: int) -> np.ndarray:
+    """Code points, a row for each text."""
+    return np.frombuffer("".join(t.ljust(width, chr(fill)) for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), width)
+
+
+def edits_of(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Levenshtein distances of pairs whose first text has 1 to 64 characters, many at once.
+
+    Myers's bit vectors: a word for each pair holds where a column of the table steps up or down.
+    """
+    out = np.zeros(len(pairs), np.int32)
+    by_length = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
+    for at in range(0, len(pairs), _LANES):
+        lanes = by_length[at : at + _LANES]
+        m, n = (np.array([len(pairs[i][side]) for i in lanes]) for side in (0, 1))
+        a = _letters([pairs[i][0] for i in lanes], _BITS, 0x10FFFF)
+        b = np.ascontiguousarray(_letters([pairs[i][1] for i in lanes], int(n.max()), 0x10FFFE).T) if n.max() else np.zeros((0, len(lanes)), "<u4")
+        inside, last = np.arange(_BITS) < m[:, None], (m - 1).astype(np.uint64)
+        one = np.uint64(1)
+        up, down, score = np.full(len(lanes), ~np.uint64(0)), np.zeros(len(lanes), np.uint64), m.copy()
+        for j in range(len(b)):
+            equal = np.packbits((a == b[j][:, None]) & inside, axis=1, bitorder="little").view("<u8")[:, 0]
+            vertical = equal | down
+            diagonal = (((equal & up) + up) ^ up) | equal
+            rise, fall = down | ~(diagonal | up), up & diagonal
+            step = ((rise >> last) & one).astype(np.int64) - ((fall >> last) & one).astype(np.int64)
+            score += np.where(j < n, step, 0)
+            rise, fall = (rise << one) | one, fall << one
+            up, down = fall | ~(vertical | rise), rise & vertical
+        out[lanes] = score
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def short_edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Levenshtein distances of a text to each of an array of texts; null where one is null or empty, or both have over 64 characters."""
+    for predictions, truths in batches:
+        truths = [[] if gs is None else gs for gs in truths]
+        pairs = [(p, g) if len(p) <= len(g) else (g, p) for p, gs in zip(predictions, truths) for g in gs if _countable(p, g)]
+        edits = iter(edits_of(pairs).tolist())
+        yield pd.Series([[next(edits) if _countable(p, g) else None for g in gs] for p, gs in zip(predictions, truths)])
+
+
+def _countable(p: str | None, g: str | None) -> bool:
+    return bool(p) and bool(g) and min(len(p), len(g)) <= _BITS
+
+
 def anls(prediction: Column, truths: Column, threshold: float = 0.5) -> Column:
     """As one expression; on many rows make the folded texts columns first (evaluation.scored does)."""
     return folded_anls(folded(prediction), F.transform(truths, folded), threshold)
@@ -68,8 +126,13 @@ def exact_match(prediction: Column, truths: Column) -> Column:
     return F.coalesce(F.array_contains(F.transform(truths, normalized), normalized(prediction)), F.lit(False)).cast("double")
 
 
+def words_of(normal: Column) -> Column:
+    """The words of a normalized text."""
+    return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, " "))
+
+
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(normalized(c), " "), lambda x: x != "")
+    return words_of(normalized(c))
 
 
 def token_overlap(words: Column, truths: Column) -> Column:
@@ -78,8 +141,9 @@ def token_overlap(words: Column, truths: Column) -> Column:
     def score(g: Column) -> Column:
         both = F.array_intersect(words, g)
         times = lambda some, w: F.size(some) - F.size(F.array_remove(some, w))
-        common = F.aggregate(both, F.lit(0), lambda sum_, w: sum_ + F.least(times(words, w), times(g, w)))
-        return F.when(common > 0, 2.0 * common / (F.size(words) + F.size(g))).otherwise(0.0)
+        once = (F.size(F.array_distinct(g)) == F.size(g)) | (F.size(F.array_distinct(words)) == F.size(words))
+        counted = bound(both, lambda same: F.when(once | (F.size(same) == 0), F.size(same)).otherwise(F.aggregate(same, F.lit(0), lambda sum_, w: sum_ + F.least(times(words, w), times(g, w)))))
+        return bound(counted, lambda common: F.when(common > 0, 2.0 * common / (F.size(words) + F.size(g))).otherwise(0.0))
 
     return F.coalesce(F.array_max(F.transform(truths, score)), F.lit(0.0))
 
@@ -146,13 +210,67 @@ def numbers(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"(?U)\b\d+\.?\d*\b"), F.lit(0)))
 
 
+#: From this length on SequenceMatcher leaves frequent letters out, so such texts go to it.
+_AUTOJUNK = 200
+
+
+def _longest_match(a: str, alo: int, ahi: int, b: str, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest block that a[alo:ahi] and b[blo:bhi] share, the earliest in a, then in b: its places and its length.
+
+    A longer block than the best so far is looked for at each place of a by whole-string searches, its length by doubling
+    and halving, so near copies cost a few searches and no table of letters is made.
+    """
+    size = at = to = 0
+    for i in range(alo, ahi):
+        most = ahi - i
+        if most <= size:
+            break
+        there = b.find(a[i : i + size + 1], blo, bhi)
+        if there < 0:
+            continue
+        low, step = size + 1, 1
+        while low < most:  # of length `low` is found; try further by 1, 2, 4, ...
+            further = min(low + step, most)
+            next_ = b.find(a[i : i + further], there, bhi)
+            if next_ < 0:
+                break
+            low, there, step = further, next_, 2 * step
+        high = min(low + step, most + 1)
+        while high - low > 1:  # of length `high` is not
+            middle = (low + high) // 2
+            next_ = b.find(a[i : i + middle], there, bhi)
+            if next_ < 0:
+                high = middle
+            else:
+                low, there = middle, next_
+        size, at, to = low, i, there
+    return at, to, size
+
+
+def sequence_ratio(a: str, b: str) -> float:
+    """difflib's SequenceMatcher(None, a, b).ratio(), with the same blocks in the same order."""
+    if len(b) >= _AUTOJUNK:
+        from difflib import SequenceMatcher
+
+        return SequenceMatcher(None, a, b).ratio()
+    same, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        i, j, k = _longest_match(a, alo, ahi, b, blo, bhi)
+        if k:
+            same += k
+            if alo < i and blo < j:
+                todo.append((alo, i, blo, j))
+            if i + k < ahi and j + k < bhi:
+                todo.append((i + k, ahi, j + k, bhi))
+    return 2.0 * same / (len(a) + len(b)) if a or b else 1.0
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def sequence_ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The matching-blocks ratio of a text to each of an array of texts; no built-in function computes it."""
-    from difflib import SequenceMatcher
-
     for predictions, truths in batches:
-        yield pd.Series([[SequenceMatcher(None, p or "", g or "").ratio() for g in ([] if gs is None else gs)] for p, gs in zip(predictions, truths)])
+        yield pd.Series([[sequence_ratio(p or "", g or "") for g in ([] if gs is None else gs)] for p, gs in zip(predictions, truths)])
 
 
 def with_crossdoc_score(rows: DataFrame, prediction: Column, truths: Column, name: str = "crossdoc") -> DataFrame:
@@ -167,18 +285,17 @@ def _folded(c: Column) -> Column:
 
 def crossdoc_score(prediction: Column, truths: Column, ratios: Column) -> Column:
     """A struct of score and method over five comparisons, truth by truth; the first containment or equal numbers end it."""
-    p = _folded(prediction)
-    golds = F.transform(truths, _folded)
-    pn, pk = numbers(p), keywords(p)
+    read = lambda t: F.struct(t.alias("t"), numbers(t).alias("n"), keywords(t).alias("k"))
 
-    def facts(g: Column, i: Column) -> Column:
-        gn, gk = numbers(g), keywords(g)
-        recall = F.size(F.array_intersect(gk, pk)) / F.size(gk)
+    def facts(p: Column, g: Column, i: Column) -> Column:
+        pn, gn, gk = p["n"], g["n"], g["k"]
+        common = F.size(F.array_intersect(gn, pn))  # of distinct numbers
+        recall = F.size(F.array_intersect(gk, p["k"])) / F.size(gk)
         return F.struct(
-            (g != "").alias("some"),
-            (p.contains(g) | g.contains(p)).alias("contain"),
-            ((F.size(gn) > 0) & (F.size(F.array_except(gn, pn)) == 0) & (F.size(F.array_except(pn, gn)) == 0)).alias("exact"),
-            ((F.size(gn) > 0) & F.arrays_overlap(gn, pn)).alias("partial"),
+            (g["t"] != "").alias("some"),
+            (p["t"].contains(g["t"]) | g["t"].contains(p["t"])).alias("contain"),
+            ((F.size(gn) > 0) & (F.size(gn) == F.size(pn)) & (common == F.size(gn))).alias("exact"),
+            ((F.size(gn) > 0) & (common > 0)).alias("partial"),
             F.when(F.size(gk) > 0, recall).otherwise(-1.0).alias("recall"),
             F.get(ratios, i).alias("ratio"),
         )
@@ -197,7 +314,9 @@ def crossdoc_score(prediction: Column, truths: Column, ratios: Column) -> Column
             .otherwise(b3)
         )
 
-    got = F.aggregate(F.transform(golds, facts), best(F.lit(0.0), F.lit("no_match"), no), step)
+    golds = F.transform(truths, lambda t: bound(_folded(t), read))
+    known = bound(bound(_folded(prediction), read), lambda p: F.transform(golds, lambda g, i: facts(p, g, i)))
+    got = F.aggregate(known, best(F.lit(0.0), F.lit("no_match"), no), step)
     empty = (text(prediction) == "") | (F.coalesce(F.size(truths), F.lit(0)) <= 0)
     return F.when(empty, best(F.lit(0.0), F.lit("empty"), no)).otherwise(got)
 

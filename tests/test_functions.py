@@ -85,6 +85,35 @@ def test_crossdoc(spark):
     assert got == {0: (0.0, "empty"), 1: (1.0, "num_exact"), 2: (0.7, "num_partial"), 3: (round(2 * 25 / 58, 4), "seq"), 4: (0.0, "no_match"), 5: (0.875, "seq"), 6: (1.0, "contain")}
 
 
+def test_ratios_and_edits_equal_their_definitions():
+    import random
+    from difflib import SequenceMatcher
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng, pairs = random.Random(3), []
+    for k in range(1500):
+        letters = ("ab", "abcdefg ", "aé漢\U0001f642")[k % 3]
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 64)))
+        b = a[rng.randint(0, 3) :] + "xy" if k % 2 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 230)))
+        assert metrics.sequence_ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+        pairs.append((a, b))
+    assert metrics.edits_of(pairs).tolist() == [edits(a, b) for a, b in pairs] and metrics.edits_of([]).tolist() == []
+
+
+def test_pieces(spark):
+    for t in ("", "abc", "abcdef", "ab\ncdé\U0001f642g"):
+        got = one(spark, text.in_pieces(F.col("t"), 3, 2), t=t)
+        assert got == [t[i : i + 5] for i in range(0, max(1, len(t)), 3)], t
+
+
 def test_korean_vqa(spark):
     score = lambda p, g, k="": one(spark, metrics.korean_vqa_accuracy(F.col("p"), F.col("g"), F.col("k")), p=p, g=g, k=k)
     assert score("1,234.50 원", "답은 1234.5 입니다") == 1.0
