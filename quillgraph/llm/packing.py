@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import partial
 
@@ -141,44 +140,53 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS) -> Da
 
 
 class VectorBins:
-    """Open bins by residual tokens; each holds its residuals in tokens, documents and attention cost.
+    """Open bins with their residuals in tokens, documents and attention cost.
 
-    Of the bins that fit, the `tries` with the fewest tokens left are scored; with None all are.
+    Every bin that fits is scored, in one pass over arrays; with `tries` only so many, those with the fewest tokens left.
     """
 
-    def __init__(self, tokens: int, documents: int, cost: int, weights: tuple[float, float, float], rule: str, tries: int | None):
+    def __init__(self, tokens: int, documents: int, cost: int, weights: tuple[float, float, float], rule: str, tries: int | None = None):
         self.full = (tokens, documents, cost)
         self.weights, self.rule, self.tries = weights, rule, tries
-        self.order: list[tuple[int, int]] = []  # (residual tokens, bin)
-        self.left: list[list[int]] = []
-
-    def _score(self, need: tuple[int, int, int], left: list[int]) -> float:
-        if self.rule == "dot":  # of the piece and of what the bin holds: full bins are closed first
-            return -sum(w * (n / f) * ((f - x) / f) for w, n, f, x in zip(self.weights, need, self.full, left))
-        return sum(w * ((x - n) / f) ** 2 for w, n, f, x in zip(self.weights, need, self.full, left))
+        self.count, self.opened = 0, 0
+        self.left, self.number = np.zeros((3, 1024), np.int64), np.zeros(1024, np.int64)
+
+    def _score(self, need: tuple[int, int, int], left: np.ndarray) -> np.ndarray:
+        score = np.zeros(left.shape[1])
+        for w, n, f, x in zip(self.weights, need, self.full, left):
+            score += -w * (n / f) * ((f - x) / f) if self.rule == "dot" else w * ((x - n) / f) ** 2  # dot: of the piece and of what the bin holds, full bins are closed first
+        return score
+
+    def _open(self) -> int:
+        if self.count == len(self.number):
+            self.left, self.number = np.concatenate([self.left, np.zeros_like(self.left)], axis=1), np.concatenate([self.number, np.zeros_like(self.number)])
+        at, self.count = self.count, self.count + 1
+        self.left[:, at], self.number[at] = self.full, self.opened
+        self.opened += 1
+        return at
+
+    def _fitting(self, need: tuple[int, int, int]) -> np.ndarray:
+        left = self.left[:, : self.count]
+        fit = np.flatnonzero(left[0] >= need[0])
+        return fit[(left[1, fit] >= 1) & (left[2, fit] >= need[2])]
 
     def put(self, length: int) -> tuple[int, int]:
         """The bin of a piece and the tokens before it there."""
         need = (length, 1, length * length)
-        at, best, seen = bisect_left(self.order, (length, -1)), None, 0
-        while at < len(self.order) and (self.tries is None or seen < self.tries):
-            left = self.left[self.order[at][1]]
-            if left[1] >= 1 and left[2] >= need[2]:
-                score = self._score(need, left)
-                best = min(best or (score, at), (score, at))
-                seen += 1
-            at += 1
-        if best is None:
-            number, left = len(self.left), list(self.full)
-            self.left.append(left)
+        fit = self._fitting(need)
+        if self.tries is not None and len(fit) > self.tries:
+            fit = fit[np.lexsort((self.number[fit], self.left[0, fit]))[: self.tries]]
+        if len(fit):
+            score = self._score(need, self.left[:, fit])
+            best = fit[score == score.min()]
+            at = int(best[self.number[best].argmin()])  # of equal scores the older bin
         else:
-            number = self.order.pop(best[1])[1]
-            left = self.left[number]
-        offset = self.full[0] - left[0]
-        for i, n in enumerate(need):
-            left[i] -= n
-        if left[0] and left[1] and left[2]:
-            insort(self.order, (left[0], number))
+            at = self._open()
+        number, offset = int(self.number[at]), int(self.full[0] - self.left[0, at])
+        self.left[:, at] -= need
+        if self.left[:, at].min() <= 0:  # full: the last open bin takes its place
+            self.count -= 1
+            self.left[:, at], self.number[at] = self.left[:, self.count], self.number[self.count]
         return number, offset
 
 
@@ -200,7 +208,7 @@ def best_fit(
     max_cost: int | None = None,
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05),
     rule: str = "norm",
-    tries: int | None = 8,
+    tries: int | None = None,
     block: int = 50_000,
     least_fill: float = 0.97,
 ) -> DataFrame:

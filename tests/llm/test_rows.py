@@ -538,6 +538,25 @@ def test_vector_bins_hold_every_capacity(rule):
     assert all(sum(x) <= 100 and len(x) <= 4 and sum(n * n for n in x) <= 4000 for x in held.values())
 
 
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_the_best_of_all_bins_that_fit_is_taken(rule):
+    rng, weights, full = random.Random(5), (0.01, 1.0, 1.0), (100, 50, 2000)
+    bins, left = packing.VectorBins(*full, weights, rule), {}
+
+    def score(need, x):
+        if rule == "dot":
+            return -sum(w * (n / f) * ((f - r) / f) for w, n, f, r in zip(weights, need, full, x))
+        return sum(w * ((r - n) / f) ** 2 for w, n, f, r in zip(weights, need, full, x))
+
+    for n in [rng.randint(20, 40) for _ in range(200)] + [rng.randint(1, 9) for _ in range(300)]:
+        need = (n, 1, n * n)
+        fit = {b: score(need, x) for b, x in left.items() if all(r >= k for r, k in zip(x, need))}
+        got, offset = bins.put(n)
+        assert offset == full[0] - left.get(got, full)[0]
+        assert got == len(left) if not fit else abs(fit[got] - min(fit.values())) < 1e-12
+        left[got] = tuple(r - k for r, k in zip(left.get(got, full), need))
+
+
 def test_packing_under_document_and_cost_capacities(spark):
     some = data.rows()
     for options in ({"max_documents": 3}, {"max_cost": 30_000}, {"max_documents": 4, "max_cost": 40_000, "rule": "dot", "tries": None}):
