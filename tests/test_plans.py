@@ -112,3 +112,14 @@ def test_draft_items_of_texts_without_letters(spark, tmp_path):
     rows = [(12 * k + i, t, "en", "s", len(t or "")) for k, t in enumerate(texts) for i in range(12)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     _equal_to_sql(spark, "draft_items", tmp_path, ["documents"])
+
+
+def test_near_ties_of_similarity_rank_as_in_sql(spark, tmp_path):
+    """Vectors of the same components in other orders are equally near to a constant one, but for the rounding of sums."""
+    import random
+
+    rng = random.Random(4)
+    base = [rng.random() for _ in range(64)]
+    rows = [(0, [1.0] * 64, 1)] + [(i, rng.sample(base, 64), 1) for i in range(1, 200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    _equal_to_sql(spark, "semantic_topk_edges", tmp_path, ["embeddings"])
