@@ -24,7 +24,7 @@ def upsert_nodes(*tables: DataFrame) -> DataFrame:
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends exist."""
-    ids = nodes.select("node_id").distinct()
+    ids = nodes.select("node_id")  # a semi join asks for no more than one
     return edges.join(ids.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi").select(*edges.columns)
 
 

@@ -93,3 +93,23 @@ def test_walks_draw_one_edge_of_a_hub(spark):
     got = paths.walk_paths(tries, edges, 2).groupBy(F.array_join("path", " ").alias("path")).count().collect()
     share = {r["path"]: r["count"] / 3000 for r in got}  # c0 and the hub itself are passed over
     assert set(share) == {f"c0 hub c{i}" for i in range(1, 5)} and all(abs(x - 0.25) < 0.04 for x in share.values())
+
+
+def test_what_is_dear_is_made_once_for_each_row(spark):
+    """Borders of ranges are drawn from the rows as they come; what is made of them after that is made once."""
+    from pyspark.sql import types as T
+
+    from quillgraph.operators.order import scanned
+
+    made, context = spark.sparkContext.accumulator(0), spark.sparkContext
+
+    def dear(x):
+        made.add(1)
+        return None if x % 5 == 0 else x % 2
+
+    rows = context.parallelize([(str(i % 3), i) for i in range(60)], 3).toDF("key string, at long")
+    kind = F.udf(dear, T.LongType())
+    got = scanned(rows, ["key"], ["at"], {"n": F.col("kind")}, made=lambda dealt: dealt.withColumn("kind", kind("at")), kept=F.col("kind").isNotNull())
+    expected = {i: sum(j % 2 for j in range(i + 1) if j % 3 == i % 3 and j % 5) for i in range(60) if i % 5}
+    assert got.columns == ["key", "at", "kind", "n"] and {r["at"]: r["n"] for r in got.collect()} == expected
+    assert made.value == 60
