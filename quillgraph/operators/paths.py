@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sampling import hash_order, uniform
-from ..functions.text import CONTENT_WORD, clean_content, has_text, strip, text
+from ..functions.text import CONTENT_WORD, clean_content, has_text, shortened, strip, text
 from ..schema import EDGE_DIFFICULTY, EDGE_QUESTION_TYPE, VISUAL_TYPES, lookup
 from ..sources.scratch import staged
 from .order import scanned
@@ -129,11 +129,11 @@ def question_type(edge_types: Column, table: dict[str, str] = EDGE_QUESTION_TYPE
 
 def described(paths: DataFrame, nodes: DataFrame, levels: dict[str, int] = EDGE_DIFFICULTY, kinds: dict[str, str] = EDGE_QUESTION_TYPE) -> DataFrame:
     """Paths (try, path, edge_types) with their nodes and what is read off them; levels and kinds tell difficulty and question type by edge."""
-    flat = paths.select("try", F.posexplode("path").alias("at", "node_id"))
-    details = F.struct("at", "node_id", "node_type", "paper_id", "page", "content", "image_path")
-    members = flat.join(nodes.select("node_id", "node_type", "paper_id", "page", "content", "image_path"), "node_id")
-    lists = members.groupBy("try").agg(F.array_sort(F.collect_list(details)).alias("nodes"))
-    out = paths.join(lists, "try")
+    flat = paths.select("try", "path", "edge_types", F.posexplode("path").alias("at", "node_id"))
+    # contents are cleaned here, once for each node of a path, and not again for each rule and line that shows them
+    details = F.struct("at", "node_id", "node_type", "paper_id", "page", "content", "image_path", "plain")
+    members = flat.join(nodes.select("node_id", "node_type", "paper_id", "page", "content", "image_path"), "node_id").withColumn("plain", clean_content(F.col("content")))
+    out = members.groupBy("try", "path", "edge_types").agg(F.array_sort(F.collect_list(details)).alias("nodes"))
     types = F.col("edge_types")
     return out.select(
         "try", "path", "edge_types", "nodes", F.get("nodes", F.lit(0))["paper_id"].alias("paper_id"),
@@ -188,10 +188,10 @@ def images(nodes: Column) -> Column:
 
 
 def gold_answer(nodes: Column, edge_types: Column) -> Column:
-    """The answer that a path's last node gives, by its last edge."""
+    """The answer that a path's last node gives, by its last edge; nodes have their cleaned content as `plain`."""
     at = F.size(nodes)
-    content = clean_content(F.get(nodes, at - 1)["content"])
-    before = clean_content(F.get(nodes, at - 2)["content"])
+    content = F.get(nodes, at - 1)["plain"]
+    before = F.get(nodes, at - 2)["plain"]
     last = F.coalesce(F.try_element_at(edge_types, F.lit(-1)), F.lit(""))
     start = F.substring(content, 1, 100)
     nonempty = lambda c: F.nullif(c, F.lit(""))
@@ -205,12 +205,12 @@ def gold_answer(nodes: Column, edge_types: Column) -> Column:
 
 
 def context(nodes: Column, edge_types: Column) -> Column:
-    """A path in lines: each node's type, page and content, and the edges between."""
+    """A path in lines: each node's type, page and content (cleaned, `plain`), and the edges between."""
 
     def line(x: Column, i: Column) -> Column:
         page = F.when(x["page"] >= 0, F.format_string(" (p.%d)", x["page"])).otherwise("")
         image = F.when(x["image_path"].isNotNull(), " (이미지 있음)").otherwise("")
-        content = F.replace(clean_content(x["content"], CONTEXT_CHARS), F.lit("\n"), F.lit(" "))
+        content = F.replace(shortened(x["plain"], CONTEXT_CHARS), F.lit("\n"), F.lit(" "))
         own = F.concat(F.lit("["), x["node_type"], F.lit("]"), page, image, F.lit(" "), content)
         edge = F.get(edge_types, i)
         return F.when(edge.isNotNull(), F.concat(own, F.lit("\n   --"), edge, F.lit("-->"))).otherwise(own)

@@ -472,3 +472,12 @@ def test_stores_and_parsers(spark, small, root, tmp_path):
     assert layout.parsed(spark, root).count() == layout.elements(layout.layouts(spark, root)).count()
     with pytest.raises(ValueError):
         layout.parsed(spark, root, "other")
+
+
+def test_contents_of_paths_are_cleaned_once(spark, small):
+    from quillgraph.operators import paths
+
+    nodes, _ = small
+    walked = spark.createDataFrame([(0, ["n0", "n1"], ["SAME_CONCEPT"])], "try bigint, path array<string>, edge_types array<string>")
+    plan = paths.described(walked, nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</t[dh]>") == 1
