@@ -53,10 +53,14 @@ DOCUMENT = "nodes array<map<string,string>>, edges array<struct<src_id: string,
 def read_graph_document(spark: SparkSession, path: str, edge_metadata: bool = True) -> tuple[DataFrame, DataFrame]:
     """One JSON document {nodes, edges}: keys meta_* become metadata, ends of edges are not checked, bad numbers are null.
 
-    edge_metadata=False drops the edges' metadata, as a database export without it does.
+    edge_metadata=False drops the edges' metadata, as a database export without it does.  What `write_graph_document` wrote
+    is read line by line by all tasks; a document from elsewhere may break its lines anywhere and is read by one.
     """
-    whole = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
-    rows = whole.select(F.posexplode("nodes").alias("seq", "n"))
+    if exists(spark, f"{path}/{_ROWS}"):
+        rows, pairs = _document_rows(spark, path)
+    else:
+        whole = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+        rows, pairs = whole.select(F.posexplode("nodes").alias("seq", "n")), whole.select(F.posexplode("edges").alias("seq", "e"))
     key = lambda name: F.try_element_at("n", F.lit(name))
     meta = F.transform_keys(F.map_filter("n", lambda k, v: k.startswith("meta_")), lambda k, v: F.substring(k, 6, 10_000))
     inner = F.coalesce(F.from_json(key("metadata"), "map<string,string>"), F.create_map().cast("map<string,string>"))
@@ -66,7 +70,6 @@ def read_graph_document(spark: SparkSession, path: str, edge_metadata: bool = Tr
         F.coalesce(key("page").try_cast("int"), F.lit(-1)).alias("page"), F.coalesce(key("content"), F.lit("")).alias("content"),
         key("image_path").alias("image_path"), F.col("seq").cast("bigint").alias("seq"), joined.alias("metadata"),
     )
-    pairs = whole.select(F.posexplode("edges").alias("seq", "e"))
     method, evidence = (F.try_element_at("e.metadata", F.lit(k)) if edge_metadata else F.lit(None).cast("string") for k in ("method", "evidence"))
     edges = pairs.select(
         "e.src_id", "e.dst_id", "e.edge_type", F.col("e.weight").try_cast("double").alias("weight"), F.col("e.confidence").try_cast("double").alias("confidence"),
@@ -75,10 +78,25 @@ def read_graph_document(spark: SparkSession, path: str, edge_metadata: bool = Tr
     return nodes, _edge_defaults(edges)
 
 
-def write_graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One JSON document {nodes, edges} as `read_graph_document` takes it: a line for each row, written by one task as a stream.
+#: Marks a folder whose files, one after another, are a document with a line for each row; lines of edges begin with a space.
+_ROWS = "_rows"
+
+
+def _document_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The places (seq) and values of nodes and edges of a document that has a line for each row."""
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("place")).where("value like '%}' and value <> ']}'")
+    own = lambda start: lines.where(F.col("value").startswith(" ") == start)
+    parsed = lambda shape: F.from_json(F.ltrim(F.col("value"), F.lit(" ,")), shape)
+    item = DOCUMENT.split("edges array<")[1].removesuffix(">")
+    nodes = numbered(own(False), ["place"], "seq").select("seq", parsed("map<string,string>").alias("n"))
+    return nodes, numbered(own(True), ["place"], "seq").select("seq", parsed(item).alias("e"))
+
+
+def write_graph_document(nodes: DataFrame, edges: DataFrame, path: str, file_rows: int = 100_000) -> None:
+    """One JSON document {nodes, edges} as `read_graph_document` takes it: a line for each row, in files of about `file_rows` by ranges of its order.
 
-    For exchange with tools that read whole documents; larger graphs go out as Parquet or JSON lines.
+    For exchange with tools that read whole documents: the files one after another, by their names, are the document.
     """
     spark = nodes.sparkSession
     known = [f for f in field_names(NODES) if f in nodes.columns]
@@ -90,10 +108,13 @@ def write_graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     rows = rows.unionByName(edges.select(F.lit(3).alias("part"), "seq", F.concat_ws(" ", "src_id", "dst_id", "edge_type").alias("key"), F.to_json(values).alias("line")))
     first = rows.groupBy("part").agg(F.min(F.struct("seq", "key")).alias("first"))  # two rows
     marked = rows.join(F.broadcast(first), "part")
-    comma = F.when(F.struct("seq", "key") == F.col("first"), "").otherwise(",")
+    comma = F.concat(F.when(F.col("part") == 3, " ").otherwise(""), F.when(F.struct("seq", "key") == F.col("first"), "").otherwise(","))
     frame = spark.createDataFrame([(0, '{"nodes": ['), (2, '], "edges": ['), (4, "]}")], "part int, line string").select("part", F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("key"), "line")
     lines = marked.select("part", "seq", "key", F.concat(comma, "line").alias("line")).unionByName(frame)
-    lines.repartition(1).sortWithinPartitions("part", "seq", "key").select("line").write.mode("overwrite").text(path)
+    parts = max(1, -(-rows.count() // file_rows))
+    lines.repartitionByRange(parts, "part", "seq", "key").sortWithinPartitions("part", "seq", "key").select("line").write.mode("overwrite").text(path)
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_ROWS}")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark).close()
 
 
 def read_graph_tables(spark: SparkSession, nodes: str, edges: str, where: str | None = None, args: dict | None = None) -> tuple[DataFrame, DataFrame]:
