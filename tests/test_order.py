@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import order, paths, structure
+from quillgraph.operators import order, paths, similarity, structure
 
 
 @pytest.mark.parametrize("kind", ["one group", "many groups", "a hot group", "nulls"])
@@ -113,3 +113,21 @@ def test_what_is_dear_is_made_once_for_each_row(spark):
     expected = {i: sum(j % 2 for j in range(i + 1) if j % 3 == i % 3 and j % 5) for i in range(60) if i % 5}
     assert got.columns == ["key", "at", "kind", "n"] and {r["at"]: r["n"] for r in got.collect()} == expected
     assert made.value == 60
+
+
+def test_pairs_of_blocks_are_held_one_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(1), 256
+    block = {"ids": [f"v{i}" for i in range(n)], "papers": [str(i % 3) for i in range(n)], "seqs": list(range(n)), "vectors": rng.normal(size=(n, 64)).astype(np.float32).tobytes(), "wide": False}
+    row = {"block": 0, "other_block": 1} | block | {f"other_{k}": v for k, v in block.items()}
+    batch = pa.RecordBatch.from_pylist([row] * 200)
+    tracemalloc.start()
+    for _ in similarity._products(iter([batch]), 0.999, False, similarity.BY_SEQ):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6, peak
