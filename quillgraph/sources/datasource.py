@@ -17,11 +17,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 FILE, LINES = "parsing_paddle.json", (".json", ".jsonl")
-PARTITION_BYTES = 32 << 20
+#: Of a partition, and of the rows that a worker holds and hands on at once, as layouts are long.
+PARTITION_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
 
 
 def _opened(uri: str):
@@ -74,6 +76,10 @@ def planned(found: list, partition_bytes: int) -> list[Files]:
     return [Files(p) for p in parts if p]
 
 
+def _batch(rows: list[tuple[str, str | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["paper_id", "value"])
+
+
 class _Rows:
     """Reads the files of a partition."""
 
@@ -82,7 +88,18 @@ class _Rows:
         self.names = str(options.get("names", "")).lower() == "true"
         self.only: set[str] | None = None
 
-    def read(self, partition: Files) -> Iterator[tuple[str, str | None]]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in self.rows(partition):
+            held.append(row)
+            size += len(row[1] or "")
+            if size >= BATCH_BYTES or len(held) == 10_000:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def rows(self, partition: Files) -> Iterator[tuple[str, str | None]]:
         files, top = _opened(self.root)
         for path, paper in partition.files:
             if self.names and paper is not None:

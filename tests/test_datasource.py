@@ -69,3 +69,13 @@ def test_images_of_a_folder_with_a_pattern_in_its_name(spark, tmp_path):
     (root / "p1" / "images" / "i 1.png").write_bytes(b"x")
     rows = spark.createDataFrame([("p1", "other/i 1.png"), ("p1", "none.png"), ("p1", None)], "paper_id string, image_path string")
     assert sorted(map(repr, (r["image_path"] for r in layout.with_images(rows, spark, str(root)).collect()))) == ["'p1/images/i 1.png'", "None", "None"]
+
+
+def test_long_layouts_are_handed_on_a_few_at_a_time(tmp_path):
+    with open(tmp_path / "many.jsonl", "w") as out:
+        for i in range(60):
+            out.write(json.dumps({"paper_id": f"p{i}", "pages": "x" * 300_000}) + "\n")
+    reader = datasource.LayoutReader({"path": str(tmp_path)})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert max(b.nbytes for b in batches) < 2 * datasource.BATCH_BYTES
+    assert [x for b in batches for x in b.column("paper_id").to_pylist()] == [f"p{i}" for i in range(60)]
