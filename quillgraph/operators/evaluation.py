@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.metrics import folded, folded_anls, mcq_accuracy, normalized, short_edits, token_overlap, words_of
+from ..functions.metrics import counted_anls, mcq_accuracy, short_distances, word_scores
 from ..functions.sampling import hash_order
 from ..functions.text import GOLD_LENGTH, fill, fill_by, has_text, is_usable_gold, label_kind, particle, squeeze, strip, strip_caption_label, text
 from ..schema import VISUAL_TYPES
@@ -50,16 +50,12 @@ def scored(predictions: DataFrame) -> DataFrame:
     Accuracy is the chosen letter for multiple choice (first truth), exact match otherwise.
     """
     p, g = F.col("prediction"), F.col("ground_truths")
-    # texts are folded and split once, not for each truth or word that they are compared with
-    made = {"_folded": folded(p), "_truths": F.transform(g, folded), "_normal": normalized(p), "_truth_normals": F.transform(g, normalized)}
-    words = {"_words": words_of(F.col("_normal")), "_truth_words": F.transform("_truth_normals", words_of)}
+    lower = {"_lower": F.lower(text(p)), "_truths": F.transform(g, lambda t: F.lower(text(t)))}
+    compared = {"_distances": short_distances("_lower", "_truths"), "_words": word_scores("_lower", "_truths")}
     choice = (F.col("question_type") == "MCQ") & (F.size(g) > 0)
-    same = F.coalesce(F.array_contains("_truth_normals", F.col("_normal")), F.lit(False)).cast("double")
-    accuracy = F.when(choice, mcq_accuracy(p, F.get(g, F.lit(0)))).otherwise(same)
-    edits = short_edits(F.col("_folded"), F.col("_truths"))
-    rows = predictions.withColumns(made).withColumns(words).withColumn("_edits", edits)
-    scores = {"anls": folded_anls(F.col("_folded"), F.col("_truths"), edits=F.col("_edits")), "accuracy": accuracy, "f1": token_overlap(F.col("_words"), F.col("_truth_words"))}
-    return rows.withColumns(scores).drop(*made, *words, "_edits")
+    accuracy = F.when(choice, mcq_accuracy(p, F.get(g, F.lit(0)))).otherwise(F.col("_words.same").cast("double"))
+    scores = {"anls": counted_anls(p, g, F.col("_distances")), "accuracy": accuracy, "f1": F.col("_words.f1")}
+    return predictions.withColumns(lower).withColumns(compared).withColumns(scores).drop(*lower, *compared)
 
 
 def batch_metrics(predictions: DataFrame) -> DataFrame:

@@ -108,6 +108,33 @@ def test_ratios_and_edits_equal_their_definitions():
     assert metrics.edits_of(pairs).tolist() == [edits(a, b) for a, b in pairs] and metrics.edits_of([]).tolist() == []
 
 
+def test_scores_of_many_rows_equal_their_expressions(spark):
+    import random
+
+    from quillgraph.operators import evaluation
+
+    rng = random.Random(11)
+    words = ["a", "A", "b.", "--", "", "é", "É", "\u3000", "\xa0x", "\x85", "\u2003", "漢字", "\U0001f642", "ab-c", "the", "İ", "ΣΑΣ", "\n", "\x1c", "long" * 20]
+    make = lambda k: rng.choice([" ", "  ", "\t"]).join(rng.choice(words) for _ in range(rng.randint(0, k)))
+    rows = []
+    for i in range(5000):
+        p = make(12 if i % 7 else 60)
+        g = [rng.choice([p, p.upper(), p[1:], p[: len(p) // 2] + " and", make(9), None]) for _ in range(rng.randint(0, 3))]
+        rows.append((i, rng.choice([p] * 9 + [None]), g if i % 11 else None, "VQA"))
+    df = spark.createDataFrame(rows, "i int, prediction string, ground_truths array<string>, question_type string").coalesce(1)
+    p, g = F.col("prediction"), F.col("ground_truths")
+    got = evaluation.scored(df)
+    assert got.columns == [*df.columns, "anls", "accuracy", "f1"]
+    here, there = (
+        sorted(x.collect())
+        for x in (got.select("i", "anls", "accuracy", "f1"), df.select("i", metrics.anls(p, g), metrics.exact_match(p, g), metrics.token_f1(p, g)))
+    )
+    assert here == there
+    compared = "ArrowEvalPython"
+    plan = got.select("f1")._jdf.queryExecution().executedPlan().toString()
+    assert compared in plan and "_distances" not in plan and "regexp_replace" not in plan  # one pass over batches, and only what is asked for
+
+
 def test_pieces(spark):
     for t in ("", "abc", "abcdef", "ab\ncdé\U0001f642g"):
         got = one(spark, text.in_pieces(F.col("t"), 3, 2), t=t)
