@@ -13,8 +13,10 @@ an empty result; other columns of the input are ignored; ties go to the older bi
 from __future__ import annotations
 
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -32,7 +34,9 @@ PACKED = PIECES + ",sequence_id long,offset long"
 
 # Letters whose lower case is one letter of the same set, then marks other than an apostrophe: tokenised apart exactly.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\s\w']*)")
-_KEPT = 150_000
+_LITTLE = array("I").itemsize == 4 and sys.byteorder == "little"
+#: Words that a generation of a cache holds; there are two, as most words of large tables are seen a few times only.
+_KEPT = 1_000_000
 PROBES = (
     "Plain words, in a Sentence.", "UPPER lower MiXeD", "naïve Ärger ÉCOLE straße", "a\nb\n\n c  d", " leading and trailing ",
     "don't it's I'LL", "x.y,z;(q)[r]{s} -- ...!?", "\u201cquoted\u201d\u2014dash\u2026", "123 4a5 2nd 3.14", "snake_case a__b", "\u6f22\u5b57 \u4eee\u540d", "tab\tand\u00a0space", "", "\U0001f642 \u2167",
@@ -40,7 +44,7 @@ PROBES = (
 
 
 class WordTokenizer:
-    """Token ids of texts, word by word with bounded caches.
+    """Token ids of texts, word by word with bounded caches: a full one becomes the older generation, whose words come back when they are met.
 
     The vocabulary drops white space, and no token crosses it, so a text's ids are those of its words one after another.
     Texts with white space other than space and line feed are split there by the tokenizer itself.  Whether a vocabulary
@@ -54,40 +58,43 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.bytes = _byte_alphabet()
-        self.words: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.words, self.older_words = {}, {}  # of whole words, as they are written
+        self.bare, self.older_bare = {}, {}  # of letters in lower case, and of marks
         self.by_word = True
         self.by_word = all(self.ids(t) == self._encode(t) for t in PROBES)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        got = self.bare.get(word)
+    def _part(self, part: str, spell: Callable[[str], bytes]) -> bytes:
+        got = self.bare.get(part)
         if got is None:
-            if len(self.bare) >= 2 * _KEPT:
-                self.bare.clear()
-            spelled = word if word.isascii() else "".join(map(self.bytes.__getitem__, word.encode()))
-            got = self.bare[word] = np.asarray([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            got = self.older_bare.get(part)
+            if got is None:
+                got = spell(part)
+            if len(self.bare) >= _KEPT:
+                self.older_bare, self.bare = self.bare, {}
+            self.bare[part] = got
         return got
 
-    def _marks(self, marks: str) -> bytes:
-        got = self.bare.get(marks)
-        if got is None:
-            got = self.bare[marks] = self._encode(marks)
-        return got
+    def _letters(self, word: str) -> bytes:
+        spelled = word if word.isascii() else "".join(map(self.bytes.__getitem__, word.encode()))
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
+        return (ids if _LITTLE else np.asarray(ids, "<u4")).tobytes()
 
     def _word(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word) if len(word) < 64 else None
-        if plain is None or "<|" in word or not plain[2].isascii():
-            got = self._encode(word)
-        else:
-            got = self._letters(plain[1].lower())
-            if plain[2]:
-                got += self._marks(plain[2])
+        got = self.older_words.get(word)
+        if got is None:
+            plain = _PLAIN.fullmatch(word) if len(word) < 64 else None
+            if plain is None or "<|" in word or not plain[2].isascii():
+                got = self._encode(word)
+            else:
+                got = self._part(plain[1].lower(), self._letters)
+                if plain[2]:
+                    got += self._part(plain[2], self._encode)
         if len(word) < 64:
             if len(self.words) >= _KEPT:
-                self.words.clear()
+                self.older_words, self.words = self.words, {}
             self.words[word] = got
         return got
 

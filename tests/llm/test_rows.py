@@ -502,6 +502,21 @@ def test_tokenizer_equals_the_library():
         assert np.frombuffer(tokens.ids(t), "<u4").tolist() == tokens.whole.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+def test_tokenizer_keeps_words_that_come_again(monkeypatch):
+    """A full cache loses no word that is met again soon, however many rare ones come between."""
+    monkeypatch.setattr(packing, "_KEPT", 50)
+    tokens = packing.WordTokenizer(queries.vocabulary())
+    spelled = []
+    letters = tokens._letters
+    monkeypatch.setattr(tokens, "_letters", lambda word: spelled.append(word) or letters(word))
+    rare = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(1000)]
+    for at in range(0, len(rare), 20):
+        text = "The common,  words " + " ".join(rare[at : at + 20])
+        assert tokens.ids(text) == tokens._encode(text)
+    assert all(spelled.count(w) <= 1 for w in ("the", "common", "words"))
+    assert max(map(len, (tokens.words, tokens.older_words, tokens.bare, tokens.older_bare))) <= 50
+
+
 def test_packing(spark):
     some = data.rows()
     tokens = packing.tokenizer(queries.vocabulary())
