@@ -36,7 +36,7 @@ PACKED = PIECES + ",sequence_id long,offset long"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\s\w']*)")
 _LITTLE = array("I").itemsize == 4 and sys.byteorder == "little"
 #: Words that a generation of a cache holds; there are two, as most words of large tables are seen a few times only.
-_KEPT = 1_000_000
+_KEPT = 300_000
 PROBES = (
     "Plain words, in a Sentence.", "UPPER lower MiXeD", "naïve Ärger ÉCOLE straße", "a\nb\n\n c  d", " leading and trailing ",
     "don't it's I'LL", "x.y,z;(q)[r]{s} -- ...!?", "\u201cquoted\u201d\u2014dash\u2026", "123 4a5 2nd 3.14", "snake_case a__b", "\u6f22\u5b57 \u4eee\u540d", "tab\tand\u00a0space", "", "\U0001f642 \u2167",
