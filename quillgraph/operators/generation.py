@@ -79,13 +79,15 @@ def sampled(prompts: DataFrame, name: str, factory: Callable[[], Backend], n: in
     """id, attempt and text: up to n different outputs of each prompt (id, prompt, images).
 
     Each round asks, at its temperature, for what is still missing; what differs in white space only is one output.
+    Outputs are cleaned as they are written, so each is cleaned once.
     """
     found, kept = None, None
     short = prompts.withColumn("need", F.lit(n))
     for number, temperature in enumerate(temperatures):
-        raw = infer_n(short, name, factory, temperature).select("id", (F.lit(number * 1_000_000) + F.col("at")).alias("attempt"), "raw")
-        found = staged(raw if found is None else found.unionByName(raw), "outputs")
-        kept = best_generations(found, n, clean(F.col("raw")))
+        raw = infer_n(short, name, factory, temperature)
+        new = staged(raw.select("id", (F.lit(number * 1_000_000) + F.col("at")).alias("attempt"), clean(F.col("raw")).alias("text")), "outputs")
+        found = new if found is None else found.unionByName(new)
+        kept = best_generations(found, n, F.col("text"))
         have = kept.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("have"))
         short = prompts.join(have, "id", "left").withColumn("need", n - F.coalesce("have", F.lit(0))).where("need > 0").drop("have")
     return kept

@@ -198,3 +198,11 @@ def test_templates_are_filled_at_once(spark):
         text.fill("{c}", values)
     with pytest.warns(UserWarning, match="nope"):
         assert generation.known_names("{a} {nope}", {"a"}, "{a}") == "{a}"
+
+
+def test_outputs_are_cleaned_in_one_pass(spark):
+    raws = spark.createDataFrame([("- **A** thing?",)], "raw string")
+    for clean, patterns in ((text.clean_question, (text.FENCE, text.BULLET)), (text.clean_answer, (text.FENCE, text.ANSWER_PREFIX))):
+        plan = raws.select(clean(F.col("raw")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+        # a question's bullets are taken off either of all lines or of the first
+        assert [plan.count(p) for p in patterns] == [1, 2 if clean is text.clean_question else 1]

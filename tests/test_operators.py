@@ -395,6 +395,29 @@ def test_generated_questions_and_answers(spark, small):
     assert said["b"]["candidates"] == [] and not said["b"]["is_usable"]
 
 
+def test_each_output_of_a_model_is_cleaned_once(spark):
+    from quillgraph.operators import generation
+
+    class Counter:
+        def load(self):
+            pass
+
+        def infer_n(self, prompt, images, n, temperature):
+            return [f"{prompt} one", f"{prompt}  one"]  # never two, so every round asks again
+
+    cleaned = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(raw):
+        cleaned.add(1)
+        return raw.strip()
+
+    prompts = spark.createDataFrame([("a", "p", []), ("b", "q", [])], "id string, prompt string, images array<string>")
+    got = generation.sampled(prompts, "counter", Counter, 2, (0.5, 0.8, 0.8), clean).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 0, "p one"), ("b", 0, "q one")]
+    assert cleaned.value == 2 * 2 * 3
+
+
 def test_enriched_corpus(spark, root):
     rows = layout.elements(layout.layouts(spark, root))
     said = corpus.Responses(
