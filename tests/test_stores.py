@@ -1,9 +1,11 @@
 """Versions of logs and tables under several writers and lost ones, keyed state over restarts, and staged tables by owner."""
 
+import random
 import threading
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -162,6 +164,44 @@ def test_keyed_state_goes_on_after_a_restart_and_forgets_deleted_keys(spark, tmp
     assert set(stored(timed)) == {"a", "d", "e", "f"}
 
 
+def test_rows_of_a_pair_are_reduced_before_they_reach_the_state(spark, tmp_path, monkeypatch):
+    schema, source, seen = "pair_id string, log_seq bigint, at timestamp", str(tmp_path / "in"), str(tmp_path / "seen")
+
+    class Watched(states.LatestRow):
+        def handleInputRows(self, key, rows, timerValues):
+            def told():
+                for row in rows:
+                    with open(seen, "a") as f:
+                        f.write(f"{key[0]} {int(row['place'])}\n")
+                    yield row
+
+            return super().handleInputRows(key, told(), timerValues)
+
+    monkeypatch.setattr(states, "LatestRow", Watched)
+    spark.createDataFrame([(f"k{i % 3}", i, datetime(2024, 1, 1)) for i in range(600)], schema).coalesce(1).write.parquet(source)
+    for options, most in ({}, {"k0 597", "k1 598", "k2 599"}), ({"at": "at"}, {f"k{i % 3} {i}" for i in range(600)}):  # with a time all rows go on
+        open(seen, "w").close()
+        with states.state_store(spark):
+            stream = spark.readStream.schema(schema).parquet(source)
+            logs.in_batches(states.row_changes(stream, **options), lambda batch, n: batch.collect(), f"{tmp_path}/check{len(most)}", "update").awaitTermination()
+        assert set(open(seen).read().split("\n")[:-1]) == most
+
+
+def test_reduced_rows_hold_the_last_of_each_key_within_a_bound(monkeypatch):
+    rng, kept = random.Random(3), {}
+    rows = [{"key": f"k{rng.randint(0, keys)}", "place": rng.randint(0, 9_999), "payload": str(i)} for keys in (5, 400) for i in range(3_000)]
+    for bound in (1 << 20, 4_000, 1):
+        monkeypatch.setattr(states, "HELD_BYTES", bound)
+        whole = pa.Table.from_pylist(rows)
+        batches = [whole.slice(0, 0).combine_chunks(), *[whole.slice(i, 500) for i in range(0, len(rows), 500)]]
+        got = [r for b in states.last_rows(b for t in batches for b in (t.to_batches() or [pa.RecordBatch.from_pylist([], t.schema)])) for r in b.to_pylist()]
+        best = lambda some: {k: max(r["place"] for r in some if r["key"] == k) for k in {r["key"] for r in some}}
+        assert best(got) == best(rows) and {tuple(r.values()) for r in got} <= {tuple(r.values()) for r in rows}
+        kept[bound] = len(got)
+    assert kept[1 << 20] == len({r["key"] for r in rows}) <= kept[4_000] <= kept[1] < len(rows)
+    assert list(states.last_rows(iter([]))) == []
+
+
 def test_runs_own_what_they_stage(spark):
     one = spark.range(5).toDF("x")
     with scratch.owned(spark, release=True) as outer:
