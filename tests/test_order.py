@@ -131,3 +131,16 @@ def test_pairs_of_blocks_are_held_one_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10e6, peak
+
+
+def test_a_block_is_compared_with_itself_in_one_order():
+    """Executors may compute a block twice, with its rows in two orders: no pair is lost, doubled, or of a node with itself."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids, vectors = ["a", "b", "c", "d"], np.array([[1, 0], [1, 1], [1, 2], [0, 1]], np.float32)
+    block = lambda at: {"ids": [ids[i] for i in at], "papers": ["p"] * 4, "seqs": list(at), "vectors": vectors[list(at)].tobytes(), "wide": False}
+    row = {"block": 0, "other_block": 0} | block((0, 1, 2, 3)) | {f"other_{k}": v for k, v in block((2, 0, 3, 1)).items()}
+    got = [(r["src_id"], r["dst_id"]) for b in similarity._products(iter([pa.RecordBatch.from_pylist([row])]), 0.5, True, similarity.BY_SEQ) for r in b.to_pylist()]
+    near = [("a", "b"), ("b", "c"), ("b", "d"), ("c", "d")]
+    assert sorted(got) == sorted(near + [(y, x) for x, y in near])

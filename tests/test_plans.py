@@ -123,3 +123,9 @@ def test_near_ties_of_similarity_rank_as_in_sql(spark, tmp_path):
     rows = [(0, [1.0] * 64, 1)] + [(i, rng.sample(base, 64), 1) for i in range(1, 200)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     _equal_to_sql(spark, "semantic_topk_edges", tmp_path, ["embeddings"])
+
+
+def test_vectors_without_a_label_have_no_similar_ones(spark, tmp_path):
+    rows = [(i, [1.0, float(i % 5), 2.0], None if i % 3 == 0 else i % 2) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    _equal_to_sql(spark, "semantic_topk_edges", tmp_path, ["embeddings"])
