@@ -144,3 +144,33 @@ def test_a_block_is_compared_with_itself_in_one_order():
     got = [(r["src_id"], r["dst_id"]) for b in similarity._products(iter([pa.RecordBatch.from_pylist([row])]), 0.5, True, similarity.BY_SEQ) for r in b.to_pylist()]
     near = [("a", "b"), ("b", "c"), ("b", "d"), ("c", "d")]
     assert sorted(got) == sorted(near + [(y, x) for x, y in near])
+
+
+@pytest.mark.parametrize("side, most", [(1 << 25, 15), (1 << 18, 25)])
+def test_blocks_are_sent_once_for_each_side_of_their_tiles(spark, monkeypatch, side, most):
+    """What is shuffled grows with the number of sides, not with the number of blocks that a block meets."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(2500, 256)).astype(np.float32)  # blocks are so large that copies of one do not compress each other
+    rows = [(f"n{i}", f"p{i % 5}", i, [float(x) for x in v]) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "node_id string, paper_id string, seq bigint, embedding array<float>")
+    monkeypatch.setattr(similarity, "SIDE_BYTES", side, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        held = context.statusStore().executorList(True)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    try:
+        before = written()
+        got = similarity.similar_pairs(df, 0.15, per_paper=False, block=40).select("src_id", "dst_id").collect()
+        sent = written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    unit = points.astype(float) / np.sqrt((points.astype(float) ** 2).sum(axis=1))[:, None]
+    near = zip(*np.nonzero(np.triu(unit @ unit.T >= 0.15, 1)))
+    assert sorted(map(tuple, got)) == sorted((f"n{i}", f"n{j}") for i, j in near if i % 5 != j % 5)
+    assert sent < most * points.nbytes, sent / points.nbytes
