@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import concept_lines, enriched, relation
 from ..schema import CONCEPT_CONFIDENCE, CONCEPT_WEIGHT, RELATION_CONFIDENCE, RELATION_WEIGHT
 
-MOST_FIGURES, MOST_TEXTS, NEAR_TEXTS, LONG_TEXT, CONCEPT_TEXT = 20, 30, 3, 50, 100
+MOST_TEXTS, NEAR_TEXTS, LONG_TEXT, CONCEPT_TEXT = 30, 3, 50, 100
 
 
 class Backend(Protocol):
@@ -92,9 +92,9 @@ def log_probabilities(rows: DataFrame, policy: tuple[str, Callable[[], Backend]]
     return columns.mapInPandas(run, "pair_id string, policy_chosen double, policy_rejected double, ref_chosen double, ref_rejected double")
 
 
-def visual_nodes(nodes: DataFrame, most: int = MOST_FIGURES) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("paper_id").orderBy("seq"))
-    return nodes.where(F.col("node_type").isin("Figure", "Table") & F.col("image_path").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+def visual_nodes(nodes: DataFrame) -> DataFrame:
+    """All figures and tables with an image, however many a paper has."""
+    return nodes.where(F.col("node_type").isin("Figure", "Table") & F.col("image_path").isNotNull())
 
 
 def concept_sources(nodes: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
@@ -103,17 +103,20 @@ def concept_sources(nodes: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
     return nodes.where((F.col("node_type") == "TextBlock") & (F.length("content") > CONCEPT_TEXT) & plain).withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
-def visual_text_pairs(nodes: DataFrame, edges: DataFrame, most: int = MOST_FIGURES) -> DataFrame:
-    """text_id and visual_id to be related: the pairs that references give; in papers without any, the first texts near.
+def visual_text_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """text_id and visual_id to be related: the pairs that references give; in papers without any, for every figure the first texts near.
 
-    Near means the same page, or the pages beside it if the page has no text; the range join runs on page keys.
+    Near means the same page, or the pages beside it if the page has no text; the range join runs on page keys.  The first
+    texts of some pages are among the first texts of each, so a figure meets no more of a page, however full it is.
     """
     seen = nodes.where(F.col("node_type").isin("Figure", "Table")).select(F.col("node_id").alias("dst_id"), "paper_id")
     sources = nodes.select(F.col("node_id").alias("src_id"))
     referred = edges.where("edge_type = 'REFERENCES'").join(seen, "dst_id").join(sources, "src_id", "left_semi").select("paper_id", F.col("src_id").alias("text_id"), F.col("dst_id").alias("visual_id"))
-    visual = visual_nodes(nodes, most).join(referred.select("paper_id").distinct(), "paper_id", "left_anti")
+    visual = visual_nodes(nodes).join(referred.select("paper_id").distinct(), "paper_id", "left_anti")
     visual = visual.select("paper_id", F.col("node_id").alias("visual_id"), F.col("page").alias("own_page"), F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("page"))
     texts = nodes.where((F.col("node_type") == "TextBlock") & (F.length("content") > LONG_TEXT)).select("paper_id", "page", F.col("node_id").alias("text_id"), "seq")
+    first = F.row_number().over(Window.partitionBy("paper_id", "page").orderBy("seq", "text_id"))
+    texts = texts.withColumn("first", first).where(F.col("first") <= NEAR_TEXTS).drop("first")
     near = visual.join(texts, ["paper_id", "page"]).withColumn("same", F.col("page") == F.col("own_page"))
     on_page = F.max("same").over(Window.partitionBy("visual_id"))
     near = near.withColumn("on_page", on_page).where("same or not on_page")

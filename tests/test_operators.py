@@ -76,6 +76,25 @@ def test_structure_and_references(spark, root):
     assert {r["paper_id"] for r in related.collect()} == {"p1"}
 
 
+def test_all_figures_of_a_paper_meet_the_texts_near(spark):
+    """As many figures as a paper has, on full pages, on pages between texts, and away from texts."""
+    said = "a text that is long enough to be met, " * 2
+    figures = [(f"p{q}__fig_{i}", "Figure", f"p{q}", i // 30, "", f"i{i}.png", 1000 * i) for q in (1, 2) for i in range(240)]
+    texts = [(f"p{q}__text_{i}", "TextBlock", f"p{q}", (0, 2, 2, 3)[i % 4] if i < 36 else 7, said, None, 900 * (i * 7 % 40) + 1) for q in (1, 2) for i in range(40)]
+    more = [("p1__text_short", "TextBlock", "p1", 5, "short", None, 5), ("p1__fig_bare", "Figure", "p1", 2, "", None, 6), ("p3__fig_1", "Figure", "p3", 1, "", "i.png", 1), ("p3__text_1", "TextBlock", "p3", 1, said, None, 2)]
+    rows = figures + texts + more
+    nodes = spark.createDataFrame(rows, "node_id string, node_type string, paper_id string, page int, content string, image_path string, seq bigint")
+    edges = spark.createDataFrame([("p3__text_1", "p3__fig_1", "REFERENCES")], "src_id string, dst_id string, edge_type string")
+    want = {("p3", "p3__text_1", "p3__fig_1")}
+    for v in (r for r in rows if r[1] == "Figure" and r[5] and r[2] != "p3"):
+        own = [t for t in rows if t[1] == "TextBlock" and t[2] == v[2] and len(t[4]) > 50]
+        near = [t for t in own if t[3] == v[3]] or [t for t in own if abs(t[3] - v[3]) <= 1]
+        want |= {(v[2], t[0], v[0]) for t in sorted(near, key=lambda t: (t[6], t[0]))[: enrichment.NEAR_TEXTS]}
+    got = [tuple(r) for r in enrichment.visual_text_pairs(nodes, edges).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert enrichment.visual_nodes(nodes).count() == 481
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     nodes = spark.createDataFrame([(f"n{i}", ("Figure", "TextBlock", "Table", "Claim")[i % 4], f"p{i % 2}", i, f"content {i} words here", f"i{i}.png" if i % 4 == 0 else None, i, None) for i in range(8)], "node_id string, node_type string, paper_id string, page int, content string, image_path string, seq bigint, is_caption boolean")
